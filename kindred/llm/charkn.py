@@ -99,8 +99,12 @@ class CharKN:
             self.back.append(np.log(np.maximum(gamma, 1e-300)))
         return self
 
-    def score(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, words: pa.Array, at_once: int = 30_000) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-likelihood of each word under each class, and its number of predicted characters."""
+        found = [self._score(words.slice(k, at_once)) for k in range(0, max(len(words), 1), at_once)]
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def _score(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cols, offsets = characters(words, self.order)
         n = int(offsets[-1])
         out = np.zeros((n, len(self.classes)))

@@ -104,3 +104,37 @@ def seg_max(values: np.ndarray, offsets: np.ndarray, empty: float = 0.0) -> np.n
     if len(full):
         out[full] = np.maximum.reduceat(values, offsets[:-1][full])
     return out
+
+
+def pieces(batches, column: str = "text", most: int = 4_000_000):
+    """The batches cut so that a piece holds about ``most`` bytes of the text column (a longer text is a piece of its own)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), dtype=np.int64)
+        part = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.take(pa.array(np.arange(lo, hi)))  # a copy: string kernels misread slices
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once an application: they need not have it installed."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='kindred-')}/kindred", "zip", root, "kindred")
+        sc.addPyFile(made)
+        _shipped.add(sc.applicationId)
+
+
+def share(spark: SparkSession, value):
+    """Broadcast a model whose size the caller bounds."""
+    ship(spark)
+    return spark.sparkContext.broadcast(value)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .charkn import CharKN
-from .common import remainder, split_words, sums, table
+from .common import pieces, remainder, share, split_words, sums, table
 
 UNKNOWN = "und"
 
@@ -82,7 +82,7 @@ class LanguageModel:
         return list(names[np.where(letter, best, len(self.classes))]), np.where(letter, p.max(1), 0.0), lowest, ~letter | (lowest > self.bound)
 
 
-def identify(docs: DataFrame, train: DataFrame, per_class: int = 1200, order: int = 5) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, per_class: int = 500, order: int = 5) -> DataFrame:
     """Language of every row of ``docs`` (doc_id, text, held_out), learned from ``train`` (doc_id, text, lang).
 
     Learns from at most ``per_class`` rows of each non-null language. Rows
@@ -94,13 +94,13 @@ def identify(docs: DataFrame, train: DataFrame, per_class: int = 1200, order: in
     spark = docs.sparkSession
     found = sample(train.where("lang IS NOT NULL AND text IS NOT NULL"), "lang", per_class)
     model = LanguageModel(found["text"].combine_chunks(), found["label"].to_pylist(), order) if found.num_rows else None
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in pieces(batches):
             text = b.column("text")
-            if m is None or not b.num_rows:
+            if m is None:
                 n = b.num_rows
                 out = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
             else:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charkn import CharKN
-from .common import remainder, seg_max, split_words, sums, table
+from .common import pieces, remainder, seg_max, share, split_words, sums, table
 from .langid import class_counts, sample
 
 CLASSES = ["0", "1"]
@@ -68,7 +68,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2500, order: int = 6) -> DataFrame:
+def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 1500, order: int = 6) -> DataFrame:
     """``docs`` (doc_id, text, held_out) with score (0..1) and predicted (score >= 0.5).
 
     Learns from at most ``per_class`` rows of each label of ``labelled``
@@ -88,12 +88,12 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 2500,
         order_by = np.argsort([hash_text(x) for x in found["text"].to_pylist()], kind="stable")
         found = found.take(pa.array(order_by))
         model = ToxicityModel(found["text"].combine_chunks(), np.array(found["label"].to_pylist()) == "1", prior, order)
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            score = np.full(b.num_rows, prior) if m is None or not b.num_rows else m.score(b.column("text"))
+        for b in pieces(batches):
+            score = np.full(b.num_rows, prior) if m is None else m.score(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
