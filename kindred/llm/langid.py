@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,16 +16,16 @@ from .common import pieces, remainder, share, split_words, sums, table
 UNKNOWN = "und"
 
 
-def sample(rows: DataFrame, label: str, per_class: int) -> pa.Table:
-    """Up to ``per_class`` rows of each label, those with the smallest hashes of their keys: (label, text).
+def sample(docs: DataFrame, keys: DataFrame, per_class: int) -> pa.Table:
+    """Texts (label, text) of up to ``per_class`` keys of each label, those with the smallest hashes.
 
-    The choice is made on keys alone; texts are read for the chosen rows only.
+    The choice is made on ``keys`` (doc_id, label) alone; ``docs`` (doc_id,
+    text) are read for the chosen keys only.
     """
-    w = Window.partitionBy(label).orderBy("_h", "_k")
-    keyed = rows.select(F.col(label).cast("string").alias("label"), "text", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_k"))
-    ids = keyed.drop("text").withColumn("_r", F.row_number().over(w.partitionBy("label").orderBy("_h", "_k"))).where(F.col("_r") <= per_class)
-    last = ids.groupBy("label").agg(F.max("_h").alias("_last"))  # one row per label
-    return keyed.join(F.broadcast(last), "label").where("_h <= _last").select("label", "text").toArrow()
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = keys.select("doc_id", F.col("label").cast("string").alias("label")).where("doc_id IS NOT NULL").distinct()
+    chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")  # per_class rows a label
+    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("label", "text").toArrow()
 
 
 def class_counts(codes: np.ndarray, offsets: np.ndarray, label: np.ndarray, n_words: int, n_classes: int) -> np.ndarray:
@@ -39,7 +41,7 @@ class LanguageModel:
         index = {c: k for k, c in enumerate(self.classes)}
         y = np.array([index[x] for x in labels], np.int64)
         codes, words, offsets = split_words(texts)
-        check = np.arange(len(y)) % 10 == 9
+        check = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % 10 == 9 for x in texts.to_pylist()], bool)  # copies fall together
         held = class_counts(codes, offsets, y, len(words), len(self.classes))
         mask = np.repeat(check, np.diff(offsets))
         of = np.repeat(y, np.diff(offsets))
@@ -92,7 +94,7 @@ def identify(docs: DataFrame, train: DataFrame, per_class: int = 500, order: int
     worse than it predicts nearly all texts it was checked on.
     """
     spark = docs.sparkSession
-    found = sample(train.where("lang IS NOT NULL AND text IS NOT NULL"), "lang", per_class)
+    found = sample(train, train.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("label")), per_class)
     model = LanguageModel(found["text"].combine_chunks(), found["label"].to_pylist(), order) if found.num_rows else None
     shared = share(spark, model)
 

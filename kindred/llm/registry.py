@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, toxicity
+from . import decontaminate, langid, secretscan, toxicity
 
 QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_secret_scan": secretscan.op7_secret_scan,
     "op10_language_id": langid.op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}

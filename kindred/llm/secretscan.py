@@ -35,12 +35,13 @@ def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Col
         here = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value"))).cast(_SPAN)
         return F.struct(end.alias("at"), F.when(F.char_length(m["value"]) >= least, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("found"), F.get(values, i).alias("value")))
+    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value"))
+    zipped = F.slice(zipped, 1, F.size(found))  # the text after the last match is no span
     return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
-def candidates(text: Column) -> Column:
-    """All spans of a text, (start, kind, end, value) each, in order; plain substring tests spare most texts the patterns."""
+def candidates(text: Column) -> tuple[Column, Column]:
+    """Base and opaque spans of a text, (start, kind, end, value) each, by kind; plain substring tests spare most texts the patterns."""
     lower, empty = F.lower(text), F.array().cast(_SPAN)
     word = F.contains(lower, F.lit("passw")) | F.contains(lower, F.lit("secret")) | F.contains(lower, F.lit("token")) | F.contains(lower, F.lit("apikey")) | F.contains(lower, F.lit("api_key"))
     run = text.rlike("[A-Za-z0-9+/_-]{24,}")
@@ -53,7 +54,7 @@ def candidates(text: Column) -> Column:
         F.when(run, _spans(text, OPAQUE, 3, 0, 32)).otherwise(empty),
         lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= 14),
     )
-    return F.struct(base.alias("base"), opaque.alias("opaque"))
+    return base, opaque
 
 
 def ownership(hits: DataFrame) -> DataFrame:
@@ -72,9 +73,11 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", exa
     repository counts as one more. Repeated rows are scanned each.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), text.alias("text")).withColumn("c", candidates(F.col("text")))
-    free = F.filter(F.col("c.opaque"), lambda o: ~F.exists(F.col("c.base"), lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    found = found.withColumn("spans", F.concat(F.col("c.base"), free))
+    base, opaque = candidates(F.col("text"))
+    found = docs.select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), text.alias("text"))
+    found = found.withColumns({"base": base, "opaque": opaque})
+    free = F.filter("opaque", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
+    found = found.withColumn("spans", F.concat("base", free))
     found = written(
         found.select(
             "doc_id", "owner", "repository",

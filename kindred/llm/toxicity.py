@@ -9,6 +9,8 @@ texts that the models did not see, turns into a probability.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +50,7 @@ class ToxicityModel:
     def __init__(self, texts: pa.Array, toxic: np.ndarray, prior: float, order: int = 6, shared: int = 2):
         codes, words, offsets = split_words(texts)
         n = len(words)
-        fold = np.arange(len(toxic)) % 4
+        fold = np.array([hash_text(x) % 4 for x in texts.to_pylist()])
         x = np.zeros((len(toxic), 4))
         each = np.repeat(fold, np.diff(offsets))
         of = np.repeat(toxic.astype(np.int64), np.diff(offsets))
@@ -68,26 +70,27 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 1500, order: int = 6) -> DataFrame:
+def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int = 6) -> DataFrame:
     """``docs`` (doc_id, text, held_out) with score (0..1) and predicted (score >= 0.5).
 
-    Learns from at most ``per_class`` rows of each label of ``labelled``
-    (doc_id, text, toxic); rows with a null label or text are left out. Null
-    and empty texts get the score of a text without any expression. With
-    fewer than two labels to learn from, every score is the share of toxic
-    rows (0 without rows). Repeated rows are scored each.
+    Learns from at most ``per_class`` documents of each label: ``labels``
+    (doc_id, toxic) names them, ``train`` (doc_id, text) has the texts. A
+    document with several labels is toxic if any says so; null labels, ids and
+    texts are left out. Null and empty texts get the score of a text without
+    any expression. With fewer than two labels to learn from, every score is
+    the share of toxic rows (0 without rows). Repeated rows are scored each.
     """
     spark = docs.sparkSession
-    labelled = labelled.where("toxic IN (0, 1) AND text IS NOT NULL")
-    shares = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.0
     model = None
     if len(shares) == 2:
-        found = sample(labelled, "toxic", per_class)
-        order_by = np.argsort([hash_text(x) for x in found["text"].to_pylist()], kind="stable")
-        found = found.take(pa.array(order_by))
-        model = ToxicityModel(found["text"].combine_chunks(), np.array(found["label"].to_pylist()) == "1", prior, order)
+        found = sample(train, labels, per_class).to_pydict()
+        rows = sorted(zip(found["text"], found["label"], strict=True), key=lambda r: (hash_text(r[0]), r[1]))
+        if len({y for _, y in rows}) == 2:
+            model = ToxicityModel(pa.array([x for x, _ in rows], pa.large_string()), np.array([y == "1" for _, y in rows]), prior, order)
     shared = share(spark, model)
 
     def run(batches):
@@ -100,18 +103,10 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, per_class: int = 1500,
 
 
 def hash_text(text: str) -> int:
-    """A fixed order of the sample, whatever order Spark returned its rows in; copies fall together."""
-    import zlib
-
+    """A fixed order of the sample, whatever order Spark returned its rows in; copies fall into one fold."""
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn from: a document's label is 1 if any of its label rows says so."""
-    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return docs.where("NOT held_out").join(labels, "doc_id")
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", remainder("doc_id", 5) == 0)
-    return score_toxicity(docs, labelled_rows(docs, table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
