@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, secretscan, toxicity
+from . import decontaminate, langid, mixing, neardup, secretscan, topk, toxicity, urlfilter
 
 QUERIES = {
+    "op2_near_dedup": neardup.op2_near_dedup,
+    "op4_url_filter": urlfilter.op4_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_secret_scan": secretscan.op7_secret_scan,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_topk_search": topk.op9_topk_search,
     "op10_language_id": langid.op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": neardup.ORACLE_OP2,
+    "op9_topk_search": topk.ORACLE_OP9,
+}
