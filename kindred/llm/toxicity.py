@@ -70,17 +70,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int = 6) -> DataFrame:
-    """``docs`` (doc_id, text, held_out) with score (0..1) and predicted (score >= 0.5).
-
-    Learns from at most ``per_class`` documents of each label: ``labels``
-    (doc_id, toxic) names them, ``train`` (doc_id, text) has the texts. A
-    document with several labels is toxic if any says so; null labels, ids and
-    texts are left out. Null and empty texts get the score of a text without
-    any expression. With fewer than two labels to learn from, every score is
-    the share of toxic rows (0 without rows). Repeated rows are scored each.
+def fit(train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int = 6) -> tuple[ToxicityModel | None, float]:
+    """A model and the share of toxic labels, from at most ``per_class`` documents of each label.
+
+    ``labels`` (doc_id, toxic) names them, ``train`` (doc_id, text) has the
+    texts. A document with several labels is toxic if any says so; null
+    labels, ids and texts are left out. No model without both labels.
     """
-    spark = docs.sparkSession
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     total = sum(shares.values())
@@ -91,6 +87,18 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_cla
         rows = sorted(zip(found["text"], found["label"], strict=True), key=lambda r: (hash_text(r[0]), r[1]))
         if len({y for _, y in rows}) == 2:
             model = ToxicityModel(pa.array([x for x, _ in rows], pa.large_string()), np.array([y == "1" for _, y in rows]), prior, order)
+    return model, prior
+
+
+def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int = 6) -> DataFrame:
+    """``docs`` (doc_id, text, held_out) with score (0..1) and predicted (score >= 0.5), learned by fit().
+
+    Null and empty texts get the score of a text without any expression.
+    Without a model every score is the share of toxic labels (0 without
+    labels). Repeated rows are scored each; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    model, prior = fit(train, labels, per_class, order)
     shared = share(spark, model)
 
     def run(batches):
@@ -102,6 +110,22 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_cla
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more; the columns stay as they are."""
+    spark = docs.sparkSession
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model, prior = fit(train, labels)
+    shared = share(spark, model)
+
+    def run(batches):
+        m = shared.value
+        for b in pieces(batches):
+            score = np.full(b.num_rows, prior) if m is None else m.score(b.column("text"))
+            yield b.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def hash_text(text: str) -> int:
     """A fixed order of the sample, whatever order Spark returned its rows in; copies fall into one fold."""
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
