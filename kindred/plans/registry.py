@@ -4,7 +4,496 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kindred.functions import similarity as sim
+from kindred.functions import text as tx
+from kindred.operators import corpus, evaluate, match, scoring, store
+from kindred.plans.bindings import IMG, MED, MX, SC, images, read, scenes, sql_frame, sql_gini, sql_ham, sql_hist, sql_sharpen, sql_tone
+from kindred.streaming import lifecycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+KEYS = ["scene_id", "job", "record"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Scene images with the record images of the scene's job: an equi-join on the job."""
+    img = images(spark, d)
+    return scenes(img).join(img, "job")
+
+
+# --- features -----------------------------------------------------------------
+@query(f"""WITH {IMG}, p AS (SELECT s.ref AS query_ref, i.ref, {sql_ham('s', 'i')} AS similarity FROM img s JOIN img i ON s.job = i.job AND s.ref <> i.ref WHERE s.in_scene)
+SELECT query_ref, ref, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_ref ORDER BY similarity DESC, ref) AS rank FROM p) WHERE rank <= 5""")
+def hamming_topk(spark, d):
+    img = images(spark, d)
+    q = img.where("in_scene").select("job", F.col("ref").alias("query_ref"), F.col("lanes").alias("slanes"))
+    p = q.join(img, "job").where("ref <> query_ref").select("query_ref", "ref", sim.hamming_similarity(F.col("slanes"), F.col("lanes"), 64).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query_ref").orderBy(F.desc("similarity"), "ref"))
+    return p.withColumn("rank", rank).where("rank <= 5")
+
+
+@query(f"""WITH {IMG} SELECT ref, CAST(bit_count(l0) + bit_count(l1) AS INTEGER) AS n_bits, (bit_count(l0) + bit_count(l1)) / 64e0 < 0.45e0 OR (bit_count(l0) + bit_count(l1)) / 64e0 > 0.55e0 AS uneven,
+(bit_count(l0) + bit_count(l1)) / 64e0 < 0.1e0 OR (bit_count(l0) + bit_count(l1)) / 64e0 > 0.9e0 AS degenerate FROM img""")
+def degenerate_hash(spark, d):
+    n = sim.bits(F.col("lanes"))
+    return images(spark, d).select("ref", n.alias("n_bits"), ((n / 64.0 < 0.45) | (n / 64.0 > 0.55)).alias("uneven"), sim.degenerate_hash(F.col("lanes"), 64).alias("degenerate"))
+
+
+@query(f"WITH {IMG}, {SC} SELECT sref, ref, round({sql_tone('i.blob', 's.sblob')}, 6) AS similarity FROM sc s JOIN img i ON s.job = i.job")
+def tone_similarity(spark, d):
+    return _pairs(spark, d).select("sref", "ref", _r(sim.tone_similarity(F.col("blob"), F.col("sblob")), "similarity"))
+
+
+@query(f"WITH {IMG}, {SC} SELECT sref, ref, round({sql_hist('i.blob', 's.sblob')}, 6) AS similarity FROM sc s JOIN img i ON s.job = i.job")
+def hist_intersection(spark, d):
+    return _pairs(spark, d).select("sref", "ref", _r(sim.histogram_intersection(F.col("blob"), F.col("sblob")), "similarity"))
+
+
+@query(f"WITH {IMG} SELECT ref, round({sql_gini('blob')}, 6) AS quality FROM img")
+def gini_quality(spark, d):
+    return images(spark, d).select("ref", _r(sim.gini_quality(F.col("blob")), "quality"))
+
+
+ENTROPY = f"""{IMG}, px AS (SELECT ref, unnest(blob) AS v FROM img), vr AS (SELECT ref, var_pop(v) AS var, count(*) AS n FROM px GROUP BY ref),
+en AS (SELECT ref, -sum(p * log2(p)) AS h FROM (SELECT ref, v, count(*) / CAST(64 AS DOUBLE) AS p FROM px GROUP BY ALL) GROUP BY ref),
+eq AS (SELECT ref, sqrt(least(1e0, h / 8e0) * least(1e0, var / 1e4)) AS quality FROM vr JOIN en USING (ref))"""
+
+
+@query(f"WITH {ENTROPY} SELECT ref, round(quality, 6) AS quality FROM eq")
+def entropy_variance_quality(spark, d):
+    return images(spark, d).select("ref", _r(sim.entropy_variance_quality(F.col("blob")), "quality"))
+
+
+@query(f"WITH {IMG}, {MED.format(keys='job, record', source='img')} SELECT job, record, unnest(range(1, len(hist) + 1)) - 1 AS bin, unnest(hist) AS value FROM med")
+def median_aggregate(spark, d):
+    got = corpus.median_aggregate(images(spark, d), ["job", "record"], "blob")
+    return got.select("job", "record", F.posexplode("blob").alias("bin", "value")).withColumn("bin", F.col("bin").cast("long"))
+
+
+# --- scoring ------------------------------------------------------------------
+def _maxima(spark, d, hashed: bool = False) -> DataFrame:
+    s = sim.hamming_similarity(F.col("slanes"), F.col("lanes"), 64) if hashed else sim.tone_similarity(F.col("blob"), F.col("sblob"))
+    return scoring.per_image_max(_pairs(spark, d), [*KEYS, "ref"], s)
+
+
+@query(f"WITH {MX} SELECT scene_id, job, record, ref, round(tone, 6) AS tone FROM mx")
+def per_image_max(spark, d):
+    return _maxima(spark, d).select(*KEYS, "ref", _r(F.col("m"), "tone"))
+
+
+_TOPK = """{mx}, k AS (SELECT scene_id, count(*) AS n FROM sc GROUP BY scene_id), g AS (SELECT scene_id, job, record, list(tone ORDER BY tone DESC) AS v FROM mx GROUP BY ALL),
+t AS (SELECT scene_id, job, record, list_avg(v[1:greatest(1, least(n, len(v)))]) AS score FROM g JOIN k USING (scene_id))"""
+
+
+def _top(spark, d) -> DataFrame:
+    n = scenes(images(spark, d)).groupBy("scene_id").agg(F.count("*").cast("int").alias("n"))
+    got = _maxima(spark, d).groupBy(*KEYS).agg(F.collect_list("m").alias("v"))
+    return got.join(n, "scene_id").withColumn("score", scoring.top_k_mean(F.col("v"), F.col("n")))
+
+
+@query(f"WITH {_TOPK.format(mx=MX)} SELECT scene_id, job, record, round(score, 6) AS score FROM t")
+def topk_mean(spark, d):
+    return _top(spark, d).select(*KEYS, _r(F.col("score"), "score"))
+
+
+@query(f"WITH {_TOPK.format(mx=MX)} SELECT scene_id, job, record, round(CASE WHEN score >= 0.85e0 THEN score ELSE 0e0 END, 6) AS score FROM t")
+def topk_threshold(spark, d):
+    return _top(spark, d).select(*KEYS, _r(F.when(F.col("score") >= 0.85, F.col("score")).otherwise(0.0), "score"))
+
+
+def _frame(spark, d, hashed: bool = False) -> DataFrame:
+    rows = _maxima(spark, d, hashed).withColumns({"quality": F.lit(1.0), "uniqueness": F.lit(1.0), "baseline": F.lit(None).cast("double")})
+    return scoring.frame_channel(rows, KEYS)
+
+
+@query(f"WITH {MX} SELECT scene_id, job, record, round(evidence, 6) AS evidence, round(count_conf, 6) AS count_conf, round(dist_q, 6) AS dist_q, round(score, 6) AS score FROM ({sql_frame('tone')})")
+def frame_channel_score(spark, d):
+    return _frame(spark, d).select(*KEYS, *[_r(F.col(c), c) for c in ("evidence", "count_conf", "dist_q", "score")])
+
+
+_AGG = f"""{MX}, {MED.format(keys='job, record', source='img')}, {MED.format(keys='scene_id, job', source='(SELECT *, sblob AS blob FROM sc)').replace('med AS', 'smed AS', 1)},
+ag AS (SELECT scene_id, m.job, m.record, greatest(0e0, least(1e0, {sql_sharpen(sql_hist('s.hist', 'm.hist'))} * {sql_gini('m.hist')})) AS score FROM smed s JOIN med m ON s.job = m.job)"""
+
+
+def _aggregate(spark, d) -> DataFrame:
+    img = images(spark, d)
+    rec = corpus.median_aggregate(img, ["job", "record"], "blob")
+    scene = corpus.median_aggregate(scenes(img).withColumnRenamed("sblob", "shist"), ["scene_id", "job"], "shist")
+    s = scoring.aggregate_channel(sim.histogram_intersection(F.col("shist"), F.col("blob")), sim.gini_quality(F.col("blob")), F.lit(scoring.BASELINE))
+    return scene.join(rec, "job").select(*KEYS, s.alias("score"))
+
+
+@query(f"WITH {_AGG} SELECT scene_id, job, record, round(score, 6) AS score FROM ag")
+def aggregate_channel_score(spark, d):
+    return _aggregate(spark, d).select(*KEYS, _r(F.col("score"), "score"))
+
+
+_COMP = f"""{_AGG}, ph AS ({sql_frame('ham')}), tn AS ({sql_frame('tone')}),
+cm AS (SELECT scene_id, job, record, p.score AS phash, a.score AS color_hist, t.score AS tone, CAST(p.score >= 0.05e0 AS INTEGER) + CAST(a.score >= 0.05e0 AS INTEGER) + CAST(t.score >= 0.05e0 AS INTEGER) AS n
+  FROM ph p JOIN tn t USING (scene_id, job, record) JOIN ag a USING (scene_id, job, record)),
+cs AS (SELECT scene_id, job, record, n, CASE WHEN n = 0 THEN 0e0 ELSE least(1e0, greatest(CASE WHEN phash >= 0.05e0 THEN phash ELSE 0 END, CASE WHEN color_hist >= 0.05e0 THEN color_hist ELSE 0 END, CASE WHEN tone >= 0.05e0 THEN tone ELSE 0 END) + 0.1e0 * (n - 1)) END AS image FROM cm)"""
+
+
+def _composite(spark, d) -> DataFrame:
+    named = lambda df, n: df.select(*KEYS, F.col("score").alias(n))
+    got = named(_frame(spark, d, True), "phash").join(named(_frame(spark, d), "tone"), KEYS).join(named(_aggregate(spark, d), "color_hist"), KEYS)
+    image, fired = scoring.compose({"phash": F.col("phash"), "color_hist": F.col("color_hist"), "tone": F.col("tone")})
+    return got.select(*KEYS, image.alias("image"), fired.alias("fired"))
+
+
+@query(f"WITH {_COMP} SELECT scene_id, job, record, round(image, 6) AS image, CAST(n AS INTEGER) AS n_fired FROM cs")
+def composite_score(spark, d):
+    return _composite(spark, d).select(*KEYS, _r(F.col("image"), "image"), F.size("fired").alias("n_fired"))
+
+
+# --- corpus -------------------------------------------------------------------
+@query(f"WITH {IMG} SELECT job, ref % 50 AS ref, list_sort(list(DISTINCT record)) AS records FROM img GROUP BY ALL")
+def inverted_index(spark, d):
+    return corpus.inverted_index(images(spark, d).withColumn("ref", F.col("ref") % 50))
+
+
+@query(f"""WITH {IMG}, nr AS (SELECT a.job, a.ref, b.record FROM img a JOIN img b ON a.job = b.job AND (a.ref = b.ref OR {sql_tone('a.blob', 'b.blob')} >= 0.9e0))
+SELECT job, ref, greatest(count(DISTINCT record) - 1, 0) AS matches, round(1e0 / (1e0 + greatest(count(DISTINCT record) - 1, 0)), 6) AS uniqueness FROM nr GROUP BY job, ref""")
+def uniqueness(spark, d):
+    return corpus.uniqueness(images(spark, d), threshold=0.9).withColumn("uniqueness", F.round("uniqueness", 6))
+
+
+@query(f"""WITH {IMG}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ref * 7919 % 1000003, ref) AS r FROM img) WHERE r <= 64),
+p AS (SELECT a.job, {sql_tone('a.blob', 'b.blob')} AS s, row_number() OVER (PARTITION BY a.job ORDER BY (a.ref * 7919 + b.ref * 104729) % 1000003, a.ref, b.ref) AS k FROM f a JOIN f b ON a.job = b.job AND a.ref < b.ref AND a.record <> b.record)
+SELECT j.job, round(coalesce(avg(s), 0.5e0), 6) AS baseline FROM (SELECT DISTINCT job FROM img) j LEFT JOIN (SELECT * FROM p WHERE k <= 1000) q ON j.job = q.job GROUP BY j.job""")
+def corpus_baseline(spark, d):
+    return corpus.baseline(images(spark, d), sim.tone_similarity(F.col("blob"), F.col("other"))).withColumn("baseline", F.round("baseline", 6))
+
+
+# --- matching -----------------------------------------------------------------
+_CAND = f"""{_COMP}, parts AS (SELECT p_partkey - 1 AS k, p_name FROM part), dates AS (SELECT o_orderkey % 1500 AS k, min(strftime(o_orderdate, '%Y-%m-%d')) AS dt FROM orders GROUP BY ALL),
+cand AS (SELECT cs.*, job % 2 = 0 AND scene_id % 40 = (job * 7 + record) % 40 AS code_hit, a.p_name = b.p_name AS title_hit,
+  CASE WHEN e.dt = f.dt THEN 1e0 WHEN e.dt[1:7] = f.dt[1:7] THEN 0.5e0 WHEN e.dt[1:4] = f.dt[1:4] THEN 0.2e0 ELSE 0e0 END AS date
+  FROM cs JOIN parts a ON a.k = scene_id % 97 JOIN parts b ON b.k = (job * 31 + record) % 97 JOIN dates e ON e.k = scene_id % 1500 JOIN dates f ON f.k = (job * 131 + record * 17) % 1500)"""
+
+
+def _candidates(spark, d) -> DataFrame:
+    """Scenes and records with code (an id modulo 40, where job is even), title (a part's name) and date (an order's)."""
+    parts = read(spark, d, "part").select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("title"))
+    dates = read(spark, d, "orders").groupBy((F.col("o_orderkey") % 1500).alias("k")).agg(F.min(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"))
+    as_ = lambda df, k, name: df.select(F.col("k").alias(k), F.col(df.columns[1]).alias(name))
+    c = _composite(spark, d).withColumns({"kt": F.col("scene_id") % 97, "kr": (F.col("job") * 31 + F.col("record")) % 97, "ks": F.col("scene_id") % 1500, "kd": (F.col("job") * 131 + F.col("record") * 17) % 1500})
+    c = c.join(as_(parts, "kt", "title"), "kt").join(as_(parts, "kr", "rtitle"), "kr").join(as_(dates, "ks", "sdate"), "ks").join(as_(dates, "kd", "rdate"), "kd")
+    code = match.code_fires((F.col("scene_id") % 40).cast("string"), ((F.col("job") * 7 + F.col("record")) % 40).cast("string"), F.col("job") % 2 == 0)
+    return c.select(
+        "scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "image", code.alias("code_hit"), match.title_fires(F.col("title"), F.col("rtitle")).alias("title_hit"),
+        tx.date_score(F.col("sdate"), F.col("rdate")).alias("date"), F.lit(0.0).alias("filename"), F.lit(0.0).alias("performer"),
+    )
+
+
+def _search_sql(floor: str = "true") -> str:
+    return f"""WITH {_CAND}, s AS (SELECT *, least(1e0, CAST(code_hit AS INTEGER) + CAST(title_hit AS INTEGER) + image + 0.15e0 * date) AS score FROM cand WHERE {floor}),
+r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, job, record) AS rank FROM s)
+SELECT scene_id, job AS job_id, record AS result_index, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score > 0"""
+
+
+@query(_search_sql())
+def search_ranked(spark, d):
+    return match.search(_candidates(spark, d)).select("scene_id", "job_id", "result_index", F.round("score", 4).alias("score"), "rank")
+
+
+@query(_search_sql("image >= 0.15e0 OR code_hit OR title_hit"))
+def search_floor(spark, d):
+    return match.search(_candidates(spark, d), floor=0.15).select("scene_id", "job_id", "result_index", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"""WITH {_CAND}, t AS (SELECT scene_id, job, record, image, CASE WHEN code_hit THEN 1 WHEN title_hit THEN 2 WHEN image >= 0.3e0 THEN 3 END AS tier FROM cand),
+r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY tier, CASE WHEN tier = 3 THEN -image ELSE 0 END, job, record) AS k FROM t WHERE tier IS NOT NULL)
+SELECT scene_id, job AS job_id, record AS result_index, CAST(tier AS INTEGER) AS tier FROM r WHERE k = 1""")
+def scrape_cascade(spark, d):
+    c = _candidates(spark, d)
+    return match.scrape(c, c.select("scene_id", "job_id", "result_index", "image"), threshold=0.3)
+
+
+@query("""SELECT source, list_sort(list(DISTINCT lang)) AS fields, count(DISTINCT lang) FILTER (lang IN ('en', 'de', 'fr')) = 3 AS complete FROM documents GROUP BY source""")
+def schema_superset(spark, d):
+    got = read(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("fields"))
+    return got.withColumn("complete", match.schema_superset(F.col("fields"), ["en", "de", "fr"]))
+
+
+_NARROW = """sc AS (SELECT c_custkey AS scene_id, CASE WHEN c_custkey % 100 = 0 THEN ' ' WHEN c_custkey % 3 = 0 THEN ' ' || lower(n_name) || ' ' ELSE n_name END AS studio FROM customer JOIN nation ON c_nationkey = n_nationkey),
+nw AS (SELECT scene_id, n_nationkey AS job_id, trim(studio) <> '' AS used_filter FROM sc JOIN nation ON trim(studio) = '' OR lower(trim(studio)) = lower(n_name))"""
+
+
+def _narrowed(spark, d) -> DataFrame:
+    nation = read(spark, d, "nation")
+    k = F.col("c_custkey")
+    studio = F.when(k % 100 == 0, " ").when(k % 3 == 0, F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).otherwise(F.col("n_name"))
+    sc = read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("scene_id"), studio.alias("studio"))
+    return match.studio_narrow(sc, nation.select(F.col("n_nationkey").alias("job_id"), F.col("n_name").alias("job_name")))
+
+
+@query(f"WITH {_NARROW} SELECT * FROM nw")
+def studio_narrow(spark, d):
+    return _narrowed(spark, d)
+
+
+@query(f"WITH {_NARROW} SELECT job_id, used_filter, count(*) AS pairs, count(DISTINCT scene_id) AS scenes, sum(s_suppkey) AS checksum FROM nw JOIN supplier ON s_nationkey = job_id GROUP BY ALL")
+def candidate_pool(spark, d):
+    records = read(spark, d, "supplier").select(F.col("s_nationkey").alias("job_id"), F.col("s_suppkey").alias("result_index"))
+    pool = match.candidate_pool(_narrowed(spark, d), records)
+    return pool.groupBy("job_id", "used_filter").agg(F.count("*").alias("pairs"), F.countDistinct("scene_id").alias("scenes"), F.sum("result_index").cast("decimal(38,0)").alias("checksum"))
+
+
+@query(r"""SELECT page_id, url_decode(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1)) AS basename FROM pages""")
+def url_basename(spark, d):
+    return read(spark, d, "pages").select("page_id", tx.basename_from_url(F.col("url")).alias("basename"))
+
+
+@query(r"""SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(split_part(split_part(url_decode(url), '?', 1), '#', 1), '([^/]*)$', 1), '^(.*[^.].*)\.[^.]*$', '\1'), '[_\-.]+', ' ', 'g'), '\s+', ' ', 'g'))) AS name FROM pages""")
+def filename_normalize(spark, d):
+    return read(spark, d, "pages").select("page_id", tx.normalize_filename(F.col("url")).alias("name"))
+
+
+@query("""WITH r AS (SELECT page_id % 5 AS job_id, page_id AS result_index, split_part(url, '?', 1) AS url FROM pages), q AS (SELECT page_id AS request_id, split_part(url, '?', 1) AS url FROM pages WHERE page_id % 3 = 0)
+SELECT request_id, job_id, result_index, CAST(rank AS INTEGER) AS rank, 1e0 AS score FROM (SELECT request_id, job_id, result_index, row_number() OVER (PARTITION BY request_id ORDER BY job_id, result_index) AS rank FROM q JOIN r USING (url)) WHERE rank <= 5""")
+def exact_url(spark, d):
+    p = read(spark, d, "pages").withColumn("url", F.substring_index("url", "?", 1))
+    return match.exact_url(p.where("page_id % 3 = 0").select(F.col("page_id").alias("request_id"), "url"), p.select((F.col("page_id") % 5).alias("job_id"), F.col("page_id").alias("result_index"), "url"))
+
+
+def _names(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    stem = F.replace("p_name", F.lit(" "), F.lit("."))
+    a = F.concat(stem, F.lit(".s"), (k % 7 + 1).cast("string"), F.lit("e"), (k % 11 + 1).cast("string"), F.lit("."), (F.lit(1990) + k % 30).cast("string"), F.lit(".720p.mp4"))
+    b = F.concat(stem, F.lit(".S0"), (k % 5 + 1).cast("string"), F.lit("E0"), (k % 9 + 1).cast("string"), F.lit("."), (F.lit(1990) + k % 20).cast("string"), F.lit("."), F.when(k % 2 == 0, "720p").otherwise("1080p"), F.lit(".mkv"))
+    return read(spark, d, "part").select("p_partkey", "p_name", a.alias("a"), b.alias("b"))
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_partkey % 30 = p_partkey % 20 THEN 0.05e0 ELSE 0e0 END + CASE WHEN p_partkey % 11 = p_partkey % 9 THEN 0.05e0 ELSE 0e0 END
+ + CASE WHEN p_partkey % 7 = p_partkey % 5 THEN 0.03e0 ELSE 0e0 END + CASE WHEN p_partkey % 2 = 0 THEN 0.02e0 ELSE 0e0 END, 6) AS bonus FROM part""")
+def filename_bonus(spark, d):
+    return _names(spark, d).select("p_partkey", tx.name_fields(F.col("a")).alias("fa"), tx.name_fields(F.col("b")).alias("fb")).select("p_partkey", _r(tx.structured_bonus(F.col("fa"), F.col("fb")), "bonus"))
+
+
+@query()
+def filename_score(spark, d):
+    from kindred.functions.fuzzy import filename_score as score
+
+    return _names(spark, d).select("p_partkey", _r(score(F.col("a"), F.col("b")), "score"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate + INTERVAL (o_orderkey % 40) DAY, '%Y-%m-%d') AS b, o_orderkey % 3 AS p FROM orders),
+s AS (SELECT o_orderkey, p, a[1:CASE p WHEN 0 THEN 10 WHEN 1 THEN 7 ELSE 4 END] AS a, b FROM o)
+SELECT o_orderkey, CASE WHEN a = b THEN 1e0 WHEN len(a) >= 7 AND a[1:7] = b[1:7] THEN 0.5e0 WHEN a[1:4] = b[1:4] THEN 0.2e0 ELSE 0e0 END AS score FROM s""")
+def partial_date_score(spark, d):
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    a = F.date_format("o_orderdate", "yyyy-MM-dd")
+    b = F.date_format(F.date_add(F.col("o_orderdate").cast("date"), (k % 40).cast("int")), "yyyy-MM-dd")
+    cut = F.when(k % 3 == 0, a).when(k % 3 == 1, F.substring(a, 1, 7)).otherwise(F.substring(a, 1, 4))
+    return o.select("o_orderkey", tx.date_score(cut, b).alias("score"))
+
+
+@query("""WITH p AS (SELECT DISTINCT o_orderkey % 50 AS scene_id, o_custkey % 60 AS performer_id FROM orders WHERE o_orderkey % 20 = 0),
+n AS (SELECT DISTINCT o_orderkey % 50 AS scene_id, o_orderkey % 7 AS record_id, o_custkey % 80 AS k FROM orders WHERE o_orderkey % 5 = 0),
+z AS (SELECT scene_id, count(*) AS size FROM p GROUP BY scene_id)
+SELECT r.scene_id, r.record_id, round(coalesce(h.hits / CAST(z.size AS DOUBLE), 0e0), 6) AS score FROM (SELECT DISTINCT scene_id, record_id FROM n) r LEFT JOIN z USING (scene_id)
+LEFT JOIN (SELECT n.scene_id, n.record_id, count(DISTINCT performer_id) AS hits FROM n JOIN p ON p.scene_id = n.scene_id AND (p.performer_id = n.k OR p.performer_id + 20 = n.k) GROUP BY ALL) h USING (scene_id, record_id)""")
+def performer_score(spark, d):
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    own = o.where(k % 20 == 0).select((k % 50).alias("scene_id"), (F.col("o_custkey") % 60).alias("performer_id")).distinct()
+    named = o.where(k % 5 == 0).select((k % 50).alias("scene_id"), (k % 7).alias("record_id"), F.concat(F.lit(" NAME "), (F.col("o_custkey") % 80).cast("string")).alias("name"))
+    people = own.select("performer_id").distinct().select("performer_id", F.concat(F.lit("Name "), F.col("performer_id").cast("string")).alias("name"), F.array(F.concat(F.lit("name "), (F.col("performer_id") + 20).cast("string"))).alias("aliases"))
+    return match.performer_score(own, named, people).select("scene_id", "record_id", _r(F.col("score"), "score"))
+
+
+@query(r"""SELECT conv_id, turn, nullif(trim(regexp_replace(regexp_replace(text, '[\r\n]+', chr(10), 'g'), '[ \t\f\x0B]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') AS details FROM conversations""")
+def sanitize_details(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", tx.sanitize_details(F.col("text")).alias("details"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_decode(spark, d):
+    return read(spark, d, "events").select("event_id", F.coalesce(F.from_json("props", "k long"), F.struct(F.lit(None).cast("long").alias("k"))).alias("data")).select("event_id", "data.k")
+
+
+# --- store and lifecycle --------------------------------------------------------
+_STATE = """st AS (SELECT user_id AS job_id, CASE event_type WHEN 'click' THEN 'ready' WHEN 'view' THEN 'featurizing' WHEN 'purchase' THEN 'failed' ELSE 'featurizing' END AS state,
+  round(coalesce(value, 0e0) % 1, 3) AS progress, ts AS started_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1)"""
+
+
+def _states(spark, d) -> DataFrame:
+    e = read(spark, d, "events").withColumn("job_id", F.col("user_id"))
+    kind = F.when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "purchase", "failed").otherwise("featurizing")
+    got = lifecycle.latest_state(e, "job_id", ["ts", "event_id"])
+    return got.select("job_id", kind.alias("state"), F.round(F.coalesce("value", F.lit(0.0)) % 1, 3).alias("progress"), F.col("ts").alias("started_at"))
+
+
+@query(f"WITH {_STATE} SELECT * FROM st")
+def state_latest(spark, d):
+    return _states(spark, d)
+
+
+@query(f"WITH {_STATE} SELECT c_custkey AS job_id FROM customer WHERE c_custkey NOT IN (SELECT job_id FROM st WHERE state = 'ready')")
+def not_ready(spark, d):
+    return lifecycle.not_ready(read(spark, d, "customer").select(F.col("c_custkey").alias("job_id")), _states(spark, d))
+
+
+@query(f"WITH {_STATE} SELECT job_id, state, CASE WHEN state = 'featurizing' AND started_at < TIMESTAMP '2024-01-30 00:00:00' THEN 0e0 ELSE progress END AS progress, started_at, state = 'featurizing' AND started_at < TIMESTAMP '2024-01-30 00:00:00' AS reset FROM st")
+def stale_reset(spark, d):
+    return lifecycle.reset_stale(_states(spark, d), F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'"))
+
+
+@query(f"WITH {_STATE} SELECT count(*) FILTER (state = 'ready') AS ready, count(*) FILTER (state = 'featurizing' AND progress <= 0) AS queued, count(*) FILTER (state = 'featurizing' AND progress > 0) AS in_progress, count(*) FILTER (state = 'failed') AS failed FROM st")
+def fleet_counts(spark, d):
+    return lifecycle.fleet_counts(_states(spark, d))
+
+
+@query(f"""WITH {_STATE}, g AS (SELECT job_id % 10 AS grp, min(progress) FILTER (progress > 0) AS p FROM st WHERE state <> 'ready' GROUP BY ALL)
+SELECT grp, CAST(coalesce(greatest(2e0, least(60e0, round(10e0 * (1e0 - p) / p))), 10) AS BIGINT) AS retry_after FROM g""")
+def retry_after(spark, d):
+    return lifecycle.retry_after(_states(spark, d).withColumn("grp", F.col("job_id") % 10), "grp")
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts END AS last_accessed_at, CAST(strlen(props) AS BIGINT) AS bytes FROM events),
+r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY last_accessed_at NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(bytes) OVER () AS total FROM e)
+SELECT event_id, last_accessed_at, bytes FROM r WHERE before >= total - 50000""")
+def lru_evict(spark, d):
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("ts")).alias("last_accessed_at"), F.octet_length("props").cast("long").alias("bytes"))
+    return store.lru_evict(e, 50_000, ["event_id"])
+
+
+@query("SELECT CAST(coalesce(sum(strlen(props)), 0) AS BIGINT) AS bytes FROM events WHERE event_type IN ('click', 'view')")
+def store_bytes(spark, d):
+    source = F.when(F.col("event_type") == "click", "stash_cover").when(F.col("event_type") == "view", "stash_sprite").otherwise("extractor_image")
+    return store.store_bytes(read(spark, d, "events").select(source.alias("source"), F.col("props").cast("binary").alias("feature_blob")))
+
+
+_JOBS = "CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority || 'x' ELSE o_orderpriority END"
+
+
+@query(f"SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 5 = 0 THEN 'new' WHEN {_JOBS} = o_orderpriority THEN 'fresh' ELSE 'stale' END AS state FROM orders")
+def freshness(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("completed_at"))
+    cached = o.where("job_id % 5 <> 0").withColumn("completed_at", F.when(F.col("job_id") % 4 == 0, F.concat("completed_at", F.lit("x"))).otherwise(F.col("completed_at")))
+    return store.stale_jobs(cached, o)
+
+
+@query("SELECT l_orderkey AS job_id, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
+def cascade_keep(spark, d):
+    jobs = read(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("job_id"))
+    return store.cascade_keep(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_linenumber", "l_partkey"), jobs, "job_id")
+
+
+@query("""SELECT l_orderkey AS job_id, l_linenumber AS ref, CASE WHEN o.o_orderkey IS NULL OR l_linestatus <> o.o_orderstatus THEN 'miss' WHEN o_orderkey % 6 = 0 THEN 'failed' ELSE 'hit' END AS state
+FROM lineitem LEFT JOIN orders o ON l_orderkey = o_orderkey AND o_orderkey % 3 <> 1""")
+def cache_state(spark, d):
+    wanted = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("ref"), F.col("l_linestatus").alias("fingerprint"))
+    k = F.col("o_orderkey")
+    features = read(spark, d, "orders").where(k % 3 != 1).select(k.alias("job_id"), F.col("o_orderstatus").alias("fingerprint"), F.when(k % 6 == 0, store.FAILED).otherwise(0.5).alias("quality"))
+    return store.cache_state(wanted, features, ["job_id"]).select("job_id", "ref", "state")
+
+
+@query("SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS result_index, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0")
+def ordered_scan(spark, d):
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    return read(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("job_id"), rank.cast("long").alias("result_index"), "l_partkey")
+
+
+@query("SELECT DISTINCT l_suppkey AS ref FROM lineitem WHERE l_returnflag = 'R'")
+def distinct_refs(spark, d):
+    return read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("ref")).distinct()
+
+
+@query("""WITH u AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS v FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 1 AS v FROM orders WHERE o_orderkey % 2 = 1)
+SELECT o_custkey, o_orderkey, o_totalprice, v FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY v DESC, o_orderkey DESC) AS r FROM u) WHERE r = 1""")
+def upsert_latest(spark, d):
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return store.upsert_latest(o.where("o_orderkey % 2 = 0").withColumn("v", F.lit(0)), o.where("o_orderkey % 2 = 1").withColumn("v", F.lit(1)), ["o_custkey"], ["v", "o_orderkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'O')")
+def legacy_gap(spark, d):
+    features = read(spark, d, "orders").where("o_orderstatus = 'O'").withColumnRenamed("o_orderkey", "l_orderkey")
+    return store.legacy_gap(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), features, ["l_orderkey"])
+
+
+_TURNS = "t AS (SELECT conv_id, list(text ORDER BY turn) AS images, max(text) AS cover FROM conversations GROUP BY conv_id)"
+
+
+def _turns(spark, d) -> DataFrame:
+    got = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.max("text").alias("cover"))
+    return got.select("conv_id", F.transform("t", lambda x: x["text"]).alias("images"), "cover")
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, CASE WHEN list_contains(images, cover) THEN images ELSE list_prepend(cover, images) END AS refs FROM t")
+def ref_list(spark, d):
+    return _turns(spark, d).select("conv_id", tx.reference_list(F.col("images"), F.col("cover")).alias("refs"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, array_to_string(list_sort(list_distinct(list_filter(list_prepend(cover, images), lambda x: x IS NOT NULL AND x <> ''))), '|') AS fingerprint FROM t")
+def record_fingerprint(spark, d):
+    return _turns(spark, d).select("conv_id", tx.record_fingerprint(tx.feature_references(F.col("images"), F.col("cover"))).alias("fingerprint"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(u, '[?&]t=([^&#]*)', 1), ''), u) AS fingerprint, CASE WHEN page_id % 2 = 0 THEN url ELSE 'http://store/' || CAST(page_id % 5 AS VARCHAR) || '/assets/' || regexp_extract(regexp_replace(replace(url, 'http', './'), '^[./]+', ''), '([^/]*)$', 1) END AS asset
+FROM (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN split_part(url, '?', 1) || '?t=' || CAST(page_id AS VARCHAR) || '&x=1' ELSE url END AS u FROM pages)""")
+def url_fingerprint(spark, d):
+    p = read(spark, d, "pages")
+    u = F.when(F.col("page_id") % 3 == 0, F.concat(F.substring_index("url", "?", 1), F.lit("?t="), F.col("page_id").cast("string"), F.lit("&x=1"))).otherwise(F.col("url"))
+    ref = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.replace("url", F.lit("http"), F.lit("./")))
+    return p.select("page_id", tx.screenshot_fingerprint(u).alias("fingerprint"), tx.resolve_asset(ref, "http://store", (F.col("page_id") % 5).cast("string")).alias("asset"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, CASE WHEN 3 >= len(images) THEN images ELSE list_transform(range(0, 3), lambda i: images[CAST(floor(i * len(images) / 3e0) AS BIGINT) + 1]) END AS frames FROM t")
+def systematic_sample(spark, d):
+    return _turns(spark, d).select("conv_id", tx.systematic_sample(F.col("images"), 3).alias("frames"))
+
+
+@query("""SELECT p_partkey, '{' || array_to_string(list_filter([CASE WHEN p_name <> '' THEN '"title":"' || p_name || '"' END, CASE WHEN p_partkey % 3 <> 0 THEN '"code":"' || p_brand || '"' END, '"score":' || CAST(CAST(p_size % 7 AS INTEGER) AS VARCHAR)], lambda x: x IS NOT NULL), ',') || '}' AS output,
+'data:image/' || CASE WHEN p_partkey % 2 = 0 THEN 'png' ELSE 'jpeg' END || ';base64,' || to_base64(CAST(repeat(p_name, 4) AS BLOB)) AS cover FROM part""")
+def output_projection(spark, d):
+    from kindred.sources.assets import data_url
+
+    p = read(spark, d, "part")
+    out = F.to_json(F.struct(F.nullif("p_name", F.lit("")).alias("title"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("code"), (F.col("p_size") % 7).alias("score")))
+    name = F.concat(F.lit("cover."), F.when(F.col("p_partkey") % 2 == 0, "png").otherwise("jpg"))
+    return p.select("p_partkey", out.alias("output"), data_url(name, F.repeat("p_name", 4).cast("binary")).alias("cover"))
+
+
+# --- evaluation -----------------------------------------------------------------
+_RANKED = f"""{_search_sql()[5:].rsplit('SELECT scene_id, job AS', 1)[0]}, res AS (SELECT scene_id, record, rank, score FROM r WHERE rank <= 5 AND score > 0),
+truth AS (SELECT DISTINCT scene_id, scene_id % 3 AS expected, scene_id % 5 = 0 AS negative FROM sc),
+ev AS (SELECT t.scene_id, t.expected, t.negative, count(res.rank) AS n_results, max(score) AS top_score, CAST(min(rank) FILTER (record = expected) AS INTEGER) AS rank FROM truth t LEFT JOIN res ON res.scene_id = t.scene_id GROUP BY ALL)"""
+
+
+def _ranked(spark, d) -> DataFrame:
+    truth = scenes(images(spark, d)).select("scene_id").distinct().select("scene_id", (F.col("scene_id") % 3).alias("expected"), (F.col("scene_id") % 5 == 0).alias("negative"))
+    results = match.search(_candidates(spark, d)).select("scene_id", F.col("result_index").alias("record"), "rank", "score")
+    return evaluate.rank_of_expected(results, truth)
+
+
+@query(f"WITH {_RANKED} SELECT scene_id, expected, negative, n_results, round(top_score, 6) AS top_score, rank FROM ev")
+def rank_of_expected(spark, d):
+    return _ranked(spark, d).withColumn("top_score", F.round("top_score", 6))
+
+
+@query(f"""WITH {_RANKED} SELECT count(*) FILTER (NOT negative) AS positives, round(coalesce(avg(CASE WHEN rank = 1 THEN 1e0 ELSE 0e0 END) FILTER (NOT negative), 0), 6) AS precision_at_1, round(coalesce(avg(coalesce(1e0 / rank, 0)) FILTER (NOT negative), 0), 6) AS mrr,
+round(coalesce(avg(coalesce(top_score, 0)) FILTER (NOT negative), 0), 6) AS mean_top_score, count(*) FILTER (negative) AS negatives, count(*) FILTER (negative AND n_results = 0) AS negatives_empty FROM ev""")
+def match_metrics(spark, d):
+    got = evaluate.match_metrics(_ranked(spark, d))
+    return got.select("positives", *[F.round(c, 6).alias(c) for c in ("precision_at_1", "mrr", "mean_top_score")], "negatives", "negatives_empty")
