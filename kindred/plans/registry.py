@@ -250,11 +250,11 @@ def studio_narrow(spark, d):
     return _narrowed(spark, d)
 
 
-@query(f"WITH {_NARROW} SELECT job_id, used_filter, count(*) AS pairs, count(DISTINCT scene_id) AS scenes, sum(s_suppkey) AS checksum FROM nw JOIN supplier ON s_nationkey = job_id GROUP BY ALL")
+@query(f"WITH {_NARROW} SELECT job_id, used_filter, count(*) AS pairs, count(DISTINCT scene_id) AS scenes, CAST(sum(s_suppkey) AS BIGINT) AS checksum FROM nw JOIN supplier ON s_nationkey = job_id GROUP BY ALL")
 def candidate_pool(spark, d):
     records = read(spark, d, "supplier").select(F.col("s_nationkey").alias("job_id"), F.col("s_suppkey").alias("result_index"))
     pool = match.candidate_pool(_narrowed(spark, d), records)
-    return pool.groupBy("job_id", "used_filter").agg(F.count("*").alias("pairs"), F.countDistinct("scene_id").alias("scenes"), F.sum("result_index").cast("decimal(38,0)").alias("checksum"))
+    return pool.groupBy("job_id", "used_filter").agg(F.count("*").alias("pairs"), F.countDistinct("scene_id").alias("scenes"), F.sum("result_index").alias("checksum"))
 
 
 @query(r"""SELECT page_id, url_decode(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1)) AS basename FROM pages""")
@@ -291,7 +291,9 @@ def filename_bonus(spark, d):
 @query()
 def filename_score(spark, d):
     from kindred.functions.fuzzy import filename_score as score
+    from kindred.sources.package import ship
 
+    ship(spark)
     return _names(spark, d).select("p_partkey", _r(score(F.col("a"), F.col("b")), "score"))
 
 
