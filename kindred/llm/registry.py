@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lmscore, mixing, neardup, secretscan, topk, toxicity, urlfilter
+from . import decontaminate, langid, lmscore, mixing, neardup, secretscan, suffixdup, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_lm_score": lmscore.op1_lm_score,
     "op2_near_dedup": neardup.op2_near_dedup,
+    "op3_suffix_dedup": suffixdup.op3_suffix_dedup,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,
