@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.functions.text import name_fields, normalize_filename, structured_bonus, url_basename
 
@@ -65,17 +66,17 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * max(partial_ratio(x, y), shared))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x, y) / 100 if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) / 100 if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else s.strip().casefold())
 

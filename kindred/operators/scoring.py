@@ -31,13 +31,13 @@ def frame_channel(maxima: DataFrame, keys: list[str], gamma: float = GAMMA, coun
     rows = maxima.withColumn("mp", sharpen(F.col("m"), F.coalesce("baseline", F.lit(BASELINE)), gamma)).withColumn("w", w)
     spread = F.when(F.col("mp") > EPS, F.col("mp"))
     got = rows.groupBy(*keys).agg(
-        F.sum(F.log(F.greatest(F.lit(EPS), 1.0 - clamp(F.col("w") * F.col("mp"))))).alias("l"), F.sum("w").alias("weight"),
-        F.count(spread).alias("k"), F.sum(spread).alias("s"), F.sum(spread * F.log(spread)).alias("sl"),
+        F.sum(F.log(F.greatest(F.lit(EPS), 1.0 - clamp(F.col("w") * F.col("mp"))))).alias("_l"), F.sum("w").alias("_weight"),
+        F.count(spread).alias("_k"), F.sum(spread).alias("_s"), F.sum(spread * F.log(spread)).alias("_sl"),
     )
-    entropy = F.log("s") - F.col("sl") / F.col("s")
+    entropy = F.log("_s") - F.col("_sl") / F.col("_s")
     got = got.select(
-        *keys, clamp(1.0 - F.exp("l")).alias("evidence"), clamp(1.0 - F.exp(-F.col("weight") / max(EPS, count_k))).alias("count_conf"),
-        F.when((F.col("k") > 1) & (F.col("s") > EPS), clamp(0.5 + 0.5 * entropy / F.log("k"), 0.5, 1.0)).otherwise(0.5).alias("dist_q"),
+        *keys, clamp(1.0 - F.exp("_l")).alias("evidence"), clamp(1.0 - F.exp(-F.col("_weight") / max(EPS, count_k))).alias("count_conf"),
+        F.when((F.col("_k") > 1) & (F.col("_s") > EPS), clamp(0.5 + 0.5 * entropy / F.log("_k"), 0.5, 1.0)).otherwise(0.5).alias("dist_q"),
     )
     return got.withColumn("score", F.col("evidence") * F.col("count_conf") * F.col("dist_q"))
 
