@@ -4,9 +4,10 @@ Texts with equal shingle sets form one class. A class's MinHash samples give
 banded keys, which find candidates, and are folded into a parity bitmap, the odd
 sketch: the population count of two bitmaps' XOR tells how many samples differ,
 precisely so for high similarities. What passes that test is confirmed on full
-sets. In a bucket, classes are first held against one of them; only buckets
-that still hold classes of several components go on to pairs, in square blocks,
-so that a large group of copies costs as many pairs as it has members.
+sets. In a bucket, classes are first held against one of them, another in each
+bucket and round; only buckets that still hold classes of several components go
+on to pairs across them, in square blocks. So a large group of copies costs
+about as many pairs as it has members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,9 +21,22 @@ from pyspark.sql import functions as F
 from .common import pieces, ship, split_words, table, written
 from .graph import components
 
-BANDS, ROWS, BITS = 32, 4, 256
-#: XOR bits allowed. At similarity 0.75 a quarter of the 128 samples differ, which leaves 50 odd bits (deviation 8); this is nearly five deviations more.
-MOST_ODD = 88
+BANDS, ROWS = 32, 4
+BINS, BITS = 512, 1024
+
+
+def odd_limit(a, b, exp=np.exp, sqrt=np.sqrt):
+    """Odd bits that sets of a and b shingles may differ in at similarity 0.75 or more, five deviations above their mean.
+
+    Of the u samples that their union fills, a quarter differ, which leaves up
+    to two elements each; d elements leave BITS / 2 * (1 - exp(-2 d / BITS)).
+    """
+    u = BINS * (1 - exp(-(a + b) / (1.75 * BINS)))
+    d = u / 2
+    fade = exp(-4 * d / BITS)
+    return BITS / 2 * (1 - exp(-2 * d / BITS)) + 5 * sqrt(0.75 * u * fade + BITS / 4 * (1 - fade) - d * fade + 1)
+
+
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64)
@@ -74,10 +88,13 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         for r in range(ROWS):
             keys = _mix(keys * _P[9] + sig[:, r::ROWS])
         keys = _mix(keys + np.arange(BANDS, dtype=np.uint64) * _P[10])
-        spot = _mix(sig + np.arange(BANDS * ROWS, dtype=np.uint64) * _P[11]) % np.uint64(BITS)
-        odd = np.zeros((n, BITS // 64), np.uint64)
-        for i in range(BANDS * ROWS):
-            odd[np.arange(n), spot[:, i] >> np.uint64(6)] ^= np.uint64(1) << (spot[:, i] & np.uint64(63))
+        # the samples of the odd sketch: the smallest hash in each of BINS ranges; hashes come sorted
+        of = np.repeat(np.arange(n), np.diff(offsets))
+        bin_ = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64) + of * BINS
+        first = np.r_[True, bin_[1:] != bin_[:-1]]
+        spot = of[first] * BITS + (_mix(h[first] * _P[11]) % np.uint64(BITS)).astype(np.int64)
+        parity = (np.bincount(spot, minlength=n * BITS) & 1).astype(np.uint8)
+        odd = np.packbits(parity, bitorder="little").view(np.uint64).reshape(n, BITS // 64)
         one, two = np.add.reduceat(_mix(h + _P[12]), starts), np.add.reduceat(_mix(h * _P[13]), starts)
     return keys, odd, np.stack([one, two], 1)
 
@@ -119,7 +136,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _near(a: str, b: str) -> Column:
     """What two near classes must have: sizes in proportion, and odd sketches that differ in few bits."""
     bits = sum((F.bit_count(F.get(f"{a}odd", F.lit(i)).bitwiseXOR(F.get(f"{b}odd", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    return (100 * F.least(f"{a}n", f"{b}n") >= 75 * F.greatest(f"{a}n", f"{b}n")) & (bits <= MOST_ODD)
+    return (100 * F.least(f"{a}n", f"{b}n") >= 75 * F.greatest(f"{a}n", f"{b}n")) & (bits <= odd_limit(F.col(f"{a}n"), F.col(f"{b}n"), F.exp, F.sqrt))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,7 +146,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(got.withColumn("c", common).where("100 * c >= 75 * (size(ah) + size(bh) - c)").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = 512, rounds: int = 2) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, links, and k0, k1 (hashes of the row).
 
     Rows are linked if 100 * common >= 75 * all distinct shingles (five words;
@@ -146,7 +163,7 @@ def near_duplicates(docs: DataFrame, block: int = 512) -> DataFrame:
     some = sig.where("n > 0")
     cls = written(some.groupBy("cid").agg(F.min("doc_id").alias("low"), F.min(F.struct("k0", "k1")).alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
     rows = cls.select("cid", F.explode("bands").alias("bucket"))
-    counts = written(rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("cid").alias("leader")).where("m > 1"))
+    counts = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     crowd = written(rows.join(counts, "bucket"))
     facts = cls.select("cid", "n", "odd")
 
@@ -158,13 +175,22 @@ def near_duplicates(docs: DataFrame, block: int = 512) -> DataFrame:
     members = crowd.select("cid").distinct()
     texts = keyed.join(cls.join(members, "cid", "left_semi").select(F.col("k.k0").alias("k0"), F.col("k.k1").alias("k1"), "cid"), ["k0", "k1"])
     sets = written(texts.select("cid", "text").mapInArrow(_sets, "cid binary, hs array<long>").dropDuplicates(["cid"]))
-    first = tested(crowd.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct())
-    links = _confirm(first, sets)
-    roots = written(components(links))
-    # buckets that hold several components yet: pairs across them, in square blocks of the bucket
-    placed = crowd.select("bucket", "cid", "m").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    placed = written(placed.join(written(mixed), "bucket").join(facts, "cid").withColumn("side", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("side")).cast("int")))
+    links = written(spark.createDataFrame([], "a binary, b binary"))
+    placed = crowd.withColumn("root", F.col("cid"))
+
+    def mixed(roots: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components yet."""
+        now = written(crowd.select("bucket", "cid", "m").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+        some = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+        return written(now.join(written(some), "bucket"))
+
+    for r in range(rounds):
+        leaders = written(placed.groupBy("bucket").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", "bucket", F.lit(r))).alias("l")))
+        pairs = placed.join(leaders, "bucket").where("root <> l.root").select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b")).distinct()
+        links = written(links.union(_confirm(tested(pairs), sets)))
+        placed = mixed(written(components(links)))
+    # what is left: pairs across components, in square blocks of the bucket
+    placed = written(placed.join(facts, "cid").withColumn("side", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("side")).cast("int")))
     left = placed.withColumn("j", F.explode(F.sequence("i", F.col("side") - 1))).select("bucket", "i", "j", F.col("cid").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"), F.col("odd").alias("aodd"))
     right = placed.withColumn("i2", F.explode(F.sequence(F.lit(0), F.col("i")))).select("bucket", F.col("i2").alias("i"), F.col("i").alias("j"), F.col("cid").alias("b"), F.col("root").alias("br"), F.col("n").alias("bn"), F.col("odd").alias("bodd"))
     second = left.join(right, ["bucket", "i", "j"]).where((F.col("ar") != F.col("br")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & _near("a", "b"))
