@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import decontaminate, mixing, neardup, secretscan, toxicity
-from kindred.llm.common import remainder, table, written
+from kindred.llm.common import release, remainder, table, written, written_so_far
 
 #: SQL can't express the models and sketches; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -44,12 +44,29 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+_last: list = []  # inner tables of the stage before
+
+
+def _stage(work):
+    """The stage, which first deletes the inner tables of the stage before: its result is written by now, unless docs still read them."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = " ".join(docs.inputFiles())
+        release([t for t in _last if t[1].rpartition("/")[2] not in read])
+        before = written_so_far()
+        out = work(spark, docs, sf_dir)
+        _last[:] = [t for t in written_so_far() if t not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", toxic),
-    ("near_duplicates", near_copies),
-    ("decontamination", benchmark_leaks),
-    ("secrets", secrets),
-    ("mixing", mixture),
+    ("toxicity", _stage(toxic)),
+    ("near_duplicates", _stage(near_copies)),
+    ("decontamination", _stage(benchmark_leaks)),
+    ("secrets", _stage(secrets)),
+    ("mixing", _stage(mixture)),
 ]
 
 

@@ -39,10 +39,16 @@ def written(df: DataFrame, *, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables made by written(); only when nothing that reads them is still wanted."""
-    while _written:
-        spark, path = _written.pop()
+def written_so_far() -> list[tuple[SparkSession, str]]:
+    """The tables made by written() that are still there."""
+    return list(_written)
+
+
+def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete tables made by written(), all of them if none are named; only when nothing that reads them is still wanted."""
+    for spark, path in list(_written) if tables is None else tables:
+        if (spark, path) in _written:
+            _written.remove((spark, path))
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
