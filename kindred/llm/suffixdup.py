@@ -7,8 +7,9 @@ hold no repeated window and are done. The rest, identical runs taken together
 with their count, are dealt to shards by anchor, so that equal windows always
 meet in one shard. A shard's suffixes are sorted by induced sorting: the
 leftmost-smaller suffixes' substrings are ranked and named, equal names send
-the names' string through the same steps again, and their order induces that of
-the other suffixes through one queue for each first symbol, read and filled in
+the names' string through the same steps again (or, once its names are many and
+rare, through a sort by doubled prefixes), and their order induces that of the
+other suffixes through one queue for each first symbol, read and filled in
 order. Large queues live in memory-mapped files. Common prefixes of neighbours,
 up to ``length``, follow in one pass over the finished order.
 """
@@ -73,22 +74,33 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 def _doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix order of a short string, by ranks of doubled prefixes."""
+    """Suffix order of a string in memory, by ranks of doubled prefixes; only suffixes that are not told apart yet are sorted again."""
     n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(t, kind="stable")
+    s = t[order]
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    size = np.diff(np.r_[starts, n])
+    rank[order] = np.repeat(starts, size)  # ranks are places of the first of equals
+    left = order[np.repeat(size > 1, size)]
     k = 1
-    while True:
-        second = np.full(n, -1, np.int64)
-        if k < n:
-            second[:-k] = rank[k:]
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        rank = new
-        if rank.max(initial=0) == n - 1:
-            return order
+    while len(left):
+        second = rank[np.minimum(left + k, n)]
+        first = rank[left]
+        o = np.lexsort((second, first))
+        left, first, second = left[o], first[o], second[o]
+        head = np.r_[True, first[1:] != first[:-1]]
+        heads = np.flatnonzero(head)
+        inside = np.arange(len(o)) - np.repeat(heads, np.diff(np.r_[heads, len(o)]))
+        starts = np.flatnonzero(head | np.r_[True, second[1:] != second[:-1]])
+        size = np.diff(np.r_[starts, len(o)])
+        rank[left] = first + np.repeat(inside[starts], size)
+        left = left[np.repeat(size > 1, size)]
         k *= 2
+    out = np.empty(n, np.int64)
+    out[rank[:n]] = np.arange(n)
+    return out
 
 
 def _induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, size: int, folder: str | None) -> np.ndarray:
@@ -134,8 +146,12 @@ def _induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, size: int, fol
 
 
 def suffix_order(t: np.ndarray, folder: str | None = None, base: int = 1 << 12) -> np.ndarray:
-    """Suffix array of a string of small whole numbers whose last symbol is its only 0."""
-    if len(t) <= base:
+    """Suffix array of a string of small whole numbers whose last symbol is its only 0.
+
+    Short strings, and strings of names with few places for each name, for
+    which queues by symbol do not pay, are ordered in memory.
+    """
+    if len(t) <= base or int(t.max()) * 16 > len(t) and int(t.max()) > 1024:
         return _doubling(t)
     t = t.astype(np.int64)
     size = int(t.max()) + 1
