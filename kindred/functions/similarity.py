@@ -6,6 +6,8 @@ whole numbers. A null on either side gives similarity 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: inside a lambda, Spark would work out an outer expression for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
@@ -42,9 +49,9 @@ def guarded_similarity(a: Column, b: Column, size: int) -> Column:
 
 def histogram_intersection(a: Column, b: Column) -> Column:
     """Sum of the smaller shares of each bin; 0 if either side has no mass."""
-    sa, sb = (_sum(F.transform(x, lambda v: v.cast("double"))) for x in (a, b))
-    both = F.zip_with(a, b, lambda x, y: F.least(x / sa, y / sb))
-    return F.coalesce(F.when((sa > 0) & (sb > 0), _sum(both)), F.lit(0.0))
+    total = lambda x: _sum(F.transform(x, lambda v: v.cast("double")))
+    both = let(F.struct(total(a).alias("a"), total(b).alias("b")), lambda t: F.when((t["a"] > 0) & (t["b"] > 0), _sum(F.zip_with(a, b, lambda x, y: F.least(x / t["a"], y / t["b"])))))
+    return F.coalesce(both, F.lit(0.0))
 
 
 def tone_similarity(a: Column, b: Column) -> Column:
@@ -61,17 +68,17 @@ def sharpen(m: Column, baseline: Column, gamma: float) -> Column:
 
 def gini_quality(hist: Column) -> Column:
     """How evenly a histogram's mass is spread; 0 without mass."""
-    s = F.array_sort(F.transform(hist, lambda v: v.cast("double")))
-    n = F.size(s)
-    weighted = _sum(F.transform(s, lambda v, i: v * (n - i)))
-    return F.coalesce(F.when(_sum(s) > 0, clamp(2.0 * weighted / (n * _sum(s)))), F.lit(0.0))
+    n = F.size(hist)
+    values = F.array_sort(F.transform(hist, lambda v: v.cast("double")))
+    got = let(values, lambda s: F.when(_sum(s) > 0, clamp(2.0 * _sum(F.transform(s, lambda v, i: v * (n - i))) / (n * _sum(s)))))
+    return F.coalesce(got, F.lit(0.0))
 
 
 def entropy_variance_quality(pixels: Column) -> Column:
     """sqrt(min(1, entropy in bits / 8) * min(1, population variance / 10^4))."""
     n = F.size(pixels)
     mean = _sum(F.transform(pixels, lambda v: v.cast("double"))) / n
-    var = _sum(F.transform(pixels, lambda v: F.pow(v - mean, F.lit(2.0)))) / n
+    var = let(mean, lambda m: _sum(F.transform(pixels, lambda v: F.pow(v - m, F.lit(2.0)))) / n)
     share = F.transform(F.array_distinct(pixels), lambda v: F.size(F.filter(pixels, lambda p: p == v)) / n)
     entropy = -_sum(F.transform(share, lambda p: p * F.log2(p)))
     return F.coalesce(F.when(n > 0, F.sqrt(F.least(F.lit(1.0), entropy / 8.0) * F.least(F.lit(1.0), var / 1e4))), F.lit(0.0))

@@ -16,8 +16,8 @@ def inverted_index(images: DataFrame) -> DataFrame:
 def median_aggregate(hists: DataFrame, keys: list[str], hist: str) -> DataFrame:
     """keys and one histogram each: the per-bin median of the shares, summing to 255 after rounding; zeros without mass."""
     total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x)
-    share = F.when(total > 0, F.transform(hist, lambda v: v / total)).otherwise(F.transform(hist, lambda v: F.lit(0.0)))
-    bins = hists.select(*keys, F.posexplode(share).alias("bin", "share")).groupBy(*keys, "bin").agg(F.median("share").alias("m"))
+    bins = hists.select(*keys, total.alias("_t"), F.posexplode(hist).alias("bin", "v")).withColumn("share", F.when(F.col("_t") > 0, F.col("v") / F.col("_t")).otherwise(0.0))
+    bins = bins.groupBy(*keys, "bin").agg(F.median("share").alias("m"))
     line = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "m"))).alias("b")).withColumn("t", F.aggregate("b", F.lit(0.0), lambda a, x: a + x["m"]))
     return line.select(*keys, F.transform("b", lambda x: F.when(F.col("t") > 0, F.round(x["m"] / F.col("t") * 255)).otherwise(0.0).cast("long")).alias(hist))
 
