@@ -63,8 +63,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     """
     spark = docs.sparkSession
     name = F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))
-    rows = docs.withColumns({"_s": name, "_n": F.char_length(F.coalesce("text", F.lit(""))) + 1, "_h": F.xxhash64("doc_id", "text"), "_id": F.col("doc_id")})
-    sizes = {r["_s"]: r for r in rows.groupBy("_s").agg(F.sum("_n").alias("chars"), F.count("*").alias("rows")).collect()}  # a row for each source
+    rows = docs.withColumns({"_kindred_s": name, "_kindred_n": F.char_length(F.coalesce("text", F.lit(""))) + 1, "_kindred_h": F.xxhash64("doc_id", "text"), "_kindred_id": F.col("doc_id")})
+    sizes = {r["_kindred_s"]: r for r in rows.groupBy("_kindred_s").agg(F.sum("_kindred_n").alias("chars"), F.count("*").alias("rows")).collect()}  # a row for each source
     empty = docs.withColumns({c: F.lit(None).cast(t) for c, t in (("block", "long"), ("slot", "long"), ("seq", "long"), ("release", "long"), ("deadline", "long"), ("in_mix", "boolean"))})
     if not sizes:
         return empty
@@ -72,15 +72,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     share = {s: float((weights or {}).get(s, least)) if weights else r["chars"] ** 0.5 for s, r in sizes.items()}
     parts = quotas(share, max(period, 2 * len(share)))
     length = sum(parts.values())
-    plan = spark.createDataFrame([(s, parts[s], *x) for s, *x in schedule(parts)], "_s string, _p long, _j long, _slot long, _release long, _deadline long")
+    plan = spark.createDataFrame([(s, parts[s], *x) for s, *x in schedule(parts)], "_kindred_s string, _kindred_p long, _kindred_j long, _kindred_slot long, _kindred_release long, _kindred_deadline long")
     # a source's rows are spread over buckets by hash, so that its running total is that of whole buckets and then within one
-    buckets = spark.createDataFrame([(s, -(-r["rows"] // bucket_rows)) for s, r in sizes.items()], "_s string, _b long")
-    rows = rows.join(F.broadcast(buckets), "_s").withColumn("_b", F.pmod("_h", F.col("_b")))
-    before = rows.groupBy("_s", "_b").agg(F.sum("_n").alias("_t")).withColumn("_before", F.sum("_t").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    before = written(before.select("_s", "_b", F.coalesce("_before", F.lit(0)).alias("_before")))
-    rows = rows.withColumn("_in", F.sum("_n").over(Window.partitionBy("_s", "_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    rows = rows.join(before, ["_s", "_b"]).withColumn("_at", F.col("_in") + F.col("_before"))
-    rows = rows.withColumn("_block", F.floor(F.col("_at") / block_chars)).withColumn("_q", F.col("_at") - F.col("_block") * block_chars)
+    buckets = spark.createDataFrame([(s, -(-r["rows"] // bucket_rows)) for s, r in sizes.items()], "_kindred_s string, _kindred_b long")
+    rows = rows.join(F.broadcast(buckets), "_kindred_s").withColumn("_kindred_b", F.pmod("_kindred_h", F.col("_kindred_b")))
+    before = rows.groupBy("_kindred_s", "_kindred_b").agg(F.sum("_kindred_n").alias("_kindred_t")).withColumn("_kindred_before", F.sum("_kindred_t").over(Window.partitionBy("_kindred_s").orderBy("_kindred_b").rowsBetween(Window.unboundedPreceding, -1)))
+    before = written(before.select("_kindred_s", "_kindred_b", F.coalesce("_kindred_before", F.lit(0)).alias("_kindred_before")))
+    rows = rows.withColumn("_kindred_in", F.sum("_kindred_n").over(Window.partitionBy("_kindred_s", "_kindred_b").orderBy("_kindred_h", "_kindred_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_kindred_n"))
+    rows = rows.join(before, ["_kindred_s", "_kindred_b"]).withColumn("_kindred_at", F.col("_kindred_in") + F.col("_kindred_before"))
+    rows = rows.withColumn("_kindred_block", F.floor(F.col("_kindred_at") / block_chars)).withColumn("_kindred_q", F.col("_kindred_at") - F.col("_kindred_block") * block_chars)
     ends = []
     by_source: dict[str, list[int]] = {}
     for s, _, slot, _, _ in schedule(parts):
@@ -88,12 +88,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     for s, r in sizes.items():
         n = r["chars"] // block_chars  # the last block may not be full: the shares hold up to it
         ends.append(n // parts[s] * length + by_source[s][n % parts[s]])
-    rows = rows.join(F.broadcast(plan.select("_s", "_p").distinct()), "_s").withColumn("_j", F.pmod("_block", "_p")).drop("_p").join(F.broadcast(plan), ["_s", "_j"])
-    base = F.floor(F.col("_block") / F.col("_p")) * length
+    rows = rows.join(F.broadcast(plan.select("_kindred_s", "_kindred_p").distinct()), "_kindred_s").withColumn("_kindred_j", F.pmod("_kindred_block", "_kindred_p")).drop("_kindred_p").join(F.broadcast(plan), ["_kindred_s", "_kindred_j"])
+    base = F.floor(F.col("_kindred_block") / F.col("_kindred_p")) * length
     return rows.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "seq", "release", "deadline", "in_mix")],
-        F.col("_block").cast("long").alias("block"), (base + F.col("_slot")).cast("long").alias("slot"), F.col("_q").cast("long").alias("seq"),
-        (base + F.col("_release")).cast("long").alias("release"), (base + F.col("_deadline")).cast("long").alias("deadline"), (base + F.col("_slot") < min(ends)).alias("in_mix"),
+        F.col("_kindred_block").cast("long").alias("block"), (base + F.col("_kindred_slot")).cast("long").alias("slot"), F.col("_kindred_q").cast("long").alias("seq"),
+        (base + F.col("_kindred_release")).cast("long").alias("release"), (base + F.col("_kindred_deadline")).cast("long").alias("deadline"), (base + F.col("_kindred_slot") < min(ends)).alias("in_mix"),
     )
 
 

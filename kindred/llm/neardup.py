@@ -213,12 +213,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``; of rows with one doc_id and text, one stays too."""
-    keyed = docs.withColumns({"k0": F.xxhash64("doc_id", "text"), "k1": F.xxhash64("text", "doc_id")})
+    keyed = docs.withColumns({"_kindred0": F.xxhash64("doc_id", "text"), "_kindred1": F.xxhash64("text", "doc_id")})
     found = near_duplicates(docs)
     # rows of one component that share its doc_id are told apart by their hashes
     kept = found.where("kept").groupBy("component_id", F.when(F.col("n_shingles") == 0, F.struct("k0", "k1")).alias("alone")).agg(F.min(F.struct("k0", "k1")).alias("k"))
-    kept = written(kept.select("k.k0", "k.k1").distinct())
-    return keyed.join(kept, ["k0", "k1"], "left_semi").dropDuplicates(["k0", "k1"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = written(kept.select(F.col("k.k0").alias("_kindred0"), F.col("k.k1").alias("_kindred1")).distinct())
+    return keyed.join(kept, ["_kindred0", "_kindred1"], "left_semi").dropDuplicates(["_kindred0", "_kindred1"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_OP2 = r"""

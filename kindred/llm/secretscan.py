@@ -119,14 +119,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with its own columns, where every live span of the text is replaced by ``mark``; other texts stay as they are."""
-    keyed = docs.withColumn("_key", F.sha2("text", 256))
-    found = written(scan(docs).where("text_key IS NOT NULL").groupBy("text_key").agg(F.first("found").alias("_found")).where(F.exists("_found", lambda s: s["live"])))
+    keyed = docs.withColumn("_kindred_key", F.sha2("text", 256))
+    found = written(scan(docs).where("text_key IS NOT NULL").groupBy("text_key").agg(F.first("found").alias("_kindred_found")).where(F.exists("_kindred_found", lambda s: s["live"])))
 
     def step(acc: Column, s: Column) -> Column:
         before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         new = s["end"] > acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], before, F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(""))).otherwise(acc["out"]).alias("out"))
 
-    cut = F.aggregate(F.filter("_found", lambda s: s["live"]), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
-    out = keyed.join(found.withColumnRenamed("text_key", "_key"), "_key", "left").withColumn("_text", F.when(F.col("_found").isNotNull(), cut).otherwise(F.col("text")))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    cut = F.aggregate(F.filter("_kindred_found", lambda s: s["live"]), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    out = keyed.join(found.withColumnRenamed("text_key", "_kindred_key"), "_kindred_key", "left").withColumn("_kindred_text", F.when(F.col("_kindred_found").isNotNull(), cut).otherwise(F.col("text")))
+    return out.select(*[F.col("_kindred_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

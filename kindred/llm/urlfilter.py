@@ -45,31 +45,31 @@ def judge(pages: DataFrame, labels: Column, depth: int = 4, children: int = 12,
     empty ones. Without any label the purity is 0 and nothing is rejected.
     """
     shape = F.regexp_replace(F.regexp_replace("path", "[^/]*[0-9][^/]*?(\\.[a-z]{1,5})?(?=/|$)", "*$1"), "/+", "/")
-    keyed = pages.withColumns({"_host": F.coalesce("host", F.lit("")), "_shape": F.coalesce(shape, F.lit(""))})
-    t = keyed.groupBy("_host", "_shape").agg(F.count("*").alias("n"), F.count(labels).alias("lab"), F.coalesce(F.sum(labels), F.lit(0)).alias("blk"))
-    t = written(t.withColumns({"segs": F.split("_shape", "/"), "node": F.lit("")}))
+    keyed = pages.drop("template", "purity", "rejected").withColumns({"_kindred_host": F.coalesce("host", F.lit("")), "_kindred_shape": F.coalesce(shape, F.lit(""))})
+    t = keyed.groupBy("_kindred_host", "_kindred_shape").agg(F.count("*").alias("n"), F.count(labels).alias("lab"), F.coalesce(F.sum(labels), F.lit(0)).alias("blk"))
+    t = written(t.withColumns({"segs": F.split("_kindred_shape", "/"), "node": F.lit("")}))
     total = t.agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk")).first()
     root = (total["blk"] or 0) / total["lab"] if total["lab"] else 0.0
-    host_sums = t.groupBy("_host").agg(F.sum("lab").alias("hl"), F.sum("blk").alias("hb"))
-    t = t.join(host_sums, "_host").withColumn("purity", (F.col("hb") + weight * root) / (F.col("hl") + weight)).drop("hl", "hb")
+    host_sums = t.groupBy("_kindred_host").agg(F.sum("lab").alias("hl"), F.sum("blk").alias("hb"))
+    t = t.join(host_sums, "_kindred_host").withColumn("purity", (F.col("hb") + weight * root) / (F.col("hl") + weight)).drop("hl", "hb")
     for d in range(1, depth + 1):
         last = F.array_join(F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(1))), "/") if d == depth else F.get("segs", F.lit(d))
         t = t.withColumn("seg", F.coalesce(F.when(F.size("segs") > d, last), F.lit("$")))
-        kids = written(t.groupBy("_host", "node", "seg").agg(F.sum("lab").alias("kl"), F.sum("blk").alias("kb")))
-        family = kids.groupBy("_host", "node").agg(F.count("*").alias("kids"), F.sum("kl").alias("pl"), F.sum("kb").alias("pb"))
-        kids = kids.join(family, ["_host", "node"])
+        kids = written(t.groupBy("_kindred_host", "node", "seg").agg(F.sum("lab").alias("kl"), F.sum("blk").alias("kb")))
+        family = kids.groupBy("_kindred_host", "node").agg(F.count("*").alias("kids"), F.sum("kl").alias("pl"), F.sum("kb").alias("pb"))
+        kids = kids.join(family, ["_kindred_host", "node"])
         share = F.when(F.col("pl") > 0, F.col("pb") / F.col("pl")).otherwise(0.0)
         spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / F.greatest("kl", F.lit(1)))
         similar = F.abs(F.when(F.col("kl") > 0, F.col("kb") / F.col("kl")).otherwise(share) - share) <= alike * spread
         wild = F.regexp_extract("seg", r"(\.[a-z]{1,5})$", 1)
         kids = kids.withColumn("branch", F.when(F.col("seg") == "$", "$").when((F.col("kids") > children) | similar, F.concat(F.lit("*"), wild)).otherwise(F.col("seg")))
-        t = t.join(written(kids.select("_host", "node", "seg", "branch")), ["_host", "node", "seg"])
+        t = t.join(written(kids.select("_kindred_host", "node", "seg", "branch")), ["_kindred_host", "node", "seg"])
         t = t.withColumn("node", F.concat("node", F.lit("/"), "branch"))
-        sums = t.groupBy("_host", "node").agg(F.sum("lab").alias("bl"), F.sum("blk").alias("bb"))
-        t = t.join(sums, ["_host", "node"]).withColumn("purity", (F.col("bb") + weight * F.col("purity")) / (F.col("bl") + weight)).drop("bl", "bb", "seg", "branch")
+        sums = t.groupBy("_kindred_host", "node").agg(F.sum("lab").alias("bl"), F.sum("blk").alias("bb"))
+        t = t.join(sums, ["_kindred_host", "node"]).withColumn("purity", (F.col("bb") + weight * F.col("purity")) / (F.col("bl") + weight)).drop("bl", "bb", "seg", "branch")
         t = written(t)
-    found = written(t.select("_host", "_shape", F.regexp_replace("node", r"(/\$)+$", "").alias("template"), "purity"))
-    return keyed.join(found, ["_host", "_shape"]).withColumn("rejected", F.col("purity") >= reject).drop("_host", "_shape")
+    found = written(t.select("_kindred_host", "_kindred_shape", F.regexp_replace("node", r"(/\$)+$", "").alias("template"), "purity"))
+    return keyed.join(found, ["_kindred_host", "_kindred_shape"]).withColumn("rejected", F.col("purity") >= reject).drop("_kindred_host", "_kindred_shape")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
