@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-STEP = 24
+STEP = 32
 _CAUSAL = np.where(np.arange(2 * STEP)[None, :] <= STEP + np.arange(STEP)[:, None], 0.0, -1e9).astype(np.float32)
 
 
@@ -125,26 +125,29 @@ class Attention:
                 got[rows] += at - np.log(z.sum(1))
         return got
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of the targets and its gradient."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss of the targets, each window counting weight times, and its gradient."""
         a, q, k, v, hidden = self._attend(x)
         ok = y != self.pad
         h, prev, slot = hidden[ok], x[:, STEP:][ok], self.slot[y[ok]]
         cls, within = slot // self.m, slot % self.m
-        n = max(len(h), 1)
+        each = np.repeat((np.ones(len(x)) if weight is None else weight).astype(np.float32), ok.sum(1))
+        n = each.sum() if len(h) else 1
         g = {name: np.zeros_like(t) for name, t in self.p.items()}
         z = h @ self.p["c"] + self.bias_class[prev]
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
-        loss = -np.log(z[np.arange(len(z)), cls] + 1e-30).sum()
+        loss = -(each * np.log(z[np.arange(len(z)), cls] + 1e-30)).sum()
         z[np.arange(len(z)), cls] -= 1
+        z *= each[:, None]
         g["c"] = h.T @ z / n
         dh = z @ self.p["c"].T
         for c, rows, w in self._within(h, prev, cls):
             w = np.exp(w)
             w /= w.sum(1, keepdims=True)
-            loss -= np.log(w[np.arange(len(rows)), within[rows]] + 1e-30).sum()
+            loss -= (each[rows] * np.log(w[np.arange(len(rows)), within[rows]] + 1e-30)).sum()
             w[np.arange(len(rows)), within[rows]] -= 1
+            w *= each[rows, None]
             g["w"][c] = h[rows].T @ w / n
             dh[rows] += w @ self.p["w"][c].T
         d = np.zeros_like(hidden)
@@ -158,15 +161,15 @@ class Attention:
         g["pq"], g["pk"] = dq.sum(0), dk.sum(0)
         return loss / n, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, rate: float = 0.01, batch: int = 48, seed: int = 0) -> float:
-        """One pass of Adam over the windows; the mean loss before each step."""
+    def train(self, x: np.ndarray, y: np.ndarray, rate: float = 0.01, batch: int = 48, seed: int = 0, weight: np.ndarray | None = None) -> float:
+        """One pass of Adam over the windows, which count weight times; the mean loss before each step."""
         order = np.random.default_rng(seed).permutation(len(x))
         first = {n: np.zeros_like(t) for n, t in self.p.items()}
         second = {n: np.zeros_like(t) for n, t in self.p.items()}
         losses = []
         for step, lo in enumerate(range(0, len(x), batch), 1):
             at = order[lo : lo + batch]
-            loss, g = self.gradient(x[at], y[at])
+            loss, g = self.gradient(x[at], y[at], None if weight is None else weight[at])
             losses.append(loss)
             for n, t in self.p.items():
                 first[n] += 0.1 * (g[n] - first[n])

@@ -2,15 +2,18 @@
 
 One pass over the texts codes each piece of them (some megabytes) as numbers of
 its own distinct words, with the words' subword ids and training counts. The
-counts of words and of id pairs cover all training texts. The attention model
-is trained on a fixed share of all windows: shards of the sample are trained
-apart from the same start and averaged, round by round. A second pass joins
-each piece with the corpus counts of its words and scores it.
+counts of words and of id pairs cover all training texts, and so does the
+training of the attention model: texts are cut into strips of windows, equal
+strips are counted once and weighted, and shards of them are trained apart from
+the same start and averaged, round by round. A second pass joins each piece
+with the corpus counts of its words and scores it.
 """
 
 from __future__ import annotations
 
 import base64
+import copy
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,27 @@ def sequences(ids, offsets, codes, doc_offsets, end: int) -> tuple[np.ndarray, n
 
 
 PAIR_BLOCK = 64
+#: Targets of a strip, the unit in which windows are dealt out.
+STRIP = 32 * STEP
+
+
+def strips(ids: np.ndarray, first: int) -> list[bytes]:
+    """The windows of one text, STRIP targets at a time: whether inputs come before the first target, then ids from the first input on."""
+    line = np.concatenate([[first], ids]).astype(np.uint16)
+    return [bytes([a > 0]) + line[max(0, a - STEP) : a + STRIP + 1].tobytes() for a in range(0, len(ids), STRIP)]
+
+
+def unstrip(strip: bytes, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of a strip's windows, as attention.cut has them."""
+    line = np.frombuffer(strip, np.uint16, offset=1).astype(np.int64)
+    lead = STEP if strip[0] else 0
+    n = -(-(len(line) - 1 - lead) // STEP)
+    x, y = np.full((n + 1) * STEP, pad), np.full((n + 1) * STEP, pad)
+    at = STEP - lead
+    x[at : at + len(line) - 1] = line[:-1]
+    y[at : at + len(line) - 1] = line[1:]
+    x = x.reshape(-1, STEP)
+    return np.concatenate([x[:-1], x[1:]], 1), y.reshape(-1, STEP)[1:]
 
 _PREPARED = "kind string, part long, code int, word string, n long, blob binary"
 
@@ -79,7 +103,7 @@ def _prepare(shared, fraction: int, piece: int):
 
         lines, size = shared.value
         subwords = Subwords(lines, size)
-        end, pad = size, size + 1
+        end = size
         total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in pieces(batches, most=piece):
             codes, words, offsets = split_words(b.column("text"))
@@ -100,16 +124,10 @@ def _prepare(shared, fraction: int, piece: int):
             before[stops[:-1]] = end
             key, count = np.unique((before * (size + 1) + flat)[mine], return_counts=True)
             total = _merge(*total, key, count)
-            for lo in range(0, len(stops) - 1, 500):
-                hi = min(lo + 500, len(stops) - 1)
-                x, y, of = cut(flat[stops[lo] : stops[hi]].astype(np.int32), stops[lo : hi + 1] - stops[lo], end, pad)
-                # a fixed share of the training windows, told by what they hold
-                with np.errstate(over="ignore"):
-                    mark = (y.astype(np.uint64) * np.arange(1, 2 * STEP, 2, dtype=np.uint64)).sum(1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-                chosen = train[lo:hi][of] & (mark % np.uint64(fraction) == 0)
-                if chosen.any():
-                    both = np.concatenate([x[chosen], y[chosen]], 1).astype(np.uint16)
-                    yield _rows(kind=["s"] * len(both), blob=[r.tobytes() for r in both])
+            for i in np.flatnonzero(train):
+                some = [r for r in strips(flat[stops[i] : stops[i + 1]], end) if zlib.crc32(r) % fraction == 0]
+                if some:
+                    yield _rows(kind=["s"] * len(some), n=[-(-((len(r) - 1) // 2 - 1 - STEP * r[0]) // STEP) for r in some], blob=some)
         key, count = total
         block = key // (size + 1) // PAIR_BLOCK
         for k in np.unique(block):
@@ -134,24 +152,44 @@ def _merge(k1, c1, k2, c2):
     return key, np.bincount(at, np.concatenate([c1, c2]), len(key)).astype(np.int64)
 
 
+def _pack(key, rows):
+    """A shard as one row: its strips in order, and their weights."""
+    rows = rows.sort_by("blob").combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(rows)
+    return pa.table({"rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
 def _round(shared, r: int, blocks: int):
-    def run(key, rows):
-        m = shared.value
-        both = np.stack([np.frombuffer(x, np.uint16) for x in sorted(rows.column("blob").to_pylist())]).astype(np.int64)
-        m.train(both[:, : 2 * STEP], both[:, 2 * STEP :], rate=0.02 / (1 + r), seed=r)
-        parts = np.array_split(m.vector(), blocks)
-        return pa.table({"block": pa.array(range(blocks), pa.int32()), "w": pa.array([float(len(both))] * blocks), "v": pa.array([p.astype(np.float32).tolist() for p in parts], pa.list_(pa.float32()))})
+    def run(batches):
+        for b in batches:
+            for raw in b.column("rows"):
+                m = copy.deepcopy(shared.value)
+                rows = pa.ipc.open_stream(raw.as_py()).read_all()
+                windows = [unstrip(x, m.pad) for x in rows.column("blob").to_pylist()]
+                weight = np.repeat(np.asarray(rows.column("weight")), [len(y) for _, y in windows])
+                m.train(np.concatenate([x for x, _ in windows]), np.concatenate([y for _, y in windows]), rate=0.02 / (1 + r), seed=r, weight=weight)
+                parts = np.array_split(m.vector(), blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([float(weight.sum())] * blocks), pa.array([p.astype(np.float32).tolist() for p in parts], pa.list_(pa.float32()))], ["block", "w", "v"])
 
     return run
 
 
+def deal(strips: DataFrame, shards: int) -> DataFrame:
+    """(blob, shard, weight): equal strips are one row with their count, dealt over several shards where they are many."""
+    same = strips.groupBy("blob").agg(F.count("*").alias("c")).withColumn("k", F.least("c", F.lit(shards)))
+    return same.select("blob", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias("i"), (F.col("c") / F.col("k")).alias("weight")).select("blob", F.pmod(F.pmod(F.xxhash64("blob"), F.lit(shards)) + F.col("i"), F.lit(shards)).cast("int").alias("shard"), "weight")
+
+
 def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_windows: int, rounds: int) -> None:
     """Federated averaging: in each round every shard trains from the common start; parameters are averaged block by block."""
-    count = windows.count()
+    count = windows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     if not count:
         return
     shards = max(1, round(count / shard_windows))
-    dealt = written(windows.select("blob", F.pmod(F.xxhash64("blob"), F.lit(shards)).cast("int").alias("shard")))
+    dealt = deal(windows.select("blob"), shards).repartition(shards, "shard")
+    dealt = written(dealt.groupBy("shard").applyInArrow(_pack, "rows binary"))
     blocks = 16
     for r in range(rounds):
         shared = share(spark, model)
@@ -161,20 +199,20 @@ def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_wind
             v = np.stack([np.asarray(x.values) for x in rows.column("v")])
             return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([(w @ v / w.sum()).tolist()], pa.list_(pa.float32()))})
 
-        tuned = dealt.groupBy("shard").applyInArrow(_round(shared, r, blocks), "block int, w double, v array<float>")
+        tuned = dealt.mapInArrow(_round(shared, r, blocks), "block int, w double, v array<float>")
         tuned = tuned.groupBy("block").applyInArrow(mean, "block int, v array<float>").toArrow().sort_by("block")  # as large as the model
         model.load(np.concatenate([np.asarray(x.values) for x in tuned["v"]]))
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fraction: int = 64, shard_windows: int = 40_000, rounds: int = 3, piece: int = 12_000_000) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fraction: int = 1, shard_windows: int = 40_000, rounds: int = 3, piece: int = 12_000_000) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, held_out); learns from the rows not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words
     counted in the training texts, one added) and score (log10 probability of
     the text, letters A-Z lowered and spaces joined, under the attention model,
     the end included). Null texts count as empty and have the end alone; other
-    columns are ignored; repeated rows are scored each. One window in
-    ``fraction`` trains the attention weights, at every size of the corpus.
+    columns are ignored; repeated rows are scored each. All training windows
+    train the attention weights, or those of one strip in ``fraction``.
     Without training texts all counts are 0 and the model knows nothing.
     """
     spark = docs.sparkSession

@@ -324,6 +324,25 @@ def test_lm_scores(spark, documents):
         assert r["held_out"] == (i not in train)
 
 
+def test_all_training_windows_are_dealt_out(spark):
+    import inspect
+
+    assert attention.STEP == 32 and inspect.signature(lmscore.score).parameters["fraction"].default == 1
+    rng = np.random.default_rng(4)
+    for n in (1, 31, 32, 33, lmscore.STRIP, lmscore.STRIP + 1, 2 * lmscore.STRIP + 70):
+        ids = np.r_[rng.integers(0, 20, n - 1), 20].astype(np.int32)
+        x, y, _ = attention.cut(ids, np.array([0, n]), 20, 21)
+        got = [lmscore.unstrip(r, 21) for r in lmscore.strips(ids, 20)]
+        assert np.array_equal(np.concatenate([a for a, _ in got]), x) and np.array_equal(np.concatenate([b for _, b in got]), y)
+    df = spark.createDataFrame([(b"same",)] * 100 + [(f"{i}".encode(),) for i in range(200)], "blob binary")
+    dealt = lmscore.deal(df, 10).collect()
+    assert sum(r["weight"] for r in dealt) == pytest.approx(300) and {r["shard"] for r in dealt if r["blob"] == b"same"} == set(range(10))
+    m = attention.Attention(20, rng.integers(0, 5, (20, 20)).astype(float), dim=4, classes=5)
+    x, y, _ = attention.cut(rng.integers(0, 20, 96).astype(np.int32), np.array([0, 64, 96]), 19, 20)
+    twice, once = m.gradient(x[[0, 0, 1, 2]], y[[0, 0, 1, 2]]), m.gradient(x, y, np.array([2.0, 1, 1]))
+    assert twice[0] == pytest.approx(once[0], rel=1e-5) and all(np.allclose(twice[1][k], once[1][k], atol=1e-5) for k in m.p)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------
 def test_pipeline(spark):
     import corpus_pipeline
