@@ -147,7 +147,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, block: int = 512, rounds: int = 2) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, links, and k0, k1 (hashes of the row).
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, links, k0, k1 (hashes of the row) and root (the class that names the component; null for rows alone).
 
     Rows are linked if 100 * common >= 75 * all distinct shingles (five words;
     with fewer words, the whole). component_id is the smallest doc_id of the
@@ -200,23 +200,25 @@ def near_duplicates(docs: DataFrame, block: int = 512, rounds: int = 2) -> DataF
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     by_root = cls.select("cid", "low").join(roots.withColumnRenamed("node", "cid"), "cid").join(degree.withColumnRenamed("a", "cid"), "cid")
     lowest = written(by_root.groupBy("root").agg(F.min("low").alias("lowest")))
-    found = written(cls.select("cid", "low").join(by_root.select("cid", "root", "links").join(lowest, "root").select("cid", "lowest", "links"), "cid", "left").select("cid", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
-    out = some.select("doc_id", "k0", "k1", "n", "cid").join(found, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "links", "k0", "k1")
-    lone = sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("links"), "k0", "k1")
+    found = written(cls.select("cid", "low").join(by_root.select("cid", "root", "links").join(lowest, "root").select("cid", "root", "lowest", "links"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), F.coalesce("lowest", "low").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    out = some.select("doc_id", "k0", "k1", "n", "cid").join(found, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "links", "k0", "k1", "root")
+    lone = sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("links"), "k0", "k1", F.lit(None).cast("binary").alias("root"))
     return out.unionByName(lone)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return near_duplicates(docs).drop("k0", "k1", "links")
+    return near_duplicates(docs).drop("k0", "k1", "links", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``; of rows with one doc_id and text, one stays too."""
     keyed = docs.withColumns({"_kindred0": F.xxhash64("doc_id", "text"), "_kindred1": F.xxhash64("text", "doc_id")})
     found = near_duplicates(docs)
-    # rows of one component that share its doc_id are told apart by their hashes
-    kept = found.where("kept").groupBy("component_id", F.when(F.col("n_shingles") == 0, F.struct("k0", "k1")).alias("alone")).agg(F.min(F.struct("k0", "k1")).alias("k"))
+    # the row of the smallest doc_id, nulls last, stands for its component; rows without words for themselves
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")).alias("k")
+    grouped = found.where("root IS NOT NULL").groupBy("root").agg(first).select("k")
+    kept = grouped.unionByName(found.where("root IS NULL").groupBy("k0", "k1").agg(first).select("k"))
     kept = written(kept.select(F.col("k.k0").alias("_kindred0"), F.col("k.k1").alias("_kindred1")).distinct())
     return keyed.join(kept, ["_kindred0", "_kindred1"], "left_semi").dropDuplicates(["_kindred0", "_kindred1"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -113,6 +113,12 @@ def test_keep_one(spark):
     assert neardup.near_duplicates(docs.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_keep_one_loses_no_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(None, "x y"), (None, a), (5, a), (7, a), (7, b), (8, "p q"), (8, "r s"), (None, "m n"), (None, "m n"), (None, b + " more"), (9, None), (None, None)], D)
+    assert sorted(rows(neardup.keep_one(docs)), key=str) == sorted([(None, "x y"), (5, a), (7, b), (8, "p q"), (8, "r s"), (None, "m n"), (9, None), (None, None)], key=str)
+
+
 def test_odd_sketch_tells_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
