@@ -1,9 +1,9 @@
 """URL filters by a tree of path templates.
 
 Urls are cut into host and path segments. Level by level, and per host, a
-segment with a digit becomes a wildcard, as do the children of a node with too
-many of them; children whose blocked shares do not differ more than chance
-allows are merged into one branch. A template's purity is its blocked share of
+segment with a digit becomes a wildcard; children whose blocked shares do not
+differ from their siblings' by more than chance allows are merged into one
+branch, however many children a node has. A template's purity is its blocked share of
 labelled urls, smoothed towards its parent's; templates that are pure enough
 are rejected. Hand-written rules go before the tree, and label the urls that
 they fit. Everything works on counts of distinct templates.
@@ -37,7 +37,7 @@ def rule_of(rules: list[tuple[str, str, str]], host: str = "host", path: str = "
     return out.cast("struct<rule:string,verdict:string>")
 
 
-def judge(pages: DataFrame, labels: Column, depth: int = 4, children: int = 12, alike: float = 1.96, weight: float = 4.0, reject: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labels: Column, depth: int = 4, alike: float = 1.96, weight: float = 4.0, reject: float = 0.5) -> DataFrame:
     """``pages`` (host, path and others) with template, purity and rejected.
 
     ``labels`` is 1 for blocked, 0 for allowed and null for unlabelled rows.
@@ -56,13 +56,13 @@ def judge(pages: DataFrame, labels: Column, depth: int = 4, children: int = 12,
         last = F.array_join(F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(1))), "/") if d == depth else F.get("segs", F.lit(d))
         t = t.withColumn("seg", F.coalesce(F.when(F.size("segs") > d, last), F.lit("$")))
         kids = written(t.groupBy("_kindred_host", "node", "seg").agg(F.sum("lab").alias("kl"), F.sum("blk").alias("kb")))
-        family = kids.groupBy("_kindred_host", "node").agg(F.count("*").alias("kids"), F.sum("kl").alias("pl"), F.sum("kb").alias("pb"))
+        family = kids.groupBy("_kindred_host", "node").agg(F.sum("kl").alias("pl"), F.sum("kb").alias("pb"))
         kids = kids.join(family, ["_kindred_host", "node"])
         share = F.when(F.col("pl") > 0, F.col("pb") / F.col("pl")).otherwise(0.0)
         spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / F.greatest("kl", F.lit(1)))
         similar = F.abs(F.when(F.col("kl") > 0, F.col("kb") / F.col("kl")).otherwise(share) - share) <= alike * spread
         wild = F.regexp_extract("seg", r"(\.[a-z]{1,5})$", 1)
-        kids = kids.withColumn("branch", F.when(F.col("seg") == "$", "$").when((F.col("kids") > children) | similar, F.concat(F.lit("*"), wild)).otherwise(F.col("seg")))
+        kids = kids.withColumn("branch", F.when(F.col("seg") == "$", "$").when(similar, F.concat(F.lit("*"), wild)).otherwise(F.col("seg")))
         t = t.join(written(kids.select("_kindred_host", "node", "seg", "branch")), ["_kindred_host", "node", "seg"])
         t = t.withColumn("node", F.concat("node", F.lit("/"), "branch"))
         sums = t.groupBy("_kindred_host", "node").agg(F.sum("lab").alias("bl"), F.sum("blk").alias("bb"))

@@ -290,6 +290,14 @@ def test_templates_learn_what_is_blocked(spark):
     assert not any(r["rejected"] for r in urlfilter.judge(df, F.lit(None).cast("int")).collect())
 
 
+def test_blocked_branch_among_many_siblings(spark):
+    names = [a + b for a in "abcdefgh" for b in "xyz"]
+    data = [(k * 100 + i, "h", f"/{n}/{i}", (1 if n == "ax" else 0) if i < 20 else None) for k, n in enumerate(names) for i in range(30)]
+    df = spark.createDataFrame(data, "page_id long, host string, path string, label int")
+    got = {r["page_id"]: (r["rejected"], r["template"]) for r in urlfilter.judge(df, F.col("label")).collect()}
+    assert got[29] == (True, "/ax/*") and got[129] == (False, "/*/*") and sum(r for r, _ in got.values()) == 30
+
+
 # --- language-model scores -----------------------------------------------------------------------
 def test_attention_gradient_and_sum():
     rng = np.random.default_rng(0)
