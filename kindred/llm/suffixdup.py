@@ -2,7 +2,10 @@
 
 Every window of ``length`` bytes is named by its anchor, the 16-byte gram of
 the smallest hash in it, so equal windows have equal anchors. Consecutive
-windows with one anchor form a run. Runs whose anchor occurs once in the corpus
+windows with one anchor form a run. Runs of an anchor with more bytes than a
+shard may have are split, in up to three steps, by where the anchor lies in the
+window and by the bytes that all windows of such a part share; equal windows
+stay together. Runs whose anchor occurs once in the corpus
 hold no repeated window and are done. The rest, identical runs taken together
 with their count, are dealt to shards by anchor, so that equal windows always
 meet in one shard. A shard's suffixes are sorted by induced sorting: the
@@ -277,26 +280,77 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return first, count, place[first], h[place[first]]
 
 
-def _cut(length: int):
+def _cut(length: int, most: int = 1 << 26):
     def run(batches):
         for b in pieces(batches):
-            out = {k: [] for k in ("k0", "k1", "anchor", "start", "n", "digest")}
+            out = {k: [] for k in ("k0", "k1", "anchor", "place", "start", "n", "digest")}
             for k0, k1, text in zip(b.column("k0").to_pylist(), b.column("k1").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
                 if text is None or len(text) < length:
                     continue
-                first, count, _, h = anchors(np.frombuffer(text, np.uint8), length)
-                out["k0"] += [k0] * len(first)
-                out["k1"] += [k1] * len(first)
-                out["anchor"].append(h.view(np.int64))
-                out["start"].append(first)
-                out["n"].append(count)
-                out["digest"] += [hashlib.md5(text[i : i + c + length - 1]).digest() for i, c in zip(first.tolist(), count.tolist(), strict=True)]
+                data = np.frombuffer(text, np.uint8)
+                for lo in range(0, len(text) - length + 1, most - length + 1):  # pieces overlap by length - 1
+                    first, count, place, h = anchors(data[lo : lo + most], length)
+                    first, place = first + lo, place + lo
+                    out["k0"] += [k0] * len(first)
+                    out["k1"] += [k1] * len(first)
+                    out["anchor"].append(h.view(np.int64))
+                    out["place"].append(place)
+                    out["start"].append(first)
+                    out["n"].append(count)
+                    out["digest"] += [hashlib.md5(text[i : i + c + length - 1]).digest() for i, c in zip(first.tolist(), count.tolist(), strict=True)]
             if out["k0"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out["k0"]), pa.array(out["k1"]), pa.array(np.concatenate(out["anchor"])), pa.array(np.concatenate(out["start"]).astype(np.int32)), pa.array(np.concatenate(out["n"]).astype(np.int32)), pa.array(out["digest"], pa.binary())], list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(out["k0"]), pa.array(out["k1"]), pa.array(np.concatenate(out["anchor"])), pa.array(np.concatenate(out["place"]).astype(np.int32)), pa.array(np.concatenate(out["start"]).astype(np.int32)), pa.array(np.concatenate(out["n"]).astype(np.int32)), pa.array(out["digest"], pa.binary())], list(out))
 
     return run
 
 
+def _split(length: int, width: int):
+    """Runs cut where the anchor's offset in the window passes a multiple of width, keyed by the bytes in all windows of such offsets."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                raw = r["text"].encode("utf-8", "surrogatepass")
+                out = []
+                for x in r["runs"]:
+                    last = x["start"] + x["n"] - 1
+                    for tier in range((x["place"] - last) // width, (x["place"] - x["start"]) // width + 1):
+                        near, far = tier * width, tier * width + width - 1
+                        lo, hi = max(x["start"], x["place"] - far), min(last, x["place"] - near)
+                        shared = raw[x["place"] - near : x["place"] - far + length]
+                        key = hashlib.md5(b"%d %d %d " % (x["anchor"], width, tier) + shared).digest()[:8]
+                        out.append((r["k0"], r["k1"], int.from_bytes(key, "little", signed=True), x["place"], lo, hi - lo + 1, hashlib.md5(raw[lo : hi + length]).digest()))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["k0", "k1", "anchor", "place", "start", "n", "digest"])
+
+    return run
+
+
+_RUN = "k0 long, k1 long, anchor long, place int, start int, n int, digest binary"
+
+
+def _kinds(runs: DataFrame) -> DataFrame:
+    """Distinct runs with their counts and one place of each."""
+    return runs.groupBy("anchor", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("k0", "k1", "start", "n")).alias("at"))
+
+
+def spread(keyed: DataFrame, runs: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The runs, those of anchors whose distinct runs have more than ``most`` bytes split, and their kinds."""
+    kinds = written(_kinds(runs))
+    for width in (max(1, length // 6), max(1, length // 48), 1):
+        hot = kinds.groupBy("anchor").agg(F.sum(F.col("at.n") + (length - 1)).alias("b"), F.count("*").alias("m")).where((F.col("b") > most) & (F.col("m") > 1)).select("anchor")
+        hot = written(hot)  # no more than all bytes / most
+        if hot.isEmpty():
+            break
+        hot = F.broadcast(hot)
+        texts = runs.join(hot, "anchor").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "place", "start", "n")).alias("runs"))
+        parts = keyed.select("k0", "k1", "text").join(written(texts), ["k0", "k1"]).mapInArrow(_split(length, width), _RUN)
+        parts = written(parts)
+        runs = runs.join(hot, "anchor", "left_anti").unionByName(parts)
+        kinds = written(kinds.join(hot, "anchor", "left_anti").unionByName(_kinds(parts)))
+    return runs, kinds
+
+
 def _fetch(length: int):
     def run(batches):
         for b in batches:
@@ -354,8 +408,8 @@ def substring_duplicates(docs: DataFrame, length: int = 400, shard_bytes: int =
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k0"), F.xxhash64("text", "doc_id").alias("k1"))
-    runs = written(keyed.select("k0", "k1", "text").mapInArrow(_cut(length), "k0 long, k1 long, anchor long, start int, n int, digest binary"))
-    kinds = written(runs.groupBy("anchor", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("k0", "k1", "start", "n")).alias("at")))
+    runs = written(keyed.select("k0", "k1", "text").mapInArrow(_cut(length), _RUN))
+    runs, kinds = spread(keyed, runs, length, shard_bytes)
     often = kinds.groupBy("anchor").agg(F.sum("weight").alias("all")).where("all > 1").select("anchor")
     kinds = written(kinds.join(written(often), "anchor"))
     total = kinds.agg(F.coalesce(F.sum(F.col("at.n") + (length - 1)), F.lit(0)).alias("b")).first()["b"]

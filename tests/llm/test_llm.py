@@ -165,6 +165,31 @@ def test_substring_duplicates_match_brute_force(spark, documents):
     assert suffixdup.substring_duplicates(spark.createDataFrame([], D)).count() == 0
 
 
+def test_runs_of_a_hot_anchor_are_split(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcd "), n))
+    n, passage = 40, text(100)
+    docs = [(i, text(50) + passage + text(50)) for i in range(60)]
+    keyed = spark.createDataFrame(docs, D).withColumns({"k0": F.xxhash64("doc_id", "text"), "k1": F.xxhash64("text", "doc_id")})
+    runs = keyed.select("k0", "k1", "text").mapInArrow(suffixdup._cut(n), suffixdup._RUN).localCheckpoint()
+    split, kinds = suffixdup.spread(keyed, runs, n, 500)
+    heavy = lambda k: max(r["b"] for r in k.groupBy("anchor").agg(F.sum(F.col("at.n") + n - 1).alias("b")).collect())
+    assert heavy(suffixdup._kinds(runs)) > 1500 and heavy(kinds) <= 500
+    assert split.agg(F.sum("n")).first()[0] == runs.agg(F.sum("n")).first()[0] == sum(len(t) - n + 1 for _, t in docs)
+    seen = collections.Counter(t[i : i + n] for _, t in docs for i in range(len(t) - n + 1))
+    want = {d: len({j for i in range(len(t) - n + 1) if seen[t[i : i + n]] > 1 for j in range(i, i + n)}) for d, t in docs}
+    got = suffixdup.substring_duplicates(keyed.select("doc_id", "text"), length=n, shard_bytes=500).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want
+
+
+def test_long_texts_are_cut_into_pieces():
+    t = bytes(np.random.default_rng(7).integers(97, 101, 1000).astype(np.uint8))
+    b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([t.decode()])], ["k0", "k1", "text"])
+    whole, cut = (next(suffixdup._cut(40, most)([b])) for most in (1 << 26, 150))
+    spell = lambda r: [(s + i, a) for a, s, n in zip(r["anchor"].to_pylist(), r["start"].to_pylist(), r["n"].to_pylist(), strict=True) for i in range(n)]
+    assert spell(cut) == spell(whole) and len(spell(cut)) == 961
+
+
 # --- benchmark leaks, secrets ------------------------------------------------------------
 def test_leaks(spark):
     item = " ".join(f"i{k}" for k in range(20))
