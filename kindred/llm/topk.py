@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, table, written
@@ -48,17 +48,22 @@ def _pack(rows: int):
     return run
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers: floating point only where it is exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < 2**53 else a @ b.T
+def _product(a: np.ndarray, b: np.ndarray, clip: bool = False) -> np.ndarray:
+    """a @ b.T in whole numbers: floating point only where it is exact. What does not fit a long is an OverflowError, or the nearest long if ``clip``."""
+    most = np.abs(a.astype(np.float64)).max(initial=0) * np.abs(b.astype(np.float64)).max(initial=0) * a.shape[1]
+    if most < 2**53:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    got = a.astype(object) @ b.T.astype(object)
+    return (np.clip(got, 1 - 2**63, 2**63 - 1) if clip else got).astype(np.int64)
 
 
 def search_part(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Query row, candidate id and score of the k best candidates in one part, and the number of (query, block) pairs scored."""
     starts = np.arange(0, len(ids), block)
     top, low = np.maximum.reduceat(data, starts), np.minimum.reduceat(data, starts)
-    bound = _product(np.maximum(queries, 0), top) + _product(np.minimum(queries, 0), low)
+    bound = _product(np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], 1), np.concatenate([top, low], 1), True)
     order = np.argsort(-bound, axis=1, kind="stable")
     none = np.iinfo(np.int64).min
     best = np.full((len(queries), k), none)
@@ -124,10 +129,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = 1
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def whole(x: Column) -> Column:
+    """Floor as a long; a number beyond longs is an error."""
+    return F.when((x >= -(2.0**63)) & (x < 2.0**63), F.floor(x)).otherwise(F.raise_error(F.lit("a component times 256 does not fit a long")).cast("long"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") * 256).alias("x"))
-    rows = rows.where(F.forall("x", lambda x: x.isNotNull() & (F.abs(x) < 2.0**53)))  # also drops NaN (above every number) and the infinite
-    rows = rows.select("vec_id", F.transform("x", lambda x: F.floor(x)).alias("v"))
+    rows = rows.where(F.forall("x", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))  # also drops NaN, which is above every number
+    rows = rows.select("vec_id", F.transform("x", whole).alias("v"))
     return top_k(rows, rows.where("vec_id % 50 = 0"))
 
 

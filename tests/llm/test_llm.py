@@ -290,6 +290,15 @@ def test_top_k_matches_brute_force(spark):
     assert got == want
 
 
+def test_large_components_take_part_or_fail(spark, tmp_path):
+    put = lambda name, rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+    put("fits", [(0, [1.0, 0.0]), (1, [2.0**46, 0.0]), (2, [1.0, 1.0]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0])])
+    put("not", [(0, [1.0]), (1, [2.0**60])])
+    assert [r[2:] for r in sorted(rows(topk.op9_topk_search(spark, f"{tmp_path}/fits")))] == [(1, 2**62), (2, 65536)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.op9_topk_search(spark, f"{tmp_path}/not").collect()
+
+
 def test_blocks_are_pruned():
     m = np.vstack([np.full((256, 4), 100), np.zeros((2560, 4), np.int64)]).astype(np.int64)
     *_, scored = topk.search_part(m[:1], np.array([0]), m, np.arange(len(m)), 5)
