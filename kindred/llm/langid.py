@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -11,21 +12,51 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .charkn import CharKN
-from .common import pieces, remainder, share, split_words, sums, table
+from .common import pieces, remainder, share, ship, split_words, sums, table, written
 
 UNKNOWN = "und"
 
 
-def sample(docs: DataFrame, keys: DataFrame, per_class: int) -> pa.Table:
+def sample(docs: DataFrame, keys: DataFrame, per_class: int) -> DataFrame:
     """Texts (label, text) of up to ``per_class`` keys of each label, those with the smallest hashes.
 
     The choice is made on ``keys`` (doc_id, label) alone; ``docs`` (doc_id,
-    text) are read for the chosen keys only.
+    text) are read for the chosen keys only. Keys whose hash lies above what
+    twice the number asked for should need go before any shuffle, so that a
+    label's task gets some thousand rows however many keys it has.
     """
+    keys = keys.select("doc_id", F.col("label").cast("string").alias("label")).where("doc_id IS NOT NULL")
+    counts = keys.groupBy("label").agg(F.count("*").alias("_n"))  # a row for each label
+    # 31 bits of the hash, against 2^31 times the share of the keys to look at
+    low = F.shiftrightunsigned(F.xxhash64("doc_id"), 33).cast("double") * F.col("_n") <= F.lit(2**31) * (2 * per_class + 100)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = keys.select("doc_id", F.col("label").cast("string").alias("label")).where("doc_id IS NOT NULL").distinct()
+    chosen = keys.join(F.broadcast(counts), "label").where(low).select("doc_id", "label").distinct()
     chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")  # per_class rows a label
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("label", "text").toArrow()
+    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("label", "text")
+
+
+def fitted(rows: DataFrame, make) -> object | None:
+    """What ``make`` (table of label and text) builds from the bounded sample ``rows``, in one executor task; None without rows.
+
+    The sample doesn't pass through the driver, which gets the model alone.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches):
+        found = [b for b in batches if b.num_rows]
+        model = make(pa.Table.from_batches(found)) if found else None
+        raw = zlib.compress(pickle.dumps(model, pickle.HIGHEST_PROTOCOL), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["model"])
+
+    rows = written(rows)  # a plain scan then feeds the one task
+    got = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(zlib.decompress(got[0]["model"])) if got else None
+
+
+def in_order(t: pa.Table) -> tuple[pa.Array, list[str]]:
+    """Texts and labels in a fixed order, whatever order Spark returned the rows in."""
+    rows = sorted(zip(t["text"].to_pylist(), t["label"].to_pylist(), strict=True), key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r))
+    return pa.array([x for x, _ in rows], pa.large_string()), [y for _, y in rows]
 
 
 def class_counts(codes: np.ndarray, offsets: np.ndarray, label: np.ndarray, n_words: int, n_classes: int) -> np.ndarray:
@@ -94,9 +125,8 @@ def identify(docs: DataFrame, train: DataFrame, per_class: int = 500, order: int
     worse than it predicts nearly all texts it was checked on.
     """
     spark = docs.sparkSession
-    found = sample(train, train.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("label")), per_class)
-    model = LanguageModel(found["text"].combine_chunks(), found["label"].to_pylist(), order) if found.num_rows else None
-    shared = share(spark, model)
+    rows = sample(train, train.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("label")), per_class)
+    shared = share(spark, fitted(rows, lambda t: LanguageModel(*in_order(t), order)))
 
     def run(batches):
         m = shared.value

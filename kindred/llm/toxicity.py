@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .charkn import CharKN
 from .common import pieces, remainder, seg_max, share, split_words, sums, table
-from .langid import class_counts, sample
+from .langid import class_counts, fitted, in_order, sample
 
 CLASSES = ["0", "1"]
 
@@ -60,6 +60,7 @@ class ToxicityModel:
             used = counts.any(1)
             model = CharKN.fit(words.filter(pa.array(used)), counts[used], CLASSES, order, shared)
             x[fold == k] = _features(model, codes, words, offsets)[fold == k]
+            del model  # before the next one is built
         self.weights = _logistic(x, toxic.astype(float))
         if 0 < toxic.mean() < 1:  # the sample holds the classes in other shares than the labelled rows
             self.weights[-1] += np.log(prior / (1 - prior)) - np.log(toxic.mean() / (1 - toxic.mean()))
@@ -81,12 +82,12 @@ def fit(train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int =
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.0
-    model = None
-    if len(shares) == 2:
-        found = sample(train, labels, per_class).to_pydict()
-        rows = sorted(zip(found["text"], found["label"], strict=True), key=lambda r: (hash_text(r[0]), r[1]))
-        if len({y for _, y in rows}) == 2:
-            model = ToxicityModel(pa.array([x for x, _ in rows], pa.large_string()), np.array([y == "1" for _, y in rows]), prior, order)
+
+    def make(t: pa.Table) -> ToxicityModel | None:
+        texts, y = in_order(t)
+        return ToxicityModel(texts, np.array(y) == "1", prior, order) if len(set(y)) == 2 else None
+
+    model = fitted(sample(train, labels, per_class), make) if len(shares) == 2 else None
     return model, prior
 
 
