@@ -4,9 +4,10 @@ Texts with equal shingle sets form one class. A class's MinHash samples give
 banded keys, which find candidates, and are folded into a parity bitmap, the odd
 sketch: the population count of two bitmaps' XOR tells how many samples differ,
 precisely so for high similarities. What passes that test is confirmed on full
-sets. In a bucket, classes are first held against one of them, another in each
-bucket and round; only buckets that still hold classes of several components go
-on to pairs across them, in square blocks. So a large group of copies costs
+sets. In a bucket, classes are first held against the one with most company in
+its buckets, which is mostly the same one in all buckets of a group; only
+buckets that still hold classes of several components go on to pairs across
+them, which meet by their rarest shingles. So a large group of copies costs
 about as many pairs as it has members, and no link between components is lost.
 """
 
@@ -146,7 +147,49 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(got.withColumn("c", common).where("100 * c >= 75 * (size(ah) + size(bh) - c)").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, block: int = 512, rounds: int = 2) -> DataFrame:
+def _largest(placed: DataFrame) -> DataFrame:
+    """(bucket, big): the component with most members in each bucket."""
+    return placed.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("big"))
+
+
+def _prefix(n: Column, m: Column) -> Column:
+    """How many of its rarest shingles a set of n must be looked at by, to share one with any set of m that is near it."""
+    return n - F.ceil((n + m) * 3 / 7).cast("long") + 1
+
+
+def across(placed: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of classes that lie in one bucket's reach but in different components.
+
+    ``placed`` (bucket, cid, root) has the members of buckets that hold several
+    components. Two near sets share one of their rarest shingles, the more so
+    the nearer their sizes: of n and m shingles, 3 / 7 of (n + m) must be common.
+    So every member is listed under its rarest shingles and its size, and the
+    members outside their bucket's largest component look up theirs under each
+    size that their buckets hold. A shingle that only one member or one
+    component has leads nowhere and is not listed. No pair is formed within a
+    component, nor for copies whose differences are their own.
+    """
+    outside = written(placed.join(_largest(placed), "bucket").where("root <> big").select("bucket", "cid"))
+    members = written(placed.select("cid", "root").distinct().join(facts, "cid"))
+    shingles = written(members.select("cid").join(sets, "cid").select("cid", F.explode("hs").alias("h")))
+    often = shingles.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    # the place of a shingle in its set, rarest first: those of one member only come before all others
+    shared = written(shingles.join(often, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("by")))
+    listed = members.join(shared, "cid").select("cid", "root", "n", F.posexplode("by").alias("at", "x"), (F.col("n") - F.size("by")).alias("own"))
+    listed = listed.select("cid", "root", "n", F.col("x.h").alias("h"), (F.col("at") + F.col("own")).alias("place"))
+    listed = written(listed.where(F.col("place") < _prefix(F.col("n"), F.ceil(F.col("n") * 3 / 4))))
+    least, most = F.ceil(F.col("n") * 3 / 4), F.floor(F.col("n") * 4 / 3)
+    sizes = placed.join(facts.select("cid", F.col("n").alias("size")), "cid").select("bucket", "size").distinct()
+    wanted = outside.join(facts.select("cid", "n"), "cid").join(sizes, "bucket").where(F.col("size").between(least, most)).select("cid", "size").distinct()
+    probes = listed.join(wanted, "cid").where(F.col("place") < _prefix(F.col("n"), F.col("size")))
+    spans = listed.groupBy("h", F.col("n").alias("size")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    probes = probes.join(spans, ["h", "size"]).where("r0 <> root OR r1 <> root").select("h", "size", F.col("cid").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"))
+    other = listed.select("h", F.col("n").alias("size"), F.col("cid").alias("b"), F.col("root").alias("br"), F.col("place").alias("bp"))
+    met = probes.join(other, ["h", "size"]).where((F.col("ar") != F.col("br")) & (F.col("bp") < _prefix(F.col("size"), F.col("an"))))
+    return written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, links, k0, k1 (hashes of the row) and root (the class that names the component; null for rows alone).
 
     Rows are linked if 100 * common >= 75 * all distinct shingles (five words;
@@ -154,7 +197,8 @@ def near_duplicates(docs: DataFrame, block: int = 512, rounds: int = 2) -> DataF
     component, and kept says that the row has it; null doc_ids are larger than
     others. Rows without words, null texts too, are alone. links counts the
     confirmed links to other classes found for the row's class. Repeated rows
-    stay; all copies with the smallest doc_id are kept.
+    stay; all copies with the smallest doc_id are kept, and so are rows alone
+    without a doc_id. Other columns are ignored, very long texts are whole.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -165,6 +209,9 @@ def near_duplicates(docs: DataFrame, block: int = 512, rounds: int = 2) -> DataF
     rows = cls.select("cid", F.explode("bands").alias("bucket"))
     counts = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     crowd = written(rows.join(counts, "bucket"))
+    # the more company a class has in its buckets, the nearer it is to what its group has in common
+    crowded = written(crowd.groupBy("cid").agg(F.sum("m").alias("company")))
+    crowd = written(crowd.select("bucket", "cid").join(crowded, "cid"))
     facts = cls.select("cid", "n", "odd")
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -172,36 +219,32 @@ def near_duplicates(docs: DataFrame, block: int = 512, rounds: int = 2) -> DataF
         a, b = (facts.select(F.col("cid").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}odd")) for x in "ab")
         return written(pairs.join(a, "a").join(b, "b").where(_near("a", "b")).select("a", "b"))
 
-    members = crowd.select("cid").distinct()
-    texts = keyed.join(cls.join(members, "cid", "left_semi").select(F.col("k.k0").alias("k0"), F.col("k.k1").alias("k1"), "cid"), ["k0", "k1"])
+    texts = keyed.join(cls.join(crowded, "cid", "left_semi").select(F.col("k.k0").alias("k0"), F.col("k.k1").alias("k1"), "cid"), ["k0", "k1"])
     sets = written(texts.select("cid", "text").mapInArrow(_sets, "cid binary, hs array<long>").dropDuplicates(["cid"]))
     links = written(spark.createDataFrame([], "a binary, b binary"))
     placed = crowd.withColumn("root", F.col("cid"))
 
     def mixed(roots: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components yet."""
-        now = written(crowd.select("bucket", "cid", "m").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+        now = written(crowd.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
         some = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
         return written(now.join(written(some), "bucket"))
 
     for r in range(rounds):
-        leaders = written(placed.groupBy("bucket").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", "bucket", F.lit(r))).alias("l")))
+        # one leader for a bucket's largest component and then for the rest: mostly the same one in all buckets of a group
+        led = placed if r == 0 else placed.join(_largest(placed), "bucket").where("root <> big")
+        leaders = written(led.groupBy("bucket").agg(F.max_by(F.struct("cid", "root"), F.struct("company", "cid")).alias("l")))
         pairs = placed.join(leaders, "bucket").where("root <> l.root").select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b")).distinct()
         links = written(links.union(_confirm(tested(pairs), sets)))
         placed = mixed(written(components(links)))
-    # what is left: pairs across components, in square blocks of the bucket
-    placed = written(placed.join(facts, "cid").withColumn("side", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("side")).cast("int")))
-    left = placed.withColumn("j", F.explode(F.sequence("i", F.col("side") - 1))).select("bucket", "i", "j", F.col("cid").alias("a"), F.col("root").alias("ar"), F.col("n").alias("an"), F.col("odd").alias("aodd"))
-    right = placed.withColumn("i2", F.explode(F.sequence(F.lit(0), F.col("i")))).select("bucket", F.col("i2").alias("i"), F.col("i").alias("j"), F.col("cid").alias("b"), F.col("root").alias("br"), F.col("n").alias("bn"), F.col("odd").alias("bodd"))
-    second = left.join(right, ["bucket", "i", "j"]).where((F.col("ar") != F.col("br")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & _near("a", "b"))
-    second = written(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = written(links.union(_confirm(second, sets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = written(links.union(_confirm(tested(across(placed, facts, sets)), sets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = written(components(links))
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     by_root = cls.select("cid", "low").join(roots.withColumnRenamed("node", "cid"), "cid").join(degree.withColumnRenamed("a", "cid"), "cid")
     lowest = written(by_root.groupBy("root").agg(F.min("low").alias("lowest")))
     found = written(cls.select("cid", "low").join(by_root.select("cid", "root", "links").join(lowest, "root").select("cid", "root", "lowest", "links"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), F.coalesce("lowest", "low").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
-    out = some.select("doc_id", "k0", "k1", "n", "cid").join(found, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "links", "k0", "k1", "root")
+    alone = F.col("doc_id").isNull() & F.col("component_id").isNull()  # in a component without any doc_id
+    out = some.select("doc_id", "k0", "k1", "n", "cid").join(found, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) | alone).alias("kept"), "links", "k0", "k1", "root")
     lone = sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("links"), "k0", "k1", F.lit(None).cast("binary").alias("root"))
     return out.unionByName(lone)
 

@@ -101,10 +101,26 @@ def test_near_duplicates_match_brute_force(spark, documents):
     odd = [(20_001, None), (20_002, ""), (20_003, " \t"), (20_004, "one two"), (20_005, "One  two"), (20_006, "two one")]
     every = base + more + odd
     want = brute_components(every)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(every, D), block=4).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(every, D)).collect()}
     assert got == want
 
 
+def test_family_around_the_similarity_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    base, k, family = [f"w{i}" for i in range(150)], 0, []
+    for parent in range(4):  # copies of one text, and copies of some of its copies
+        root = list(base if parent == 0 else family[parent * 17].split(" "))
+        for n in range(60):
+            v = list(root)
+            for i in rng.choice(len(v), n % 9, replace=False):
+                v[i], k = f"x{k}", k + 1
+            family.append(" ".join(v[: len(v) - (n % 5) * 3]))
+    every = list(enumerate(family + family[:20]))
+    want = brute_components(every)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(every, D)).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 5
+
+
 def test_keep_one(spark):
     t = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(2, t, "a"), (1, t, "b"), (1, t, "b"), (3, None, "c"), (3, "", "d"), (None, "x y", "e")], "doc_id long, text string, k0 string")
@@ -171,7 +187,7 @@ def test_runs_of_a_hot_anchor_are_split(spark):
     n, passage = 40, text(100)
     docs = [(i, text(50) + passage + text(50)) for i in range(60)]
     keyed = spark.createDataFrame(docs, D).withColumns({"k0": F.xxhash64("doc_id", "text"), "k1": F.xxhash64("text", "doc_id")})
-    runs = keyed.select("k0", "k1", "text").mapInArrow(suffixdup._cut(n), suffixdup._RUN).localCheckpoint()
+    runs = keyed.select("k0", "k1", "text").mapInArrow(suffixdup._cut(n), suffixdup._RUN).cache()
     split, kinds = suffixdup.spread(keyed, runs, n, 500)
     heavy = lambda k: max(r["b"] for r in k.groupBy("anchor").agg(F.sum(F.col("at.n") + n - 1).alias("b")).collect())
     assert heavy(suffixdup._kinds(runs)) > 1500 and heavy(kinds) <= 500
