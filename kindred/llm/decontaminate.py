@@ -1,13 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-A window can be as similar to an item as asked only if it shares a shingle with
-some item, so only texts with such a shingle go on, and windows start where a
-shared shingle puts the item's first word. Each window and each item gets a
-64-bit SimHash. Eight blocks of eight bits index the items under every value
-within three bits of their own: two fingerprints that differ in at most 31 bits
-agree to within three bits in at least one block, so the index misses none of
-them. Candidates are then held to the exact weighted (counted) Jaccard
-similarity of their shingles.
+A window can be as similar to an item as asked only if it has six in seven of
+the item's shingles, so only texts with three quarters of them go on, with the
+windows that hold enough of them, at any start. Each window and each item gets
+a 64-bit SimHash. Eight blocks of eight bits index the items under every value
+within two bits of their own: two fingerprints that differ in at most 23 bits
+agree to within two bits in at least one block, so the index misses none of
+them; at a similarity of 0.75 they differ in 11 on average, with a deviation of
+3. What is left is held to the exact weighted (counted) Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-BLOCKS, WIDTH, NEAR = 8, 8, 3
+BLOCKS, WIDTH, NEAR = 8, 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
 
 
@@ -47,14 +47,29 @@ def _common(a: str, b: str) -> Column:
     return F.expr(f"aggregate(array_intersect({a}, {b}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
 
 
+def _starts(similarity: float) -> Column:
+    """Where windows begin that have as many hits ``at`` as nearness takes; q words at most may lack on a side.
+
+    Windows between one hit and the next hold the same hits or fewer. Two
+    arrays of w and m shingles must have similarity / (1 + similarity) of
+    w + m in common: the hit that many places on must lie within the window.
+    """
+    need = f"cast(ceil({similarity / (1 + similarity)!r} * (least(m, most) + m) - 1e-9) as int)"
+    return F.expr(
+        f"flatten(transform(at, (p, i) -> filter(sequence(greatest(if(i = 0, 0, get(at, i - 1) + 1), p - q, 0), p), s -> (s = 0 OR s + m <= most) AND get(at, i + {need} - 1) < s + m)))"
+    )
+
+
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.75, shingle: int = 5, at_once: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, start, similarity) of every window of ``docs`` (doc_id, text) that is near an item (item_id, text).
 
-    Null and empty texts have no window; an item without words matches nothing.
-    An item, or its window, with fewer than ``shingle`` words has one shingle,
-    all its words. Rows that share a doc_id are taken together; repeated items
-    are reported each. The item shingles are broadcast ``at_once`` at most, in
-    as many passes as that takes.
+    A window is a run of as many words as the item has, or the whole of a
+    shorter text. Null and empty texts have no window; an item without words
+    matches nothing. An item with fewer than ``shingle`` words,
+    like its windows, has one shingle, all its words. Rows that share a doc_id
+    are taken together; repeated items are reported each; other columns are
+    ignored, and texts of any length are whole. The item shingles are broadcast
+    ``at_once`` at most, in as many passes as that takes.
     """
     spark = docs.sparkSession
     items = items.select("item_id", words(F.col("text")).alias("iw")).where("size(iw) > 0").withColumn("n", F.size("iw"))
@@ -63,33 +78,37 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.75, shingle:
     kind = docs.schema["doc_id"].dataType.simpleString()
     every = [spark.createDataFrame([], f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, similarity double")]
     for k in sizes:
-        own = items.where(F.col("k") == k)
-        grams = written(own.select("n", F.posexplode(_shingles("iw", k, True)).alias("ipos", "h")).distinct())
+        own = items.where(F.col("k") == k).withColumn("ih", _shingles("iw", k, True))
+        marked = own.select("item_id", "n", F.size("ih").alias("m"), "ih", simhash("ih").alias("iprint"), _shingles("iw", k, False).alias("it"))
+        marked = written(marked.withColumn("item", F.monotonically_increasing_id()))
+        grams = written(marked.select("item", "m", F.explode("ih").alias("h")).distinct())
         passes = -(-grams.count() // at_once)
         keyed = docs.select(*[F.xxhash64(*c).alias(f"k{i}") for i, c in enumerate((("doc_id", "text"), ("text", "doc_id")))], "doc_id", "text")
-        tokens = keyed.select("k0", "k1", words(F.col("text")).alias("w")).withColumn("h", _shingles("w", k, True))
-        found = []
+        tokens = keyed.select("k0", "k1", words(F.col("text")).alias("w")).withColumn("h", _shingles("w", k, True)).withColumn("most", F.size("h"))
+        hits = []
         for p in range(passes):
             some = F.broadcast(grams.where(F.pmod("h", F.lit(passes)) == p))
             # outer, since the filter that Spark adds below a plain explode would work out h, and w for each shingle, anew
-            hits = tokens.select("k0", "k1", F.posexplode_outer("h").alias("pos", "h")).join(some, "h")
-            found.append(hits.select("k0", "k1", F.struct(F.greatest(F.col("pos") - F.col("ipos"), F.lit(0)).alias("start"), "n").alias("at")).distinct())
-        hits = found[0]
-        for more in found[1:]:
-            hits = hits.unionByName(more)
-        hits = written(hits.groupBy("k0", "k1").agg(F.collect_set("at").alias("at")))  # at most a text's length for each item size
-        windows = keyed.join(hits, ["k0", "k1"]).select("doc_id", words(F.col("text")).alias("w"), F.explode_outer("at").alias("at"))
-        windows = windows.select("doc_id", "at.start", "at.n", F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("ww"))
+            found = tokens.select("k0", "k1", "most", F.posexplode_outer("h").alias("pos", "h")).join(some, "h")
+            hits.append(found.groupBy("k0", "k1", "item", "most", "m").agg(F.collect_set("pos").alias("at")))
+        reach = hits[0]
+        if passes > 1:
+            for more in hits[1:]:
+                reach = reach.unionByName(more)
+            reach = reach.groupBy("k0", "k1", "item", "most", "m").agg(F.flatten(F.collect_list("at")).alias("at"))
+        reach = reach.where(F.size("at") >= similarity * F.col("m")).select("k0", "k1", "item", "most", "m", F.array_sort("at").alias("at"), F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int").alias("q"))
+        reach = written(reach.select("k0", "k1", "item", _starts(similarity).alias("starts")).where("size(starts) > 0"))
+        windows = keyed.join(reach.join(marked.select("item", "n"), "item"), ["k0", "k1"]).select("doc_id", "item", "n", words(F.col("text")).alias("w"), F.explode_outer("starts").alias("s"))
+        windows = windows.select("doc_id", "item", F.col("s").alias("start"), F.slice("w", F.col("s") + 1, F.col("n")).alias("ww"))
         windows = windows.distinct().withColumn("wh", _shingles("ww", k, True)).where("size(wh) > 0").withColumn("print", simhash("wh")).withColumn("wt", _shingles("ww", k, False))
         windows = written(windows.drop("ww", "wh").withColumn("row", F.monotonically_increasing_id()))  # once written, the numbers stay
         block = lambda p: F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> shiftright({p}, b * {WIDTH}) & {2**WIDTH - 1}L)")
         masks = F.expr("array(" + ",".join(f"{m}L" for m in range(2**WIDTH) if m.bit_count() <= NEAR) + ")")
-        marked = own.withColumn("ih", _shingles("iw", k, True)).withColumn("iprint", simhash("ih")).withColumn("it", _shingles("iw", k, False))
-        marked = written(marked.select("item_id", "n", "iprint", "it").withColumn("item", F.monotonically_increasing_id()))
-        index = marked.select("item", "n", "iprint", F.posexplode(block("iprint")).alias("b", "v")).withColumn("v", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("v")))))
-        pairs = windows.select("row", "n", "print", F.posexplode(block("print")).alias("b", "v")).join(written(index), ["n", "b", "v"])
-        pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("iprint"))) <= RADIUS).select("row", "item").distinct()
-        held = pairs.join(windows.select("row", "doc_id", "start", "wt"), "row").join(marked.select("item", "item_id", "it"), "item")
+        index = marked.select("item", "iprint", F.posexplode(block("iprint")).alias("b", "v")).withColumn("v", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("v")))))
+        # the item is part of the key: only items whose shingles the window has are compared
+        pairs = windows.select("row", "item", "print", F.posexplode(block("print")).alias("b", "v")).join(written(index), ["item", "b", "v"])
+        pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("iprint"))) <= RADIUS).select("row").distinct()
+        held = pairs.join(windows.select("row", "item", "doc_id", "start", "wt"), "row").join(marked.select("item", "item_id", "it"), "item")
         held = held.withColumn("both", _common("wt", "it")).withColumn("union", F.size("wt") + F.size("it") - F.col("both"))
         every.append(held.where(F.col("both") >= similarity * F.col("union")).select("doc_id", "item_id", "start", (F.col("both") / F.col("union")).alias("similarity")))
     out = every[0]
@@ -99,7 +118,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.75, shingle:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contaminated documents: doc_id, item_id, how many windows match, and the best similarity."""
+    """The contaminated documents: doc_id, item_id, how many windows are near, and the best similarity."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = leaks(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text"))
     return found.groupBy("doc_id", "item_id").agg(F.countDistinct("start").alias("n_windows"), F.round(F.max("similarity"), 6).alias("similarity"))

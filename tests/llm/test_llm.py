@@ -213,7 +213,8 @@ def test_leaks(spark):
     filler = " ".join(f"f{k}" for k in range(50))
     docs = [(1, f"{filler} {item.upper()} {filler}"), (2, f"{near}"), (3, filler), (4, None), (5, ""), (6, " ".join(item.split()[:10])), (7, "solo thing"), (8, f"{filler} solo thing now")]
     items = spark.createDataFrame([(1, item), (2, "solo thing"), (3, None), (4, " ")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(spark.createDataFrame(docs, D), items).collect()}
+    found = decontaminate.leaks(spark.createDataFrame(docs, D), items).collect()  # shifted windows, too
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in sorted(found, key=lambda r: r["similarity"])}
     assert set(got) == {(1, 1), (7, 2), (8, 2)} and got[1, 1] == 1.0  # one word of 20 changed takes five shingles of 16: 11 / 21
     kept = decontaminate.drop_leaking(spark.createDataFrame(docs, D), items)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 6]
@@ -224,10 +225,49 @@ def test_leaks_near_copy(spark):
     item = " ".join(f"i{k}" for k in range(60))
     docs = [(1, "a b c " + item.replace("i30", "zz") + " d e"), (2, item.replace("i10", "zz").replace("i40", "yy").replace("i50", "xx"))]
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = {r["doc_id"]: r["similarity"] for r in decontaminate.leaks(spark.createDataFrame(docs, D), items).collect()}
+    found = decontaminate.leaks(spark.createDataFrame(docs, D), items).collect()  # shifted windows, too
+    got = {r["doc_id"]: r["similarity"] for r in sorted(found, key=lambda r: r["similarity"])}
     assert set(got) == {1} and got[1] == pytest.approx(51 / 61)
 
 
+def brute_windows(docs, items):
+    """All (doc, item, start) of item-sized windows with a counted similarity of 0.75 or more."""
+    out = set()
+    for item, it in items:
+        iw = words(it)
+        n = len(iw)
+        k = min(n, 5)
+        want = collections.Counter(tuple(iw[i : i + k]) for i in range(n - k + 1))
+        for doc, text in docs if n else []:
+            w = words(text)
+            for s in range(max(len(w) - n, 0) + 1):
+                own = w[s : s + n]
+                have = collections.Counter(tuple(own[i : i + k]) for i in range(len(own) - k + 1))
+                both = sum((have & want).values())
+                if both and 4 * both >= 3 * (have.total() + want.total() - both):
+                    out.add((doc, item, s))
+    return out
+
+
+def test_leaks_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"i{i}w{k}" if i != 3 else f"r{k % 4}" for k in range(n))) for i, n in enumerate((20, 35, 60, 40, 3, 5, 6))]
+    docs = []
+    for d in range(160):
+        w = items[d % 7][1].split()
+        for _ in range(d % 4):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + 1] = [[], [f"x{d}"], [w[at], f"y{d}"]][int(rng.integers(0, 3))]
+        w = w[int(rng.integers(0, 3)) * (d % 3) :]
+        if d % 5 == 0:
+            w = w[len(w) // 2 :] + w[: len(w) // 2]
+        fill = [f"f{d}_{k}" for k in range(int(rng.integers(0, 12)))]
+        docs.append((d, " ".join(fill[: d % 5] + w + (w if d % 11 == 0 else []) + fill)))
+    want = brute_windows(docs, items)
+    got = {(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.leaks(spark.createDataFrame(docs, D), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and {x[:2] for x in got} == {x[:2] for x in want}
+
+
 def test_native_stages_run_no_python(spark):
     docs = spark.createDataFrame([(1, "password=abcdefgh", "s")], "doc_id long, text string, source string")
     for df in (secretscan.scan(docs), decontaminate.leaks(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))):
