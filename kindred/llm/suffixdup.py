@@ -1,14 +1,14 @@
 """Exact substring duplicates by external induced sorting of suffixes.
 
-Every window of ``length`` bytes is named by its anchor, the 16-byte gram of
-the smallest hash in it, so equal windows have equal anchors. Consecutive
-windows with one anchor form a run. Runs of an anchor with more bytes than a
+Every window of ``window`` bytes is named by its anchor, the 32-byte gram of
+the smallest hash in it, so equal windows have equal anchors, and so have the
+beginnings of equal strings of ``length``, at least as long. Consecutive
+windows with one anchor form a run, with the bytes up to ``length`` that follow. Runs of an anchor with more bytes than a
 shard may have are split, in up to three steps, by where the anchor lies in the
 window and by the bytes that all windows of such a part share; equal windows
-stay together. Runs whose anchor occurs once in the corpus
-hold no repeated window and are done. The rest, identical runs taken together
-with their count, are dealt to shards by anchor, so that equal windows always
-meet in one shard. A shard's suffixes are sorted by induced sorting: the
+stay together. Identical runs are taken together with their count: those whose
+anchor has no other run are done, repeated throughout or not at all. The rest
+are dealt to shards by anchor, so that equal windows always meet in one shard. A shard's suffixes are sorted by induced sorting: the
 leftmost-smaller suffixes' substrings are ranked and named, equal names send
 the names' string through the same steps again (or, once its names are many and
 rare, through a sort by doubled prefixes), and their order induces that of the
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, ship, table, written
 
-GRAM = 16
+GRAM = 32
+_ZERO = np.zeros(1, np.int64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,14 +52,23 @@ class Queues:
 
     def put(self, symbols: np.ndarray, values: np.ndarray) -> None:
         """Append in the given order."""
-        if not len(values):
+        if len(values) <= 12:  # most symbols of a names' string: no array work pays
+            data, fill = self.data, self.fill
+            for c, x in zip(symbols.tolist(), values.tolist(), strict=True):
+                at = fill[c]
+                data[at] = x
+                fill[c] = at + 1
             return
-        order = np.argsort(symbols, kind="stable")
+        order = symbols.argsort(kind="stable")
         s = symbols[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        place = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)])) + self.fill[s]
+        first = (s[1:] != s[:-1]).nonzero()[0] + 1
+        first = np.concatenate([_ZERO, first])
+        size = np.empty(len(first), np.int64)
+        np.subtract(first[1:], first[:-1], out=size[:-1])
+        size[-1] = len(s) - first[-1]
+        place = np.arange(len(s)) + (self.fill[s[first]] - first).repeat(size)
         self.data[place] = values[order]
-        self.fill[s[first]] += np.diff(np.r_[first, len(s)])
+        self.fill[s[first]] += size
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -204,28 +214,21 @@ def _name(t: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.unique(rank, return_inverse=True)[1].astype(np.int64)
 
 
-def common_prefix(t: np.ndarray, order: np.ndarray, most: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Common prefix of each suffix of ``order`` with the one before, ``most`` at most, eight symbols at a time."""
-    a, b = order[:-1], order[1:]
-    byte = np.r_[t.astype(np.uint8), np.zeros(most + 16, np.uint8)]
+def common_prefix(data: np.ndarray, order: np.ndarray, most: int, at_once: int = 4096) -> np.ndarray:
+    """Common prefix of each suffix of ``order`` with the one before, ``most`` at most; whole stretches are compared at a time."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(most + 1, np.uint8)]), most)
     out = np.zeros(len(order), np.int64)
-    left = np.arange(len(a))
-    done = np.zeros(len(a), np.int64)
-    words = byte[: len(byte) - 7].astype(np.uint64)
-    for j in range(1, 8):
-        words = words | byte[j : len(byte) - 7 + j].astype(np.uint64) << np.uint64(8 * j)
-    while len(left):
-        x = words[a[left] + done[left]] ^ words[b[left] + done[left]]
-        low = x & (~x + np.uint64(1))
-        same = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
-        done[left] += same
-        left = left[(x == 0) & (done[left] < most)]
-    out[1:] = np.minimum(done, most)
+    for lo in range(1, len(order), at_once):
+        hi = min(lo + at_once, len(order))
+        both = rows[order[lo - 1 : hi]]
+        other = both[1:] != both[:-1]
+        first = other.argmax(1)
+        out[lo:hi] = np.where(other[np.arange(hi - lo), first], first, most)
     return out
 
 
-def repeated_starts(runs: list[bytes], starts: np.ndarray, weights: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each run, which of its window starts (starts of them, from its first byte) hold a window seen twice, runs counting weights times."""
+def repeated_starts(runs: list[bytes], starts: np.ndarray, weights: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each run, which of its starts (starts of them, from its first byte) begin a string of ``length`` that is seen twice, runs counting weights times; and its longest string seen twice, ``length`` at most."""
     size = np.array([len(r) + 1 for r in runs], np.int64)
     base = np.cumsum(size) - size
     # byte b is symbol b + 2, a run's end 1, the end of all 0
@@ -239,16 +242,22 @@ def repeated_starts(runs: list[bytes], starts: np.ndarray, weights: np.ndarray,
         order = suffix_order(t, folder)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    weight = np.zeros(len(t), np.int64)
-    at = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(base, starts)
+    inside = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+    at = inside + np.repeat(base, starts)
+    weight, left = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
     weight[at] = np.repeat(weights, starts)
-    mine = order[weight[order] > 0]  # windows are whole within their run: no end is reached
-    lcp = common_prefix(np.r_[t[:-1] - 2, 0], mine, length)
-    group = np.cumsum(lcp < length)
-    total = np.bincount(group, weight[mine])
+    left[at] = np.minimum(np.repeat(size - 1, starts) - inside, length)  # bytes up to the run's end
+    mine = order[weight[order] > 0]
+    some, own = left[mine], weight[mine] > 1
+    common = common_prefix((t[:-1] - 2).astype(np.uint8), mine, length)
+    common[1:] = np.minimum(common[1:], np.minimum(some[1:], some[:-1]))
+    group = np.cumsum(common < length)
     again = np.zeros(len(t), bool)
-    again[mine] = total[group] > 1
-    return [again[b : b + n] for b, n in zip(base, starts, strict=True)]
+    again[mine] = (np.bincount(group, weight[mine])[group] > 1) & (some >= length)
+    best = np.maximum(common, np.concatenate([common[1:], _ZERO]))
+    longest = np.zeros(len(t), np.int64)
+    longest[mine] = np.maximum(best, np.where(own, some, 0))
+    return [again[b : b + n] for b, n in zip(base, starts, strict=True)], np.array([longest[b : b + n].max(initial=0) for b, n in zip(base, starts, strict=True)], np.int64)
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,13 +268,16 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64)
     x = data.astype(np.uint64)
-    x = x[:-1] | x[1:] << np.uint64(8)
-    x = x[:-2] | x[2:] << np.uint64(16)
-    x = x[:-4] | x[4:] << np.uint64(32)
+    for k in (1, 2, 4):
+        x = x[:-k] | x[k:] << np.uint64(8 * k)
+    k = 8
     with np.errstate(over="ignore"):
-        h = (x[:-8] * _M1) ^ (x[8:] * _M2 >> np.uint64(1))
-        h ^= h >> np.uint64(32)
-        h *= _M1
+        while k < GRAM:
+            x = (x[:-k] * _M1) ^ (x[k:] * _M2 >> np.uint64(1))
+            x ^= x >> np.uint64(32)
+            x *= _M1
+            k *= 2
+    h = x
     key = (h & np.uint64(0xFFFFFFFFFC000000)) | np.arange(len(h), dtype=np.uint64) if len(h) <= 1 << 26 else None
     if key is None:
         raise ValueError("texts beyond 64 MB must be cut by the caller")
@@ -280,98 +292,108 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return first, count, place[first], h[place[first]]
 
 
-def _cut(length: int, most: int = 1 << 26):
+def _name_run(raw: bytes, start: int, n: int, length: int) -> tuple[int, int]:
+    """Size of a run, whose strings go on to ``length`` where the text does, and a digest of it."""
+    own = raw[start : start + n - 1 + length]
+    return len(own), int.from_bytes(hashlib.md5(b"%d " % n + own).digest()[:8], "little", signed=True)
+
+
+def _cut(window: int, length: int, most: int = 1 << 26):
     def run(batches):
         for b in pieces(batches):
-            out = {k: [] for k in ("k0", "k1", "anchor", "place", "start", "n", "digest")}
+            out = {k: [] for k in ("k0", "k1", "anchor", "start", "n", "size", "digest")}
             for k0, k1, text in zip(b.column("k0").to_pylist(), b.column("k1").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                if text is None or len(text) < length:
+                if text is None or len(text) < window:
                     continue
                 data = np.frombuffer(text, np.uint8)
-                for lo in range(0, len(text) - length + 1, most - length + 1):  # pieces overlap by length - 1
-                    first, count, place, h = anchors(data[lo : lo + most], length)
-                    first, place = first + lo, place + lo
+                for lo in range(0, len(text) - window + 1, most - window + 1):  # pieces overlap by window - 1
+                    first, count, _, h = anchors(data[lo : lo + most], window)
+                    first = first + lo
                     out["k0"] += [k0] * len(first)
                     out["k1"] += [k1] * len(first)
                     out["anchor"].append(h.view(np.int64))
-                    out["place"].append(place)
                     out["start"].append(first)
                     out["n"].append(count)
-                    out["digest"] += [hashlib.md5(text[i : i + c + length - 1]).digest() for i, c in zip(first.tolist(), count.tolist(), strict=True)]
+                    for i, c in zip(first.tolist(), count.tolist(), strict=True):
+                        size, digest = _name_run(text, i, c, length)
+                        out["size"].append(size)
+                        out["digest"].append(digest)
             if out["k0"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out["k0"]), pa.array(out["k1"]), pa.array(np.concatenate(out["anchor"])), pa.array(np.concatenate(out["place"]).astype(np.int32)), pa.array(np.concatenate(out["start"]).astype(np.int32)), pa.array(np.concatenate(out["n"]).astype(np.int32)), pa.array(out["digest"], pa.binary())], list(out))
+                cols = [pa.array(out["k0"]), pa.array(out["k1"]), pa.array(np.concatenate(out["anchor"])), pa.array(np.concatenate(out["start"]).astype(np.int32)), pa.array(np.concatenate(out["n"]).astype(np.int32)), pa.array(out["size"], pa.int32()), pa.array(out["digest"], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, list(out))
 
     return run
 
 
-def _split(length: int, width: int):
+def _split(window: int, length: int, width: int):
     """Runs cut where the anchor's offset in the window passes a multiple of width, keyed by the bytes in all windows of such offsets."""
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 raw = r["text"].encode("utf-8", "surrogatepass")
+                data = np.frombuffer(raw, np.uint8)
                 out = []
                 for x in r["runs"]:
                     last = x["start"] + x["n"] - 1
-                    for tier in range((x["place"] - last) // width, (x["place"] - x["start"]) // width + 1):
+                    # the anchor is the same in all windows of the run: its first one tells where it lies
+                    place = x["start"] + int(anchors(data[x["start"] : x["start"] + window], window)[2][0])
+                    for tier in range((place - last) // width, (place - x["start"]) // width + 1):
                         near, far = tier * width, tier * width + width - 1
-                        lo, hi = max(x["start"], x["place"] - far), min(last, x["place"] - near)
-                        shared = raw[x["place"] - near : x["place"] - far + length]
+                        lo, hi = max(x["start"], place - far), min(last, place - near)
+                        shared = raw[place - near : place - far + window]
                         key = hashlib.md5(b"%d %d %d " % (x["anchor"], width, tier) + shared).digest()[:8]
-                        out.append((r["k0"], r["k1"], int.from_bytes(key, "little", signed=True), x["place"], lo, hi - lo + 1, hashlib.md5(raw[lo : hi + length]).digest()))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["k0", "k1", "anchor", "place", "start", "n", "digest"])
+                        out.append((r["k0"], r["k1"], int.from_bytes(key, "little", signed=True), lo, hi - lo + 1, *_name_run(raw, lo, hi - lo + 1, length)))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["k0", "k1", "anchor", "start", "n", "size", "digest"])
 
     return run
 
 
-_RUN = "k0 long, k1 long, anchor long, place int, start int, n int, digest binary"
+_RUN = "k0 long, k1 long, anchor long, start int, n int, size int, digest long"
 
 
 def _kinds(runs: DataFrame) -> DataFrame:
     """Distinct runs with their counts and one place of each."""
-    return runs.groupBy("anchor", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("k0", "k1", "start", "n")).alias("at"))
+    return runs.groupBy("anchor", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("k0", "k1", "start", "n", "size")).alias("at"))
 
 
-def spread(keyed: DataFrame, runs: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+def spread(keyed: DataFrame, runs: DataFrame, window: int, length: int, most: int) -> tuple[DataFrame, DataFrame]:
     """The runs, those of anchors whose distinct runs have more than ``most`` bytes split, and their kinds."""
     kinds = written(_kinds(runs))
-    for width in (max(1, length // 6), max(1, length // 48), 1):
-        hot = kinds.groupBy("anchor").agg(F.sum(F.col("at.n") + (length - 1)).alias("b"), F.count("*").alias("m")).where((F.col("b") > most) & (F.col("m") > 1)).select("anchor")
+    for width in (max(1, window // 6), max(1, window // 48), 1):
+        hot = kinds.groupBy("anchor").agg(F.sum("at.size").alias("b"), F.count("*").alias("m")).where((F.col("b") > most) & (F.col("m") > 1)).select("anchor")
         hot = written(hot)  # no more than all bytes / most
         if hot.isEmpty():
             break
         hot = F.broadcast(hot)
-        texts = runs.join(hot, "anchor").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "place", "start", "n")).alias("runs"))
-        parts = keyed.select("k0", "k1", "text").join(written(texts), ["k0", "k1"]).mapInArrow(_split(length, width), _RUN)
+        texts = runs.join(hot, "anchor").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
+        parts = keyed.select("k0", "k1", "text").join(written(texts), ["k0", "k1"]).mapInArrow(_split(window, length, width), _RUN)
         parts = written(parts)
         runs = runs.join(hot, "anchor", "left_anti").unionByName(parts)
         kinds = written(kinds.join(hot, "anchor", "left_anti").unionByName(_kinds(parts)))
     return runs, kinds
 
 
-def _fetch(length: int):
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                raw = r["text"].encode("utf-8", "surrogatepass")
-                runs = r["runs"]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([x["anchor"] for x in runs]), pa.array([x["digest"] for x in runs], pa.binary()), pa.array([x["n"] for x in runs], pa.int32()), pa.array([x["weight"] for x in runs], pa.int64()),
-                    pa.array([raw[x["start"] : x["start"] + x["n"] + length - 1] for x in runs], pa.binary()),
-                ], ["anchor", "digest", "n", "weight", "bytes"])
-
-    return run
+def _fetch(batches):
+    for b in batches:
+        for r in b.to_pylist():
+            raw = r["text"].encode("utf-8", "surrogatepass")
+            runs = r["runs"]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([x["anchor"] for x in runs]), pa.array([x["digest"] for x in runs], pa.int64()), pa.array([x["n"] for x in runs], pa.int32()), pa.array([x["weight"] for x in runs], pa.int64()),
+                pa.array([raw[x["start"] : x["start"] + x["size"]] for x in runs], pa.binary()),
+            ], ["anchor", "digest", "n", "weight", "bytes"])
 
 
-def _sort(length: int):
+def _sort(window: int, length: int):
     def run(key, rows):
         runs = rows.column("bytes").to_pylist()
         starts, weights = np.asarray(rows.column("n"), dtype=np.int64), np.asarray(rows.column("weight"))
-        found = repeated_starts(runs, starts, weights, length)
-        some = [k for k, f in enumerate(found) if f.any()]
-        return pa.table({"anchor": rows.column("anchor").take(pa.array(some, pa.int64())), "digest": rows.column("digest").take(pa.array(some, pa.int64())), "hit": pa.array([np.packbits(found[k]).tobytes() for k in some], pa.binary())})
+        found, longest = repeated_starts(runs, starts, weights, length)
+        some = np.flatnonzero(longest >= window).tolist()
+        at = pa.array(some, pa.int64())
+        return pa.table({"anchor": rows.column("anchor").take(at), "digest": rows.column("digest").take(at), "longest": pa.array(longest[some], pa.int32()), "hit": pa.array([np.packbits(found[k]).tobytes() if found[k].any() else b"" for k in some], pa.binary())})
 
     return run
 
@@ -383,45 +405,60 @@ def _remove(length: int):
             for r in b.to_pylist():
                 raw = (r["text"] or "").encode("utf-8", "surrogatepass")
                 cover = np.zeros(len(raw) + 1, np.int64)
-                for x in r["runs"] or []:
-                    at = x["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["hit"], np.uint8), count=x["n"]))
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + length, -1)
+                for x in r["runs"]:
+                    # without bits every start has the strings of the run's copies
+                    hit = np.arange(x["size"] - length + 1) if x["hit"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(x["hit"], np.uint8), count=x["n"]))
+                    np.add.at(cover, x["start"] + hit, 1)
+                    np.add.at(cover, x["start"] + hit + length, -1)
                 gone = np.cumsum(cover)[:-1] > 0
-                spans = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+                spans = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((r["doc_id"], len(raw), int(gone.sum()), len(spans) // 2, hashlib.sha256(kept).hexdigest(), spans.tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                out.append((r["doc_id"], len(raw), int(gone.sum()), len(spans) // 2, hashlib.sha256(kept).hexdigest(), spans.tolist(), r["longest"]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "longest_repeat"])
 
     return run
 
 
-def substring_duplicates(docs: DataFrame, length: int = 400, shard_bytes: int = 4_000_000) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (starts and ends in turn).
+def substring_duplicates(docs: DataFrame, length: int = 400, window: int = 260, shard_bytes: int = 4_000_000) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts and ends in turn) and longest_repeat.
 
     Removes every byte of a text's UTF-8 that a string of ``length`` bytes
-    covers which also starts anywhere else, judged on the texts as given. Null
-    texts count as empty; repeated rows are texts of their own.
+    covers which also starts anywhere else, judged on the texts as given.
+    longest_repeat is the longest string of the text that starts anywhere else,
+    too: ``length`` stands for that and more, and what is below ``window`` (at
+    most ``length``) counts as 0. Null texts count as empty; repeated rows are
+    texts of their own; other columns are ignored. Texts of any length are
+    whole: beyond 64 MB they are cut into overlapping pieces.
     """
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k0"), F.xxhash64("text", "doc_id").alias("k1"))
-    runs = written(keyed.select("k0", "k1", "text").mapInArrow(_cut(length), _RUN))
-    runs, kinds = spread(keyed, runs, length, shard_bytes)
-    often = kinds.groupBy("anchor").agg(F.sum("weight").alias("all")).where("all > 1").select("anchor")
+    runs = written(keyed.select("k0", "k1", "text").mapInArrow(_cut(window, length), _RUN))
+    runs, kinds = spread(keyed, runs, window, length, shard_bytes)
+    often = kinds.groupBy("anchor").agg(F.sum("weight").alias("all"), F.count("*").alias("m")).where("all > 1")
     kinds = written(kinds.join(written(often), "anchor"))
-    total = kinds.agg(F.coalesce(F.sum(F.col("at.n") + (length - 1)), F.lit(0)).alias("b")).first()["b"]
+    # an anchor with one kind of run: its copies agree wherever they begin, and nothing else can
+    alike = kinds.where("m = 1").select("anchor", "digest", F.least(F.col("at.size"), F.lit(length)).alias("longest"), F.lit(None).cast("binary").alias("hit"))
+    kinds = kinds.where("m > 1")
+    total = kinds.agg(F.coalesce(F.sum("at.size"), F.lit(0)).alias("b")).first()["b"]
     shards = max(1, -(-int(total) // shard_bytes))
-    wanted = kinds.groupBy("at.k0", "at.k1").agg(F.collect_list(F.struct("anchor", "digest", F.col("at.start").alias("start"), F.col("at.n").alias("n"), "weight")).alias("runs"))
+    wanted = kinds.groupBy("at.k0", "at.k1").agg(F.collect_list(F.struct("anchor", "digest", F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.size").alias("size"), "weight")).alias("runs"))
     fetched = keyed.select("k0", "k1", "text").join(written(wanted), ["k0", "k1"])
-    fetched = fetched.select("text", "runs").mapInArrow(_fetch(length), "anchor long, digest binary, n int, weight long, bytes binary")
+    fetched = fetched.select("text", "runs").mapInArrow(_fetch, "anchor long, digest long, n int, weight long, bytes binary")
     fetched = fetched.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    hits = written(fetched.groupBy("shard").applyInArrow(_sort(length), "anchor long, digest binary, hit binary").dropDuplicates(["anchor", "digest"]))
-    told = runs.join(hits, ["anchor", "digest"]).groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "n", "hit")).alias("runs"))
-    out = keyed.join(written(told), ["k0", "k1"], "left").select("doc_id", "text", "runs")
-    return out.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    hits = fetched.groupBy("shard").applyInArrow(_sort(window, length), "anchor long, digest long, longest int, hit binary")
+    hits = written(hits.unionByName(alike).dropDuplicates(["anchor", "digest"]))
+    marks = F.collect_set(F.when((F.col("size") >= length) & (F.col("hit").isNull() | (F.length("hit") > 0)), F.struct("start", "n", "size", "hit")))  # nulls are left out
+    told = written(runs.join(hits, ["anchor", "digest"]).groupBy("k0", "k1").agg(marks.alias("runs"), F.max("longest").cast("long").alias("longest")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = keyed.join(told, ["k0", "k1"], "left").select("doc_id", "text", "runs", "longest")
+    whole = F.coalesce(F.size("runs"), F.lit(0)) < 1
+    zero = F.lit(0).cast("long")
+    untouched = out.where(whole).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<bigint>").alias("spans"), F.coalesce("longest", zero).alias("longest_repeat"))
+    cut = out.where(~whole).mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, longest_repeat long")
+    return untouched.unionByName(cut)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,7 +159,8 @@ def test_suffix_order(n, k):
     assert suffixdup.suffix_order(t, None, base=8).tolist() == sorted(range(n + 1), key=lambda i: b[i:])
 
 
-def test_substring_duplicates_match_brute_force(spark, documents):
+@pytest.mark.parametrize("window", [32, 40])
+def test_substring_duplicates_match_brute_force(spark, window):
     rng = np.random.default_rng(5)
     text = lambda n: "".join(rng.choice(list("abé "), n))
     shared = text(90)
@@ -176,8 +177,14 @@ def test_substring_duplicates_match_brute_force(spark, documents):
                 gone[j : j + n] = True
         spans = int(np.sum(np.diff(np.r_[False, gone].astype(int)) == 1))
         want[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
-    got = {r[0]: tuple(r[1:5]) for r in suffixdup.substring_duplicates(spark.createDataFrame(every, D), length=n, shard_bytes=500).collect()}
+    longest = dict.fromkeys(raw, 0)
+    for m in range(window, n + 1):
+        of_m = collections.Counter(b[j : j + m] for b in raw.values() for j in range(len(b) - m + 1))
+        longest |= {i: m for i, b in raw.items() if any(of_m[b[j : j + m]] > 1 for j in range(len(b) - m + 1))}
+    found = suffixdup.substring_duplicates(spark.createDataFrame(every, D), length=n, window=window, shard_bytes=500).collect()
+    got = {r[0]: tuple(r[1:5]) for r in found}
     assert got == want
+    assert {r["doc_id"]: r["longest_repeat"] for r in found} == longest
     assert suffixdup.substring_duplicates(spark.createDataFrame([], D)).count() == 0
 
 
@@ -187,21 +194,21 @@ def test_runs_of_a_hot_anchor_are_split(spark):
     n, passage = 40, text(100)
     docs = [(i, text(50) + passage + text(50)) for i in range(60)]
     keyed = spark.createDataFrame(docs, D).withColumns({"k0": F.xxhash64("doc_id", "text"), "k1": F.xxhash64("text", "doc_id")})
-    runs = keyed.select("k0", "k1", "text").mapInArrow(suffixdup._cut(n), suffixdup._RUN).cache()
-    split, kinds = suffixdup.spread(keyed, runs, n, 500)
-    heavy = lambda k: max(r["b"] for r in k.groupBy("anchor").agg(F.sum(F.col("at.n") + n - 1).alias("b")).collect())
+    runs = keyed.select("k0", "k1", "text").mapInArrow(suffixdup._cut(n, n), suffixdup._RUN).cache()
+    split, kinds = suffixdup.spread(keyed, runs, n, n, 500)
+    heavy = lambda k: max(r["b"] for r in k.groupBy("anchor").agg(F.sum("at.size").alias("b")).collect())
     assert heavy(suffixdup._kinds(runs)) > 1500 and heavy(kinds) <= 500
     assert split.agg(F.sum("n")).first()[0] == runs.agg(F.sum("n")).first()[0] == sum(len(t) - n + 1 for _, t in docs)
     seen = collections.Counter(t[i : i + n] for _, t in docs for i in range(len(t) - n + 1))
     want = {d: len({j for i in range(len(t) - n + 1) if seen[t[i : i + n]] > 1 for j in range(i, i + n)}) for d, t in docs}
-    got = suffixdup.substring_duplicates(keyed.select("doc_id", "text"), length=n, shard_bytes=500).collect()
+    got = suffixdup.substring_duplicates(keyed.select("doc_id", "text"), length=n, window=n, shard_bytes=500).collect()
     assert {r["doc_id"]: r["n_removed"] for r in got} == want
 
 
 def test_long_texts_are_cut_into_pieces():
     t = bytes(np.random.default_rng(7).integers(97, 101, 1000).astype(np.uint8))
     b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([t.decode()])], ["k0", "k1", "text"])
-    whole, cut = (next(suffixdup._cut(40, most)([b])) for most in (1 << 26, 150))
+    whole, cut = (next(suffixdup._cut(40, 40, most)([b])) for most in (1 << 26, 150))
     spell = lambda r: [(s + i, a) for a, s, n in zip(r["anchor"].to_pylist(), r["start"].to_pylist(), r["n"].to_pylist(), strict=True) for i in range(n)]
     assert spell(cut) == spell(whole) and len(spell(cut)) == 961
 
