@@ -403,7 +403,10 @@ def _remove(length: int):
         for b in batches:
             out = []
             for r in b.to_pylist():
-                raw = (r["text"] or "").encode("utf-8", "surrogatepass")
+                if r["sha"]:
+                    out.append((r["doc_id"], r["n_bytes"], 0, 0, r["sha"], [], r["longest"]))
+                    continue
+                raw = r["text"].encode("utf-8", "surrogatepass")
                 cover = np.zeros(len(raw) + 1, np.int64)
                 for x in r["runs"]:
                     # without bits every start has the strings of the run's copies
@@ -453,12 +456,10 @@ def substring_duplicates(docs: DataFrame, length: int = 400, window: int = 260,
     marks = F.collect_set(F.when((F.col("size") >= length) & (F.col("hit").isNull() | (F.length("hit") > 0)), F.struct("start", "n", "size", "hit")))  # nulls are left out
     told = written(runs.join(hits, ["anchor", "digest"]).groupBy("k0", "k1").agg(marks.alias("runs"), F.max("longest").cast("long").alias("longest")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = keyed.join(told, ["k0", "k1"], "left").select("doc_id", "text", "runs", "longest")
-    whole = F.coalesce(F.size("runs"), F.lit(0)) < 1
-    zero = F.lit(0).cast("long")
-    untouched = out.where(whole).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<bigint>").alias("spans"), F.coalesce("longest", zero).alias("longest_repeat"))
-    cut = out.where(~whole).mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, longest_repeat long")
-    return untouched.unionByName(cut)
+    # only texts that lose bytes go to Python
+    cut = F.size("runs") > 0
+    out = keyed.join(told, ["k0", "k1"], "left").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.when(~F.coalesce(cut, F.lit(False)), F.sha2(text.cast("binary"), 256)).alias("sha"), F.when(cut, F.col("text")).alias("text"), "runs", F.coalesce("longest", F.lit(0).cast("long")).alias("longest"))
+    return out.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, longest_repeat long")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
