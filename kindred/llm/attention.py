@@ -156,12 +156,14 @@ class Attention:
         da = d @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(1 / np.sqrt(self.dim))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        lane = np.arange(self.dim)
         for name, at, by in (("r", x[:, STEP:], d), ("v", x, dv), ("q", x[:, STEP:], dq), ("k", x, dk)):
-            np.add.at(g[name], at.ravel(), by.reshape(-1, self.dim))
+            flat = (at.reshape(-1, 1) * self.dim + lane).ravel()
+            g[name] += np.bincount(flat, by.ravel(), g[name].size).reshape(g[name].shape).astype(np.float32)
         g["pq"], g["pk"] = dq.sum(0), dk.sum(0)
         return loss / n, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, rate: float = 0.01, batch: int = 48, seed: int = 0, weight: np.ndarray | None = None) -> float:
+    def train(self, x: np.ndarray, y: np.ndarray, rate: float = 0.01, batch: int = 256, seed: int = 0, weight: np.ndarray | None = None) -> float:
         """One pass of Adam over the windows, which count weight times; the mean loss before each step."""
         order = np.random.default_rng(seed).permutation(len(x))
         first = {n: np.zeros_like(t) for n, t in self.p.items()}
@@ -172,9 +174,19 @@ class Attention:
             loss, g = self.gradient(x[at], y[at], None if weight is None else weight[at])
             losses.append(loss)
             for n, t in self.p.items():
-                first[n] += 0.1 * (g[n] - first[n])
-                second[n] += 0.01 * (g[n] ** 2 - second[n])
-                t -= rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)
+                u, v, d = first[n], second[n], g[n]
+                u *= np.float32(0.9)
+                u += np.float32(0.1) * d
+                v *= np.float32(0.99)
+                d *= d
+                d *= np.float32(0.01)
+                v += d
+                np.sqrt(v, out=d)
+                d *= np.float32(1 / np.sqrt(1 - 0.99**step))
+                d += np.float32(1e-8)
+                np.divide(u, d, out=d)
+                d *= np.float32(rate / (1 - 0.9**step))
+                t -= d
         return float(np.mean(losses)) if losses else 0.0
 
     def vector(self) -> np.ndarray:

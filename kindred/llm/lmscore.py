@@ -88,6 +88,7 @@ def unstrip(strip: bytes, pad: int) -> tuple[np.ndarray, np.ndarray]:
     x = x.reshape(-1, STEP)
     return np.concatenate([x[:-1], x[1:]], 1), y.reshape(-1, STEP)[1:]
 
+_TUNED = "block int, w double, v array<float>"
 _PREPARED = "kind string, part long, code int, word string, n long, blob binary"
 
 
@@ -139,12 +140,18 @@ def _prepare(shared, fraction: int, piece: int):
 
 
 def _add_pairs(key, rows):
-    """All counts of one block of first ids."""
+    """The counts of some blobs of one block of first ids, as one blob."""
     total = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for raw, n in zip(rows.column("blob").to_pylist(), rows.column("n").to_pylist(), strict=True):
         both = np.frombuffer(pa.decompress(raw, n, "zstd", asbytes=True), np.int64)
         total = _merge(*total, both[: len(both) // 2], both[len(both) // 2 :])
-    return pa.table({"code": total[0], "n": total[1]})
+    raw = np.concatenate(total).tobytes()
+    return pa.table({"code": rows.column("code").slice(0, 1), "n": pa.array([len(raw)], pa.int64()), "blob": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())})
+
+
+def salted(rows: DataFrame, most: int) -> DataFrame:
+    """rows with a salt that deals them into groups of about ``most``."""
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(max(1, -(-rows.count() // most)))).cast("int"))
 
 
 def _merge(k1, c1, k2, c2):
@@ -197,14 +204,16 @@ def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_wind
         def mean(key, rows):
             w = np.asarray(rows.column("w"))
             v = np.stack([np.asarray(x.values) for x in rows.column("v")])
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([(w @ v / w.sum()).tolist()], pa.list_(pa.float32()))})
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([float(w.sum())]), "v": pa.array([(w @ v / w.sum()).tolist()], pa.list_(pa.float32()))})
 
-        tuned = dealt.mapInArrow(_round(shared, r, blocks), "block int, w double, v array<float>")
-        tuned = tuned.groupBy("block").applyInArrow(mean, "block int, v array<float>").toArrow().sort_by("block")  # as large as the model
+        tuned = written(dealt.mapInArrow(_round(shared, r, blocks), _TUNED))
+        while tuned.count() > 64 * blocks:  # averages of averages, 64 shards at a time
+            tuned = written(salted(tuned, 64 * blocks).groupBy("block", "salt").applyInArrow(mean, _TUNED))
+        tuned = tuned.groupBy("block").applyInArrow(mean, _TUNED).toArrow().sort_by("block")  # as large as the model
         model.load(np.concatenate([np.asarray(x.values) for x in tuned["v"]]))
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fraction: int = 1, shard_windows: int = 40_000, rounds: int = 3, piece: int = 12_000_000) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fraction: int = 1, shard_windows: int = 40_000, rounds: int = 1, piece: int = 12_000_000) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, held_out); learns from the rows not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words
@@ -229,9 +238,12 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
     whole = known.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = of("d").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     n, v = whole["n"] + ends, whole["v"] + (ends > 0)
-    found = of("p").select("code", "n", "blob").groupBy("code").applyInArrow(_add_pairs, "code long, n long").toArrow()  # at most (size + 1) squared
+    blocks = -(-(size + 1) // PAIR_BLOCK)
+    blobs = salted(of("p").select("code", "n", "blob"), 64 * blocks).groupBy("code", "salt").applyInArrow(_add_pairs, "code int, n long, blob binary")  # 64 blobs or so at a time
     pairs = np.zeros((size + 1) ** 2)
-    pairs[np.asarray(found["code"])] = np.asarray(found["n"])
+    for raw in written(blobs).toLocalIterator():  # at most (size + 1) squared counts, from each 64 tasks' blobs
+        both = np.frombuffer(pa.decompress(raw["blob"], raw["n"], "zstd", asbytes=True), np.int64)
+        pairs[both[: len(both) // 2]] += both[len(both) // 2 :]
     model = Attention(size + 1, pairs.reshape(size + 1, size + 1), classes=round(size**0.5))
     _train(spark, of("s"), model, shard_windows, rounds)
     trained = share(spark, model)
