@@ -45,18 +45,25 @@ def uniqueness(images: DataFrame, threshold: float = 0.85, alpha: float = 1.0) -
     return got.select("job", "ref", matches.alias("matches"), (1.0 / (1.0 + alpha * matches)).alias("uniqueness"))
 
 
-def baseline(images: DataFrame, similarity: Column, refs: int = 64, pairs: int = 1000) -> DataFrame:
-    """(job, baseline): mean similarity of sampled images that share no record; 0.5 where there is no such pair.
+def baseline(images: DataFrame, similarities: dict[str, Column], pairs: int = 1000) -> DataFrame:
+    """(job, one column for each similarity): mean similarity of sampled image pairs that share no record; 0.5 where there is none.
 
-    A sampling operator: the ``refs`` images with the smallest hashes of each
-    job make the pairs, of which the ``pairs`` with the smallest hashes count.
-    ``similarity`` compares blob and other.
+    A sampling operator: every image of a job draws partners among all of the
+    job's images by hash, up to 20 where the job has few; the ``pairs`` draws
+    with the smallest hashes count. A similarity compares the images' columns
+    with those of the same names and a 2. Aggregates of records are images
+    with a record of their own.
     """
-    mark = F.pmod(F.col("ref") * 7919, F.lit(1_000_003))
-    first = images.withColumn("r", F.row_number().over(Window.partitionBy("job").orderBy(mark, "ref"))).where(F.col("r") <= refs)
-    other = first.select("job", F.col("ref").alias("ref2"), F.col("record").alias("record2"), F.col("blob").alias("other"))
-    both = first.join(other, "job").where((F.col("ref") < F.col("ref2")) & (F.col("record") != F.col("record2")))
-    mark = F.pmod(F.col("ref") * 7919 + F.col("ref2") * 104_729, F.lit(1_000_003))
-    both = both.withColumn("p", F.row_number().over(Window.partitionBy("job").orderBy(mark, "ref", "ref2"))).where(F.col("p") <= pairs)
-    got = both.groupBy("job").agg(F.avg(similarity).alias("baseline"))
-    return images.select("job").distinct().join(got, "job", "left").select("job", F.coalesce("baseline", F.lit(0.5)).alias("baseline"))
+    prime = 1_000_003
+    sizes = images.groupBy("job").agg(F.count("*").alias("n"))
+    draws = F.least(F.lit(20), F.ceil(2.0 * pairs / F.col("n"))).cast("int")
+    spots = images.select("job", "ref", "record").join(sizes, "job").withColumn("h", F.explode(F.sequence(F.lit(0), draws - 1)))
+    spots = spots.select("job", "ref", "record", "h", ((F.col("ref") * 7919 + F.col("h") * 104_729) % prime % F.col("n")).alias("want"), ((F.col("ref") * 6151 + F.col("h") * 75_029) % prime % F.col("n")).alias("spot"))
+    other = spots.select("job", "h", F.col("spot").alias("want"), F.col("ref").alias("ref2"), F.col("record").alias("record2"))
+    drawn = spots.join(other, ["job", "h", "want"]).where("ref <> ref2 AND record <> record2")
+    drawn = drawn.select("job", F.least("ref", "ref2").alias("ref"), F.greatest("ref", "ref2").alias("ref2")).distinct()
+    mark = (F.col("ref") * 7919 + F.col("ref2") * 104_729) % prime
+    drawn = drawn.withColumn("p", F.row_number().over(Window.partitionBy("job").orderBy(mark, "ref", "ref2"))).where(F.col("p") <= pairs)
+    a, b = images.drop("record"), images.drop("record").select("job", *[F.col(c).alias(f"{c}2") for c in images.columns if c not in ("job", "record")])
+    got = drawn.join(a, ["job", "ref"]).join(b, ["job", "ref2"]).groupBy("job").agg(*[F.avg(s).alias(n) for n, s in similarities.items()])
+    return sizes.join(got, "job", "left").select("job", *[F.coalesce(n, F.lit(0.5)).alias(n) for n in similarities])

@@ -49,7 +49,8 @@ def search(candidates: DataFrame, limit: int = 5, floor: float | None = None) ->
     c = candidates if floor is None else candidates.where((F.col("image") >= floor) | F.col("code_hit") | F.col("title_hit"))
     raw = F.col("code_hit").cast("int") + F.col("title_hit").cast("int") + F.col("image") + 0.2 * F.col("filename") + 0.3 * (0.5 * F.col("performer") + 0.5 * F.col("date"))
     c = c.withColumn("score", F.least(raw, F.lit(1.0)))
-    rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("score"), "job_id", "result_index"))
+    # scores that differ in the last digits alone, by the order of summing, are ties
+    rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc(F.round("score", 9)), "job_id", "result_index"))
     return c.withColumn("rank", rank).where(F.col("rank") <= limit).where("score > 0")
 
 

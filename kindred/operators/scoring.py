@@ -21,25 +21,52 @@ def top_k_mean(values: Column, k: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)).otherwise(0.0)
 
 
-def frame_channel(maxima: DataFrame, keys: list[str], gamma: float = GAMMA, count_k: float = COUNT_K) -> DataFrame:
-    """keys, evidence, count_conf, dist_q and score from rows of keys, m, quality, uniqueness and baseline (null: 1, 1 and 0.5).
+def weighted(maxima: DataFrame, features: DataFrame, uniqueness: DataFrame, baselines: DataFrame, channel: str) -> DataFrame:
+    """maxima (job, ref, ...) with the channel's quality, uniqueness and baseline; null where none is stored.
+
+    features (ref, quality), uniqueness (job, ref, uniqueness) and baselines
+    (job, baseline) are tables of their own; each is one left join, and Spark
+    broadcasts what is small enough.
+    """
+    name = lambda c: f"{channel}_{c}"
+    got = maxima.join(features.select("ref", F.col("quality").alias(name("quality"))), "ref", "left")
+    got = got.join(uniqueness.select("job", "ref", F.col("uniqueness").alias(name("uniqueness"))), ["job", "ref"], "left")
+    return got.join(baselines.select("job", F.col("baseline").alias(name("baseline"))), "job", "left")
+
 
-    Evidence is the soft union of weighted sharpened maxima; the two factors
-    say how much weight there is and how evenly it is spread. One shuffle.
+def frame_channels(maxima: DataFrame, keys: list[str], channels: dict[str, tuple[str, str, str, str]], gamma: float = GAMMA, count_k: float = COUNT_K) -> DataFrame:
+    """keys and, for each channel, a struct of evidence, count_conf, dist_q and score.
+
+    A channel names its columns of m, quality, uniqueness and baseline (null:
+    1, 1 and 0.5). Evidence is the soft union of weighted sharpened maxima; the
+    two factors say how much weight there is and how evenly it is spread. One
+    shuffle for all channels.
     """
-    w = F.coalesce("quality", F.lit(1.0)) * F.coalesce("uniqueness", F.lit(1.0))
-    rows = maxima.withColumn("mp", sharpen(F.col("m"), F.coalesce("baseline", F.lit(BASELINE)), gamma)).withColumn("w", w)
-    spread = F.when(F.col("mp") > EPS, F.col("mp"))
-    got = rows.groupBy(*keys).agg(
-        F.sum(F.log(F.greatest(F.lit(EPS), 1.0 - clamp(F.col("w") * F.col("mp"))))).alias("_l"), F.sum("w").alias("_weight"),
-        F.count(spread).alias("_k"), F.sum(spread).alias("_s"), F.sum(spread * F.log(spread)).alias("_sl"),
-    )
-    entropy = F.log("_s") - F.col("_sl") / F.col("_s")
-    got = got.select(
-        *keys, clamp(1.0 - F.exp("_l")).alias("evidence"), clamp(1.0 - F.exp(-F.col("_weight") / max(EPS, count_k))).alias("count_conf"),
-        F.when((F.col("_k") > 1) & (F.col("_s") > EPS), clamp(0.5 + 0.5 * entropy / F.log("_k"), 0.5, 1.0)).otherwise(0.5).alias("dist_q"),
-    )
-    return got.withColumn("score", F.col("evidence") * F.col("count_conf") * F.col("dist_q"))
+    sums = []
+    rows = maxima
+    for c, (m, quality, unique, base) in channels.items():
+        w = F.coalesce(F.col(quality), F.lit(1.0)) * F.coalesce(F.col(unique), F.lit(1.0))
+        rows = rows.withColumns({f"_{c}_mp": sharpen(F.col(m), F.coalesce(F.col(base), F.lit(BASELINE)), gamma), f"_{c}_w": w})
+        mp, w = F.col(f"_{c}_mp"), F.col(f"_{c}_w")
+        spread = F.when(mp > EPS, mp)
+        sums += [
+            F.sum(F.log(F.greatest(F.lit(EPS), 1.0 - clamp(w * mp)))).alias(f"_{c}_l"), F.sum(w).alias(f"_{c}_weight"),
+            F.count(spread).alias(f"_{c}_k"), F.sum(spread).alias(f"_{c}_s"), F.sum(spread * F.log(spread)).alias(f"_{c}_sl"),
+        ]
+    got = rows.groupBy(*keys).agg(*sums)
+    for c in channels:
+        x = lambda n, c=c: F.col(f"_{c}_{n}")
+        entropy = F.log(x("s")) - x("sl") / x("s")
+        evidence, count = clamp(1.0 - F.exp(x("l"))), clamp(1.0 - F.exp(-x("weight") / max(EPS, count_k)))
+        even = F.when((x("k") > 1) & (x("s") > EPS), clamp(0.5 + 0.5 * entropy / F.log(x("k")), 0.5, 1.0)).otherwise(0.5)
+        got = got.withColumn(c, F.struct(evidence.alias("evidence"), count.alias("count_conf"), even.alias("dist_q"), (evidence * count * even).alias("score")))
+    return got.select(*keys, *channels)
+
+
+def frame_channel(maxima: DataFrame, keys: list[str], gamma: float = GAMMA, count_k: float = COUNT_K) -> DataFrame:
+    """keys, evidence, count_conf, dist_q and score of one channel, from rows of keys, m, quality, uniqueness and baseline."""
+    got = frame_channels(maxima, keys, {"c": ("m", "quality", "uniqueness", "baseline")}, gamma, count_k)
+    return got.select(*keys, "c.evidence", "c.count_conf", "c.dist_q", "c.score")
 
 
 def aggregate_channel(similarity: Column, quality: Column, baseline: Column, gamma: float = GAMMA) -> Column:

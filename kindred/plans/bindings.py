@@ -2,7 +2,8 @@
 
 job = label, image = vec_id, record = four images in a row of a job, scene =
 three images in a row among those whose vec_id is divisible by 7; tone and
-histogram blob = components scaled to 0..255, hash = signs in two lanes.
+histogram blob = components scaled to 0..255, hash = signs in two lanes (of
+every ninth image, only large components count).
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Every ninth image is nearly flat: few bits are set in its hash.
+_BIT = "if(vec_id % 9 = 0, 0.25D, 0D)"
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    blob = F.transform("embedding", lambda x: F.floor(F.least(F.greatest((x.cast("double") + 0.6) / 1.2, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5))
-    lane = lambda lo: F.expr(f"aggregate(sequence(0, 31), 0L, (a, i) -> a + if(embedding[i + {lo}] > 0, shiftleft(1L, i), 0L))")
+    blob = F.expr("transform(embedding, x -> floor(least(greatest((cast(x as double) + 0.6D) / 1.2D, 0D), 1D) * 255 + 0.5D))")
+    lane = lambda lo: F.expr(f"aggregate(sequence(0, 31), 0L, (a, i) -> a + if(embedding[i + {lo}] > {_BIT}, shiftleft(1L, i), 0L))")
     return e.select(F.col("vec_id").alias("ref"), F.col("label").cast("long").alias("job"), F.floor(rank / 4).alias("record"), blob.alias("blob"), F.array(lane(0), lane(32)).alias("lanes"), (F.col("vec_id") % 7 == 0).alias("in_scene"))
 
 
@@ -32,8 +37,8 @@ def scenes(img: DataFrame) -> DataFrame:
 IMG = """img AS (
   SELECT vec_id AS ref, CAST(label AS BIGINT) AS job, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 4 AS record,
     list_transform(embedding, lambda x: CAST(floor(least(greatest((CAST(x AS DOUBLE) + 0.6e0) / 1.2e0, 0e0), 1e0) * 255 + 0.5e0) AS BIGINT)) AS blob,
-    CAST(list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT) AS l0,
-    CAST(list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT) AS l1,
+    CAST(list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > CASE WHEN vec_id % 9 = 0 THEN 0.25e0 ELSE 0e0 END THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT) AS l0,
+    CAST(list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] > CASE WHEN vec_id % 9 = 0 THEN 0.25e0 ELSE 0e0 END THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT) AS l1,
     vec_id % 7 = 0 AS in_scene FROM embeddings)"""
 
 
@@ -41,6 +46,11 @@ def sql_ham(a: str, b: str) -> str:
     return f"greatest(0e0, 1e0 - (bit_count(xor({a}.l0, {b}.l0)) + bit_count(xor({a}.l1, {b}.l1))) / 64e0)"
 
 
+def sql_guarded(a: str, b: str) -> str:
+    flat = lambda x: f"(bit_count({x}.l0) + bit_count({x}.l1)) / 64e0 NOT BETWEEN 0.1e0 AND 0.9e0"
+    return f"(CASE WHEN {flat(a)} OR {flat(b)} THEN 0e0 ELSE {sql_ham(a, b)} END)"
+
+
 def sql_tone(a: str, b: str) -> str:
     return f"(1e0 - list_sum(list_transform(range(1, len({a}) + 1), lambda k: abs({a}[k] - {b}[k]))) / CAST(len({a}) AS DOUBLE) / 255e0)"
 
@@ -61,7 +71,7 @@ def sql_sharpen(m: str, base: str = "0.5e0", gamma: str = "3.5e0") -> str:
 
 SC = "sc AS (SELECT job, job * 1000 + (row_number() OVER (PARTITION BY job ORDER BY ref) - 1) // 3 AS scene_id, ref AS sref, blob AS sblob, l0, l1 FROM img WHERE in_scene)"
 MX = f"""{IMG}, {SC}, mx AS (
-  SELECT scene_id, i.job, i.record, i.ref, greatest(0e0, max({sql_tone('i.blob', 's.sblob')})) AS tone, greatest(0e0, max({sql_ham('s', 'i')})) AS ham
+  SELECT scene_id, i.job, i.record, i.ref, greatest(0e0, max({sql_tone('i.blob', 's.sblob')})) AS tone, greatest(0e0, max({sql_guarded('s', 'i')})) AS ham
   FROM sc s JOIN img i ON s.job = i.job GROUP BY ALL)"""
 MED = """med AS (SELECT {keys}, list(CAST(CASE WHEN t > 0 THEN round(m / t * 255) ELSE 0 END AS BIGINT) ORDER BY bin) AS hist FROM (
   SELECT {keys}, bin, m, sum(m) OVER (PARTITION BY {keys}) AS t FROM (
@@ -69,11 +79,22 @@ MED = """med AS (SELECT {keys}, list(CAST(CASE WHEN t > 0 THEN round(m / t * 255
       SELECT {keys}, unnest(range(1, len(blob) + 1)) AS bin, unnest(list_transform(blob, lambda v: CASE WHEN list_sum(blob) > 0 THEN v / CAST(list_sum(blob) AS DOUBLE) ELSE 0e0 END)) AS share FROM {source}) GROUP BY ALL)) GROUP BY {keys})"""
 
 
-def sql_frame(m: str, quality: str = "1e0", uniq: str = "1e0") -> str:
-    """Frame channel over mx by scene_id, job, record."""
-    mp = sql_sharpen(m)
+def sql_frame(m: str, quality: str = "1e0", uniq: str = "1e0", base: str = "0.5e0", source: str = "mx") -> str:
+    """Frame channel over the source by scene_id, job, record."""
+    mp = sql_sharpen(m, base)
     return f"""SELECT scene_id, job, record, evidence, count_conf, dist_q, evidence * count_conf * dist_q AS score FROM (
       SELECT scene_id, job, record, greatest(0e0, least(1e0, 1e0 - exp(sum(ln(greatest(1e-9, 1e0 - greatest(0e0, least(1e0, w * mp)))))))) AS evidence,
         greatest(0e0, least(1e0, 1e0 - exp(-sum(w) / 0.25e0))) AS count_conf,
         CASE WHEN count(*) FILTER (mp > 1e-9) > 1 THEN greatest(0.5e0, least(1e0, 0.5e0 + 0.5e0 * (ln(sum(mp) FILTER (mp > 1e-9)) - sum(mp * ln(mp)) FILTER (mp > 1e-9) / sum(mp) FILTER (mp > 1e-9)) / ln(count(*) FILTER (mp > 1e-9)))) ELSE 0.5e0 END AS dist_q
-      FROM (SELECT scene_id, job, record, {mp} AS mp, {quality} * {uniq} AS w FROM mx) GROUP BY ALL)"""
+      FROM (SELECT scene_id, job, record, {mp} AS mp, {quality} * {uniq} AS w FROM {source}) GROUP BY ALL)"""
+
+
+#: Pairs that sampling draws: each image with hash-chosen partners among all of its job; the 1000 with the smallest hashes count.
+DRAWS = f"""jn AS (SELECT job, count(*) AS n FROM img GROUP BY job), dr AS (SELECT img.*, n, unnest(range(0, CAST(least(20, ceil(2000e0 / n)) AS BIGINT))) AS h FROM img JOIN jn USING (job)),
+bp AS (SELECT DISTINCT a.job, least(a.ref, b.ref) AS r1, greatest(a.ref, b.ref) AS r2 FROM dr a JOIN dr b ON a.job = b.job AND a.h = b.h AND (a.ref * 7919 + a.h * 104729) % 1000003 % a.n = (b.ref * 6151 + b.h * 75029) % 1000003 % b.n
+  WHERE a.ref <> b.ref AND a.record <> b.record),
+bk AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY (r1 * 7919 + r2 * 104729) % 1000003, r1, r2) AS k FROM bp),
+bl AS (SELECT j.job, coalesce(avg({sql_tone('a.blob', 'b.blob')}), 0.5e0) AS tone, coalesce(avg({sql_guarded('a', 'b')}), 0.5e0) AS phash
+  FROM (SELECT DISTINCT job FROM img) j LEFT JOIN (SELECT * FROM bk WHERE k <= 1000) q ON j.job = q.job LEFT JOIN img a ON a.ref = q.r1 LEFT JOIN img b ON b.ref = q.r2 GROUP BY j.job)"""
+UNIQUE = f"""nr AS (SELECT a.job, a.ref, b.record FROM img a JOIN img b ON a.job = b.job AND (a.ref = b.ref OR {sql_tone('a.blob', 'b.blob')} >= 0.9e0)),
+uq AS (SELECT job, ref, greatest(count(DISTINCT record) - 1, 0) AS matches, 1e0 / (1e0 + greatest(count(DISTINCT record) - 1, 0)) AS uniqueness FROM nr GROUP BY job, ref)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kindred.functions import similarity as sim
 from kindred.functions import text as tx
 from kindred.operators import corpus, evaluate, match, scoring, store
-from kindred.plans.bindings import IMG, MED, MX, SC, images, read, scenes, sql_frame, sql_gini, sql_ham, sql_hist, sql_sharpen, sql_tone
+from kindred.plans.bindings import DRAWS, IMG, MED, MX, SC, UNIQUE, images, read, scenes, sql_frame, sql_gini, sql_ham, sql_hist, sql_sharpen, sql_tone
 from kindred.streaming import lifecycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,9 +88,8 @@ def median_aggregate(spark, d):
 
 
 # --- scoring ------------------------------------------------------------------
-def _maxima(spark, d, hashed: bool = False) -> DataFrame:
-    s = sim.hamming_similarity(F.col("slanes"), F.col("lanes"), 64) if hashed else sim.tone_similarity(F.col("blob"), F.col("sblob"))
-    return scoring.per_image_max(_pairs(spark, d), [*KEYS, "ref"], s)
+def _maxima(spark, d) -> DataFrame:
+    return scoring.per_image_max(_pairs(spark, d), [*KEYS, "ref"], sim.tone_similarity(F.col("blob"), F.col("sblob")))
 
 
 @query(f"WITH {MX} SELECT scene_id, job, record, ref, round(tone, 6) AS tone FROM mx")
@@ -118,49 +117,66 @@ def topk_threshold(spark, d):
     return _top(spark, d).select(*KEYS, _r(F.when(F.col("score") >= 0.85, F.col("score")).otherwise(0.0), "score"))
 
 
-def _frame(spark, d, hashed: bool = False) -> DataFrame:
-    rows = _maxima(spark, d, hashed).withColumns({"quality": F.lit(1.0), "uniqueness": F.lit(1.0), "baseline": F.lit(None).cast("double")})
-    return scoring.frame_channel(rows, KEYS)
+_WEIGHTED = f"""{MX}, {ENTROPY.removeprefix(IMG).lstrip(', ')}, {UNIQUE}, {DRAWS},
+wm AS (SELECT mx.*, CASE WHEN mx.ref % 11 = 0 THEN 1e0 ELSE e.quality END AS pq, CASE WHEN mx.ref % 11 = 0 THEN 1e0 ELSE {sql_gini('i.blob')} END AS tq, CASE WHEN mx.ref % 13 = 0 THEN 1e0 ELSE u.uniqueness END AS uq,
+  CASE WHEN mx.job % 5 = 4 THEN 0.5e0 ELSE b.phash END AS pb, CASE WHEN mx.job % 5 = 4 THEN 0.5e0 ELSE b.tone END AS tb
+  FROM mx JOIN eq e ON e.ref = mx.ref JOIN img i ON i.ref = mx.ref JOIN uq u ON u.job = mx.job AND u.ref = mx.ref JOIN bl b ON b.job = mx.job)"""
+_TONE, _PHASH = (sql_frame(m, q, "uq", b, "wm") for m, q, b in (("tone", "tq", "tb"), ("ham", "pq", "pb")))
 
 
-@query(f"WITH {MX} SELECT scene_id, job, record, round(evidence, 6) AS evidence, round(count_conf, 6) AS count_conf, round(dist_q, 6) AS dist_q, round(score, 6) AS score FROM ({sql_frame('tone')})")
+def _frames(img: DataFrame, of: DataFrame) -> DataFrame:
+    """Both frame channels of the scenes ``of`` in one pass over the image pairs; every eleventh image has no stored feature, every thirteenth no uniqueness, every fifth job no baseline."""
+    pairs = of.join(img, "job")
+    hashed, tone = sim.guarded_similarity(F.col("slanes"), F.col("lanes"), 64), sim.tone_similarity(F.col("blob"), F.col("sblob"))
+    best = pairs.groupBy(*KEYS, "ref").agg(F.greatest(F.max(hashed), F.lit(0.0)).alias("phash_m"), F.greatest(F.max(tone), F.lit(0.0)).alias("tone_m"))
+    stored = img.where("ref % 11 <> 0")
+    unique = corpus.uniqueness(img, threshold=0.9).where("ref % 13 <> 0")
+    noise = corpus.baseline(img, {"phash": sim.guarded_similarity(F.col("lanes"), F.col("lanes2"), 64), "tone": sim.tone_similarity(F.col("blob"), F.col("blob2"))}).where("job % 5 <> 4")
+    for c, quality in (("phash", sim.entropy_variance_quality(F.col("blob"))), ("tone", sim.gini_quality(F.col("blob")))):
+        best = scoring.weighted(best, stored.select("ref", quality.alias("quality")), unique, noise.select("job", F.col(c).alias("baseline")), c)
+    return scoring.frame_channels(best, KEYS, {c: tuple(f"{c}_{x}" for x in ("m", "quality", "uniqueness", "baseline")) for c in ("phash", "tone")})
+
+
+@query(f"WITH {_WEIGHTED} SELECT scene_id, job, record, round(evidence, 6) AS evidence, round(count_conf, 6) AS count_conf, round(dist_q, 6) AS dist_q, round(score, 6) AS score FROM ({_TONE})")
 def frame_channel_score(spark, d):
-    return _frame(spark, d).select(*KEYS, *[_r(F.col(c), c) for c in ("evidence", "count_conf", "dist_q", "score")])
+    img = images(spark, d)
+    return _frames(img, scenes(img)).select(*KEYS, *[_r(F.col(f"tone.{c}"), c) for c in ("evidence", "count_conf", "dist_q", "score")])
 
 
-_AGG = f"""{MX}, {MED.format(keys='job, record', source='img')}, {MED.format(keys='scene_id, job', source='(SELECT *, sblob AS blob FROM sc)').replace('med AS', 'smed AS', 1)},
+_AGGREGATE = f"""{MED.format(keys='job, record', source='img')}, {MED.format(keys='scene_id, job', source='(SELECT *, sblob AS blob FROM sc)').replace('med AS', 'smed AS', 1)},
 ag AS (SELECT scene_id, m.job, m.record, greatest(0e0, least(1e0, {sql_sharpen(sql_hist('s.hist', 'm.hist'))} * {sql_gini('m.hist')})) AS score FROM smed s JOIN med m ON s.job = m.job)"""
+_AGG = f"{MX}, {_AGGREGATE}"
 
 
-def _aggregate(spark, d) -> DataFrame:
-    img = images(spark, d)
+def _aggregate(img: DataFrame, of: DataFrame) -> DataFrame:
     rec = corpus.median_aggregate(img, ["job", "record"], "blob")
-    scene = corpus.median_aggregate(scenes(img).withColumnRenamed("sblob", "shist"), ["scene_id", "job"], "shist")
+    scene = corpus.median_aggregate(of.withColumnRenamed("sblob", "shist"), ["scene_id", "job"], "shist")
     s = scoring.aggregate_channel(sim.histogram_intersection(F.col("shist"), F.col("blob")), sim.gini_quality(F.col("blob")), F.lit(scoring.BASELINE))
     return scene.join(rec, "job").select(*KEYS, s.alias("score"))
 
 
 @query(f"WITH {_AGG} SELECT scene_id, job, record, round(score, 6) AS score FROM ag")
 def aggregate_channel_score(spark, d):
-    return _aggregate(spark, d).select(*KEYS, _r(F.col("score"), "score"))
+    img = images(spark, d)
+    return _aggregate(img, scenes(img)).select(*KEYS, _r(F.col("score"), "score"))
 
 
-_COMP = f"""{_AGG}, ph AS ({sql_frame('ham')}), tn AS ({sql_frame('tone')}),
+_COMP = f"""{_WEIGHTED}, {_AGGREGATE}, ph AS ({_PHASH}), tn AS ({_TONE}),
 cm AS (SELECT scene_id, job, record, p.score AS phash, a.score AS color_hist, t.score AS tone, CAST(p.score >= 0.05e0 AS INTEGER) + CAST(a.score >= 0.05e0 AS INTEGER) + CAST(t.score >= 0.05e0 AS INTEGER) AS n
   FROM ph p JOIN tn t USING (scene_id, job, record) JOIN ag a USING (scene_id, job, record)),
 cs AS (SELECT scene_id, job, record, n, CASE WHEN n = 0 THEN 0e0 ELSE least(1e0, greatest(CASE WHEN phash >= 0.05e0 THEN phash ELSE 0 END, CASE WHEN color_hist >= 0.05e0 THEN color_hist ELSE 0 END, CASE WHEN tone >= 0.05e0 THEN tone ELSE 0 END) + 0.1e0 * (n - 1)) END AS image FROM cm)"""
 
 
-def _composite(spark, d) -> DataFrame:
-    named = lambda df, n: df.select(*KEYS, F.col("score").alias(n))
-    got = named(_frame(spark, d, True), "phash").join(named(_frame(spark, d), "tone"), KEYS).join(named(_aggregate(spark, d), "color_hist"), KEYS)
-    image, fired = scoring.compose({"phash": F.col("phash"), "color_hist": F.col("color_hist"), "tone": F.col("tone")})
+def _composite(img: DataFrame, of: DataFrame) -> DataFrame:
+    got = _frames(img, of).join(_aggregate(img, of).select(*KEYS, F.col("score").alias("color_hist")), KEYS)
+    image, fired = scoring.compose({"phash": F.col("phash.score"), "color_hist": F.col("color_hist"), "tone": F.col("tone.score")})
     return got.select(*KEYS, image.alias("image"), fired.alias("fired"))
 
 
 @query(f"WITH {_COMP} SELECT scene_id, job, record, round(image, 6) AS image, CAST(n AS INTEGER) AS n_fired FROM cs")
 def composite_score(spark, d):
-    return _composite(spark, d).select(*KEYS, _r(F.col("image"), "image"), F.size("fired").alias("n_fired"))
+    img = images(spark, d)
+    return _composite(img, scenes(img)).select(*KEYS, _r(F.col("image"), "image"), F.size("fired").alias("n_fired"))
 
 
 # --- corpus -------------------------------------------------------------------
@@ -169,43 +185,65 @@ def inverted_index(spark, d):
     return corpus.inverted_index(images(spark, d).withColumn("ref", F.col("ref") % 50))
 
 
-@query(f"""WITH {IMG}, nr AS (SELECT a.job, a.ref, b.record FROM img a JOIN img b ON a.job = b.job AND (a.ref = b.ref OR {sql_tone('a.blob', 'b.blob')} >= 0.9e0))
-SELECT job, ref, greatest(count(DISTINCT record) - 1, 0) AS matches, round(1e0 / (1e0 + greatest(count(DISTINCT record) - 1, 0)), 6) AS uniqueness FROM nr GROUP BY job, ref""")
+@query(f"WITH {IMG}, {UNIQUE} SELECT job, ref, matches, round(uniqueness, 6) AS uniqueness FROM uq")
 def uniqueness(spark, d):
     return corpus.uniqueness(images(spark, d), threshold=0.9).withColumn("uniqueness", F.round("uniqueness", 6))
 
 
-@query(f"""WITH {IMG}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ref * 7919 % 1000003, ref) AS r FROM img) WHERE r <= 64),
-p AS (SELECT a.job, {sql_tone('a.blob', 'b.blob')} AS s, row_number() OVER (PARTITION BY a.job ORDER BY (a.ref * 7919 + b.ref * 104729) % 1000003, a.ref, b.ref) AS k FROM f a JOIN f b ON a.job = b.job AND a.ref < b.ref AND a.record <> b.record)
-SELECT j.job, round(coalesce(avg(s), 0.5e0), 6) AS baseline FROM (SELECT DISTINCT job FROM img) j LEFT JOIN (SELECT * FROM p WHERE k <= 1000) q ON j.job = q.job GROUP BY j.job""")
+@query(f"WITH {IMG}, {DRAWS} SELECT job, round(phash, 6) AS phash, round(tone, 6) AS tone FROM bl")
 def corpus_baseline(spark, d):
-    return corpus.baseline(images(spark, d), sim.tone_similarity(F.col("blob"), F.col("other"))).withColumn("baseline", F.round("baseline", 6))
+    got = corpus.baseline(images(spark, d), {"phash": sim.guarded_similarity(F.col("lanes"), F.col("lanes2"), 64), "tone": sim.tone_similarity(F.col("blob"), F.col("blob2"))})
+    return got.select("job", _r(F.col("phash"), "phash"), _r(F.col("tone"), "tone"))
 
 
 # --- matching -----------------------------------------------------------------
-_CAND = f"""{_COMP}, parts AS (SELECT p_partkey - 1 AS k, p_name FROM part), dates AS (SELECT o_orderkey % 1500 AS k, min(strftime(o_orderdate, '%Y-%m-%d')) AS dt FROM orders GROUP BY ALL),
-cand AS (SELECT cs.*, job % 2 = 0 AND scene_id % 40 = (job * 7 + record) % 40 AS code_hit, a.p_name = b.p_name AS title_hit,
-  CASE WHEN e.dt = f.dt THEN 1e0 WHEN e.dt[1:7] = f.dt[1:7] THEN 0.5e0 WHEN e.dt[1:4] = f.dt[1:4] THEN 0.2e0 ELSE 0e0 END AS date
-  FROM cs JOIN parts a ON a.k = scene_id % 97 JOIN parts b ON b.k = (job * 31 + record) % 97 JOIN dates e ON e.k = scene_id % 1500 JOIN dates f ON f.k = (job * 131 + record * 17) % 1500)"""
+_KEYED = """parts AS (SELECT p_partkey - 1 AS k, p_name FROM part), facts AS (SELECT o_orderkey % 1500 AS k, min(strftime(o_orderdate, '%Y-%m-%d')) AS dt,
+  list_distinct([min(o_custkey) % 12, max(o_custkey) % 12, min(o_orderkey + o_custkey) % 12]) AS own, list_distinct([min(o_custkey) * 7 % 24, max(o_custkey) * 5 % 24]) AS named FROM orders GROUP BY ALL)"""
+_HITS = """job % 2 = 0 AND scene_id % 200 = (job * 7 + record) % 200 AS code_hit, scene_id % 4 = 0 AND a.p_name = b.p_name AS title_hit"""
+_CAND = f"""{_COMP}, {_KEYED}, cand AS (SELECT cs.*, {_HITS},
+  CASE WHEN e.dt = f.dt THEN 1e0 WHEN e.dt[1:7] = f.dt[1:7] THEN 0.5e0 WHEN e.dt[1:4] = f.dt[1:4] THEN 0.2e0 ELSE 0e0 END AS date,
+  len(list_filter(e.own, lambda p: list_contains(f.named, p) OR list_contains(f.named, p + 12))) / CAST(len(e.own) AS DOUBLE) AS performer,
+  CASE WHEN (a.k + 1) % 30 = (b.k + 1) % 20 THEN 0.05e0 ELSE 0e0 END + CASE WHEN (a.k + 1) % 11 = (b.k + 1) % 9 THEN 0.05e0 ELSE 0e0 END
+    + CASE WHEN (a.k + 1) % 7 = (b.k + 1) % 5 THEN 0.03e0 ELSE 0e0 END + CASE WHEN (b.k + 1) % 2 = 0 THEN 0.02e0 ELSE 0e0 END AS filename
+  FROM cs JOIN parts a ON a.k = scene_id % 97 JOIN parts b ON b.k = (job * 31 + record) % 97 JOIN facts e ON e.k = scene_id % 1500 JOIN facts f ON f.k = (job * 131 + record * 17) % 1500)"""
+
+
+def _scene_records(spark, d, img: DataFrame) -> DataFrame:
+    """Scenes with the records of their job: code (an id modulo 200, where job is even) and title hits (a part's name, for every fourth scene), and keys of what else is known."""
+    pairs = scenes(img).select("scene_id", "job").distinct().join(img.select("job", "record").distinct(), "job")
+    parts = read(spark, d, "part").select((F.col("p_partkey") - 1).alias("k"), "p_name")
+    as_ = lambda k, name: parts.select(F.col("k").alias(k), F.col("p_name").alias(name))
+    c = pairs.withColumns({"kt": F.col("scene_id") % 97, "kr": (F.col("job") * 31 + F.col("record")) % 97, "ks": F.col("scene_id") % 1500, "kd": (F.col("job") * 131 + F.col("record") * 17) % 1500})
+    c = c.join(as_("kt", "title"), "kt").join(as_("kr", "rtitle"), "kr")
+    code = match.code_fires((F.col("scene_id") % 200).cast("string"), ((F.col("job") * 7 + F.col("record")) % 200).cast("string"), F.col("job") % 2 == 0)
+    title = match.title_fires(F.when(F.col("scene_id") % 4 == 0, F.col("title")).otherwise(""), F.col("rtitle"))
+    return c.select("scene_id", "job", "record", "kt", "kr", "ks", "kd", code.alias("code_hit"), title.alias("title_hit"))
 
 
 def _candidates(spark, d) -> DataFrame:
-    """Scenes and records with code (an id modulo 40, where job is even), title (a part's name) and date (an order's)."""
-    parts = read(spark, d, "part").select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("title"))
-    dates = read(spark, d, "orders").groupBy((F.col("o_orderkey") % 1500).alias("k")).agg(F.min(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"))
-    as_ = lambda df, k, name: df.select(F.col("k").alias(k), F.col(df.columns[1]).alias(name))
-    c = _composite(spark, d).withColumns({"kt": F.col("scene_id") % 97, "kr": (F.col("job") * 31 + F.col("record")) % 97, "ks": F.col("scene_id") % 1500, "kd": (F.col("job") * 131 + F.col("record") * 17) % 1500})
-    c = c.join(as_(parts, "kt", "title"), "kt").join(as_(parts, "kr", "rtitle"), "kr").join(as_(dates, "ks", "sdate"), "ks").join(as_(dates, "kd", "rdate"), "kd")
-    code = match.code_fires((F.col("scene_id") % 40).cast("string"), ((F.col("job") * 7 + F.col("record")) % 40).cast("string"), F.col("job") % 2 == 0)
+    """The pairs with image, date (of orders), performer (from customers) and filename (of parts' file names, what their numbers say) scores."""
+    img = images(spark, d)
+    c = _scene_records(spark, d, img).join(_composite(img, scenes(img)).select(*KEYS, "image"), KEYS)
+    o = F.col("o_custkey")
+    facts = read(spark, d, "orders").groupBy((F.col("o_orderkey") % 1500).alias("k")).agg(F.min(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.min(o).alias("lo"), F.max(o).alias("hi"), F.min(F.col("o_orderkey") + o).alias("both"))
+    c = c.join(facts.select(F.col("k").alias("ks"), F.col("date").alias("sdate")), "ks").join(facts.select(F.col("k").alias("kd"), F.col("date").alias("rdate")), "kd")
+    own = facts.select(F.col("k").alias("scene_id"), F.explode(F.array_distinct(F.array(F.col("lo") % 12, F.col("hi") % 12, F.col("both") % 12))).alias("performer_id"))
+    named = facts.select(F.col("k").alias("record_id"), F.explode(F.array(F.col("lo") * 7 % 24, F.col("hi") * 5 % 24)).alias("x"))
+    asked = c.select(F.col("ks").alias("scene_id"), F.col("kd").alias("record_id")).distinct()
+    names = asked.join(named, "record_id").select("scene_id", "record_id", F.concat(F.lit(" NAME "), F.col("x").cast("string")).alias("name"))
+    people = spark.range(12).select(F.col("id").alias("performer_id"), F.concat(F.lit("Name "), F.col("id").cast("string")).alias("name"), F.array(F.concat(F.lit("name "), (F.col("id") + 12).cast("string"))).alias("aliases"))
+    cast = match.performer_score(own, names, people).select(F.col("scene_id").alias("ks"), F.col("record_id").alias("kd"), F.col("score").alias("performer"))
+    files = _names(spark, d).select((F.col("p_partkey") - 1).alias("k"), tx.name_fields(F.col("a")).alias("fa"), tx.name_fields(F.col("b")).alias("fb"))
+    c = c.join(cast, ["ks", "kd"]).join(files.select(F.col("k").alias("kt"), "fa"), "kt").join(files.select(F.col("k").alias("kr"), "fb"), "kr")
     return c.select(
-        "scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "image", code.alias("code_hit"), match.title_fires(F.col("title"), F.col("rtitle")).alias("title_hit"),
-        tx.date_score(F.col("sdate"), F.col("rdate")).alias("date"), F.lit(0.0).alias("filename"), F.lit(0.0).alias("performer"),
+        "scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "image", "code_hit", "title_hit",
+        tx.date_score(F.col("sdate"), F.col("rdate")).alias("date"), tx.structured_bonus(F.col("fa"), F.col("fb")).alias("filename"), "performer",
     )
 
 
 def _search_sql(floor: str = "true") -> str:
-    return f"""WITH {_CAND}, s AS (SELECT *, least(1e0, CAST(code_hit AS INTEGER) + CAST(title_hit AS INTEGER) + image + 0.15e0 * date) AS score FROM cand WHERE {floor}),
-r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, job, record) AS rank FROM s)
+    return f"""WITH {_CAND}, s AS (SELECT *, least(1e0, CAST(code_hit AS INTEGER) + CAST(title_hit AS INTEGER) + image + 0.2e0 * filename + 0.15e0 * performer + 0.15e0 * date) AS score FROM cand WHERE {floor}),
+r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY round(score, 9) DESC, job, record) AS rank FROM s)
 SELECT scene_id, job AS job_id, record AS result_index, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score > 0"""
 
 
@@ -219,12 +257,16 @@ def search_floor(spark, d):
     return match.search(_candidates(spark, d), floor=0.15).select("scene_id", "job_id", "result_index", F.round("score", 4).alias("score"), "rank")
 
 
-@query(f"""WITH {_CAND}, t AS (SELECT scene_id, job, record, image, CASE WHEN code_hit THEN 1 WHEN title_hit THEN 2 WHEN image >= 0.3e0 THEN 3 END AS tier FROM cand),
+@query(f"""WITH {_COMP}, {_KEYED}, cand AS (SELECT cs.*, {_HITS} FROM cs JOIN parts a ON a.k = scene_id % 97 JOIN parts b ON b.k = (job * 31 + record) % 97),
+t AS (SELECT scene_id, job, record, round(image, 9) AS image, CASE WHEN code_hit THEN 1 WHEN title_hit THEN 2 WHEN image >= 0.3e0 THEN 3 END AS tier FROM cand),
 r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY tier, CASE WHEN tier = 3 THEN -image ELSE 0 END, job, record) AS k FROM t WHERE tier IS NOT NULL)
 SELECT scene_id, job AS job_id, record AS result_index, CAST(tier AS INTEGER) AS tier FROM r WHERE k = 1""")
 def scrape_cascade(spark, d):
-    c = _candidates(spark, d)
-    return match.scrape(c, c.select("scene_id", "job_id", "result_index", "image"), threshold=0.3)
+    img = images(spark, d)
+    c = _scene_records(spark, d, img).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "code_hit", "title_hit")
+    settled = c.where("code_hit OR title_hit").select("scene_id").distinct()
+    rest = scenes(img).join(settled, "scene_id", "left_anti")  # only their images are compared
+    return match.scrape(c, _composite(img, rest).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), F.round("image", 9).alias("image")), threshold=0.3)
 
 
 @query("""SELECT source, list_sort(list(DISTINCT lang)) AS fields, count(DISTINCT lang) FILTER (lang IN ('en', 'de', 'fr')) = 3 AS complete FROM documents GROUP BY source""")
@@ -241,7 +283,7 @@ def _narrowed(spark, d) -> DataFrame:
     nation = read(spark, d, "nation")
     k = F.col("c_custkey")
     studio = F.when(k % 100 == 0, " ").when(k % 3 == 0, F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).otherwise(F.col("n_name"))
-    sc = read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("scene_id"), studio.alias("studio"))
+    sc = read(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("scene_id"), studio.alias("studio"))
     return match.studio_narrow(sc, nation.select(F.col("n_nationkey").alias("job_id"), F.col("n_name").alias("job_name")))
 
 
@@ -309,16 +351,16 @@ def partial_date_score(spark, d):
     return o.select("o_orderkey", tx.date_score(cut, b).alias("score"))
 
 
-@query("""WITH p AS (SELECT DISTINCT o_orderkey % 50 AS scene_id, o_custkey % 60 AS performer_id FROM orders WHERE o_orderkey % 20 = 0),
-n AS (SELECT DISTINCT o_orderkey % 50 AS scene_id, o_orderkey % 7 AS record_id, o_custkey % 80 AS k FROM orders WHERE o_orderkey % 5 = 0),
+@query("""WITH p AS (SELECT DISTINCT o_orderkey // 20 AS scene_id, o_custkey % 60 AS performer_id FROM orders),
+n AS (SELECT DISTINCT o_orderkey // 20 AS scene_id, o_orderkey % 7 AS record_id, (o_custkey * 3 + o_orderkey) % 80 AS k FROM orders),
 z AS (SELECT scene_id, count(*) AS size FROM p GROUP BY scene_id)
 SELECT r.scene_id, r.record_id, round(coalesce(h.hits / CAST(z.size AS DOUBLE), 0e0), 6) AS score FROM (SELECT DISTINCT scene_id, record_id FROM n) r LEFT JOIN z USING (scene_id)
 LEFT JOIN (SELECT n.scene_id, n.record_id, count(DISTINCT performer_id) AS hits FROM n JOIN p ON p.scene_id = n.scene_id AND (p.performer_id = n.k OR p.performer_id + 20 = n.k) GROUP BY ALL) h USING (scene_id, record_id)""")
 def performer_score(spark, d):
     o = read(spark, d, "orders")
-    k = F.col("o_orderkey")
-    own = o.where(k % 20 == 0).select((k % 50).alias("scene_id"), (F.col("o_custkey") % 60).alias("performer_id")).distinct()
-    named = o.where(k % 5 == 0).select((k % 50).alias("scene_id"), (k % 7).alias("record_id"), F.concat(F.lit(" NAME "), (F.col("o_custkey") % 80).cast("string")).alias("name"))
+    k, scene = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 20).alias("scene_id")
+    own = o.select(scene, (F.col("o_custkey") % 60).alias("performer_id")).distinct()
+    named = o.select(scene, (k % 7).alias("record_id"), F.concat(F.lit(" NAME "), ((F.col("o_custkey") * 3 + k) % 80).cast("string")).alias("name"))
     people = own.select("performer_id").distinct().select("performer_id", F.concat(F.lit("Name "), F.col("performer_id").cast("string")).alias("name"), F.array(F.concat(F.lit("name "), (F.col("performer_id") + 20).cast("string"))).alias("aliases"))
     return match.performer_score(own, named, people).select("scene_id", "record_id", _r(F.col("score"), "score"))
 
@@ -410,10 +452,10 @@ def cache_state(spark, d):
     return store.cache_state(wanted, features, ["job_id"]).select("job_id", "ref", "state")
 
 
-@query("SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS result_index, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS result_index, l_partkey FROM lineitem")
 def ordered_scan(spark, d):
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
-    return read(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("job_id"), rank.cast("long").alias("result_index"), "l_partkey")
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), rank.cast("long").alias("result_index"), "l_partkey")
 
 
 @query("SELECT DISTINCT l_suppkey AS ref FROM lineitem WHERE l_returnflag = 'R'")
