@@ -26,9 +26,10 @@ def basename_from_url(url: Column) -> Column:
 
 
 def url_basename(url: Column) -> Column:
-    """Last path segment of a url, or the name itself."""
+    """Last path segment of a url, or the name itself, or what is given where that is empty."""
     path = F.regexp_replace(_cut(url), "^(https?:)?//[^/]*", "")
-    return F.when(F.coalesce(url, F.lit("")).rlike("^(https?:)?//"), unquote(F.substring_index(path, "/", -1))).otherwise(basename_from_url(url))
+    name = F.when(F.coalesce(url, F.lit("")).rlike("^(https?:)?//"), unquote(F.substring_index(path, "/", -1))).otherwise(basename_from_url(url))
+    return F.coalesce(F.nullif(name, F.lit("")), url)
 
 
 def normalize_filename(x: Column) -> Column:

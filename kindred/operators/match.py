@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.text import same_folded, strip
+from kindred.functions.text import same_folded, sanitize_details, strip
 
 #: The field names that a job's schema must have: fixed values.
 REQUIRED = ["id", "title", "details", "date", "cover_image", "url", "performers", "images"]
@@ -15,6 +15,38 @@ def schema_superset(fields: Column, required: list[str] = REQUIRED) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(x) for x in required]), fields)) == 0
 
 
+def scene_jobs(jobs: DataFrame, schemas: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
+    """The completed ``jobs`` (job_id, schema_id, status, ...) whose schema (schema_id, fields) has all required fields."""
+    fit = schemas.where(schema_superset(F.col("fields"), required)).select("schema_id").distinct()
+    return jobs.where("status = 'completed'").join(fit, "schema_id", "left_semi")
+
+
+def scrape_output(rows: DataFrame) -> DataFrame:
+    """rows with output, the JSON of what is known of a record, in fixed names; empty values are left out.
+
+    Needs title, details, date, url, code, image, studio and performers, an
+    array of (name).
+    """
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    people = F.when(F.size("performers") > 0, F.transform("performers", lambda p: F.struct(p["name"].alias("Name"))))
+    fields = [text("title").alias("Title"), sanitize_details(F.col("details")).alias("Details"), text("date").alias("Date"), text("url").alias("URL"), F.nullif(strip(F.col("code")), F.lit("")).alias("Code"), F.col("image").alias("Image")]
+    studio = F.when(F.coalesce("studio", F.lit("")) != "", F.struct(F.col("studio").alias("Name"))).alias("Studio")
+    return rows.withColumn("output", F.to_json(F.struct(*fields, studio, people.alias("Performers"))))
+
+
+def best_raw(candidates: DataFrame) -> DataFrame:
+    """(scene_id, job_id, result_index, image): each scene's best image score before any threshold; ties go to the first record."""
+    rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc("image"), "job_id", "result_index"))
+    return candidates.withColumn("_r", rank).where("_r = 1").select("scene_id", "job_id", "result_index", "image")
+
+
+def top_similarities(maxima: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """keys and top, the ``most`` largest per-image similarities m in descending order."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("m"), "ref"))
+    best = maxima.withColumn("_r", rank).where(F.col("_r") <= most)
+    return best.groupBy(*keys).agg(F.sort_array(F.collect_list("m"), asc=False).alias("top"))
+
+
 def studio_narrow(scenes: DataFrame, jobs: DataFrame) -> DataFrame:
     """(scene_id, job_id, used_filter): the jobs named like a scene's studio, or all jobs for a scene without one.
 
@@ -88,4 +120,4 @@ def performer_score(scene_performers: DataFrame, record_names: DataFrame, perfor
     return every.join(hits, ["scene_id", "record_id"], "left").select("scene_id", "record_id", F.coalesce(F.col("hits") / F.col("size"), F.lit(0.0)).alias("score"))
 
 
-__all__ = ["candidate_pool", "code_fires", "exact_url", "performer_score", "same_folded", "schema_superset", "scrape", "search", "studio_narrow", "title_fires"]
+__all__ = ["best_raw", "scene_jobs", "scrape_output", "top_similarities", "candidate_pool", "code_fires", "exact_url", "performer_score", "same_folded", "schema_superset", "scrape", "search", "studio_narrow", "title_fires"]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The sources whose rows the eviction budget covers, and the quality that marks a known failure: fixed values.
 EVICTABLE, FAILED = ["stash_cover", "stash_sprite", "stash_aggregate"], -1.0
+#: The sources whose rows belong to a job: fixed values.
+PER_JOB = ["extractor_image", "extractor_aggregate"]
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -20,6 +22,40 @@ def replace_jobs(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("job_id").distinct(), "job_id", "left_anti").unionByName(new)
 
 
+def replace_cascade(tables: dict[str, DataFrame], jobs: DataFrame, results: DataFrame) -> dict[str, DataFrame]:
+    """The store after new versions of ``jobs`` (job_id, ...) with their ``results``: everything that was derived from an old version goes.
+
+    tables: jobs, results, corpus_stats, image_uniqueness, job_state and
+    match_results by job_id, and features (source, ref_id), whose extractor
+    rows carry the job before the first colon of ref_id. Features of the
+    scenes' own images stay. A table that is not given is not touched.
+    """
+    changed = jobs.select("job_id").distinct()
+    out = {}
+    for name, old in tables.items():
+        if name == "features":
+            own = F.col("source").isin(PER_JOB)
+            of = old.withColumn("_job", F.when(own, F.substring_index("ref_id", ":", 1)))
+            out[name] = of.join(changed.select(F.col("job_id").cast("string").alias("_job")), "_job", "left_anti").drop("_job")
+        else:
+            kept = old.join(changed, "job_id", "left_anti")
+            out[name] = kept.unionByName({"jobs": jobs, "results": results}[name]) if name in ("jobs", "results") else kept
+    return out
+
+
+def upsert_features(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Features by (source, ref_id, channel, algorithm), the latest computed_at of each; new rows of evictable sources count as read when computed, others never."""
+    seeded = new.withColumn("last_accessed_at", F.when(F.col("source").isin(EVICTABLE), F.col("computed_at")))
+    return upsert_latest(old, seeded, ["source", "ref_id", "channel", "algorithm"], ["computed_at"])
+
+
+def touch(features: DataFrame, reads: DataFrame) -> DataFrame:
+    """``features`` with last_accessed_at moved on to the latest of ``reads`` (source, ref_id, at); evictable sources only, and no remembered failures."""
+    latest = reads.groupBy("source", "ref_id").agg(F.max("at").alias("_at"))
+    moved = F.col("source").isin(EVICTABLE) & (F.coalesce("quality", F.lit(0.0)) != FAILED)
+    return features.join(latest, ["source", "ref_id"], "left").withColumn("last_accessed_at", F.when(moved, F.greatest("last_accessed_at", "_at")).otherwise(F.col("last_accessed_at"))).drop("_at").select(*features.columns)
+
+
 def cascade_keep(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key).distinct(), key, "left_semi")
 

@@ -300,10 +300,18 @@ def candidate_pool(spark, d):
 
 
 @query(r"""SELECT page_id, url_decode(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1)) AS basename FROM pages""")
-def url_basename(spark, d):
+def basename_from_url(spark, d):
     return read(spark, d, "pages").select("page_id", tx.basename_from_url(F.col("url")).alias("basename"))
 
 
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/' WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') ELSE url END AS u FROM pages)
+SELECT page_id, coalesce(nullif(url_decode(regexp_extract(regexp_replace(split_part(split_part(u, '?', 1), '#', 1), '^(https?:)?//[^/]*', ''), '([^/]*)$', 1)), ''), u) AS basename FROM p""")
+def url_basename(spark, d):
+    k = F.col("page_id") % 4
+    u = F.when(k == 0, F.concat("url", F.lit("/"))).when(k == 1, F.regexp_replace("url", "^[a-z]+://", "")).otherwise(F.col("url"))
+    return read(spark, d, "pages").select("page_id", tx.url_basename(u).alias("basename"))
+
+
 @query(r"""SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(split_part(split_part(url_decode(url), '?', 1), '#', 1), '([^/]*)$', 1), '^(.*[^.].*)\.[^.]*$', '\1'), '[_\-.]+', ' ', 'g'), '\s+', ' ', 'g'))) AS name FROM pages""")
 def filename_normalize(spark, d):
     return read(spark, d, "pages").select("page_id", tx.normalize_filename(F.col("url")).alias("name"))
@@ -519,6 +527,112 @@ def output_projection(spark, d):
     return p.select("p_partkey", out.alias("output"), data_url(name, F.repeat("p_name", 4).cast("binary")).alias("cover"))
 
 
+# --- whole operations on the store, requests and output ---------------------------
+_SCHEMAS = "sch AS (SELECT n_nationkey AS schema_id, list_filter(range(0, 8), lambda i: (n_nationkey * 7 + i) % 23 <> 0) AS have FROM nation), js AS (SELECT o_orderkey AS job_id, o_custkey % 25 AS schema_id, o_orderpriority AS completed_at FROM orders WHERE o_orderstatus = 'F'), sj AS (SELECT js.* FROM js JOIN sch USING (schema_id) WHERE len(have) = 8)"
+
+
+def _scene_jobs(spark, d) -> DataFrame:
+    o = read(spark, d, "orders")
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 25).alias("schema_id"), F.col("o_orderpriority").alias("completed_at"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"))
+    n = F.col("n_nationkey")
+    fields = F.filter(F.array(*[F.when((n * 7 + i) % 23 != 0, F.lit(x)) for i, x in enumerate(match.REQUIRED)]), lambda x: x.isNotNull())
+    return match.scene_jobs(jobs, read(spark, d, "nation").select(n.cast("long").alias("schema_id"), fields.alias("fields")))
+
+
+@query(f"WITH {_SCHEMAS} SELECT job_id, schema_id, completed_at FROM sj")
+def scene_jobs(spark, d):
+    return _scene_jobs(spark, d).select("job_id", "schema_id", "completed_at")
+
+
+@query(f"""WITH {_SCHEMAS}, {_STATE}, old AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority || 'x' ELSE o_orderpriority END AS was FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT job_id, CASE WHEN was IS NULL THEN 'new' ELSE 'stale' END AS reason FROM sj LEFT JOIN old USING (job_id) WHERE was IS DISTINCT FROM completed_at AND job_id NOT IN (SELECT job_id FROM st WHERE state = 'featurizing')""")
+def discover_jobs(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("completed_at"))
+    cached = o.where("job_id % 5 <> 0").withColumn("completed_at", F.when(F.col("job_id") % 4 == 0, F.concat("completed_at", F.lit("x"))).otherwise(F.col("completed_at")))
+    return lifecycle.discover(_scene_jobs(spark, d), cached, _states(spark, d))
+
+
+@query(f"""WITH {_STATE}, q AS (SELECT o_orderkey AS request_id, o_custkey AS job_id FROM orders), w AS (SELECT request_id, min(progress) FILTER (progress > 0) AS p, count(*) FILTER (state IS DISTINCT FROM 'ready') AS n FROM q LEFT JOIN st USING (job_id) GROUP BY ALL)
+SELECT request_id, n = 0 AS accepted, CASE WHEN n > 0 THEN CAST(coalesce(greatest(2e0, least(60e0, round(10e0 * (1e0 - p) / p))), 10) AS BIGINT) END AS retry_after FROM w""")
+def readiness_gate(spark, d):
+    return lifecycle.readiness_gate(read(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("job_id")), _states(spark, d))
+
+
+_FEATURES = """SELECT CASE event_type WHEN 'click' THEN 'stash_cover' WHEN 'view' THEN 'extractor_image' WHEN 'purchase' THEN 'extractor_aggregate' ELSE 'stash_sprite' END AS source, CAST(user_id AS VARCHAR) || ':' || CAST(event_id % 40 AS VARCHAR) AS ref_id,
+'phash' AS channel, 'a' AS algorithm, CASE WHEN event_id % 13 = 0 THEN -1e0 ELSE 0.5e0 END AS quality, ts AS computed_at, event_id FROM events"""
+
+
+def _features(spark, d) -> DataFrame:
+    e, i = read(spark, d, "events"), F.col("event_id")
+    source = F.when(F.col("event_type") == "click", "stash_cover").when(F.col("event_type") == "view", "extractor_image").when(F.col("event_type") == "purchase", "extractor_aggregate").otherwise("stash_sprite")
+    return e.select(source.alias("source"), F.concat(F.col("user_id").cast("string"), F.lit(":"), (i % 40).cast("string")).alias("ref_id"), F.lit("phash").alias("channel"), F.lit("a").alias("algorithm"), F.when(i % 13 == 0, store.FAILED).otherwise(0.5).alias("quality"), F.col("ts").alias("computed_at"), "event_id")
+
+
+@query(f"""WITH f AS ({_FEATURES}), n AS (SELECT DISTINCT c_custkey AS job_id FROM customer WHERE c_custkey % 3 = 0),
+r AS (SELECT o_custkey AS job_id, o_orderkey AS id FROM orders)
+SELECT 'features' AS name, count(*) AS rows FROM f WHERE source LIKE 'stash%' OR split_part(ref_id, ':', 1) NOT IN (SELECT CAST(job_id AS VARCHAR) FROM n)
+UNION ALL SELECT 'jobs', (SELECT count(*) FROM customer) UNION ALL SELECT 'results', (SELECT count(*) FROM r WHERE job_id NOT IN (SELECT job_id FROM n)) + 2 * (SELECT count(*) FROM n)
+UNION ALL SELECT 'match_results', (SELECT count(*) FROM r WHERE job_id NOT IN (SELECT job_id FROM n))""")
+def replace_cascade(spark, d):
+    jobs = read(spark, d, "customer").select(F.col("c_custkey").alias("job_id"))
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("id"))
+    new = jobs.where("job_id % 3 = 0")
+    results = new.select("job_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("id"))
+    out = store.replace_cascade({"features": _features(spark, d), "jobs": jobs, "results": rows, "match_results": rows}, new, results)
+    counts = [df.agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n, df in out.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+_UPSERT = f"""f AS ({_FEATURES}), u AS (SELECT *, CASE WHEN event_id % 2 = 1 AND source LIKE 'stash%' THEN computed_at END AS last_accessed_at FROM f),
+up AS (SELECT source, ref_id, quality, computed_at, last_accessed_at FROM (SELECT *, row_number() OVER (PARTITION BY source, ref_id ORDER BY computed_at DESC, event_id DESC) AS r FROM u) WHERE r = 1)"""
+
+
+def _upserted(spark, d) -> DataFrame:
+    """Even events are in the store, odd ones come in; of a key's rows the latest event counts on each side."""
+    f = _features(spark, d)
+    newest = lambda df: store.upsert_latest(df, df.limit(0), ["source", "ref_id", "channel", "algorithm"], ["computed_at", "event_id"]).drop("event_id")
+    return store.upsert_features(newest(f.where("event_id % 2 = 0")).withColumn("last_accessed_at", F.lit(None).cast("timestamp_ntz")), newest(f.where("event_id % 2 = 1")))
+
+
+@query(f"WITH {_UPSERT} SELECT source, ref_id, computed_at, last_accessed_at FROM up")
+def upsert_features(spark, d):
+    return _upserted(spark, d).select("source", "ref_id", "computed_at", "last_accessed_at")
+
+
+@query(f"""WITH {_UPSERT}, a AS (SELECT source, ref_id, max(computed_at + INTERVAL 1 DAY) AS seen FROM f WHERE event_id % 3 = 0 GROUP BY ALL)
+SELECT source, ref_id, CASE WHEN source LIKE 'stash%' AND quality <> -1 THEN greatest(last_accessed_at, seen) ELSE last_accessed_at END AS last_accessed_at FROM up LEFT JOIN a USING (source, ref_id)""")
+def lru_touch(spark, d):
+    reads = _features(spark, d).where("event_id % 3 = 0").select("source", "ref_id", F.expr("computed_at + INTERVAL 1 DAY").alias("at"))
+    return store.touch(_upserted(spark, d), reads).select("source", "ref_id", "last_accessed_at")
+
+
+@query("""SELECT p_partkey, '{' || array_to_string(list_filter(['"Title":"' || p_name || '"', CASE WHEN p_size % 3 <> 0 THEN '"Details":"' || p_type || '"' END, CASE WHEN p_size % 2 = 0 THEN '"Date":"2020-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') || '"' END,
+ '"URL":"http:' || CAST(p_partkey AS VARCHAR) || '"', CASE WHEN p_partkey % 3 <> 0 THEN '"Code":"' || p_brand || '"' END, CASE WHEN p_partkey % 5 <> 0 THEN '"Studio":{"Name":"' || p_brand || '"}' END,
+ CASE WHEN p_partkey % 4 = 1 THEN '"Performers":[{"Name":"A"}]' WHEN p_partkey % 4 > 1 THEN '"Performers":[{"Name":"A"},{"Name":"B"}]' END], lambda x: x IS NOT NULL), ',') || '}' AS output FROM part""")
+def scrape_output(spark, d):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    cast = lambda *names: F.array(*[F.struct(F.lit(n).alias("name")) for n in names])
+    rows = read(spark, d, "part").select(
+        "p_partkey", F.col("p_name").alias("title"), F.when(z % 3 != 0, F.concat(F.lit(" "), F.replace("p_type", F.lit(" "), F.lit(" \t ")))).otherwise("  ").alias("details"),
+        F.when(z % 2 == 0, F.concat(F.lit("2020-01-"), F.lpad((z % 28 + 1).cast("string"), 2, "0"))).otherwise("").alias("date"), F.concat(F.lit("http:"), k.cast("string")).alias("url"),
+        F.when(k % 3 != 0, F.concat(F.lit(" "), "p_brand")).alias("code"), F.lit(None).cast("string").alias("image"), F.when(k % 5 != 0, F.col("p_brand")).otherwise("").alias("studio"),
+        F.when(k % 4 == 0, F.array().cast("array<struct<name:string>>")).when(k % 4 == 1, cast("A")).otherwise(cast("A", "B")).alias("performers"),
+    )
+    return match.scrape_output(rows).select("p_partkey", "output")
+
+
+@query(f"WITH {MX}, g AS (SELECT scene_id, job, record, list(round(tone, 6) ORDER BY tone DESC)[1:20] AS top FROM mx GROUP BY ALL) SELECT scene_id, job, record, top FROM g")
+def top_similarities(spark, d):
+    got = match.top_similarities(_maxima(spark, d), KEYS)
+    return got.select(*KEYS, F.transform("top", lambda x: F.round(x, 6)).alias("top"))
+
+
+@query(f"WITH {_COMP} SELECT scene_id, job AS job_id, record AS result_index, image FROM (SELECT scene_id, job, record, round(image, 6) AS image, row_number() OVER (PARTITION BY scene_id ORDER BY round(image, 6) DESC, job, record) AS k FROM cs) WHERE k = 1")
+def best_raw(spark, d):
+    img = images(spark, d)
+    return match.best_raw(_composite(img, scenes(img)).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), _r(F.col("image"), "image")))
+
+
 # --- evaluation -----------------------------------------------------------------
 _RANKED = f"""{_search_sql()[5:].rsplit('SELECT scene_id, job AS', 1)[0]}, res AS (SELECT scene_id, record, rank, score FROM r WHERE rank <= 5 AND score > 0),
 truth AS (SELECT DISTINCT scene_id, scene_id % 3 AS expected, scene_id % 5 = 0 AS negative FROM sc),

@@ -36,8 +36,12 @@ def vtt_cues(texts: DataFrame) -> DataFrame:
     data = F.regexp_extract("vtt", r"^data:text/vtt;base64,(.*)$", 1)
     vtt = F.when(data != "", F.decode(F.try_to_binary(data, F.lit("base64")), "UTF-8")).otherwise(F.col("vtt"))
     lines = texts.select("ref", F.posexplode(F.split(vtt, r"\r?\n")).alias("line", "t"))
-    start = F.when(F.col("t").rlike(r"^\d+:\d{2}:\d{2}\.\d+\s+-->"), F.regexp_extract("t", r"^(\d+):", 1).cast("int") * 3600 + F.regexp_extract("t", r"^\d+:(\d{2})", 1).cast("int") * 60 + F.regexp_extract("t", r"^\d+:\d{2}:(\d{2}\.\d+)", 1).cast("double"))
-    seen = lines.withColumn("start", F.last(start, ignorenulls=True).over(Window.partitionBy("ref").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    # a line with an arrow sets the time, or forgets it where it can't be read
+    stamp = r"^\s*(\d+):(\d+):(\d+(?:\.\d*)?)\s*-->"
+    at = lambda i: F.regexp_extract("t", stamp, i)
+    start = F.when(at(1) != "", at(1).cast("int") * 3600 + at(2).cast("int") * 60 + at(3).cast("double"))
+    mark = F.when(F.contains(F.col("t"), F.lit("-->")), F.struct(start.alias("start")))
+    seen = lines.withColumn("start", F.last(mark, ignorenulls=True).over(Window.partitionBy("ref").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))["start"])
     box = lambda i: F.regexp_extract("t", r"xywh=(\d+),(\d+),(\d+),(\d+)", i).cast("int")
     cues = seen.where(F.col("t").rlike(r"xywh=\d+,\d+,\d+,\d+") & F.col("start").isNotNull())
     return cues.select("ref", (F.row_number().over(Window.partitionBy("ref").orderBy("line")) - 1).alias("position"), "start", *[box(i).alias(n) for i, n in enumerate(("left", "top", "width", "height"), 1)])

@@ -40,6 +40,33 @@ def retry_after(states: DataFrame, group: str) -> DataFrame:
     return waiting.select(group, F.coalesce(wait, F.lit(10.0)).cast("long").alias("retry_after"))
 
 
+def readiness_gate(candidates: DataFrame, states: DataFrame) -> DataFrame:
+    """(request_id, accepted, retry_after) of ``candidates`` (request_id, job_id): a request with any job that is not ready is turned away, with the seconds to wait."""
+    both = candidates.join(states.select("job_id", "state", "progress"), "job_id", "left").withColumn("state", F.coalesce("state", F.lit("absent")))
+    waits = retry_after(both, "request_id")
+    return candidates.select("request_id").distinct().join(waits, "request_id", "left").select("request_id", F.col("retry_after").isNull().alias("accepted"), "retry_after")
+
+
+#: Shares of a job's work that are done when a step ends: fixed values.
+STEPS = {"images": 0.80, "baselines": 0.82, "uniqueness": 0.85, "aggregates": 0.92, "statistics": 0.97}
+
+
+def progress(step: Column, done: Column, total: Column) -> Column:
+    """Progress of a job: its share of images up to the first fixed step, then the steps."""
+    out = F.lit(None).cast("double")
+    for name, share in STEPS.items():
+        out = F.when(step == name, F.lit(share) * F.coalesce(F.try_divide(done, total), F.lit(0.0)) if name == "images" else F.lit(share)).otherwise(out)
+    return out
+
+
+def discover(jobs: DataFrame, cached: DataFrame, states: DataFrame) -> DataFrame:
+    """(job_id, reason) of the jobs to featurize: new or changed since they were ``cached``, and not in flight; changed ones even if they were ready."""
+    from kindred.operators.store import stale_jobs
+
+    wanted = stale_jobs(cached, jobs).where("state <> 'fresh'").select("job_id", F.col("state").alias("reason"))
+    return wanted.join(states.where("state = 'featurizing'").select("job_id"), "job_id", "left_anti")
+
+
 def to_enqueue(requests: DataFrame, states: DataFrame) -> DataFrame:
     """Distinct requested jobs that are neither ready nor in flight."""
     return requests.dropDuplicates(["job_id"]).join(states.where("state IN ('ready', 'featurizing')").select("job_id"), "job_id", "left_anti")
