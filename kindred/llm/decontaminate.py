@@ -44,7 +44,9 @@ def simhash(hashes: str) -> Column:
 
 def _common(a: str, b: str) -> Column:
     """Size of the counted intersection of two arrays."""
-    return F.expr(f"aggregate(array_intersect({a}, {b}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
+    counted = f"aggregate(array_intersect({a}, {b}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
+    # where no shingle of one side repeats, its count can't be more than one
+    return F.expr(f"if(size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b}), size(array_intersect({a}, {b})), {counted})")
 
 
 def _starts(similarity: float) -> Column:
@@ -84,22 +86,23 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.75, shingle:
         grams = written(marked.select("item", "m", F.explode("ih").alias("h")).distinct())
         passes = -(-grams.count() // at_once)
         keyed = docs.select(*[F.xxhash64(*c).alias(f"k{i}") for i, c in enumerate((("doc_id", "text"), ("text", "doc_id")))], "doc_id", "text")
-        tokens = keyed.select("k0", "k1", words(F.col("text")).alias("w")).withColumn("h", _shingles("w", k, True)).withColumn("most", F.size("h"))
+        tokens = keyed.select("k0", "k1", words(F.col("text")).alias("w")).withColumn("h", _shingles("w", k, True))
         hits = []
         for p in range(passes):
             some = F.broadcast(grams.where(F.pmod("h", F.lit(passes)) == p))
             # outer, since the filter that Spark adds below a plain explode would work out h, and w for each shingle, anew
-            found = tokens.select("k0", "k1", "most", F.posexplode_outer("h").alias("pos", "h")).join(some, "h")
-            hits.append(found.groupBy("k0", "k1", "item", "most", "m").agg(F.collect_set("pos").alias("at")))
+            found = tokens.select("k0", "k1", F.posexplode_outer("h").alias("pos", "h")).join(some, "h")
+            hits.append(found.groupBy("k0", "k1", "item", "m").agg(F.collect_set("pos").alias("at")))
         reach = hits[0]
         if passes > 1:
             for more in hits[1:]:
                 reach = reach.unionByName(more)
-            reach = reach.groupBy("k0", "k1", "item", "most", "m").agg(F.flatten(F.collect_list("at")).alias("at"))
-        reach = reach.where(F.size("at") >= similarity * F.col("m")).select("k0", "k1", "item", "most", "m", F.array_sort("at").alias("at"), F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int").alias("q"))
-        reach = written(reach.select("k0", "k1", "item", _starts(similarity).alias("starts")).where("size(starts) > 0"))
-        windows = keyed.join(reach.join(marked.select("item", "n"), "item"), ["k0", "k1"]).select("doc_id", "item", "n", words(F.col("text")).alias("w"), F.explode_outer("starts").alias("s"))
-        windows = windows.select("doc_id", "item", F.col("s").alias("start"), F.slice("w", F.col("s") + 1, F.col("n")).alias("ww"))
+            reach = reach.groupBy("k0", "k1", "item", "m").agg(F.flatten(F.collect_list("at")).alias("at"))
+        reach = written(reach.where(F.size("at") >= similarity * F.col("m")).select("k0", "k1", "item", "m", F.array_sort("at").alias("at"), F.floor((1 - similarity) * F.col("m") + 1e-9).cast("int").alias("q")))
+        near = keyed.join(reach.join(marked.select("item", "n"), "item"), ["k0", "k1"]).select("doc_id", "item", "n", "m", "q", "at", words(F.col("text")).alias("w"))
+        near = near.withColumn("most", F.size("w") - (k - 1)).withColumn("starts", _starts(similarity))
+        # cut out before they are dealt into rows, so that no row carries the whole text
+        windows = near.select("doc_id", "item", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, F.col("n")).alias("ww")))).alias("x")).select("doc_id", "item", "x.start", "x.ww")
         windows = windows.distinct().withColumn("wh", _shingles("ww", k, True)).where("size(wh) > 0").withColumn("print", simhash("wh")).withColumn("wt", _shingles("ww", k, False))
         windows = written(windows.drop("ww", "wh").withColumn("row", F.monotonically_increasing_id()))  # once written, the numbers stay
         block = lambda p: F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> shiftright({p}, b * {WIDTH}) & {2**WIDTH - 1}L)")
