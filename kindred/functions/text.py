@@ -26,10 +26,10 @@ def basename_from_url(url: Column) -> Column:
 
 
 def url_basename(url: Column) -> Column:
-    """Last path segment of a url, or the name itself, or what is given where that is empty."""
+    """Last path segment of a url; of a bare name, its last segment, or what is given where that is empty."""
     path = F.regexp_replace(_cut(url), "^(https?:)?//[^/]*", "")
-    name = F.when(F.coalesce(url, F.lit("")).rlike("^(https?:)?//"), unquote(F.substring_index(path, "/", -1))).otherwise(basename_from_url(url))
-    return F.coalesce(F.nullif(name, F.lit("")), url)
+    bare = F.coalesce(F.nullif(basename_from_url(url), F.lit("")), url, F.lit(""))
+    return F.when(F.coalesce(url, F.lit("")).rlike("^(https?:)?//"), unquote(F.substring_index(path, "/", -1))).otherwise(bare)
 
 
 def normalize_filename(x: Column) -> Column:

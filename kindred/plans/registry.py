@@ -304,11 +304,12 @@ def basename_from_url(spark, d):
     return read(spark, d, "pages").select("page_id", tx.basename_from_url(F.col("url")).alias("basename"))
 
 
-@query(r"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/' WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') ELSE url END AS u FROM pages)
-SELECT page_id, coalesce(nullif(url_decode(regexp_extract(regexp_replace(split_part(split_part(u, '?', 1), '#', 1), '^(https?:)?//[^/]*', ''), '([^/]*)$', 1)), ''), u) AS basename FROM p""")
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/' WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '') || '/' ELSE url END AS u FROM pages),
+b AS (SELECT *, url_decode(regexp_extract(regexp_replace(split_part(split_part(u, '?', 1), '#', 1), '^(https?:)?//[^/]*', ''), '([^/]*)$', 1)) AS b FROM p)
+SELECT page_id, CASE WHEN b = '' AND NOT regexp_matches(u, '^(https?:)?//') THEN u ELSE b END AS basename FROM b""")
 def url_basename(spark, d):
-    k = F.col("page_id") % 4
-    u = F.when(k == 0, F.concat("url", F.lit("/"))).when(k == 1, F.regexp_replace("url", "^[a-z]+://", "")).otherwise(F.col("url"))
+    k, bare = F.col("page_id") % 4, F.regexp_replace("url", "^[a-z]+://", "")
+    u = F.when(k == 0, F.concat("url", F.lit("/"))).when(k == 1, bare).when(k == 2, F.concat(bare, F.lit("/"))).otherwise(F.col("url"))
     return read(spark, d, "pages").select("page_id", tx.url_basename(u).alias("basename"))
 
 
