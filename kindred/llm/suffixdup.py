@@ -8,7 +8,8 @@ shard may have are split, in up to three steps, by where the anchor lies in the
 window and by the bytes that all windows of such a part share; equal windows
 stay together. Identical runs are taken together with their count: those whose
 anchor has no other run are done, repeated throughout or not at all. The rest
-are dealt to shards by anchor, so that equal windows always meet in one shard. A shard's suffixes are sorted by induced sorting: the
+are dealt to shards by anchor, so that equal windows always meet in one shard;
+there, parts of runs whose common bytes no other run has go first. A shard's suffixes are sorted by induced sorting: the
 leftmost-smaller suffixes' substrings are ranked and named, equal names send
 the names' string through the same steps again (or, once its names are many and
 rare, through a sort by doubled prefixes), and their order induces that of the
@@ -301,13 +302,14 @@ def _name_run(raw: bytes, start: int, n: int, length: int) -> tuple[int, int]:
 def _cut(window: int, length: int, most: int = 1 << 26):
     def run(batches):
         for b in pieces(batches):
-            out = {k: [] for k in ("k0", "k1", "anchor", "start", "n", "size", "digest")}
+            out = {k: [] for k in ("k0", "k1", "anchor", "off", "start", "n", "size", "digest")}
             for k0, k1, text in zip(b.column("k0").to_pylist(), b.column("k1").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
                 if text is None or len(text) < window:
                     continue
                 data = np.frombuffer(text, np.uint8)
                 for lo in range(0, len(text) - window + 1, most - window + 1):  # pieces overlap by window - 1
-                    first, count, _, h = anchors(data[lo : lo + most], window)
+                    first, count, place, h = anchors(data[lo : lo + most], window)
+                    out["off"].append(place - first)
                     first = first + lo
                     out["k0"] += [k0] * len(first)
                     out["k1"] += [k1] * len(first)
@@ -319,7 +321,7 @@ def _cut(window: int, length: int, most: int = 1 << 26):
                         out["size"].append(size)
                         out["digest"].append(digest)
             if out["k0"]:
-                cols = [pa.array(out["k0"]), pa.array(out["k1"]), pa.array(np.concatenate(out["anchor"])), pa.array(np.concatenate(out["start"]).astype(np.int32)), pa.array(np.concatenate(out["n"]).astype(np.int32)), pa.array(out["size"], pa.int32()), pa.array(out["digest"], pa.int64())]
+                cols = [pa.array(out["k0"]), pa.array(out["k1"]), pa.array(np.concatenate(out["anchor"])), pa.array(np.concatenate(out["off"]).astype(np.int32)), pa.array(np.concatenate(out["start"]).astype(np.int32)), pa.array(np.concatenate(out["n"]).astype(np.int32)), pa.array(out["size"], pa.int32()), pa.array(out["digest"], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, list(out))
 
     return run
@@ -332,30 +334,28 @@ def _split(window: int, length: int, width: int):
         for b in batches:
             for r in b.to_pylist():
                 raw = r["text"].encode("utf-8", "surrogatepass")
-                data = np.frombuffer(raw, np.uint8)
                 out = []
                 for x in r["runs"]:
                     last = x["start"] + x["n"] - 1
-                    # the anchor is the same in all windows of the run: its first one tells where it lies
-                    place = x["start"] + int(anchors(data[x["start"] : x["start"] + window], window)[2][0])
-                    for tier in range((place - last) // width, (place - x["start"]) // width + 1):
+                    place = x["start"] + x["off"]
+                    for tier in range((place - last) // width, x["off"] // width + 1):
                         near, far = tier * width, tier * width + width - 1
                         lo, hi = max(x["start"], place - far), min(last, place - near)
                         shared = raw[place - near : place - far + window]
                         key = hashlib.md5(b"%d %d %d " % (x["anchor"], width, tier) + shared).digest()[:8]
-                        out.append((r["k0"], r["k1"], int.from_bytes(key, "little", signed=True), lo, hi - lo + 1, *_name_run(raw, lo, hi - lo + 1, length)))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["k0", "k1", "anchor", "start", "n", "size", "digest"])
+                        out.append((r["k0"], r["k1"], int.from_bytes(key, "little", signed=True), place - lo, lo, hi - lo + 1, *_name_run(raw, lo, hi - lo + 1, length)))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["k0", "k1", "anchor", "off", "start", "n", "size", "digest"])
 
     return run
 
 
-_RUN = "k0 long, k1 long, anchor long, start int, n int, size int, digest long"
+_RUN = "k0 long, k1 long, anchor long, off int, start int, n int, size int, digest long"
 
 
 def _kinds(runs: DataFrame) -> DataFrame:
     """Distinct runs with their counts and one place of each."""
-    return runs.groupBy("anchor", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("k0", "k1", "start", "n", "size")).alias("at"))
+    return runs.groupBy("anchor", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("k0", "k1", "start", "n", "size", "off")).alias("at"))
 
 
 def spread(keyed: DataFrame, runs: DataFrame, window: int, length: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -367,7 +367,7 @@ def spread(keyed: DataFrame, runs: DataFrame, window: int, length: int, most: in
         if hot.isEmpty():
             break
         hot = F.broadcast(hot)
-        texts = runs.join(hot, "anchor").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
+        texts = runs.join(hot, "anchor").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "off", "start", "n")).alias("runs"))
         parts = keyed.select("k0", "k1", "text").join(written(texts), ["k0", "k1"]).mapInArrow(_split(window, length, width), _RUN)
         parts = written(parts)
         runs = runs.join(hot, "anchor", "left_anti").unionByName(parts)
@@ -381,19 +381,52 @@ def _fetch(batches):
             raw = r["text"].encode("utf-8", "surrogatepass")
             runs = r["runs"]
             yield pa.RecordBatch.from_arrays([
-                pa.array([x["anchor"] for x in runs]), pa.array([x["digest"] for x in runs], pa.int64()), pa.array([x["n"] for x in runs], pa.int32()), pa.array([x["weight"] for x in runs], pa.int64()),
+                pa.array([x["anchor"] for x in runs]), pa.array([x["digest"] for x in runs], pa.int64()), pa.array([x["off"] for x in runs], pa.int32()), pa.array([x["n"] for x in runs], pa.int32()), pa.array([x["weight"] for x in runs], pa.int64()),
                 pa.array([raw[x["start"] : x["start"] + x["size"]] for x in runs], pa.binary()),
-            ], ["anchor", "digest", "n", "weight", "bytes"])
+            ], ["anchor", "digest", "off", "n", "weight", "bytes"])
+
+
+def shared_starts(runs: list[bytes], anchor: list[int], off: list[int], starts: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(run, first start, number of starts) of the parts of runs that may hold a window of another run.
+
+    Windows whose anchor's offset lies within one tier have some bytes in
+    common, all but a sixth of a window. Equal windows lie in one tier of one
+    anchor and share those bytes, so a tier whose bytes no other run has goes.
+    """
+    width = max(1, window // 6)
+    seen: dict[tuple, int] = {}
+    met = []  # (run, lo, hi, key)
+    for r, (raw, a, place, n) in enumerate(zip(runs, anchor, off, starts, strict=True)):
+        for tier in range((place - n + 1) // width, place // width + 1):
+            near, far = tier * width, tier * width + width - 1
+            key = (a, tier, raw[place - near : place - far + window])
+            seen[key] = r if seen.setdefault(key, r) == r else -1
+            met.append((r, max(0, place - far), min(n - 1, place - near), key))
+    out: list[tuple[int, int, int]] = []
+    for r, lo, hi, key in sorted((x for x in met if seen[x[3]] < 0), key=lambda x: x[:2]):
+        if out and out[-1][0] == r and out[-1][1] + out[-1][2] == lo:
+            out[-1] = (r, out[-1][1], hi - out[-1][1] + 1)
+        else:
+            out.append((r, lo, hi - lo + 1))
+    return out
 
 
 def _sort(window: int, length: int):
     def run(key, rows):
         runs = rows.column("bytes").to_pylist()
-        starts, weights = np.asarray(rows.column("n"), dtype=np.int64), np.asarray(rows.column("weight"))
-        found, longest = repeated_starts(runs, starts, weights, length)
+        starts, weights = rows.column("n").to_pylist(), np.asarray(rows.column("weight"))
+        # copies of a run agree from every start
+        longest = np.where(weights > 1, np.minimum([len(r) for r in runs], length), 0)
+        hits = [np.arange(n) + length <= len(r) if w > 1 else np.zeros(n, bool) for r, n, w in zip(runs, starts, weights.tolist(), strict=True)]
+        parts = shared_starts(runs, rows.column("anchor").to_pylist(), rows.column("off").to_pylist(), starts, window)
+        if parts:
+            found, own = repeated_starts([runs[r][lo : lo + n - 1 + length] for r, lo, n in parts], np.array([n for _, _, n in parts]), weights[[r for r, _, _ in parts]], length)
+            for (r, lo, n), f, m in zip(parts, found, own.tolist(), strict=True):
+                hits[r][lo : lo + n] |= f
+                longest[r] = max(longest[r], m)
         some = np.flatnonzero(longest >= window).tolist()
         at = pa.array(some, pa.int64())
-        return pa.table({"anchor": rows.column("anchor").take(at), "digest": rows.column("digest").take(at), "longest": pa.array(longest[some], pa.int32()), "hit": pa.array([np.packbits(found[k]).tobytes() if found[k].any() else b"" for k in some], pa.binary())})
+        return pa.table({"anchor": rows.column("anchor").take(at), "digest": rows.column("digest").take(at), "longest": pa.array(longest[some], pa.int32()), "hit": pa.array([np.packbits(hits[k]).tobytes() if hits[k].any() else b"" for k in some], pa.binary())})
 
     return run
 
@@ -447,9 +480,9 @@ def substring_duplicates(docs: DataFrame, length: int = 400, window: int = 260,
     kinds = kinds.where("m > 1")
     total = kinds.agg(F.coalesce(F.sum("at.size"), F.lit(0)).alias("b")).first()["b"]
     shards = max(1, -(-int(total) // shard_bytes))
-    wanted = kinds.groupBy("at.k0", "at.k1").agg(F.collect_list(F.struct("anchor", "digest", F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.size").alias("size"), "weight")).alias("runs"))
+    wanted = kinds.groupBy("at.k0", "at.k1").agg(F.collect_list(F.struct("anchor", "digest", F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.size").alias("size"), F.col("at.off").alias("off"), "weight")).alias("runs"))
     fetched = keyed.select("k0", "k1", "text").join(written(wanted), ["k0", "k1"])
-    fetched = fetched.select("text", "runs").mapInArrow(_fetch, "anchor long, digest long, n int, weight long, bytes binary")
+    fetched = fetched.select("text", "runs").mapInArrow(_fetch, "anchor long, digest long, off int, n int, weight long, bytes binary")
     fetched = fetched.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
     hits = fetched.groupBy("shard").applyInArrow(_sort(window, length), "anchor long, digest long, longest int, hit binary")
     hits = written(hits.unionByName(alike).dropDuplicates(["anchor", "digest"]))
