@@ -21,17 +21,14 @@ def top_k_mean(values: Column, k: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)).otherwise(0.0)
 
 
-def weighted(maxima: DataFrame, features: DataFrame, uniqueness: DataFrame, baselines: DataFrame, channel: str) -> DataFrame:
-    """maxima (job, ref, ...) with the channel's quality, uniqueness and baseline; null where none is stored.
+def weighted(maxima: DataFrame, features: DataFrame, uniqueness: DataFrame, baselines: DataFrame) -> DataFrame:
+    """maxima (job, ref, ...) with what is stored of their images and jobs; null where nothing is.
 
-    features (ref, quality), uniqueness (job, ref, uniqueness) and baselines
-    (job, baseline) are tables of their own; each is one left join, and Spark
-    broadcasts what is small enough.
+    features (ref and the channels' qualities), uniqueness (job, ref,
+    uniqueness) and baselines (job and the channels' baselines) are one left
+    join each, and Spark broadcasts what is small enough.
     """
-    name = lambda c: f"{channel}_{c}"
-    got = maxima.join(features.select("ref", F.col("quality").alias(name("quality"))), "ref", "left")
-    got = got.join(uniqueness.select("job", "ref", F.col("uniqueness").alias(name("uniqueness"))), ["job", "ref"], "left")
-    return got.join(baselines.select("job", F.col("baseline").alias(name("baseline"))), "job", "left")
+    return maxima.join(features, "ref", "left").join(uniqueness, ["job", "ref"], "left").join(baselines, "job", "left")
 
 
 def frame_channels(maxima: DataFrame, keys: list[str], channels: dict[str, tuple[str, str, str, str]], gamma: float = GAMMA, count_k: float = COUNT_K) -> DataFrame:

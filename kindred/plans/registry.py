@@ -129,12 +129,10 @@ def _frames(img: DataFrame, of: DataFrame) -> DataFrame:
     pairs = of.join(img, "job")
     hashed, tone = sim.guarded_similarity(F.col("slanes"), F.col("lanes"), 64), sim.tone_similarity(F.col("blob"), F.col("sblob"))
     best = pairs.groupBy(*KEYS, "ref").agg(F.greatest(F.max(hashed), F.lit(0.0)).alias("phash_m"), F.greatest(F.max(tone), F.lit(0.0)).alias("tone_m"))
-    stored = img.where("ref % 11 <> 0")
-    unique = corpus.uniqueness(img, threshold=0.9).where("ref % 13 <> 0")
-    noise = corpus.baseline(img, {"phash": sim.guarded_similarity(F.col("lanes"), F.col("lanes2"), 64), "tone": sim.tone_similarity(F.col("blob"), F.col("blob2"))}).where("job % 5 <> 4")
-    for c, quality in (("phash", sim.entropy_variance_quality(F.col("blob"))), ("tone", sim.gini_quality(F.col("blob")))):
-        best = scoring.weighted(best, stored.select("ref", quality.alias("quality")), unique, noise.select("job", F.col(c).alias("baseline")), c)
-    return scoring.frame_channels(best, KEYS, {c: tuple(f"{c}_{x}" for x in ("m", "quality", "uniqueness", "baseline")) for c in ("phash", "tone")})
+    stored = img.where("ref % 11 <> 0").select("ref", sim.entropy_variance_quality(F.col("blob")).alias("phash_quality"), sim.gini_quality(F.col("blob")).alias("tone_quality"))
+    unique = corpus.uniqueness(img, threshold=0.9).where("ref % 13 <> 0").select("job", "ref", "uniqueness")
+    noise = corpus.baseline(img, {"phash_baseline": sim.guarded_similarity(F.col("lanes"), F.col("lanes2"), 64), "tone_baseline": sim.tone_similarity(F.col("blob"), F.col("blob2"))}).where("job % 5 <> 4")
+    return scoring.frame_channels(scoring.weighted(best, stored, unique, noise), KEYS, {c: (f"{c}_m", f"{c}_quality", "uniqueness", f"{c}_baseline") for c in ("phash", "tone")})
 
 
 @query(f"WITH {_WEIGHTED} SELECT scene_id, job, record, round(evidence, 6) AS evidence, round(count_conf, 6) AS count_conf, round(dist_q, 6) AS dist_q, round(score, 6) AS score FROM ({_TONE})")
