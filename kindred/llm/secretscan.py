@@ -3,8 +3,9 @@
 Every text is searched for assignments, access keys and hexadecimal runs, and
 for opaque runs that only the ownership counts can judge. Each candidate value
 is hashed; the hashes are counted by distinct owners and distinct repositories
-over the whole corpus. A value seen with many owners is a copied example; one
-that few owners hold looks live.
+over the whole corpus. A value seen with many owners, or passed between owners
+and copied over many repositories, is a copied example; one that few owners hold
+looks live, and so does one that a single owner uses everywhere.
 """
 
 from __future__ import annotations
@@ -64,13 +65,16 @@ def ownership(hits: DataFrame) -> DataFrame:
     return owners.join(repositories, "hash")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = 3, example_repositories: int = 10) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, owner, repository): text_key and found, an array of (start, kind, end, hash, live, owners, repositories).
 
-    Null texts count as empty; a text without spans has an empty array. Base
-    spans always stay; an opaque span stays only if it touches no base span
-    and fewer than ``example_owners`` owners hold it. A null owner or
-    repository counts as one more. Repeated rows are scanned each.
+    A value is an example if ``example_owners`` owners or more hold it, or if
+    more than one does in ``example_repositories`` repositories or more; else
+    it is live. Null texts count as empty; a text without spans has an empty
+    array. Base spans always stay; an opaque span stays only if it touches no
+    base span and is live. A null owner or repository counts as one more.
+    Repeated rows are scanned each; other columns are ignored, and texts of
+    any length are whole.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base, opaque = candidates(F.col("text"))
@@ -89,7 +93,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", exa
     held = ownership(some.select("owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash")))
     one = some.groupBy("text_key").agg(F.first("spans").alias("spans"))  # spans depend on the text alone
     judged = one.select("text_key", F.explode("spans").alias("s")).select("text_key", "s.*").join(written(held), "hash")
-    judged = judged.withColumn("live", F.col("owners") < example_owners).where("kind < 3 OR live")
+    example = (F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= example_repositories))
+    judged = judged.withColumn("live", ~example).where("kind < 3 OR live")
     judged = judged.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "live", "owners", "repositories"))).alias("found"))
     judged = written(judged)
     kind = judged.schema["found"].dataType

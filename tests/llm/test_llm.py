@@ -312,6 +312,16 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert cut[5] == "[secret]" and cut[0] == docs[0][1] and cut[10] == "say [secret] now" and cut[11] == "nothing"
 
 
+def test_repositories_tell_widely_copied_values(spark):
+    value = "token=abcdef99"
+    docs = [(i, value, "ab"[i % 2], f"r{i}") for i in range(10)] + [(100 + i, "token=onlymine", "a", f"r{i}") for i in range(30)] + [(200 + i, "token=twosides", "ab"[i % 2], "r") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, repo string").withColumns({"owner": F.lit(1), "found": F.lit(2), "text_key": F.lit(3)})
+    got = {(r["doc_id"] // 100, s["live"], s["owners"], s["repositories"]) for r in secretscan.scan(df, repository="repo").collect() for s in r["found"]}
+    assert got == {(0, False, 2, 10), (1, True, 1, 30), (2, True, 2, 1)}
+    assert secretscan.redact(df).columns == df.columns
+    assert secretscan.scan(df.limit(0)).count() == 0 and secretscan.redact(df.limit(0)).count() == 0
+
+
 # --- mixing --------------------------------------------------------------------------------
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {f"s{i}": i + 1 for i in range(30)}, {"a": 1.0}])
 def test_schedule_stays_within_a_block(weights):
