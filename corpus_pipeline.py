@@ -55,7 +55,8 @@ def _stage(work):
         release([t for t in _last if t[1].rpartition("/")[2] not in read])
         before = written_so_far()
         out = work(spark, docs, sf_dir)
-        _last[:] = [t for t in written_so_far() if t not in before]
+        # what the last stage made stays: run() returns its result unread
+        _last[:] = [t for t in written_so_far() if t not in before and work is not mixture]
         return out
 
     return run_stage
