@@ -35,10 +35,22 @@ def sample(docs: DataFrame, keys: DataFrame, per_class: int) -> DataFrame:
     return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("label", "text")
 
 
-def fitted(rows: DataFrame, make) -> object | None:
+class Packed:
+    """A model as compressed bytes, unpacked where it is used, once in a Python worker; the driver never holds it unpacked."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.model = raw, None
+
+    def get(self):
+        if self.raw is not None:
+            self.model, self.raw = pickle.loads(zlib.decompress(self.raw)), None
+        return self.model
+
+
+def fitted(rows: DataFrame, make) -> Packed | None:
     """What ``make`` (table of label and text) builds from the bounded sample ``rows``, in one executor task; None without rows.
 
-    The sample doesn't pass through the driver, which gets the model alone.
+    The sample doesn't pass through the driver, which gets the packed model alone.
     """
     ship(rows.sparkSession)
 
@@ -50,7 +62,7 @@ def fitted(rows: DataFrame, make) -> object | None:
 
     rows = written(rows)  # a plain scan then feeds the one task
     got = rows.coalesce(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(zlib.decompress(got[0]["model"])) if got else None
+    return Packed(bytes(got[0]["model"])) if got else None
 
 
 def in_order(t: pa.Table) -> tuple[pa.Array, list[str]]:
@@ -129,7 +141,7 @@ def identify(docs: DataFrame, train: DataFrame, per_class: int = 500, order: int
     shared = share(spark, fitted(rows, lambda t: LanguageModel(*in_order(t), order)))
 
     def run(batches):
-        m = shared.value
+        m = shared.value and shared.value.get()
         for b in pieces(batches):
             text = b.column("text")
             if m is None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .charkn import CharKN
 from .common import pieces, remainder, seg_max, share, split_words, sums, table
-from .langid import class_counts, fitted, in_order, sample
+from .langid import Packed, class_counts, fitted, in_order, sample
 
 CLASSES = ["0", "1"]
 
@@ -71,8 +71,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int = 6) -> tuple[ToxicityModel | None, float]:
-    """A model and the share of toxic labels, from at most ``per_class`` documents of each label.
+def fit(train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int = 6) -> tuple[Packed | None, float]:
+    """A packed ToxicityModel and the share of toxic labels, from at most ``per_class`` documents of each label.
 
     ``labels`` (doc_id, toxic) names them, ``train`` (doc_id, text) has the
     texts. A document with several labels is toxic if any says so; null
@@ -103,7 +103,7 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_cla
     shared = share(spark, model)
 
     def run(batches):
-        m = shared.value
+        m = shared.value and shared.value.get()
         for b in pieces(batches):
             score = np.full(b.num_rows, prior) if m is None else m.score(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -119,7 +119,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     shared = share(spark, model)
 
     def run(batches):
-        m = shared.value
+        m = shared.value and shared.value.get()
         for b in pieces(batches):
             score = np.full(b.num_rows, prior) if m is None else m.score(b.column("text"))
             yield b.filter(pa.array(score < threshold))
