@@ -73,7 +73,7 @@ def test_uniqueness_of_a_shared_logo(spark):
 
 def test_baseline_without_pairs(spark):
     rows = [(1, 1, 0, [1, 2]), (2, 2, 0, [1, 2]), (2, 3, 0, [1, 2])]
-    got = corpus.baseline(spark.createDataFrame(rows, "job int, ref long, record int, blob array<long>"), similarity.tone_similarity(F.col("blob"), F.col("other")))
+    got = corpus.baseline(spark.createDataFrame(rows, "job int, ref long, record int, blob array<long>"), {"baseline": similarity.tone_similarity(F.col("blob"), F.col("blob2"))})
     assert {r["job"]: r["baseline"] for r in got.collect()} == {1: 0.5, 2: 0.5}
 
 
