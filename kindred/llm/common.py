@@ -79,11 +79,12 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def split_words(text: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def split_words(text: pa.Array | pa.ChunkedArray, *, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of the words of all texts one after the other, the distinct words, and len(text)+1 offsets into the codes."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
-    text = pc.ascii_lower(pc.fill_null(text.cast(pa.large_string()), ""))
+    text = pc.fill_null(text.cast(pa.large_string()), "")
+    text = pc.ascii_lower(text) if lower else text
     lists = pc.ascii_split_whitespace(text)
     flat = lists.flatten()
     offsets = np.asarray(lists.offsets, dtype=np.int64)
