@@ -1,9 +1,10 @@
-"""Image kernels over decoded pixels: border crop, perceptual hashes, colour histogram, tone, sprites.
+"""Image kernels over decoded pixels: border crop, perceptual hashes, colour histogram, tone.
 
 Pixels come as rows of blue, green, red bytes (the order of Spark's image
-source). Kernels work on one numpy image; the Arrow functions at the end apply
-them to batches. Resampling and transforms follow their public definitions;
-equality with any library in the last bit isn't claimed.
+source). Kernels take one image or a stack of equal size, so that a batch is a
+few array operations; the Arrow functions at the end group what a batch holds
+by size. Resampling and transforms follow their public definitions; equality
+with any library in the last bit isn't claimed.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DARK, BORDER, SIDE, FLAT = 20, 0.85, 256, 30.0
+DARK, BORDER, SIDE, FLAT, SMALLEST = 20, 0.85, 256, 30.0, 10
+PIECE = 64 << 20  # bytes of pixels that are worked on at once
 
 
 def to_rgb(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -28,12 +30,12 @@ def grey(rgb: np.ndarray) -> np.ndarray:
 
 
 def letterbox(rgb: np.ndarray) -> tuple[int, int, int, int]:
-    """top, bottom, left, right without borders in which nearly all pixels are dark."""
+    """top, bottom, left, right of one image without borders in which nearly all pixels are dark."""
     dark = grey(rgb) < DARK
     rows, cols = np.flatnonzero(dark.mean(1) < BORDER), np.flatnonzero(dark.mean(0) < BORDER)
     if not len(rows) or not len(cols):
         return 0, rgb.shape[0], 0, rgb.shape[1]
-    return rows[0], rows[-1] + 1, cols[0], cols[-1] + 1
+    return int(rows[0]), int(rows[-1]) + 1, int(cols[0]), int(cols[-1]) + 1
 
 
 def _weights(n: int, m: int) -> np.ndarray:
@@ -46,59 +48,76 @@ def _weights(n: int, m: int) -> np.ndarray:
     return w / w.sum(1, keepdims=True)
 
 
-def resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    v = a.astype(np.float64).reshape(a.shape[0], a.shape[1], -1)
-    out = np.einsum("ij,jkc,lk->ilc", _weights(a.shape[0], height), v, _weights(a.shape[1], width), optimize=True)
-    out = np.clip(np.rint(out), 0, 255).astype(np.uint8)
-    return out[:, :, 0] if a.ndim == 2 else out
+def resize(grey_image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """(..., h, w) to (..., height, width)."""
+    out = _weights(grey_image.shape[-2], height) @ grey_image.astype(np.float64) @ _weights(grey_image.shape[-1], width).T
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
 def normalize(rgb: np.ndarray) -> np.ndarray:
-    """Grey 256 x 256 image without borders; an image that would lose nearly everything stays whole."""
-    t, b, left, right = letterbox(rgb)
-    cut = rgb[t:b, left:right] if b - t >= 10 and right - left >= 10 else rgb
-    return grey(resize(cut, SIDE, SIDE))
-
-
-def quality(image: np.ndarray) -> float:
-    p = np.bincount(image.ravel(), minlength=256) / image.size
-    p = p[p > 0]
-    return float(np.sqrt(min(1.0, -(p * np.log2(p)).sum() / 8) * min(1.0, image.astype(float).var() / 1e4)))
+    """Grey 256 x 256 images without borders; an image that would lose nearly everything stays whole."""
+    if rgb.ndim == 3:
+        return normalize(rgb[None])[0]
+    out = np.empty((len(rgb), SIDE, SIDE), np.uint8)
+    boxes: dict[tuple, list[int]] = {}
+    for i, image in enumerate(rgb):
+        t, b, left, right = letterbox(image)
+        boxes.setdefault((t, b, left, right) if b - t >= SMALLEST and right - left >= SMALLEST else (0, rgb.shape[1], 0, rgb.shape[2]), []).append(i)
+    for (t, b, left, right), which in boxes.items():
+        cut = np.moveaxis(rgb[which, t:b, left:right], -1, 1)  # colours apart, then as the resampling of colour images does
+        out[which] = grey(np.moveaxis(resize(cut, SIDE, SIDE), 1, -1))
+    return out
+
+
+def _shares(values: np.ndarray, bins: int) -> np.ndarray:
+    """Share of each of ``bins`` values in each row."""
+    n, size = values.shape
+    counts = np.bincount((values + bins * np.arange(n)[:, None]).ravel(), minlength=n * bins)
+    return counts.reshape(n, bins) / max(size, 1)
+
+
+def quality(image: np.ndarray) -> np.ndarray:
+    """Geometric mean of entropy and variance, each as a share of its bound."""
+    if image.ndim == 2:
+        return quality(image[None])[0]
+    flat = image.reshape(len(image), -1)
+    p = _shares(flat.astype(np.int64), 256)
+    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
+    return np.sqrt(np.minimum(1.0, entropy / 8) * np.minimum(1.0, flat.astype(float).var(1) / 1e4))
 
 
 def _dct(a: np.ndarray) -> np.ndarray:
-    n = a.shape[0]
+    n = a.shape[-1]
     c = np.cos(np.pi * np.arange(n)[:, None] * (2 * np.arange(n)[None, :] + 1) / (2 * n))
     return 4 * c @ a @ c.T
 
 
 def _haar(a: np.ndarray, size: int) -> np.ndarray:
-    a = a.copy()
-    while a.shape[0] > size:
-        a = (a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]) / 4
+    while a.shape[-1] > size:
+        a = (a[..., ::2, ::2] + a[..., 1::2, ::2] + a[..., ::2, 1::2] + a[..., 1::2, 1::2]) / 4
     return a
 
 
 def phash(image: np.ndarray, size: int) -> np.ndarray:
-    low = _dct(resize(image, 4 * size, 4 * size).astype(float))[:size, :size]
-    return low > np.median(low)
+    low = _dct(resize(image, 4 * size, 4 * size).astype(float))[..., :size, :size]
+    return low > np.median(low, (-2, -1), keepdims=True)
 
 
 def dhash(image: np.ndarray, size: int) -> np.ndarray:
     a = resize(image, size, size + 1).astype(int)
-    return a[:, 1:] > a[:, :-1]
+    return a[..., 1:] > a[..., :-1]
 
 
 def ahash(image: np.ndarray, size: int) -> np.ndarray:
     a = resize(image, size, size).astype(float)
-    return a > a.mean()
+    return a > a.mean((-2, -1), keepdims=True)
 
 
 def whash(image: np.ndarray, size: int) -> np.ndarray:
     """size must be a power of two."""
     a = image.astype(float) / 255
-    low = _haar(a - a.mean(), size)
-    return low > np.median(low)
+    low = _haar(a - a.mean((-2, -1), keepdims=True), size)
+    return low > np.median(low, (-2, -1), keepdims=True)
 
 
 HASHES = {"phash": phash, "dhash": dhash, "ahash": ahash, "whash": whash}
@@ -110,77 +129,120 @@ def lanes(hash_bits: np.ndarray) -> list[int]:
     return np.frombuffer(np.pad(b, (0, -len(b) % 8)).tobytes(), ">i8").astype(np.int64).tolist()
 
 
-def colour_histogram(rgb: np.ndarray) -> list[int]:
+def colour_histogram(rgb: np.ndarray) -> np.ndarray:
     """4 x 4 x 4 bins of hue, saturation and value; shares times 255."""
+    if rgb.ndim == 3:
+        return colour_histogram(rgb[None])[0]
     v = rgb.astype(float)
-    top, low = v.max(2), v.min(2)
+    top, low = v.max(-1), v.min(-1)
     span = np.where(top > low, top - low, 1)
     r, g, b = v[..., 0], v[..., 1], v[..., 2]
     hue = np.where(top == r, (g - b) / span, np.where(top == g, 2 + (b - r) / span, 4 + (r - g) / span)) / 6 % 1
     hue = np.where(top > low, hue * 255, 0).astype(int)
     sat = np.where(top > 0, (top - low) / np.where(top > 0, top, 1) * 255, 0).astype(int)
     index = (hue * 4 // 256) * 16 + (sat * 4 // 256) * 4 + top.astype(int) * 4 // 256
-    return np.rint(np.bincount(index.ravel(), minlength=64) / index.size * 255).astype(int).tolist()
-
+    return np.rint(_shares(index.reshape(len(rgb), -1), 64) * 255).astype(int)
 
-def tone(image: np.ndarray) -> list[int]:
-    return resize(image, 8, 8).ravel().astype(int).tolist()
-
-
-def image_features(images: DataFrame, algorithm: str = "phash", size: int = 16, refuse_flat: bool = True) -> DataFrame:
-    """(path, lanes, hash_quality, histogram, tone, tone_quality) of decoded images; a nearly even image gets no hash."""
-    hash_of = HASHES.get(algorithm, phash)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                rgb = to_rgb(r.pixels, r.height, r.width, r.channels)
-                image = normalize(rgb)
-                flat = refuse_flat and image.astype(float).var() < FLAT
-                q = quality(image)
-                out.append((r.path, None if flat else lanes(hash_of(image, size)), None if flat else q, colour_histogram(rgb), tone(image), q))
-            yield pd.DataFrame(out, columns=["path", "lanes", "hash_quality", "histogram", "tone", "tone_quality"])
+def tone(image: np.ndarray) -> np.ndarray:
+    return resize(image, 8, 8).reshape(*image.shape[:-2], 64).astype(int)
 
-    return images.mapInPandas(run, "path string, lanes array<long>, hash_quality double, histogram array<long>, tone array<long>, tone_quality double")
 
+def features_of(rgb: np.ndarray, algorithm: str = "phash", size: int = 16, refuse_flat: bool = True) -> list[tuple]:
+    """(lanes, hash_quality, histogram, tone, tone_quality) of each image of a stack; a nearly even image gets no hash if refused."""
+    square = normalize(rgb)
+    flat = refuse_flat & (square.reshape(len(square), -1).astype(float).var(1) < FLAT)
+    q, bits, hist, tones = quality(square), HASHES.get(algorithm, phash)(square, size), colour_histogram(rgb), tone(square)
+    return [(None if flat[i] else lanes(bits[i]), None if flat[i] else float(q[i]), hist[i].tolist(), tones[i].tolist(), float(q[i])) for i in range(len(rgb))]
 
-def sprite_frames(sheets: DataFrame, cues: DataFrame, sample: int = 8) -> DataFrame:
-    """(path, height, width, channels, pixels) of a sampled set of each sheet's tiles: sheets (ref, decoded image), cues as of vtt_cues()."""
-    n = F.max("position").over(_by_ref()) + 1
-    picked = F.expr(f"exists(sequence(0, {max(sample, 1) - 1}), i -> int(floor(i * _n / {max(sample, 1)})) = position)")
-    some = cues.withColumn("_n", n).where((F.lit(sample) <= 0) | (F.lit(sample) >= F.col("_n")) | picked)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                a = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, r.channels)
-                t = a[r.top : r.top + r.box_height, r.left : r.left + r.box_width]
-                if t.size:
-                    out.append((f"{r.ref}:{r.position}", t.shape[0], t.shape[1], r.channels, t.tobytes()))
-            yield pd.DataFrame(out, columns=["path", "height", "width", "channels", "pixels"])
+def stacks(images: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Positions and stack of the images of each size, a bounded number of bytes at a time."""
+    by_size: dict[tuple, list[int]] = {}
+    for i, a in enumerate(images):
+        by_size.setdefault(a.shape, []).append(i)
+    for shape, which in by_size.items():
+        step = max(1, PIECE // max(1, int(np.prod(shape)) * 8))
+        for lo in range(0, len(which), step):
+            yield which[lo : lo + step], np.stack([images[i] for i in which[lo : lo + step]])
 
-    some = some.withColumnsRenamed({"height": "box_height", "width": "box_width"}).join(sheets, "ref")
-    return some.select("ref", "position", "left", "top", "box_width", "box_height", "height", "width", "channels", "pixels").mapInPandas(cut, "path string, height int, width int, channels int, pixels binary")
 
+FEATURES = "lanes array<long>, hash_quality double, histogram array<long>, tone array<long>, tone_quality double"
+_TYPES = [pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
 
-def _by_ref():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("ref")
+def _columns(found: list[tuple | None]) -> list[pa.Array]:
+    return [pa.array([f and f[k] for f in found], t) for k, t in enumerate(_TYPES)]
 
 
-def missing_features(wanted: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
-    """What must be computed: keys and fingerprints without a stored row, remembered failures not among them."""
-    return wanted.join(features.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_anti")
-
-
-def with_failures(computed: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Computed rows, and rows of quality -1 for what was wanted and could not be computed."""
-    lost = wanted.join(computed.select(*keys), keys, "left_anti")
-    return computed.unionByName(lost.withColumn("quality", F.lit(-1.0)), allowMissingColumns=True)
-
-
-def legacy_fallback(new: Column, legacy: Column, enabled: bool = True) -> Column:
-    return F.coalesce(new, legacy) if enabled else new
+def image_features(images: DataFrame, algorithm: str = "phash", size: int = 16, refuse_flat: bool = True) -> DataFrame:
+    """``images`` (height, width, channels, pixels, ...) with FEATURES in place of these columns; all null where there are no pixels."""
+    keys = [c for c in images.columns if c not in ("height", "width", "channels", "pixels")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, whole.num_rows * PIECE // max(1, whole.nbytes))
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                at, pixels = [], []
+                for i, (h, w, n, p) in enumerate(zip(*[b.column(c).to_pylist() for c in ("height", "width", "channels", "pixels")], strict=True)):
+                    if p is not None and h and w and h > 0 and w > 0 and n in (1, 3, 4) and len(p) == h * w * n:
+                        at.append(i)
+                        pixels.append(to_rgb(p, h, w, n))
+                found: list[tuple | None] = [None] * b.num_rows
+                for which, stack in stacks(pixels):
+                    for i, f in zip(which, features_of(stack, algorithm, size, refuse_flat), strict=True):
+                        found[at[i]] = f
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], *_columns(found)], [*keys, "lanes", "hash_quality", "histogram", "tone", "tone_quality"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if f.name in keys], FEATURES])
+    return images.select(*keys, "height", "width", "channels", "pixels").mapInArrow(run, schema)
+
+
+def sampled(n: int, size: int) -> list[int]:
+    """All of n positions, or ``size`` of them at even steps."""
+    return list(range(n)) if size <= 0 or size >= n else [i * n // size for i in range(size)]
+
+
+def crop(rgb: np.ndarray, left: int, top: int, width: int, height: int) -> np.ndarray:
+    """A box of an image; what lies outside is black."""
+    out = np.zeros((height, width, 3), np.uint8)
+    inside = rgb[max(top, 0) : max(top + height, 0), max(left, 0) : max(left + width, 0)]
+    y, x = max(-top, 0), max(-left, 0)
+    out[y : y + inside.shape[0], x : x + inside.shape[1]] = inside
+    return out
+
+
+def sprite_features(sheets: DataFrame, cues: DataFrame, sample: int = 8, algorithm: str = "phash", size: int = 16) -> DataFrame:
+    """(ref, position, start, FEATURES) of a sampled set of each sheet's tiles, even ones hashed too.
+
+    sheets (ref, height, width, channels, pixels) meet their cues, as of
+    vtt_cues(), once: a sheet's cues travel as an array, and its tiles are cut
+    and hashed in one Arrow batch, so no sheet is copied for each tile. Sheets
+    without pixels, without cues and boxes without area give no row.
+    """
+    box = F.struct("position", "start", "left", "top", F.col("width").alias("box_width"), F.col("height").alias("box_height"))
+    by_ref = cues.groupBy("ref").agg(F.array_sort(F.collect_list(box)).alias("cues"))  # a sheet's tiles: some hundred at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                ref, h, w, n, pixels, boxes = (b.column(k)[r] for k in range(6))
+                h, w, n, pixels, boxes = h.as_py(), w.as_py(), n.as_py(), pixels.as_py(), boxes.as_py()
+                if pixels is None or not h or h < 0 or n not in (1, 3, 4) or len(pixels) != h * w * n:
+                    continue
+                sheet = to_rgb(pixels, h, w, n)
+                some = [boxes[i] for i in sampled(len(boxes), sample)]
+                some = [x for x in some if x["box_width"] > 0 and x["box_height"] > 0]
+                tiles = [crop(sheet, x["left"], x["top"], x["box_width"], x["box_height"]) for x in some]
+                found: list[tuple | None] = [None] * len(tiles)
+                for which, stack in stacks(tiles):
+                    for i, f in zip(which, features_of(stack, algorithm, size, refuse_flat=False), strict=True):
+                        found[i] = f
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ref.as_py()] * len(tiles), ref.type), pa.array([x["position"] for x in some], pa.int32()), pa.array([x["start"] for x in some], pa.float64()), *_columns(found)],
+                    ["ref", "position", "start", "lanes", "hash_quality", "histogram", "tone", "tone_quality"],
+                )
+
+    both = sheets.select("ref", "height", "width", "channels", "pixels").join(by_ref, "ref")
+    return both.mapInArrow(run, f"ref {sheets.schema['ref'].dataType.simpleString()}, position int, start double, {FEATURES}")

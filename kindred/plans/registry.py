@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from kindred.functions import similarity as sim
 from kindred.functions import text as tx
-from kindred.operators import corpus, evaluate, match, scoring, store
+from kindred.functions.images import sprite_features
+from kindred.operators import corpus, evaluate, featurize, match, scoring, store
 from kindred.plans.bindings import DRAWS, IMG, MED, MX, SC, UNIQUE, images, read, scenes, sql_frame, sql_gini, sql_ham, sql_hist, sql_sharpen, sql_tone
 from kindred.streaming import lifecycle
 
@@ -632,6 +633,127 @@ def best_raw(spark, d):
     return match.best_raw(_composite(img, scenes(img)).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), _r(F.col("image"), "image")))
 
 
+# --- features computed once -------------------------------------------------------
+_T0 = "2024-01-01 00:00:00"
+#: Grey pixels fall into the bins of value alone.
+_HIST = "list_transform(range(0, 64), lambda i: CAST(round(len(list_filter({b}, lambda v: v * 4 // 256 = i)) / CAST(len({b}) AS DOUBLE) * 255) AS BIGINT))"
+
+
+def _pixels(blob):
+    return F.unhex(F.array_join(F.transform(blob, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+
+def _grey_images(img: DataFrame) -> DataFrame:
+    """Images of 8 x 8 grey pixels; every eleventh file is missing, every thirteenth broken."""
+    r = F.col("ref")
+    some = img.where(r % 11 != 5).select(r.cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.when(r % 13 != 4, _pixels(F.col("blob"))).alias("pixels"))
+    return some
+
+
+def _wanted(img: DataFrame) -> DataFrame:
+    return img.select(F.lit("extractor_image").alias("source"), F.concat_ws(":", "job", "ref").alias("ref_id"), F.concat(F.lit("f"), F.col("ref") % 5).alias("fingerprint"), F.col("ref").cast("string").alias("path"))
+
+
+def _kept(img: DataFrame, algorithms: dict[str, str]) -> DataFrame:
+    """Of every third image features are stored, of every tenth a failure; every fourth stored row has an old fingerprint."""
+    r = F.col("ref")
+    old = F.when(r % 4 == 0, "old").otherwise(F.concat(F.lit("f"), r % 5))
+    rows = img.where((r % 3 == 0) | (r % 10 == 7)).select(F.lit("extractor_image").alias("source"), F.concat_ws(":", "job", "ref").alias("ref_id"), old.alias("fingerprint"), r.alias("ref"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(a).alias("algorithm")) for c, a in algorithms.items()]))
+    failed = F.col("ref") % 10 == 7
+    feature = F.when(failed, F.array().cast("array<bigint>")).otherwise(F.array("ref"))
+    return rows.withColumn("c", each).select("source", "ref_id", "fingerprint", "c.*", feature.alias("feature"), F.when(failed, store.FAILED).otherwise(0.5).alias("quality"), F.lit(_T0).cast("timestamp").alias("computed_at"))
+
+
+@query(f"""WITH {IMG}, s AS (SELECT *, (ref % 3 = 0 OR ref % 10 = 7) AND ref % 4 <> 0 AS had, ref % 11 = 5 OR ref % 13 = 4 AS lost, {_HIST.format(b='blob')} AS h FROM img),
+t AS (SELECT *, CASE WHEN had THEN ref % 10 = 7 ELSE lost END AS failed FROM s)
+SELECT job, ref, had, CASE WHEN failed THEN 'failed' ELSE 'hit' END AS state, CASE WHEN NOT failed THEN CASE WHEN had THEN [ref] ELSE h END END AS feature, CASE WHEN NOT failed THEN CASE WHEN had THEN 0.5e0 ELSE round({sql_gini('h')}, 6) END END AS quality FROM t""")
+def feature_batch(spark, d):
+    """Get or compute: stored features and failures stay, the rest is computed from pixels and merged."""
+    img = images(spark, d)
+    algorithms = {"color_hist": featurize.algorithm_keys()["color_hist"]}
+    wanted, kept = _wanted(img), _kept(img, algorithms)
+    new = featurize.featurize(wanted, kept, _grey_images(img), size=8, now=_T0).where("channel = 'color_hist'")
+    got = featurize.resolve(wanted, kept.withColumn("had", F.lit(True)).unionByName(new.withColumn("had", F.lit(False))).drop("had"), algorithms)
+    had = kept.select(*featurize.KEYS, F.lit(True).alias("had"))
+    got = got.join(had, featurize.KEYS, "left").withColumn("had", F.coalesce("had", F.lit(False)))
+    return got.select(F.split_part("ref_id", F.lit(":"), F.lit(1)).cast("long").alias("job"), F.col("path").cast("long").alias("ref"), "had", "state", "feature", _r(F.col("quality"), "quality"))
+
+
+_SHEETS = "sh AS (SELECT job, record, list(blob ORDER BY ref) AS b FROM img GROUP BY ALL HAVING count(*) = 4)"
+
+
+def _sheets(img: DataFrame) -> DataFrame:
+    """A record's four images as the tiles of a sheet of 16 x 16 pixels, with its cues; in base64 for odd records."""
+    b = F.sort_array(F.collect_list(F.struct("ref", "blob")))
+    rows = img.groupBy("job", "record").agg(F.transform(b, lambda x: x["blob"]).alias("b")).where(F.size("b") == 4)
+    line = lambda y: F.concat(*[F.slice(F.get("b", F.floor(y / 8).cast("int") * 2 + k), y % 8 * 8 + 1, 8) for k in (0, 1)])
+    sheet = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), line))
+    cue = lambda i: F.lit(f"00:00:{i * 5:02d}.500 --> 00:00:{i * 5 + 5:02d}.500\r\nsheet.jpg#xywh={i % 2 * 8},{i // 2 * 8},8,8\r\nbad xywh=1,2,3\r\n")
+    vtt = F.concat(F.lit("WEBVTT\n\n"), *[cue(i) for i in range(4)])
+    coded = F.concat(F.lit("data:text/vtt;base64,"), F.regexp_replace(F.base64(F.encode(vtt, "UTF-8")), r"\s", ""))
+    return rows.select(
+        F.concat_ws(":", "job", "record").alias("ref"), "job", "record", F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("channels"),
+        _pixels(sheet).alias("pixels"), F.when(F.col("record") % 2 == 1, coded).otherwise(vtt).alias("vtt"),
+    )
+
+
+@query(f"""WITH {IMG}, {_SHEETS}, t AS (SELECT job, record, unnest([0, 1, 2]) AS position, b FROM sh), h AS (SELECT job, record, position, {_HIST.format(b='b[position + 1]')} AS histogram FROM t)
+SELECT job, record, CAST(position AS INTEGER) AS position, position * 5 + 0.5e0 AS start, histogram, round({sql_gini('histogram')}, 6) AS quality FROM h""")
+def sprite_frame_features(spark, d):
+    """Three of the four tiles of every sheet, cut by its cues."""
+    from kindred.sources.assets import vtt_cues
+
+    sheets = _sheets(images(spark, d))
+    got = sprite_features(sheets, vtt_cues(sheets.select("ref", "vtt")), sample=3, size=8)
+    part = lambda i: F.split_part("ref", F.lit(":"), F.lit(i)).cast("long")
+    return got.select(part(1).alias("job"), part(2).alias("record"), "position", "start", "histogram", _r(sim.gini_quality(F.col("histogram")), "quality"))
+
+
+@query(f"""WITH {IMG}, {_SHEETS}, pt AS (SELECT job, record, unnest(CASE WHEN record % 5 = 0 THEN b[1:3] WHEN record % 5 = 1 THEN b[4:4] ELSE list_prepend(b[4], b[1:3]) END) AS px FROM sh WHERE record % 7 <> 6),
+hp AS (SELECT job, record, {_HIST.format(b='px')} AS blob FROM pt), {MED.format(keys='job, record', source='hp')}
+SELECT job, record, CASE WHEN record % 4 = 0 THEN [record] ELSE hist END AS feature, CASE WHEN record % 4 = 0 THEN 0.5e0 ELSE round({sql_gini('hist')}, 6) END AS quality FROM sh JOIN med USING (job, record)""")
+def scene_aggregate(spark, d):
+    """Colour aggregates of covers and sampled frames; every fourth is stored already, every fourth under an old fingerprint, every seventh has no parts; every fifth scene has no cover, every fifth no frames."""
+    sheets = _sheets(images(spark, d))
+    n, now = F.col("record"), _T0
+    name = featurize.algorithm_keys()["color_hist"]
+    scenes_ = sheets.select(F.col("ref").alias("scene_id"), F.concat(F.lit("hash|"), n.cast("string")).alias("fingerprint"), "record", "pixels", "vtt")
+    kept = scenes_.where("record % 4 < 2").select(
+        F.lit("stash_aggregate").alias("source"), F.col("scene_id").alias("ref_id"), F.when(n % 4 == 1, "old").otherwise(F.col("fingerprint")).alias("fingerprint"), F.lit("color_hist").alias("channel"),
+        F.lit(name).alias("algorithm"), F.array(n).alias("feature"), F.lit(0.5).alias("quality"), F.lit(now).cast("timestamp").alias("computed_at"),
+    )
+    none = kept.limit(0)
+    alive = scenes_.where("record % 7 <> 6")
+    tile = lambda k: F.substring("pixels", k, F.lit(8))
+    cover = F.concat(*[tile(F.lit((8 + y) * 16 + 9)) for y in range(8)])  # the last tile
+    covers = alive.where("record % 5 <> 0").select(F.col("scene_id").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), cover.alias("pixels"))
+    asked = covers.select(F.lit("stash_cover").alias("source"), F.col("path").alias("ref_id"), F.split_part("path", F.lit(":"), F.lit(2)).alias("fingerprint"), "path")
+    pixels = sheets.select(F.col("ref").alias("path"), "height", "width", "channels", "pixels")
+    frames = featurize.featurize_sprites(alive.where("record % 5 <> 1").select("scene_id", F.lit("hash").alias("fingerprint"), F.col("scene_id").alias("path"), "vtt"), none, pixels, sample=3, size=8, now=now)
+    parts = featurize.featurize(asked, none, covers, size=8, now=now).unionByName(frames)
+    new = featurize.scene_aggregates(alive.select("scene_id", "fingerprint"), kept.unionByName(parts), now=now)
+    every = featurize.resolve(alive.select(F.lit("stash_aggregate").alias("source"), F.col("scene_id").alias("ref_id"), "fingerprint"), kept.unionByName(new), {"color_hist": name}).where("state = 'hit'")
+    part = lambda i: F.split_part("ref_id", F.lit(":"), F.lit(i)).cast("long")
+    return every.select(part(1).alias("job"), part(2).alias("record"), "feature", _r(F.col("quality"), "quality"))
+
+
+@query(f"""WITH {IMG} SELECT job, ref, CASE WHEN ref % 10 = 7 THEN 'failed' WHEN ref % 3 = 0 THEN 'new' WHEN ref % 3 = 1 THEN 'old' ELSE 'none' END AS origin,
+CASE WHEN ref % 10 = 7 THEN NULL WHEN ref % 3 = 0 THEN [ref] WHEN ref % 3 = 1 THEN [l0, l1] END AS lanes FROM img""")
+def legacy_fallback(spark, d):
+    """Hashes of the newer store, else those of the older table, kept in hexadecimal digits."""
+    img, r = images(spark, d), F.col("ref")
+    algorithms = {"phash": featurize.algorithm_keys(size=11)["phash"]}  # 121 bits: 31 digits, two lanes
+    wanted, fingerprint = _wanted(img), F.concat(F.lit("f"), r % 5)
+    kept = _kept(img, algorithms).withColumn("fingerprint", F.concat(F.lit("f"), F.split_part("ref_id", F.lit(":"), F.lit(2)).cast("long") % 5))
+    digits = F.array_join(F.transform("lanes", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    old = img.where("ref % 3 = 1").select(F.lit("extractor_image").alias("source"), F.concat_ws(":", "job", "ref").alias("ref_id"), fingerprint.alias("fingerprint"), F.lit("phash").alias("algorithm"), F.lit(11).alias("hash_size"), digits.alias("hash"))
+    got = featurize.resolve(wanted, featurize.with_legacy(kept, old), algorithms)
+    ref = F.col("path").cast("long")
+    origin = F.when(F.col("state") == "failed", "failed").when(F.col("state") == "miss", "none").when(F.col("quality").isNull(), "old").otherwise("new")
+    return got.select(F.split_part("ref_id", F.lit(":"), F.lit(1)).cast("long").alias("job"), ref.alias("ref"), origin.alias("origin"), F.col("feature").alias("lanes"))
+
+
 # --- evaluation -----------------------------------------------------------------
 _RANKED = f"""{_search_sql()[5:].rsplit('SELECT scene_id, job AS', 1)[0]}, res AS (SELECT scene_id, record, rank, score FROM r WHERE rank <= 5 AND score > 0),
 truth AS (SELECT DISTINCT scene_id, scene_id % 3 AS expected, scene_id % 5 = 0 AS negative FROM sc),

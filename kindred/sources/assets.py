@@ -25,25 +25,38 @@ def binary_assets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def decoded_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, height, width, channels, pixels in rows of blue, green, red); files that are no images are left out."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path)
-    return i.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("path", "height", "width", "channels", "pixels")
+def decoded_images(spark: SparkSession, path: str | list[str], *, broken: bool = False) -> DataFrame:
+    """(path, height, width, channels, pixels in rows of blue, green, red); files that are no images are left out, or have null pixels if ``broken`` are wanted."""
+    i = spark.read.format("image").option("dropInvalid", not broken).load(path)
+    got = i.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("path", "height", "width", "channels", "pixels")
+    return got.withColumns({"path": asset_key(F.col("path")), "pixels": F.when(F.col("height") > 0, F.col("pixels"))})
+
+
+def asset_key(path: Column) -> Column:
+    """A path as the readers of files name it, without a scheme for local files."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def vtt_cues(texts: DataFrame) -> DataFrame:
-    """(ref, position, start, left, top, width, height) of the sprite cues in (ref, vtt) rows; a VTT may come as a base64 data url. Bad lines are skipped."""
+    """(ref, position, start, left, top, width, height) of the sprite cues in (ref, vtt) rows; a VTT may come as a base64 data url.
+
+    A line with an arrow sets the time, or forgets it where its start is not
+    hours:minutes:seconds. Any other line with a box gives a cue if the box is
+    four whole numbers and nothing else up to the line's end, and a time is
+    known. Other lines are skipped.
+    """
     data = F.regexp_extract("vtt", r"^data:text/vtt;base64,(.*)$", 1)
     vtt = F.when(data != "", F.decode(F.try_to_binary(data, F.lit("base64")), "UTF-8")).otherwise(F.col("vtt"))
-    lines = texts.select("ref", F.posexplode(F.split(vtt, r"\r?\n")).alias("line", "t"))
-    # a line with an arrow sets the time, or forgets it where it can't be read
-    stamp = r"^\s*(\d+):(\d+):(\d+(?:\.\d*)?)\s*-->"
+    lines = texts.select("ref", F.posexplode(F.split(vtt, r"\n")).alias("line", "t"))
+    stamp = r"^\s*(\d+)\s*:\s*(\d+)\s*:\s*(\d+\.?\d*|\.\d+)\s*(?::.*?)?-->"
     at = lambda i: F.regexp_extract("t", stamp, i)
     start = F.when(at(1) != "", at(1).cast("int") * 3600 + at(2).cast("int") * 60 + at(3).cast("double"))
-    mark = F.when(F.contains(F.col("t"), F.lit("-->")), F.struct(start.alias("start")))
-    seen = lines.withColumn("start", F.last(mark, ignorenulls=True).over(Window.partitionBy("ref").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))["start"])
-    box = lambda i: F.regexp_extract("t", r"xywh=(\d+),(\d+),(\d+),(\d+)", i).cast("int")
-    cues = seen.where(F.col("t").rlike(r"xywh=\d+,\d+,\d+,\d+") & F.col("start").isNotNull())
+    arrow = F.contains(F.col("t"), F.lit("-->"))
+    seen = lines.withColumn("start", F.last(F.when(arrow, F.struct(start.alias("start"))), ignorenulls=True).over(Window.partitionBy("ref").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))["start"])
+    number = r"\s*([-+]?\d+)\s*"
+    boxed = f"^(?:(?!xywh=).)*xywh={number},{number},{number},{number}(?:xywh=.*)?$"
+    box = lambda i: F.regexp_extract("t", boxed, i).cast("int")
+    cues = seen.where(~arrow & F.col("t").rlike(boxed) & F.col("start").isNotNull())
     return cues.select("ref", (F.row_number().over(Window.partitionBy("ref").orderBy("line")) - 1).alias("position"), "start", *[box(i).alias(n) for i, n in enumerate(("left", "top", "width", "height"), 1)])
 
 
