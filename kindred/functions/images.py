@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.sources.package import ship
+
 DARK, BORDER, SIDE, FLAT, SMALLEST = 20, 0.85, 256, 30.0, 10
 PIECE = 64 << 20  # bytes of pixels that are worked on at once
 
@@ -177,6 +179,7 @@ def _columns(found: list[tuple | None]) -> list[pa.Array]:
 
 def image_features(images: DataFrame, algorithm: str = "phash", size: int = 16, refuse_flat: bool = True) -> DataFrame:
     """``images`` (height, width, channels, pixels, ...) with FEATURES in place of these columns; all null where there are no pixels."""
+    ship(images.sparkSession)
     keys = [c for c in images.columns if c not in ("height", "width", "channels", "pixels")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +224,7 @@ def sprite_features(sheets: DataFrame, cues: DataFrame, sample: int = 8, algorit
     and hashed in one Arrow batch, so no sheet is copied for each tile. Sheets
     without pixels, without cues and boxes without area give no row.
     """
+    ship(sheets.sparkSession)
     box = F.struct("position", "start", "left", "top", F.col("width").alias("box_width"), F.col("height").alias("box_height"))
     by_ref = cues.groupBy("ref").agg(F.array_sort(F.collect_list(box)).alias("cues"))  # a sheet's tiles: some hundred at most
 

@@ -48,22 +48,26 @@ def uniqueness(images: DataFrame, threshold: float = 0.85, alpha: float = 1.0) -
 def baseline(images: DataFrame, similarities: dict[str, Column], pairs: int = 1000) -> DataFrame:
     """(job, one column for each similarity): mean similarity of sampled image pairs that share no record; 0.5 where there is none.
 
-    A sampling operator: every image of a job draws partners among all of the
-    job's images by hash, up to 20 where the job has few; the ``pairs`` draws
-    with the smallest hashes count. A similarity compares the images' columns
-    with those of the same names and a 2. Aggregates of records are images
-    with a record of their own.
+    A sampling operator: images draw partners among all of their job's images
+    by hash, up to 20 each where the job has few; in a job of many, only those
+    draw whose hash lies below a threshold that leaves some ``4 * pairs`` draws
+    a job, before anything is joined. The ``pairs`` draws with the smallest
+    hashes count. A similarity compares the images' columns with those of the
+    same names and a 2. Aggregates of records are images with a record of
+    their own.
     """
-    prime = 1_000_003
+    prime = 2_147_483_647
+    ref, h, n = F.col("ref"), F.col("h"), F.col("n")
     sizes = images.groupBy("job").agg(F.count("*").alias("n"))
-    draws = F.least(F.lit(20), F.ceil(2.0 * pairs / F.col("n"))).cast("int")
-    spots = images.select("job", "ref", "record").join(sizes, "job").withColumn("h", F.explode(F.sequence(F.lit(0), draws - 1)))
-    spots = spots.select("job", "ref", "record", "h", ((F.col("ref") * 7919 + F.col("h") * 104_729) % prime % F.col("n")).alias("want"), ((F.col("ref") * 6151 + F.col("h") * 75_029) % prime % F.col("n")).alias("spot"))
-    other = spots.select("job", "h", F.col("spot").alias("want"), F.col("ref").alias("ref2"), F.col("record").alias("record2"))
-    drawn = spots.join(other, ["job", "h", "want"]).where("ref <> ref2 AND record <> record2")
+    draws = F.least(F.lit(20), F.ceil(2.0 * pairs / n)).cast("int")
+    spots = images.select("job", "ref", "record").join(sizes, "job").withColumn("draws", draws).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
+    few = ((ref * 16_807 + h * 40_692) % prime).cast("double") * (n * F.col("draws")) < F.lit(4.0 * pairs * prime)
+    left = spots.where(few).select("job", "ref", "record", "h", ((ref * 48_271 + h * 104_729) % prime % n).alias("want"))
+    other = spots.select("job", "h", ((ref * 69_621 + h * 75_029) % prime % n).alias("want"), ref.alias("ref2"), F.col("record").alias("record2"))
+    drawn = left.join(other, ["job", "h", "want"]).where("ref <> ref2 AND record <> record2")
     drawn = drawn.select("job", F.least("ref", "ref2").alias("ref"), F.greatest("ref", "ref2").alias("ref2")).distinct()
     mark = (F.col("ref") * 7919 + F.col("ref2") * 104_729) % prime
-    drawn = drawn.withColumn("p", F.row_number().over(Window.partitionBy("job").orderBy(mark, "ref", "ref2"))).where(F.col("p") <= pairs)
+    drawn = drawn.withColumn("p", F.row_number().over(Window.partitionBy("job").orderBy(mark, "ref", "ref2"))).where(F.col("p") <= pairs)  # some 4 * pairs rows a job
     a, b = images.drop("record"), images.drop("record").select("job", *[F.col(c).alias(f"{c}2") for c in images.columns if c not in ("job", "record")])
     got = drawn.join(a, ["job", "ref"]).join(b, ["job", "ref2"]).groupBy("job").agg(*[F.avg(s).alias(n) for n, s in similarities.items()])
     return sizes.join(got, "job", "left").select("job", *[F.coalesce(n, F.lit(0.5)).alias(n) for n in similarities])

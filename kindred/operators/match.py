@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import same_folded, sanitize_details, strip
+from kindred.sources.assets import completed_jobs
 
 #: The field names that a job's schema must have: fixed values.
 REQUIRED = ["id", "title", "details", "date", "cover_image", "url", "performers", "images"]
@@ -18,7 +19,7 @@ def schema_superset(fields: Column, required: list[str] = REQUIRED) -> Column:
 def scene_jobs(jobs: DataFrame, schemas: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
     """The completed ``jobs`` (job_id, schema_id, status, ...) whose schema (schema_id, fields) has all required fields."""
     fit = schemas.where(schema_superset(F.col("fields"), required)).select("schema_id").distinct()
-    return jobs.where("status = 'completed'").join(fit, "schema_id", "left_semi")
+    return completed_jobs(jobs).join(fit, "schema_id", "left_semi")
 
 
 def scrape_output(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The sources whose rows the eviction budget covers, and the quality that marks a known failure: fixed values.
@@ -73,23 +73,56 @@ def cache_state(wanted: DataFrame, features: DataFrame, keys: list[str]) -> Data
     return wanted.join(got, [*keys, "fingerprint"], "left").withColumn("state", state).drop("quality")
 
 
-def lru_evict(rows: DataFrame, budget: int, ties: list[str], buckets: int = 64) -> DataFrame:
-    """The rows that stay (bytes, last_accessed_at): the oldest go, never-accessed ones first, until ``budget`` is met.
+_GROUPS_BITS = 16  # a step of the search for the cut looks at 65,536 groups at most
 
-    Running totals in two steps: over ranges of access times, then within one,
-    so that no task sorts the whole store.
+
+def eviction(rows: DataFrame, budget: int, ties: list[str]) -> tuple[Column, int, int]:
+    """(which rows go, their number, their bytes): rows go in the order of their last access until what stays fits ``budget``.
+
+    ``rows`` have bytes and last_accessed_at; rows that were never read go
+    first, equal times by the whole numbers in ``ties``. The cut is found by
+    prefixes of the order: sums over at most 65,536 ranges tell in which range
+    it lies, and that range alone is looked at more closely, until it is one
+    row (or rows that agree in everything, which go together). Nothing is
+    sorted, and what comes back is a condition on a row's own columns. Null
+    bytes count as 0.
     """
-    at = F.coalesce(F.col("last_accessed_at").cast("timestamp").cast("double"), F.lit(-1.0))
-    rows = rows.withColumn("_at", at)
-    cuts = rows.approxQuantile("_at", [i / buckets for i in range(1, buckets)], 0.005) if buckets > 1 else []  # at most ``buckets`` numbers
-    bucket = sum((F.when(F.col("_at") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    rows = rows.withColumn("_b", bucket)
-    sums = rows.groupBy("_b").agg(F.sum("bytes").alias("_t"))  # a row for each bucket
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
-    inner = F.sum("bytes").over(Window.partitionBy("_b").orderBy("_at", *ties).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_in", F.coalesce(inner, F.lit(0))).join(F.broadcast(sums), "_b")
-    return rows.where(F.col("_before") + F.col("_in") >= F.col("_all") - budget).drop("_at", "_b", "_in", "_before", "_all")
+    size = F.coalesce(F.col("bytes"), F.lit(0)).cast("long")
+    at = F.col("last_accessed_at").cast("timestamp")
+    keys = [F.when(at.isNull(), 0).otherwise(1).cast("long"), F.coalesce(F.unix_micros(at), F.lit(0)), *[F.coalesce(F.col(t).cast("long"), F.lit(-(2**63))) for t in ties]]
+    ends = [x for i, k in enumerate(keys) for x in (F.min(k).alias(f"lo{i}"), F.max(k).alias(f"hi{i}"))]
+    here = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count("*").alias("n"), *ends).first()
+    need, done, gone = here["bytes"] - budget, 0, 0
+    if need <= 0 or not here["n"]:
+        return F.lit(False), 0, 0
+    inside, before = F.lit(True), F.lit(False)  # rows of the range that the cut is in, and rows that go for sure
+    while need < done + here["bytes"]:
+        i = next((i for i in range(len(keys)) if here[f"lo{i}"] < here[f"hi{i}"]), None)
+        if i is None:
+            break
+        step = max(0, (here[f"hi{i}"] - here[f"lo{i}"]).bit_length() - _GROUPS_BITS)
+        part = F.shiftright(keys[i], step)
+        groups = rows.where(inside).groupBy(part.alias("part")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"), *ends)
+        run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # the groups of one step
+        found = groups.withColumns({"upto": F.sum("bytes").over(run), "rows": F.sum("n").over(run)}).where(F.col("upto") >= need - done).orderBy("part").first()
+        before = before | (inside & (part < found["part"]))
+        inside = inside & (part == found["part"])
+        done, gone, here = done + found["upto"] - found["bytes"], gone + found["rows"] - found["n"], found
+    return before | inside, gone + here["n"], done + here["bytes"]
+
+
+def lru_evict(rows: DataFrame, budget: int, ties: list[str]) -> DataFrame:
+    """The rows that eviction() leaves."""
+    return rows.where(~eviction(rows, budget, ties)[0])
+
+
+def evict_features(features: DataFrame, budget: int) -> tuple[DataFrame, int, int]:
+    """(features that stay, rows and bytes freed): evictable sources only are counted and go, equal times by a hash of their keys."""
+    tie = F.xxhash64("source", "ref_id", "channel", "algorithm")
+    rows = features.withColumns({"bytes": F.octet_length("feature_blob").cast("long"), "_tie": tie})
+    own = F.col("source").isin(EVICTABLE)
+    goes, n, freed = eviction(rows.where(own), budget, ["_tie"])
+    return rows.where(~(own & goes)).select(*features.columns), n, freed
 
 
 def legacy_gap(legacy: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,3 +131,43 @@ def legacy_gap(legacy: DataFrame, features: DataFrame, keys: list[str]) -> DataF
 
 def store_bytes(features: DataFrame) -> DataFrame:
     return features.where(F.col("source").isin(EVICTABLE)).agg(F.coalesce(F.sum(F.length("feature_blob")), F.lit(0)).alias("bytes"))
+
+
+# --- the store in folders -----------------------------------------------------------
+GONE = "_gone"
+
+
+def write_table(root: str, name: str, rows: DataFrame, jobs: DataFrame) -> None:
+    """Replace the rows of the ``jobs`` (job_id) in a table of the store by ``rows``, other jobs' partitions untouched.
+
+    A job without new rows gets one marked row, which read_table() leaves out:
+    its partition is written over as well, without any listing of folders.
+    """
+    of = jobs.select(F.col("job_id").cast("string").alias("job_id")).distinct()
+    rows = rows.withColumn("job_id", F.col("job_id").cast("string")).join(of, "job_id", "left_semi").withColumn(GONE, F.lit(False))
+    marks = of.join(rows.select("job_id").distinct(), "job_id", "left_anti").withColumn(GONE, F.lit(True))
+    whole = rows.unionByName(marks, allowMissingColumns=True)
+    whole.repartition("job_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(f"{root}/{name}")
+
+
+def read_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """A table of the store; empty where it was never written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, {GONE} boolean").parquet(f"{root}/{name}")
+    return rows.where(f"NOT coalesce({GONE}, false)").drop(GONE)
+
+
+def write_job_results(root: str, jobs: DataFrame, results: DataFrame, derived: dict[str, DataFrame]) -> None:
+    """New versions of ``jobs`` and their ``results`` into the store; what was ``derived`` from the old ones goes.
+
+    ``derived`` names the tables that hang on the jobs, each with an example of
+    its columns. They are emptied first, then the results are written, and
+    last the jobs, whose completed_at tells that a version is there: after a
+    crash in between the job still counts as stale, and the same call mends it.
+    """
+    for name, like in derived.items():
+        write_table(root, name, like.limit(0), jobs)
+    write_table(root, "results", results, jobs)
+    write_table(root, "jobs", jobs, jobs)

@@ -11,7 +11,8 @@ from kindred.functions import similarity as sim
 from kindred.functions import text as tx
 from kindred.functions.images import sprite_features
 from kindred.operators import corpus, evaluate, featurize, match, scoring, store
-from kindred.plans.bindings import DRAWS, IMG, MED, MX, SC, UNIQUE, images, read, scenes, sql_frame, sql_gini, sql_ham, sql_hist, sql_sharpen, sql_tone
+from kindred.plans.bindings import DRAWS, IMG, MED, MX, SC, UNIQUE, images, read, scenes, sql_draws, sql_frame, sql_gini, sql_ham, sql_hist, sql_sharpen, sql_tone
+from kindred.sources import assets
 from kindred.streaming import lifecycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +196,16 @@ def corpus_baseline(spark, d):
     return got.select("job", _r(F.col("phash"), "phash"), _r(F.col("tone"), "tone"))
 
 
+_RECORDS = f"{MED.format(keys='job, record', source='img')}, rc AS (SELECT job, record AS ref, record, hist AS blob FROM med)"
+
+
+@query(f"WITH {IMG}, {_RECORDS}, {sql_draws('rc', 'c', 'coalesce(avg(' + sql_hist('a.blob', 'b.blob') + '), 0.5e0) AS color_hist')} SELECT job, round(color_hist, 6) AS color_hist FROM cl")
+def aggregate_baseline(spark, d):
+    """The baseline of the colour channel, over records' aggregates."""
+    rec = corpus.median_aggregate(images(spark, d), ["job", "record"], "blob").withColumn("ref", F.col("record"))
+    return corpus.baseline(rec, {"color_hist": sim.histogram_intersection(F.col("blob"), F.col("blob2"))}).select("job", _r(F.col("color_hist"), "color_hist"))
+
+
 # --- matching -----------------------------------------------------------------
 _KEYED = """parts AS (SELECT p_partkey - 1 AS k, p_name FROM part), facts AS (SELECT o_orderkey % 1500 AS k, min(strftime(o_orderdate, '%Y-%m-%d')) AS dt,
   list_distinct([min(o_custkey) % 12, max(o_custkey) % 12, min(o_orderkey + o_custkey) % 12]) AS own, list_distinct([min(o_custkey) * 7 % 24, max(o_custkey) * 5 % 24]) AS named FROM orders GROUP BY ALL)"""
@@ -380,7 +391,7 @@ def sanitize_details(spark, d):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_decode(spark, d):
-    return read(spark, d, "events").select("event_id", F.coalesce(F.from_json("props", "k long"), F.struct(F.lit(None).cast("long").alias("k"))).alias("data")).select("event_id", "data.k")
+    return assets.decode_records(read(spark, d, "events").select("event_id", F.col("props").alias("data")), "k long").select("event_id", "data.k")
 
 
 # --- store and lifecycle --------------------------------------------------------
@@ -415,6 +426,30 @@ def fleet_counts(spark, d):
     return lifecycle.fleet_counts(_states(spark, d))
 
 
+_FOUND = "fo AS (SELECT c_custkey AS job_id, CAST(c_nationkey AS VARCHAR) AS completed_at FROM customer WHERE c_custkey % 5 <> 0), ca AS (SELECT c_custkey AS job_id, CASE WHEN c_custkey % 7 = 0 THEN 'old' ELSE CAST(c_nationkey AS VARCHAR) END AS completed_at FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+@query(f"""WITH {_STATE}, {_FOUND}, ch AS (SELECT fo.job_id FROM fo LEFT JOIN ca USING (job_id) WHERE fo.completed_at IS DISTINCT FROM ca.completed_at),
+k AS (SELECT job_id FROM fo UNION SELECT job_id FROM ca), j AS (SELECT k.job_id, st.* EXCLUDE (job_id) FROM k LEFT JOIN (SELECT * FROM st WHERE job_id NOT IN (SELECT job_id FROM ch)) st ON st.job_id = k.job_id)
+SELECT job_id, CASE WHEN state = 'ready' THEN state ELSE 'featurizing' END AS state, CASE WHEN state = 'ready' THEN progress ELSE 0e0 END AS progress, CASE WHEN state = 'ready' THEN started_at ELSE TIMESTAMP '2024-02-01 00:00:00' END AS started_at,
+coalesce(state = 'featurizing' AND started_at < TIMESTAMP '2024-01-30 00:00:00', false) AS reset, state IS DISTINCT FROM 'ready' AS enqueued FROM j""")
+def startup_recover(spark, d):
+    """All jobs after a start: discovered, stale ones reset, those not ready enqueued."""
+    k = F.col("c_custkey")
+    jobs = read(spark, d, "customer").select(k.alias("job_id"), F.col("c_nationkey").cast("string").alias("completed_at"))
+    cached = jobs.where("job_id % 3 <> 0").withColumn("completed_at", F.when(F.col("job_id") % 7 == 0, "old").otherwise(F.col("completed_at")))
+    at = lambda x: F.expr(f"TIMESTAMP_NTZ '{x} 00:00:00'")
+    return lifecycle.recover(jobs.where("job_id % 5 <> 0"), cached, _states(spark, d), at("2024-01-30"), at("2024-02-01"))
+
+
+@query("SELECT o_orderkey AS request_id, o_custkey AS job_id, c_name AS name, c_nationkey AS nation FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0")
+def job_lookup(spark, d):
+    """Point lookups by id; null where nothing has the id."""
+    jobs = read(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("job_id"), "c_name", "c_nationkey")
+    got = assets.lookup(read(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("job_id")), jobs, "job_id")
+    return got.select("request_id", "job_id", F.col("found.c_name").alias("name"), F.col("found.c_nationkey").alias("nation"))
+
+
 @query(f"""WITH {_STATE}, g AS (SELECT job_id % 10 AS grp, min(progress) FILTER (progress > 0) AS p FROM st WHERE state <> 'ready' GROUP BY ALL)
 SELECT grp, CAST(coalesce(greatest(2e0, least(60e0, round(10e0 * (1e0 - p) / p))), 10) AS BIGINT) AS retry_after FROM g""")
 def retry_after(spark, d):
@@ -429,6 +464,23 @@ def lru_evict(spark, d):
     return store.lru_evict(e, 50_000, ["event_id"])
 
 
+_STORE = "s AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'stash_cover' WHEN 'view' THEN 'stash_sprite' ELSE 'extractor_image' END AS source, CAST(strlen(props) AS BIGINT) AS bytes, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN TIMESTAMP '1969-07-20 00:00:00' ELSE date_trunc('day', ts) END AS seen FROM events)"
+
+
+@query(f"""WITH {_STORE}, e AS (SELECT * FROM s WHERE source LIKE 'stash%'), r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY seen NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(bytes) OVER () AS total FROM e),
+f AS (SELECT count(*) AS n, coalesce(sum(bytes), 0) AS freed FROM r WHERE before < total - total // 3)
+SELECT 1 AS run, n AS rows, CAST(freed AS BIGINT) AS bytes FROM f UNION ALL SELECT 2, 0, 0""")
+def eviction_report(spark, d):
+    """Rows and bytes freed to a third of what is stored, and by a second run right after."""
+    i = F.col("event_id")
+    at = F.when(i % 3 == 0, F.lit(None).cast("timestamp_ntz")).when(i % 5 == 0, F.expr("TIMESTAMP_NTZ '1969-07-20 00:00:00'")).otherwise(F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    rows = read(spark, d, "events").where("event_type IN ('click', 'view')").select("event_id", F.octet_length("props").cast("long").alias("bytes"), at.alias("last_accessed_at"))
+    budget = rows.agg(F.floor(F.sum("bytes") / 3)).first()[0]
+    goes, n, freed = store.eviction(rows, budget, ["event_id"])
+    again = store.eviction(rows.where(~goes), budget, ["event_id"])
+    return spark.createDataFrame([(1, n, freed), (2, *again[1:])], "run int, rows long, bytes long")
+
+
 @query("SELECT CAST(coalesce(sum(strlen(props)), 0) AS BIGINT) AS bytes FROM events WHERE event_type IN ('click', 'view')")
 def store_bytes(spark, d):
     source = F.when(F.col("event_type") == "click", "stash_cover").when(F.col("event_type") == "view", "stash_sprite").otherwise("extractor_image")
@@ -519,12 +571,10 @@ def systematic_sample(spark, d):
 @query("""SELECT p_partkey, '{' || array_to_string(list_filter([CASE WHEN p_name <> '' THEN '"title":"' || p_name || '"' END, CASE WHEN p_partkey % 3 <> 0 THEN '"code":"' || p_brand || '"' END, '"score":' || CAST(CAST(p_size % 7 AS INTEGER) AS VARCHAR)], lambda x: x IS NOT NULL), ',') || '}' AS output,
 'data:image/' || CASE WHEN p_partkey % 2 = 0 THEN 'png' ELSE 'jpeg' END || ';base64,' || to_base64(CAST(repeat(p_name, 4) AS BLOB)) AS cover FROM part""")
 def output_projection(spark, d):
-    from kindred.sources.assets import data_url
-
     p = read(spark, d, "part")
     out = F.to_json(F.struct(F.nullif("p_name", F.lit("")).alias("title"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("code"), (F.col("p_size") % 7).alias("score")))
     name = F.concat(F.lit("cover."), F.when(F.col("p_partkey") % 2 == 0, "png").otherwise("jpg"))
-    return p.select("p_partkey", out.alias("output"), data_url(name, F.repeat("p_name", 4).cast("binary")).alias("cover"))
+    return p.select("p_partkey", out.alias("output"), assets.data_url(name, F.repeat("p_name", 4).cast("binary")).alias("cover"))
 
 
 # --- whole operations on the store, requests and output ---------------------------
@@ -702,10 +752,8 @@ def _sheets(img: DataFrame) -> DataFrame:
 SELECT job, record, CAST(position AS INTEGER) AS position, position * 5 + 0.5e0 AS start, histogram, round({sql_gini('histogram')}, 6) AS quality FROM h""")
 def sprite_frame_features(spark, d):
     """Three of the four tiles of every sheet, cut by its cues."""
-    from kindred.sources.assets import vtt_cues
-
     sheets = _sheets(images(spark, d))
-    got = sprite_features(sheets, vtt_cues(sheets.select("ref", "vtt")), sample=3, size=8)
+    got = sprite_features(sheets, assets.vtt_cues(sheets.select("ref", "vtt")), sample=3, size=8)
     part = lambda i: F.split_part("ref", F.lit(":"), F.lit(i)).cast("long")
     return got.select(part(1).alias("job"), part(2).alias("record"), "position", "start", "histogram", _r(sim.gini_quality(F.col("histogram")), "quality"))
 

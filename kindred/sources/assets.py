@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, result_index, page_url, data) of JSON files named after their job, each an array of results."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("job_id"), F.from_json("value", "array<struct<page_url:string,data:string>>").alias("rows"))
-    return raw.select("job_id", F.posexplode("rows").alias("result_index", "r")).select("job_id", "result_index", "r.page_url", "r.data")
-
-
 def decode_records(records: DataFrame, schema: str) -> DataFrame:
     """data as a struct; what can't be read gives a struct of nulls."""
     return records.withColumn("data", F.coalesce(F.from_json("data", schema), F.from_json(F.lit("{}"), schema)))
@@ -65,8 +59,15 @@ def data_url(name: Column, content: Column) -> Column:
     return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"[\r\n]", ""))
 
 
+def lookup(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``requests`` (key, ...) with the row of ``table`` as found, a struct; null where no row has the key, or the key is null. Of several rows the smallest counts."""
+    columns = [c for c in table.columns if c != key]
+    rows = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("found"))
+    return requests.join(rows, key, "left")
+
+
 def write_run_log(rows: DataFrame, path: str, meta: dict[str, str]) -> None:
-    """A line of metadata and a line for each row, as JSON lines in a folder."""
-    first = rows.sparkSession.createDataFrame([(k, v) for k, v in meta.items()], "key string, value string").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("meta"))
-    first.write.mode("overwrite").json(path)
-    rows.write.mode("append").json(path)
+    """A line of metadata and a line for each row, as JSON lines in a folder; one write, so that a crash leaves no half a log."""
+    pairs = F.create_map(*[F.lit(x) for kv in meta.items() for x in kv]) if meta else F.create_map()
+    first = rows.sparkSession.range(1).select(F.to_json(F.struct(pairs.alias("meta"))).alias("value"))
+    first.union(rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))).write.mode("overwrite").text(path)
