@@ -17,22 +17,32 @@ from .common import pieces, remainder, share, ship, split_words, sums, table, wr
 UNKNOWN = "und"
 
 
-def sample(docs: DataFrame, keys: DataFrame, per_class: int) -> DataFrame:
-    """Texts (label, text) of up to ``per_class`` keys of each label, those with the smallest hashes.
+def text_key(text: str = "text") -> list:
+    """(h, size): the hash that names a text in a sample, and its bytes."""
+    return [F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("size")]
 
-    The choice is made on ``keys`` (doc_id, label) alone; ``docs`` (doc_id,
-    text) are read for the chosen keys only. Keys whose hash lies above what
-    twice the number asked for should need go before any shuffle, so that a
-    label's task gets some thousand rows however many keys it has.
+
+def sample(docs: DataFrame, keys: DataFrame, per_class: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Texts (label, text) of each label: up to ``per_class`` different ones of ``most_bytes`` together, those with the smallest hashes.
+
+    ``keys`` (label, h, size) has a row for each labelled text that may be
+    learned, as of text_key(); ``docs`` (text) holds the texts. A text that
+    several rows share counts once in a label; one of more than a sixteenth of
+    ``most_bytes`` is not chosen. Keys whose hash lies above what twice the
+    number asked for should need go before any sort, so that a label's task
+    gets some thousand rows however many it has.
     """
-    keys = keys.select("doc_id", F.col("label").cast("string").alias("label")).where("doc_id IS NOT NULL")
+    keys = keys.where("label IS NOT NULL AND h IS NOT NULL").where(F.col("size") <= most_bytes // 16)
+    keys = keys.groupBy(F.col("label").cast("string").alias("label"), "h").agg(F.max("size").alias("size"))
     counts = keys.groupBy("label").agg(F.count("*").alias("_n"))  # a row for each label
     # 31 bits of the hash, against 2^31 times the share of the keys to look at
-    low = F.shiftrightunsigned(F.xxhash64("doc_id"), 33).cast("double") * F.col("_n") <= F.lit(2**31) * (2 * per_class + 100)
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = keys.join(F.broadcast(counts), "label").where(low).select("doc_id", "label").distinct()
-    chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")  # per_class rows a label
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    low = F.shiftrightunsigned("h", 33).cast("double") * F.col("_n") <= F.lit(2**31) * (2 * per_class + 100)
+    order = Window.partitionBy("label").orderBy(F.shiftrightunsigned("h", 33), "h")
+    chosen = keys.join(F.broadcast(counts), "label").where(low)
+    chosen = chosen.withColumns({"_rank": F.row_number().over(order), "_bytes": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    chosen = written(chosen.where((F.col("_rank") <= per_class) & (F.col("_bytes") <= most_bytes)).select("label", "h"))  # per_class rows a label
+    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "h")
+    return texts.groupBy("label", "h").agg(F.first("text").alias("text")).select("label", "text")
 
 
 class Packed:
@@ -130,14 +140,17 @@ class LanguageModel:
 def identify(docs: DataFrame, train: DataFrame, per_class: int = 500, order: int = 5) -> DataFrame:
     """Language of every row of ``docs`` (doc_id, text, held_out), learned from ``train`` (doc_id, text, lang).
 
-    Learns from at most ``per_class`` rows of each non-null language. Rows
-    whose text is null or has no letter get ``und`` and score 0; without any
-    training row every row does. Repeated rows are scored each; other columns
-    are ignored. ``rejected`` says that even the best model predicts the text
+    Learns from at most ``per_class`` different texts of each non-null
+    language, chosen by sample(); a text that is in the rows of two languages
+    is learned in both, and the ids of rows play no part, so that repeated
+    ones do no harm. Rows whose text is null or has no letter get ``und`` and
+    score 0; without any training row every row does. Of equally likely
+    languages the first in order wins. Texts are scored whole, however long;
+    repeated rows are scored each; other columns are ignored. ``rejected`` says that even the best model predicts the text
     worse than it predicts nearly all texts it was checked on.
     """
     spark = docs.sparkSession
-    rows = sample(train, train.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("label")), per_class)
+    rows = sample(train, train.where("text IS NOT NULL").select(F.col("lang").alias("label"), *text_key()), per_class)
     shared = share(spark, fitted(rows, lambda t: LanguageModel(*in_order(t), order)))
 
     def run(batches):

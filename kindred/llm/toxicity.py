@@ -13,12 +13,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charkn import CharKN
 from .common import pieces, remainder, seg_max, share, split_words, sums, table
-from .langid import Packed, class_counts, fitted, in_order, sample
+from .langid import Packed, class_counts, fitted, in_order, sample, text_key
 
 CLASSES = ["0", "1"]
 
@@ -72,11 +73,12 @@ class ToxicityModel:
 
 
 def fit(train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int = 6) -> tuple[Packed | None, float]:
-    """A packed ToxicityModel and the share of toxic labels, from at most ``per_class`` documents of each label.
+    """A packed ToxicityModel and the share of toxic labels, from at most ``per_class`` different texts of each label, chosen by sample().
 
-    ``labels`` (doc_id, toxic) names them, ``train`` (doc_id, text) has the
-    texts. A document with several labels is toxic if any says so; null
-    labels, ids and texts are left out. No model without both labels.
+    ``labels`` (doc_id, toxic) names documents, ``train`` (doc_id, text) has
+    the texts. A document with several labels is toxic if any says so; null
+    labels, ids and texts are left out, and all texts of a repeated id have its
+    label. No model without both labels.
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -87,8 +89,10 @@ def fit(train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int =
         texts, y = in_order(t)
         return ToxicityModel(texts, np.array(y) == "1", prior, order) if len(set(y)) == 2 else None
 
-    model = fitted(sample(train, labels, per_class), make) if len(shares) == 2 else None
-    return model, prior
+    if len(shares) < 2:
+        return None, prior
+    keys = train.where("text IS NOT NULL").select("doc_id", *text_key()).join(labels, "doc_id").select("label", "h", "size")  # hashes travel, not texts
+    return fitted(sample(train, keys, per_class), make), prior
 
 
 def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_class: int = 1500, order: int = 6) -> DataFrame:
@@ -112,7 +116,11 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_cla
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more; the columns stay as they are."""
+    """``docs`` without the rows whose text scores ``threshold`` or more; the columns stay as they are.
+
+    Texts without a word, null ones too, say nothing toxic: they stay whatever
+    the model gives them.
+    """
     spark = docs.sparkSession
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model, prior = fit(train, labels)
@@ -121,8 +129,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     def run(batches):
         m = shared.value and shared.value.get()
         for b in pieces(batches):
-            score = np.full(b.num_rows, prior) if m is None else m.score(b.column("text"))
-            yield b.filter(pa.array(score < threshold))
+            text = b.column("text")
+            score = np.full(b.num_rows, prior) if m is None else m.score(text)
+            blank = np.asarray(pc.equal(pc.ascii_trim_whitespace(pc.fill_null(text, "")), ""))
+            yield b.filter(pa.array((score < threshold) | blank))
 
     return docs.mapInArrow(run, docs.schema)
 
