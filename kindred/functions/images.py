@@ -131,10 +131,10 @@ def lanes(hash_bits: np.ndarray) -> list[int]:
     return np.frombuffer(np.pad(b, (0, -len(b) % 8)).tobytes(), ">i8").astype(np.int64).tolist()
 
 
-def colour_histogram(rgb: np.ndarray) -> np.ndarray:
-    """4 x 4 x 4 bins of hue, saturation and value; shares times 255."""
+def colour_histogram(rgb: np.ndarray) -> np.ndarray | list[int]:
+    """4 x 4 x 4 bins of hue, saturation and value; shares times 255. A list for one image, an array for a stack."""
     if rgb.ndim == 3:
-        return colour_histogram(rgb[None])[0]
+        return colour_histogram(rgb[None])[0].tolist()
     v = rgb.astype(float)
     top, low = v.max(-1), v.min(-1)
     span = np.where(top > low, top - low, 1)
@@ -147,6 +147,7 @@ def colour_histogram(rgb: np.ndarray) -> np.ndarray:
 
 
 def tone(image: np.ndarray) -> np.ndarray:
+    """Grey levels of 8 x 8 fields."""
     return resize(image, 8, 8).reshape(*image.shape[:-2], 64).astype(int)
 
 

@@ -81,12 +81,39 @@ def search(candidates: DataFrame, limit: int = 5, floor: float | None = None) ->
     """
     c = candidates if floor is None else candidates.where((F.col("image") >= floor) | F.col("code_hit") | F.col("title_hit"))
     raw = F.col("code_hit").cast("int") + F.col("title_hit").cast("int") + F.col("image") + 0.2 * F.col("filename") + 0.3 * (0.5 * F.col("performer") + 0.5 * F.col("date"))
-    c = c.withColumn("score", F.least(raw, F.lit(1.0)))
+    c = c.withColumn("raw_score", raw).withColumn("score", F.least("raw_score", F.lit(1.0)))
     # scores that differ in the last digits alone, by the order of summing, are ties
     rank = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc(F.round("score", 9)), "job_id", "result_index"))
     return c.withColumn("rank", rank).where(F.col("rank") <= limit).where("score > 0")
 
 
+def debug_view(results: DataFrame) -> Column:
+    """How a result of search() came by its score, as JSON.
+
+    Needs what search() needs, and the structs ``phash``, ``tone`` (of
+    frame_channels() and channel_details() together), ``color_hist``, and
+    ``fired``, the channels that count. Numbers are to four places.
+    """
+    four = lambda c: F.round(c, 4)
+    scores = ["E", "count_conf", "dist_q", "S"]
+    more = ["baseline", "n_extractor_images", "extractor_refs", "per_image_max", "m_primes", "qualities", "uniquenesses"]
+
+    def frame(c: str) -> Column:
+        named = zip(("evidence", "count_conf", "dist_q", "score"), scores, strict=True)
+        return F.struct(*[four(F.col(c)[x]).alias(y) for x, y in named], *[F.col(f"{c}_details")[x].alias(x) for x in more])
+
+    soft = 0.3 * (0.5 * F.col("performer") + 0.5 * F.col("date"))
+    image = F.struct(
+        F.struct(frame("phash").alias("phash"), F.struct(four(F.col("color_hist")).alias("S")).alias("color_hist"), frame("tone").alias("tone")).alias("channels"),
+        F.col("fired"), four(F.col("image")).alias("composite"),
+    )
+    return F.to_json(F.struct(
+        F.col("code_hit").alias("studio_code"), F.col("title_hit").alias("exact_title"), image.alias("image"), four(F.col("image")).alias("image_contribution"),
+        four(0.2 * F.col("filename")).alias("filename_contribution"), four(F.col("performer")).alias("performer_score"), four(F.col("date")).alias("date_score"),
+        four(soft).alias("soft_contribution"), four(F.col("raw_score")).alias("raw_score"), four(F.col("score")).alias("capped_score"),
+    ))
+
+
 def scrape(candidates: DataFrame, images: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(scene_id, job_id, result_index, tier): one definitive record, by code, else title, else image.
 
@@ -121,4 +148,4 @@ def performer_score(scene_performers: DataFrame, record_names: DataFrame, perfor
     return every.join(hits, ["scene_id", "record_id"], "left").select("scene_id", "record_id", F.coalesce(F.col("hits") / F.col("size"), F.lit(0.0)).alias("score"))
 
 
-__all__ = ["best_raw", "scene_jobs", "scrape_output", "top_similarities", "candidate_pool", "code_fires", "exact_url", "performer_score", "same_folded", "schema_superset", "scrape", "search", "studio_narrow", "title_fires"]
+__all__ = ["best_raw", "debug_view", "scene_jobs", "scrape_output", "top_similarities", "candidate_pool", "code_fires", "exact_url", "performer_score", "same_folded", "schema_superset", "scrape", "search", "studio_narrow", "title_fires"]

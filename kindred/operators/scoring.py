@@ -60,6 +60,31 @@ def frame_channels(maxima: DataFrame, keys: list[str], channels: dict[str, tuple
     return got.select(*keys, *channels)
 
 
+def channel_details(rows: DataFrame, keys: list[str], channels: dict[str, tuple[str, str, str, str]], gamma: float = GAMMA) -> DataFrame:
+    """keys and, for each channel, a struct of what its score is made of: the images in order, and what each adds, to four places.
+
+    rows as for frame_channels(), with ref. Only what is shown should come
+    here: a record's images are collected into arrays.
+    """
+    four = lambda c: F.round(c, 4)
+    parts = []
+    for c, (m, quality, unique, base) in channels.items():
+        b = F.coalesce(F.col(base), F.lit(BASELINE))
+        row = F.struct(
+            "ref", four(F.col(m)).alias("m"), four(sharpen(F.col(m), b, gamma)).alias("mp"), four(F.coalesce(F.col(quality), F.lit(1.0))).alias("q"),
+            four(F.coalesce(F.col(unique), F.lit(1.0))).alias("u"),
+        )
+        parts += [F.array_sort(F.collect_list(row)).alias(f"_{c}"), F.max(four(b)).alias(f"_{c}_b")]
+    got = rows.groupBy(*keys).agg(*parts)
+    for c in channels:
+        of = lambda f, c=c: F.transform(f"_{c}", lambda x: x[f])
+        got = got.withColumn(c, F.struct(
+            F.size(f"_{c}").alias("n_extractor_images"), of("ref").alias("extractor_refs"), of("m").alias("per_image_max"), of("mp").alias("m_primes"),
+            of("q").alias("qualities"), of("u").alias("uniquenesses"), F.col(f"_{c}_b").alias("baseline"),
+        ))
+    return got.select(*keys, *channels)
+
+
 def frame_channel(maxima: DataFrame, keys: list[str], gamma: float = GAMMA, count_k: float = COUNT_K) -> DataFrame:
     """keys, evidence, count_conf, dist_q and score of one channel, from rows of keys, m, quality, uniqueness and baseline."""
     got = frame_channels(maxima, keys, {"c": ("m", "quality", "uniqueness", "baseline")}, gamma, count_k)

@@ -102,3 +102,23 @@ def sql_draws(source: str, prefix: str, means: str) -> str:
 DRAWS = sql_draws("img", "b", f"coalesce(avg({sql_tone('a.blob', 'b.blob')}), 0.5e0) AS tone, coalesce(avg({sql_guarded('a', 'b')}), 0.5e0) AS phash")
 UNIQUE = f"""nr AS (SELECT a.job, a.ref, b.record FROM img a JOIN img b ON a.job = b.job AND (a.ref = b.ref OR {sql_tone('a.blob', 'b.blob')} >= 0.9e0)),
 uq AS (SELECT job, ref, greatest(count(DISTINCT record) - 1, 0) AS matches, 1e0 / (1e0 + greatest(count(DISTINCT record) - 1, 0)) AS uniqueness FROM nr GROUP BY job, ref)"""
+
+
+def sql_fuzzy(source: str) -> str:
+    """CTEs after the names (a, b) and titles (ta, tb) of ``source``: fz (a, b, ta, tb, naive, title). Names whose lengths differ by half or more, which count partial strings, don't occur in the test tables."""
+    words = lambda s: f"list_sort(list_filter(string_split({s}, ' '), lambda t: t <> ''))"
+    text = lambda s: f"array_to_string({s}, ' ')"
+    both = lambda x, y: text(f"list_filter(list_sort(list_distinct({x})), lambda t: list_contains({y}, t))")
+    only = lambda x, y: text(f"list_filter(list_sort(list_distinct({x})), lambda t: NOT list_contains({y}, t))")
+    sets = ", ".join(f"{both(x, y)} AS {c}_both, {only(x, y)} AS {c}_l, {only(y, x)} AS {c}_r" for c, x, y in (("n", "wa", "wb"), ("t", "wta", "wtb")))
+    one = lambda c, s: f"trim({c}_both || ' ' || {c}_{s})"
+    row = lambda c, f, x, y: f"{{'c': '{c}', 'f': {f}, 'x': {x}, 'y': {y}}}"
+    asks = lambda c, f: f"[{row(c, f, one(c, 'l'), one(c, 'r'))}], CASE WHEN {c}_both <> '' THEN [{row(c, f, c + '_both', one(c, 'l'))}, {row(c, f, c + '_both', one(c, 'r'))}] ELSE [] END"
+    whole = lambda c: f"CASE WHEN {c}_both <> '' AND ({c}_l = '' OR {c}_r = '') THEN {{f}} ELSE 0e0 END"
+    return f"""fz_w AS (SELECT *, {words('a')} AS wa, {words('b')} AS wb, {words('ta')} AS wta, {words('tb')} AS wtb FROM (SELECT DISTINCT a, b, ta, tb FROM {source})), fz_s AS MATERIALIZED (SELECT *, {sets} FROM fz_w),
+fz_q AS MATERIALIZED (SELECT a, b, ta, tb, unnest(list_concat([{row('n', '1e0', 'a', 'b')}, {row('n', '0.95e0', text('wa'), text('wb'))}], {asks('n', '0.95e0')}, {asks('t', '1e0')})) AS q FROM fz_s),
+fz_l AS MATERIALIZED (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 100e0 ELSE 200e0 * (length(x) - bit_count(list_reduce(list_prepend((CAST(1 AS HUGEINT) << length(x)) - 1,
+    list_transform(string_split(y, ''), lambda c: list_sum(list_transform(range(0, length(x)), lambda i: CASE WHEN x[i + 1] = c THEN CAST(1 AS HUGEINT) << i ELSE CAST(0 AS HUGEINT) END)))),
+    lambda s, m: ((s + (s & CAST(m AS HUGEINT))) | (s - (s & CAST(m AS HUGEINT)))) & ((CAST(1 AS HUGEINT) << length(x)) - 1)))) / (length(x) + length(y)) END AS r FROM (SELECT DISTINCT q.x AS x, q.y AS y FROM fz_q)),
+fz_m AS (SELECT a, b, ta, tb, max(q.f * r) FILTER (q.c = 'n') AS n, max(q.f * r) FILTER (q.c = 't') AS t FROM fz_q JOIN fz_l ON q.x = x AND q.y = y GROUP BY ALL),
+fz AS (SELECT a, b, ta, tb, CASE WHEN a = '' OR b = '' THEN 0e0 ELSE greatest(n, {whole('n').format(f='95e0')}) / 100 END AS naive, CASE WHEN ta = '' OR tb = '' THEN 0e0 ELSE greatest(t, {whole('t').format(f='100e0')}) / 100 END AS title FROM fz_m JOIN fz_s USING (a, b, ta, tb))"""

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from kindred.functions import similarity as sim
 from kindred.functions import text as tx
+from kindred.functions.fuzzy import filename_scores
 from kindred.functions.images import sprite_features
 from kindred.operators import corpus, evaluate, featurize, match, scoring, store
-from kindred.plans.bindings import DRAWS, IMG, MED, MX, SC, UNIQUE, images, read, scenes, sql_draws, sql_frame, sql_gini, sql_ham, sql_hist, sql_sharpen, sql_tone
+from kindred.plans.bindings import DRAWS, IMG, MED, MX, SC, UNIQUE, images, read, scenes, sql_draws, sql_frame, sql_fuzzy, sql_gini, sql_ham, sql_hist, sql_sharpen, sql_tone
 from kindred.sources import assets
+from kindred.sources.tables import materialized_together
 from kindred.streaming import lifecycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,9 +116,9 @@ def topk_mean(spark, d):
     return _top(spark, d).select(*KEYS, _r(F.col("score"), "score"))
 
 
-@query(f"WITH {_TOPK.format(mx=MX)} SELECT scene_id, job, record, round(CASE WHEN score >= 0.85e0 THEN score ELSE 0e0 END, 6) AS score FROM t")
+@query(f"WITH {_TOPK.format(mx=MX)} SELECT scene_id, job, record, round(CASE WHEN score >= 0.895e0 THEN score ELSE 0e0 END, 6) AS score FROM t")
 def topk_threshold(spark, d):
-    return _top(spark, d).select(*KEYS, _r(F.when(F.col("score") >= 0.85, F.col("score")).otherwise(0.0), "score"))
+    return _top(spark, d).select(*KEYS, _r(F.when(F.col("score") >= 0.895, F.col("score")).otherwise(0.0), "score"))
 
 
 _WEIGHTED = f"""{MX}, {ENTROPY.removeprefix(IMG).lstrip(', ')}, {UNIQUE}, {DRAWS},
@@ -126,21 +128,43 @@ wm AS (SELECT mx.*, CASE WHEN mx.ref % 11 = 0 THEN 1e0 ELSE e.quality END AS pq,
 _TONE, _PHASH = (sql_frame(m, q, "uq", b, "wm") for m, q, b in (("tone", "tq", "tb"), ("ham", "pq", "pb")))
 
 
-def _frames(img: DataFrame, of: DataFrame) -> DataFrame:
-    """Both frame channels of the scenes ``of`` in one pass over the image pairs; every eleventh image has no stored feature, every thirteenth no uniqueness, every fifth job no baseline."""
-    pairs = of.join(img, "job")
+def _facts(spark, d) -> DataFrame:
+    """What orders tell of scenes and records: dates, and customers that stand for performers."""
+    o = F.col("o_custkey")
+    return read(spark, d, "orders").groupBy((F.col("o_orderkey") % 1500).alias("k")).agg(F.min(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.min(o).alias("lo"), F.max(o).alias("hi"), F.min(F.col("o_orderkey") + o).alias("both"))
+
+
+def _stored(spark, d, *more: DataFrame) -> list[DataFrame]:
+    """What the store holds of the images, written once: the images with their qualities, their uniqueness, their jobs' baselines; and more tables beside."""
+    img = images(spark, d).withColumns({"phash_quality": sim.entropy_variance_quality(F.col("blob")), "tone_quality": sim.gini_quality(F.col("blob"))})
+    img, *more = materialized_together(img, *more)
+    plain = img.drop("phash_quality", "tone_quality")
+    noise = {"phash_baseline": sim.guarded_similarity(F.col("lanes"), F.col("lanes2"), 64), "tone_baseline": sim.tone_similarity(F.col("blob"), F.col("blob2"))}
+    return [img, *materialized_together(corpus.uniqueness(plain, threshold=0.9).select("job", "ref", "uniqueness"), corpus.baseline(plain, noise)), *more]
+
+
+_CHANNELS = {c: (f"{c}_m", f"{c}_quality", "uniqueness", f"{c}_baseline") for c in ("phash", "tone")}
+
+
+def _evidence(kept: list[DataFrame], of: DataFrame) -> DataFrame:
+    """Best similarities of record images to the scenes ``of``, with what is stored; every eleventh image has no stored feature, every thirteenth no uniqueness, every fifth job no baseline."""
+    img, unique, noise = kept[:3]
+    pairs = of.join(img.drop("phash_quality", "tone_quality"), "job")
     hashed, tone = sim.guarded_similarity(F.col("slanes"), F.col("lanes"), 64), sim.tone_similarity(F.col("blob"), F.col("sblob"))
     best = pairs.groupBy(*KEYS, "ref").agg(F.greatest(F.max(hashed), F.lit(0.0)).alias("phash_m"), F.greatest(F.max(tone), F.lit(0.0)).alias("tone_m"))
-    stored = img.where("ref % 11 <> 0").select("ref", sim.entropy_variance_quality(F.col("blob")).alias("phash_quality"), sim.gini_quality(F.col("blob")).alias("tone_quality"))
-    unique = corpus.uniqueness(img, threshold=0.9).where("ref % 13 <> 0").select("job", "ref", "uniqueness")
-    noise = corpus.baseline(img, {"phash_baseline": sim.guarded_similarity(F.col("lanes"), F.col("lanes2"), 64), "tone_baseline": sim.tone_similarity(F.col("blob"), F.col("blob2"))}).where("job % 5 <> 4")
-    return scoring.frame_channels(scoring.weighted(best, stored, unique, noise), KEYS, {c: (f"{c}_m", f"{c}_quality", "uniqueness", f"{c}_baseline") for c in ("phash", "tone")})
+    stored = img.where("ref % 11 <> 0").select("ref", "phash_quality", "tone_quality")
+    return scoring.weighted(best, stored, unique.where("ref % 13 <> 0"), noise.where("job % 5 <> 4"))
+
+
+def _frames(kept: list[DataFrame], of: DataFrame) -> DataFrame:
+    """Both frame channels in one pass over the image pairs."""
+    return scoring.frame_channels(_evidence(kept, of), KEYS, _CHANNELS)
 
 
 @query(f"WITH {_WEIGHTED} SELECT scene_id, job, record, round(evidence, 6) AS evidence, round(count_conf, 6) AS count_conf, round(dist_q, 6) AS dist_q, round(score, 6) AS score FROM ({_TONE})")
 def frame_channel_score(spark, d):
-    img = images(spark, d)
-    return _frames(img, scenes(img)).select(*KEYS, *[_r(F.col(f"tone.{c}"), c) for c in ("evidence", "count_conf", "dist_q", "score")])
+    kept = _stored(spark, d)
+    return _frames(kept, scenes(kept[0])).select(*KEYS, *[_r(F.col(f"tone.{c}"), c) for c in ("evidence", "count_conf", "dist_q", "score")])
 
 
 _AGGREGATE = f"""{MED.format(keys='job, record', source='img')}, {MED.format(keys='scene_id, job', source='(SELECT *, sblob AS blob FROM sc)').replace('med AS', 'smed AS', 1)},
@@ -167,16 +191,16 @@ cm AS (SELECT scene_id, job, record, p.score AS phash, a.score AS color_hist, t.
 cs AS (SELECT scene_id, job, record, n, CASE WHEN n = 0 THEN 0e0 ELSE least(1e0, greatest(CASE WHEN phash >= 0.05e0 THEN phash ELSE 0 END, CASE WHEN color_hist >= 0.05e0 THEN color_hist ELSE 0 END, CASE WHEN tone >= 0.05e0 THEN tone ELSE 0 END) + 0.1e0 * (n - 1)) END AS image FROM cm)"""
 
 
-def _composite(img: DataFrame, of: DataFrame) -> DataFrame:
-    got = _frames(img, of).join(_aggregate(img, of).select(*KEYS, F.col("score").alias("color_hist")), KEYS)
+def _composite(kept: list[DataFrame], of: DataFrame) -> DataFrame:
+    got = _frames(kept, of).join(_aggregate(kept[0], of).select(*KEYS, F.col("score").alias("color_hist")), KEYS)
     image, fired = scoring.compose({"phash": F.col("phash.score"), "color_hist": F.col("color_hist"), "tone": F.col("tone.score")})
-    return got.select(*KEYS, image.alias("image"), fired.alias("fired"))
+    return got.select(*KEYS, image.alias("image"), fired.alias("fired"), "phash", "color_hist", "tone")
 
 
 @query(f"WITH {_COMP} SELECT scene_id, job, record, round(image, 6) AS image, CAST(n AS INTEGER) AS n_fired FROM cs")
 def composite_score(spark, d):
-    img = images(spark, d)
-    return _composite(img, scenes(img)).select(*KEYS, _r(F.col("image"), "image"), F.size("fired").alias("n_fired"))
+    kept = _stored(spark, d)
+    return _composite(kept, scenes(kept[0])).select(*KEYS, _r(F.col("image"), "image"), F.size("fired").alias("n_fired"))
 
 
 # --- corpus -------------------------------------------------------------------
@@ -210,12 +234,17 @@ def aggregate_baseline(spark, d):
 _KEYED = """parts AS (SELECT p_partkey - 1 AS k, p_name FROM part), facts AS (SELECT o_orderkey % 1500 AS k, min(strftime(o_orderdate, '%Y-%m-%d')) AS dt,
   list_distinct([min(o_custkey) % 12, max(o_custkey) % 12, min(o_orderkey + o_custkey) % 12]) AS own, list_distinct([min(o_custkey) * 7 % 24, max(o_custkey) * 5 % 24]) AS named FROM orders GROUP BY ALL)"""
 _HITS = """job % 2 = 0 AND scene_id % 200 = (job * 7 + record) % 200 AS code_hit, scene_id % 4 = 0 AND a.p_name = b.p_name AS title_hit"""
-_CAND = f"""{_COMP}, {_KEYED}, cand AS (SELECT cs.*, {_HITS},
+#: What file names of parts become when they are normalized, and the bonus for fields on which two of them agree.
+_NAME_A, _NAME_B = ("{p}.p_name || ' s' || (({p}.k + 1) % 7 + 1) || 'e' || (({p}.k + 1) % 11 + 1) || ' ' || (1990 + ({p}.k + 1) % 30) || ' 720p'", "{p}.p_name || ' s0' || (({p}.k + 1) % 5 + 1) || 'e0' || (({p}.k + 1) % 9 + 1) || ' ' || (1990 + ({p}.k + 1) % 20) || ' ' || CASE WHEN ({p}.k + 1) % 2 = 0 THEN '720p' ELSE '1080p' END")
+_BONUS = """CASE WHEN (a.k + 1) % 30 = (b.k + 1) % 20 THEN 0.05e0 ELSE 0e0 END + CASE WHEN (a.k + 1) % 11 = (b.k + 1) % 9 THEN 0.05e0 ELSE 0e0 END
+    + CASE WHEN (a.k + 1) % 7 = (b.k + 1) % 5 THEN 0.03e0 ELSE 0e0 END + CASE WHEN (b.k + 1) % 2 = 0 THEN 0.02e0 ELSE 0e0 END"""
+_CAND = f"""{_COMP}, {_KEYED}, nm AS (SELECT a.k AS ka, b.k AS kb, {_NAME_A.format(p='a')} AS a, {_NAME_B.format(p='b')} AS b, a.p_name AS ta, b.p_name AS tb, {_BONUS} AS bonus
+  FROM (SELECT DISTINCT scene_id % 97 AS kt, (job * 31 + record) % 97 AS kr FROM cs) JOIN parts a ON a.k = kt JOIN parts b ON b.k = kr), {sql_fuzzy('nm')},
+fn AS (SELECT ka, kb, least(1e0, greatest(naive, title) + bonus) AS filename FROM nm JOIN fz USING (a, b, ta, tb)), cand AS (SELECT cs.*, {_HITS},
   CASE WHEN e.dt = f.dt THEN 1e0 WHEN e.dt[1:7] = f.dt[1:7] THEN 0.5e0 WHEN e.dt[1:4] = f.dt[1:4] THEN 0.2e0 ELSE 0e0 END AS date,
   len(list_filter(e.own, lambda p: list_contains(f.named, p) OR list_contains(f.named, p + 12))) / CAST(len(e.own) AS DOUBLE) AS performer,
-  CASE WHEN (a.k + 1) % 30 = (b.k + 1) % 20 THEN 0.05e0 ELSE 0e0 END + CASE WHEN (a.k + 1) % 11 = (b.k + 1) % 9 THEN 0.05e0 ELSE 0e0 END
-    + CASE WHEN (a.k + 1) % 7 = (b.k + 1) % 5 THEN 0.03e0 ELSE 0e0 END + CASE WHEN (b.k + 1) % 2 = 0 THEN 0.02e0 ELSE 0e0 END AS filename
-  FROM cs JOIN parts a ON a.k = scene_id % 97 JOIN parts b ON b.k = (job * 31 + record) % 97 JOIN facts e ON e.k = scene_id % 1500 JOIN facts f ON f.k = (job * 131 + record * 17) % 1500)"""
+  filename
+  FROM cs JOIN parts a ON a.k = scene_id % 97 JOIN parts b ON b.k = (job * 31 + record) % 97 JOIN fn ON fn.ka = a.k AND fn.kb = b.k JOIN facts e ON e.k = scene_id % 1500 JOIN facts f ON f.k = (job * 131 + record * 17) % 1500)"""
 
 
 def _scene_records(spark, d, img: DataFrame) -> DataFrame:
@@ -230,12 +259,11 @@ def _scene_records(spark, d, img: DataFrame) -> DataFrame:
     return c.select("scene_id", "job", "record", "kt", "kr", "ks", "kd", code.alias("code_hit"), title.alias("title_hit"))
 
 
-def _candidates(spark, d) -> DataFrame:
-    """The pairs with image, date (of orders), performer (from customers) and filename (of parts' file names, what their numbers say) scores."""
-    img = images(spark, d)
-    c = _scene_records(spark, d, img).join(_composite(img, scenes(img)).select(*KEYS, "image"), KEYS)
-    o = F.col("o_custkey")
-    facts = read(spark, d, "orders").groupBy((F.col("o_orderkey") % 1500).alias("k")).agg(F.min(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.min(o).alias("lo"), F.max(o).alias("hi"), F.min(F.col("o_orderkey") + o).alias("both"))
+def _candidates(spark, d, kept: list[DataFrame] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs with image, date (of orders), performer (from customers) and filename (of parts' file names) scores."""
+    kept = kept or _stored(spark, d, _facts(spark, d))
+    img, facts = kept[0], kept[3]
+    c = _scene_records(spark, d, img).join(_composite(kept, scenes(img)).select(*KEYS, "image", *more), KEYS)
     c = c.join(facts.select(F.col("k").alias("ks"), F.col("date").alias("sdate")), "ks").join(facts.select(F.col("k").alias("kd"), F.col("date").alias("rdate")), "kd")
     own = facts.select(F.col("k").alias("scene_id"), F.explode(F.array_distinct(F.array(F.col("lo") % 12, F.col("hi") % 12, F.col("both") % 12))).alias("performer_id"))
     named = facts.select(F.col("k").alias("record_id"), F.explode(F.array(F.col("lo") * 7 % 24, F.col("hi") * 5 % 24)).alias("x"))
@@ -243,11 +271,12 @@ def _candidates(spark, d) -> DataFrame:
     names = asked.join(named, "record_id").select("scene_id", "record_id", F.concat(F.lit(" NAME "), F.col("x").cast("string")).alias("name"))
     people = spark.range(12).select(F.col("id").alias("performer_id"), F.concat(F.lit("Name "), F.col("id").cast("string")).alias("name"), F.array(F.concat(F.lit("name "), (F.col("id") + 12).cast("string"))).alias("aliases"))
     cast = match.performer_score(own, names, people).select(F.col("scene_id").alias("ks"), F.col("record_id").alias("kd"), F.col("score").alias("performer"))
-    files = _names(spark, d).select((F.col("p_partkey") - 1).alias("k"), tx.name_fields(F.col("a")).alias("fa"), tx.name_fields(F.col("b")).alias("fb"))
-    c = c.join(cast, ["ks", "kd"]).join(files.select(F.col("k").alias("kt"), "fa"), "kt").join(files.select(F.col("k").alias("kr"), "fb"), "kr")
+    files = _names(spark, d).select((F.col("p_partkey") - 1).alias("k"), "a", "b")
+    both = c.select("kt", "kr").distinct().join(files.select(F.col("k").alias("kt"), "a"), "kt").join(files.select(F.col("k").alias("kr"), "b"), "kr")
+    c = c.join(cast, ["ks", "kd"]).join(filename_scores(both, F.col("a"), F.col("b")).select("kt", "kr", "filename_score"), ["kt", "kr"])
     return c.select(
         "scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "image", "code_hit", "title_hit",
-        tx.date_score(F.col("sdate"), F.col("rdate")).alias("date"), tx.structured_bonus(F.col("fa"), F.col("fb")).alias("filename"), "performer",
+        tx.date_score(F.col("sdate"), F.col("rdate")).alias("date"), F.col("filename_score").alias("filename"), "performer", *more,
     )
 
 
@@ -262,9 +291,38 @@ def search_ranked(spark, d):
     return match.search(_candidates(spark, d)).select("scene_id", "job_id", "result_index", F.round("score", 4).alias("score"), "rank")
 
 
-@query(_search_sql("image >= 0.15e0 OR code_hit OR title_hit"))
+_DETAILS = ", ".join(
+    f"list({x} ORDER BY ref) AS {n}" for n, x in (("refs", "ref"), ("maxima", "round(tone, 4)"), ("m_primes", f"round({sql_sharpen('tone', 'tb')}, 4)"), ("qualities", "round(tq, 4)"), ("uniquenesses", "round(uq, 4)"))
+)
+
+
+@query(f"""{_search_sql().rsplit('SELECT scene_id, job AS', 1)[0]}, top AS (SELECT *, round(CAST(code_hit AS INTEGER) + CAST(title_hit AS INTEGER) + image + 0.2e0 * filename + 0.15e0 * performer + 0.15e0 * date, 4) AS raw_score FROM r WHERE rank <= 5 AND score > 0),
+dt AS (SELECT scene_id, job, record, count(*) AS n_images, {_DETAILS}, max(round(tb, 4)) AS baseline FROM wm GROUP BY ALL)
+SELECT top.scene_id, top.job AS job_id, top.record AS result_index, CAST(n_images AS INTEGER) AS n_images, refs, maxima, m_primes, qualities, uniquenesses, baseline, round(t.score, 4) AS tone, round(h.score, 4) AS color_hist, round(0.2e0 * filename, 4) AS filename_contribution, raw_score,
+  list_filter([CASE WHEN p.score >= 0.05e0 THEN 'phash' END, CASE WHEN h.score >= 0.05e0 THEN 'color_hist' END, CASE WHEN t.score >= 0.05e0 THEN 'tone' END], lambda x: x IS NOT NULL) AS fired
+FROM top JOIN dt ON (dt.scene_id, dt.job, dt.record) = (top.scene_id, top.job, top.record) JOIN tn t ON (t.scene_id, t.job, t.record) = (top.scene_id, top.job, top.record)
+JOIN ph p ON (p.scene_id, p.job, p.record) = (top.scene_id, top.job, top.record) JOIN ag h ON (h.scene_id, h.job, h.record) = (top.scene_id, top.job, top.record)""")
+def search_debug(spark, d):
+    """How the results of the search came by their scores: written as JSON and read back. Only results carry their images."""
+    kept = _stored(spark, d, _facts(spark, d))
+    results = match.search(_candidates(spark, d, kept, ("phash", "color_hist", "tone", "fired")))
+    shown = results.select("scene_id", F.col("job_id").alias("job"), F.col("result_index").alias("record"))
+    details = scoring.channel_details(_evidence(kept, scenes(kept[0])).join(shown, KEYS, "left_semi"), KEYS, _CHANNELS)
+    details = details.select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), *[F.col(c).alias(f"{c}_details") for c in _CHANNELS])
+    rows = results.join(details, ["scene_id", "job_id", "result_index"])
+    rows = rows.select("scene_id", "job_id", "result_index", match.debug_view(rows).alias("json"))
+    tone = "tone struct<S:double,baseline:double,n_extractor_images:int,extractor_refs:array<bigint>,per_image_max:array<double>,m_primes:array<double>,qualities:array<double>,uniquenesses:array<double>>"
+    read_back = F.from_json("json", f"image struct<channels:struct<{tone.replace(' ', ':', 1)},color_hist:struct<S:double>>,fired:array<string>>, filename_contribution double, raw_score double")
+    rows = rows.withColumn("x", read_back).withColumn("t", F.col("x.image.channels.tone"))
+    return rows.select(
+        "scene_id", "job_id", "result_index", F.col("t.n_extractor_images").alias("n_images"), F.col("t.extractor_refs").alias("refs"), F.col("t.per_image_max").alias("maxima"), "t.m_primes", "t.qualities", "t.uniquenesses",
+        "t.baseline", F.col("t.S").alias("tone"), F.col("x.image.channels.color_hist.S").alias("color_hist"), "x.filename_contribution", "x.raw_score", "x.image.fired",
+    )
+
+
+@query(_search_sql("image >= 0.6e0 OR code_hit OR title_hit"))
 def search_floor(spark, d):
-    return match.search(_candidates(spark, d), floor=0.15).select("scene_id", "job_id", "result_index", F.round("score", 4).alias("score"), "rank")
+    return match.search(_candidates(spark, d), floor=0.6).select("scene_id", "job_id", "result_index", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"""WITH {_COMP}, {_KEYED}, cand AS (SELECT cs.*, {_HITS} FROM cs JOIN parts a ON a.k = scene_id % 97 JOIN parts b ON b.k = (job * 31 + record) % 97),
@@ -272,11 +330,12 @@ t AS (SELECT scene_id, job, record, round(image, 9) AS image, CASE WHEN code_hit
 r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY tier, CASE WHEN tier = 3 THEN -image ELSE 0 END, job, record) AS k FROM t WHERE tier IS NOT NULL)
 SELECT scene_id, job AS job_id, record AS result_index, CAST(tier AS INTEGER) AS tier FROM r WHERE k = 1""")
 def scrape_cascade(spark, d):
-    img = images(spark, d)
+    kept = _stored(spark, d)
+    img = kept[0]
     c = _scene_records(spark, d, img).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "code_hit", "title_hit")
     settled = c.where("code_hit OR title_hit").select("scene_id").distinct()
     rest = scenes(img).join(settled, "scene_id", "left_anti")  # only their images are compared
-    return match.scrape(c, _composite(img, rest).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), F.round("image", 9).alias("image")), threshold=0.3)
+    return match.scrape(c, _composite(kept, rest).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), F.round("image", 9).alias("image")), threshold=0.3)
 
 
 @query("""SELECT source, list_sort(list(DISTINCT lang)) AS fields, count(DISTINCT lang) FILTER (lang IN ('en', 'de', 'fr')) = 3 AS complete FROM documents GROUP BY source""")
@@ -349,13 +408,15 @@ def filename_bonus(spark, d):
     return _names(spark, d).select("p_partkey", tx.name_fields(F.col("a")).alias("fa"), tx.name_fields(F.col("b")).alias("fb")).select("p_partkey", _r(tx.structured_bonus(F.col("fa"), F.col("fb")), "bonus"))
 
 
-@query()
+@query(f"""WITH parts AS (SELECT p_partkey - 1 AS k, p_name FROM part), nm AS (SELECT a.k, b.k AS k2, {_NAME_A.format(p='a')} AS a, {_NAME_B.format(p='b')} AS b, a.p_name AS ta, b.p_name AS tb, {_BONUS} AS bonus FROM parts a JOIN parts b ON b.k = a.k + a.k % 3), {sql_fuzzy('nm')}
+SELECT k + 1 AS p_partkey, k2 + 1 AS other, round(naive, 6) AS naive, round(title, 6) AS title, round(bonus, 6) AS bonus, round(least(1e0, greatest(naive, title) + bonus), 6) AS score FROM nm JOIN fz USING (a, b, ta, tb)""")
 def filename_score(spark, d):
-    from kindred.functions.fuzzy import filename_score as score
-    from kindred.sources.package import ship
-
-    ship(spark)
-    return _names(spark, d).select("p_partkey", _r(score(F.col("a"), F.col("b")), "score"))
+    """Every part's file name against that of itself or one of the next two parts."""
+    n = _names(spark, d)
+    k = F.col("p_partkey")
+    pairs = n.select("p_partkey", "a", (k + (k - 1) % 3).alias("other")).join(n.select(k.alias("other"), "b"), "other")
+    got = filename_scores(pairs, F.col("a"), F.col("b"))
+    return got.select("p_partkey", "other", *[_r(F.col(f"filename_{c}"), c) for c in ("naive", "title", "bonus", "score")])
 
 
 @query("""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate + INTERVAL (o_orderkey % 40) DAY, '%Y-%m-%d') AS b, o_orderkey % 3 AS p FROM orders),
@@ -450,6 +511,14 @@ def job_lookup(spark, d):
     return got.select("request_id", "job_id", F.col("found.c_name").alias("name"), F.col("found.c_nationkey").alias("nation"))
 
 
+@query("""SELECT event_id, CASE user_id % 6 WHEN 0 THEN 0.8e0 * coalesce(CASE WHEN event_id % 7 <> 0 THEN (event_id % 5) / CAST(event_id % 7 AS DOUBLE) END, 0) WHEN 1 THEN 0.82e0 WHEN 2 THEN 0.85e0 WHEN 3 THEN 0.92e0 WHEN 4 THEN 0.97e0 END AS progress FROM events""")
+def job_progress(spark, d):
+    """Progress by the step that a job is in and its share of images."""
+    i = F.col("event_id")
+    step = F.element_at(F.array(*[F.lit(x) for x in (*lifecycle.STEPS, "none")]), (F.col("user_id") % 6).cast("int") + 1)
+    return read(spark, d, "events").select("event_id", lifecycle.progress(step, i % 5, i % 7).alias("progress"))
+
+
 @query(f"""WITH {_STATE}, g AS (SELECT job_id % 10 AS grp, min(progress) FILTER (progress > 0) AS p FROM st WHERE state <> 'ready' GROUP BY ALL)
 SELECT grp, CAST(coalesce(greatest(2e0, least(60e0, round(10e0 * (1e0 - p) / p))), 10) AS BIGINT) AS retry_after FROM g""")
 def retry_after(spark, d):
@@ -679,8 +748,8 @@ def top_similarities(spark, d):
 
 @query(f"WITH {_COMP} SELECT scene_id, job AS job_id, record AS result_index, image FROM (SELECT scene_id, job, record, round(image, 6) AS image, row_number() OVER (PARTITION BY scene_id ORDER BY round(image, 6) DESC, job, record) AS k FROM cs) WHERE k = 1")
 def best_raw(spark, d):
-    img = images(spark, d)
-    return match.best_raw(_composite(img, scenes(img)).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), _r(F.col("image"), "image")))
+    kept = _stored(spark, d)
+    return match.best_raw(_composite(kept, scenes(kept[0])).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), _r(F.col("image"), "image")))
 
 
 # --- features computed once -------------------------------------------------------
