@@ -12,9 +12,10 @@ PER_JOB = ["extractor_image", "extractor_aggregate"]
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The latest row of each key, by ``order`` descending."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return old.unionByName(new).withColumn("_r", rank).where("_r = 1").drop("_r")
+    """The latest row of each key, by ``order`` descending; at equal order a new row replaces an old one, and of rows on one side the one with the larger hash stays."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], F.desc("_new"), F.desc(F.xxhash64(*old.columns))))
+    return both.withColumn("_r", rank).where("_r = 1").drop("_r", "_new")
 
 
 def replace_jobs(old: DataFrame, new: DataFrame) -> DataFrame:

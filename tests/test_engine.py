@@ -151,6 +151,29 @@ def test_store(spark):
     assert {r["k"]: r["state"] for r in store.cache_state(wanted, have, ["k"]).collect()} == {"a": "hit", "b": "failed", "c": "miss", "d": "miss"}
 
 
+def test_upserts_of_equal_times(spark):
+    f = "source string, ref_id string, channel string, algorithm string, feature_blob binary, computed_at string, last_accessed_at string"
+    row = lambda ref, blob, at: ("stash_cover", ref, "tone", "a", bytearray(blob), at, None)
+    old = spark.createDataFrame([row("a", b"old", "1"), row("b", b"old", "2"), row("c", b"x", "1"), row("c", b"y", "1")], f)
+    new = spark.createDataFrame([row("a", b"new", "1"), row("b", b"new", "1")], f)
+    got = {r["ref_id"]: (bytes(r["feature_blob"]), r["last_accessed_at"]) for r in store.upsert_features(old, new.drop("last_accessed_at")).collect()}
+    assert got["a"] == (b"new", "1") and got["b"] == (b"old", None) and len(got) == 3
+    again = {r["ref_id"]: bytes(r["feature_blob"]) for r in store.upsert_features(old.orderBy(F.desc("feature_blob")).repartition(3), new.drop("last_accessed_at")).collect()}
+    assert again["c"] == got["c"][0]
+
+
+def test_near_tones_are_all_found(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 256, (12, 64))
+    tones = np.clip(centres[rng.integers(0, 12, 150)] + rng.integers(-40, 41, (150, 64)), 0, 255)
+    rows = [(i % 2, i, t.tolist()) for i, t in enumerate(tones)] + [(0, 900, tones[0].tolist()), (0, 901, [255] * 64), (0, 902, [250] * 63), (0, 903, [0] * 64), (0, 0, tones[0].tolist())]
+    for threshold in (0.8, 0.9, 1.0):
+        near = lambda a, b: len(a) == len(b) and 1 - sum(abs(x - y) for x, y in zip(a, b, strict=True)) / len(a) / 255 >= threshold  # noqa: E731, B023
+        want = {(j, r, s) for j, r, t in rows for k, s, u in rows if j == k and r != s and near(t, u)}
+        got = [tuple(r) for r in corpus.tone_pairs(spark.createDataFrame(rows, "job int, ref int, blob array<long>"), threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_lifecycle(spark):
     states = spark.createDataFrame([("a", "ready", 1.0), ("b", "featurizing", 0.0), ("c", "failed", 0.2), ("e", "featurizing", 0.5), ("f", "ready", 1.0)], "job_id string, state string, progress double")
     jobs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "job_id string")
