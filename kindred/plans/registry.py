@@ -134,13 +134,14 @@ def _facts(spark, d) -> DataFrame:
     return read(spark, d, "orders").groupBy((F.col("o_orderkey") % 1500).alias("k")).agg(F.min(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.min(o).alias("lo"), F.max(o).alias("hi"), F.min(F.col("o_orderkey") + o).alias("both"))
 
 
-def _stored(spark, d, *more: DataFrame) -> list[DataFrame]:
-    """What the store holds of the images, written once: the images with their qualities, their uniqueness, their jobs' baselines; and more tables beside."""
+def _stored(spark, d, *more: DataFrame, records: bool = False) -> list[DataFrame]:
+    """What the store holds of the images, written once: the images with their qualities, their uniqueness, their jobs' baselines; the scenes' records if asked for; and more tables beside."""
     img = images(spark, d).withColumns({"phash_quality": sim.entropy_variance_quality(F.col("blob")), "tone_quality": sim.gini_quality(F.col("blob"))})
     img, *more = materialized_together(img, *more)
     plain = img.drop("phash_quality", "tone_quality")
     noise = {"phash_baseline": sim.guarded_similarity(F.col("lanes"), F.col("lanes2"), 64), "tone_baseline": sim.tone_similarity(F.col("blob"), F.col("blob2"))}
-    return [img, *materialized_together(corpus.uniqueness(plain, threshold=0.9).select("job", "ref", "uniqueness"), corpus.baseline(plain, noise)), *more]
+    second = [corpus.uniqueness(plain, threshold=0.9).select("job", "ref", "uniqueness"), corpus.baseline(plain, noise), *([_scene_records(spark, d, img)] if records else [])]
+    return [img, *materialized_together(*second), *more]
 
 
 _CHANNELS = {c: (f"{c}_m", f"{c}_quality", "uniqueness", f"{c}_baseline") for c in ("phash", "tone")}
@@ -261,18 +262,18 @@ def _scene_records(spark, d, img: DataFrame) -> DataFrame:
 
 def _candidates(spark, d, kept: list[DataFrame] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """The pairs with image, date (of orders), performer (from customers) and filename (of parts' file names) scores."""
-    kept = kept or _stored(spark, d, _facts(spark, d))
-    img, facts = kept[0], kept[3]
-    c = _scene_records(spark, d, img).join(_composite(kept, scenes(img)).select(*KEYS, "image", *more), KEYS)
+    kept = kept or _stored(spark, d, _facts(spark, d), records=True)
+    img, records, facts = kept[0], kept[3], kept[4]
+    c = records.join(_composite(kept, scenes(img)).select(*KEYS, "image", *more), KEYS)
     c = c.join(facts.select(F.col("k").alias("ks"), F.col("date").alias("sdate")), "ks").join(facts.select(F.col("k").alias("kd"), F.col("date").alias("rdate")), "kd")
     own = facts.select(F.col("k").alias("scene_id"), F.explode(F.array_distinct(F.array(F.col("lo") % 12, F.col("hi") % 12, F.col("both") % 12))).alias("performer_id"))
     named = facts.select(F.col("k").alias("record_id"), F.explode(F.array(F.col("lo") * 7 % 24, F.col("hi") * 5 % 24)).alias("x"))
-    asked = c.select(F.col("ks").alias("scene_id"), F.col("kd").alias("record_id")).distinct()
+    asked = records.select(F.col("ks").alias("scene_id"), F.col("kd").alias("record_id")).distinct()
     names = asked.join(named, "record_id").select("scene_id", "record_id", F.concat(F.lit(" NAME "), F.col("x").cast("string")).alias("name"))
     people = spark.range(12).select(F.col("id").alias("performer_id"), F.concat(F.lit("Name "), F.col("id").cast("string")).alias("name"), F.array(F.concat(F.lit("name "), (F.col("id") + 12).cast("string"))).alias("aliases"))
     cast = match.performer_score(own, names, people).select(F.col("scene_id").alias("ks"), F.col("record_id").alias("kd"), F.col("score").alias("performer"))
     files = _names(spark, d).select((F.col("p_partkey") - 1).alias("k"), "a", "b")
-    both = c.select("kt", "kr").distinct().join(files.select(F.col("k").alias("kt"), "a"), "kt").join(files.select(F.col("k").alias("kr"), "b"), "kr")
+    both = records.select("kt", "kr").distinct().join(files.select(F.col("k").alias("kt"), "a"), "kt").join(files.select(F.col("k").alias("kr"), "b"), "kr")
     c = c.join(cast, ["ks", "kd"]).join(filename_scores(both, F.col("a"), F.col("b")).select("kt", "kr", "filename_score"), ["kt", "kr"])
     return c.select(
         "scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "image", "code_hit", "title_hit",
@@ -304,7 +305,7 @@ FROM top JOIN dt ON (dt.scene_id, dt.job, dt.record) = (top.scene_id, top.job, t
 JOIN ph p ON (p.scene_id, p.job, p.record) = (top.scene_id, top.job, top.record) JOIN ag h ON (h.scene_id, h.job, h.record) = (top.scene_id, top.job, top.record)""")
 def search_debug(spark, d):
     """How the results of the search came by their scores: written as JSON and read back. Only results carry their images."""
-    kept = _stored(spark, d, _facts(spark, d))
+    kept = _stored(spark, d, _facts(spark, d), records=True)
     results = match.search(_candidates(spark, d, kept, ("phash", "color_hist", "tone", "fired")))
     shown = results.select("scene_id", F.col("job_id").alias("job"), F.col("result_index").alias("record"))
     details = scoring.channel_details(_evidence(kept, scenes(kept[0])).join(shown, KEYS, "left_semi"), KEYS, _CHANNELS)
@@ -330,9 +331,9 @@ t AS (SELECT scene_id, job, record, round(image, 9) AS image, CASE WHEN code_hit
 r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY tier, CASE WHEN tier = 3 THEN -image ELSE 0 END, job, record) AS k FROM t WHERE tier IS NOT NULL)
 SELECT scene_id, job AS job_id, record AS result_index, CAST(tier AS INTEGER) AS tier FROM r WHERE k = 1""")
 def scrape_cascade(spark, d):
-    kept = _stored(spark, d)
+    kept = _stored(spark, d, records=True)
     img = kept[0]
-    c = _scene_records(spark, d, img).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "code_hit", "title_hit")
+    c = kept[3].select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), "code_hit", "title_hit")
     settled = c.where("code_hit OR title_hit").select("scene_id").distinct()
     rest = scenes(img).join(settled, "scene_id", "left_anti")  # only their images are compared
     return match.scrape(c, _composite(kept, rest).select("scene_id", F.col("job").alias("job_id"), F.col("record").alias("result_index"), F.round("image", 9).alias("image")), threshold=0.3)
