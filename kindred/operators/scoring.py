@@ -42,7 +42,7 @@ def frame_channels(maxima: DataFrame, keys: list[str], channels: dict[str, tuple
     sums = []
     rows = maxima
     for c, (m, quality, unique, base) in channels.items():
-        w = F.coalesce(F.col(quality), F.lit(1.0)) * F.coalesce(F.col(unique), F.lit(1.0))
+        w = F.when(F.col(m).isNotNull(), F.coalesce(F.col(quality), F.lit(1.0)) * F.coalesce(F.col(unique), F.lit(1.0)))  # what has no value has no weight
         rows = rows.withColumns({f"_{c}_mp": sharpen(F.col(m), F.coalesce(F.col(base), F.lit(BASELINE)), gamma), f"_{c}_w": w})
         mp, w = F.col(f"_{c}_mp"), F.col(f"_{c}_w")
         spread = F.when(mp > EPS, mp)
