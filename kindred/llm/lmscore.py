@@ -213,13 +213,27 @@ def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_wind
         model.load(np.concatenate([np.asarray(x.values) for x in tuned["v"]]))
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fraction: int = 1, shard_windows: int = 40_000, rounds: int = 1, piece: int = 12_000_000) -> DataFrame:
+def mixed(model: np.ndarray, seen: np.ndarray, n: int, v: int, mix: float) -> np.ndarray:
+    """Log-probabilities of words: of the attention model, and of the corpus counts that fall back on it, in shares 1 - mix and mix.
+
+    The counts give each word its count and the ``v`` distinct words' worth of
+    mass that the model spreads over all words, seen or not. Without counts the
+    model stands alone.
+    """
+    if not n:
+        return model
+    with np.errstate(divide="ignore", under="ignore"):
+        counted = np.log(seen + v * np.exp(model)) - np.log(n + v)
+    return np.logaddexp(np.log(mix) + counted, np.log1p(-mix) + model)
+
+
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fraction: int = 1, shard_windows: int = 40_000, rounds: int = 1, piece: int = 12_000_000, mix: float = 0.5) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, held_out); learns from the rows not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words
     counted in the training texts, one added) and score (log10 probability of
-    the text, letters A-Z lowered and spaces joined, under the attention model,
-    the end included). Null texts count as empty and have the end alone; other
+    the text, letters A-Z lowered and spaces joined, the end included: each
+    word's by mixed() from the attention model and the counts). Null texts count as empty and have the end alone; other
     columns are ignored; repeated rows are scored each. All training windows
     train the attention weights, or those of one strip in ``fraction``.
     Without training texts all counts are 0 and the model knows nothing.
@@ -263,13 +277,20 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
             lists = b.column("codes").combine_chunks()
             codes, offsets = np.asarray(lists.values), np.asarray(lists.offsets, dtype=np.int64)
             flat, ends_at = sequences(ids, stops, codes, offsets, end)
-            lp = np.zeros(len(offsets) - 1)
+            each = np.zeros(len(flat))
             per = 1_000  # texts at once
-            for lo in range(0, len(lp), per):
-                hi = min(lo + per, len(lp))
-                x, y, of = cut(flat[ends_at[lo] : ends_at[hi]], ends_at[lo : hi + 1] - ends_at[lo], end, pad)
+            for lo in range(0, len(offsets) - 1, per):
+                hi = min(lo + per, len(offsets) - 1)
+                x, y, _ = cut(flat[ends_at[lo] : ends_at[hi]], ends_at[lo : hi + 1] - ends_at[lo], end, pad)
+                at = ends_at[lo]
                 for k in range(0, len(x), 8192):
-                    lp[lo:hi] += np.bincount(of[k : k + 8192], m.logp(x[k : k + 8192], y[k : k + 8192]).sum(1, dtype=np.float64), hi - lo)
+                    got = m.logp(x[k : k + 8192], y[k : k + 8192])[y[k : k + 8192] != pad]  # in the order of the ids
+                    each[at : at + len(got)] = got
+                    at += len(got)
+            token = np.insert(np.diff(stops)[codes], offsets[1:], 1)  # ids of each word, one for each end
+            word = sums(each, np.concatenate([[0], np.cumsum(token)]))
+            seen = np.insert(c[codes], offsets[1:], ends)
+            lp = sums(mixed(word, seen, n, v, mix), offsets + np.arange(len(offsets)))
             base = sums(np.log10(c + 1)[codes], offsets) + np.log10(ends + 1)
             tokens = np.diff(offsets) + 1
             base -= tokens * np.log10(n + v + 1)

@@ -72,3 +72,17 @@ def test_toxicity_of_one_id_with_many_rows(spark):
 def test_order_of_the_sample_is_fixed():
     t = pa.table({"label": ["b", "a"], "text": ["x", "x"]})
     assert langid.in_order(t)[1] == langid.in_order(t.take([1, 0]))[1] == ["a", "b"]
+
+
+def test_words_mix_counts_and_model():
+    import numpy as np
+
+    from kindred.llm.lmscore import mixed
+
+    model = np.log([0.5, 0.25, 0.2, 1e-320])
+    seen = np.array([6.0, 0.0, 2.0, 0.0])
+    p = np.exp(mixed(model, seen, 8, 2, 0.5))
+    want = 0.5 * (seen + 2 * np.exp(model)) / 10 + 0.5 * np.exp(model)
+    assert np.allclose(p[:3], want[:3]) and np.isfinite(mixed(model, seen, 8, 2, 0.5)).all() and p.sum() < 1
+    assert mixed(np.array([-2000.0]), np.array([0.0]), 8, 2, 0.5)[0] < -1999  # no underflow to nothing
+    assert (mixed(model, seen * 0, 0, 0, 0.5) == model).all()
