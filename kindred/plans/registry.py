@@ -488,6 +488,13 @@ def fleet_counts(spark, d):
     return lifecycle.fleet_counts(_states(spark, d))
 
 
+@query(f"WITH {_STATE} SELECT o_orderkey AS request_id, job_id, st.job_id IS NOT NULL AS found, state, progress, started_at FROM (SELECT o_orderkey, o_custkey AS job_id FROM orders) LEFT JOIN st USING (job_id)")
+def job_status(spark, d):
+    """What each request is told of its job."""
+    asked = read(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("job_id"))
+    return lifecycle.job_status(asked, _states(spark, d)).select("request_id", "job_id", "found", "state", "progress", "started_at")
+
+
 _FOUND = "fo AS (SELECT c_custkey AS job_id, CAST(c_nationkey AS VARCHAR) AS completed_at FROM customer WHERE c_custkey % 5 <> 0), ca AS (SELECT c_custkey AS job_id, CASE WHEN c_custkey % 7 = 0 THEN 'old' ELSE CAST(c_nationkey AS VARCHAR) END AS completed_at FROM customer WHERE c_custkey % 3 <> 0)"
 
 

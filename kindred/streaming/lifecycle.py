@@ -56,6 +56,11 @@ def fleet_counts(states: DataFrame) -> DataFrame:
     )
 
 
+def job_status(requests: DataFrame, states: DataFrame) -> DataFrame:
+    """``requests`` (job_id, ...) with found and the state of each job asked for; null where nothing is known of it."""
+    return requests.join(states.withColumn("found", F.lit(True)), "job_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def retry_after(states: DataFrame, group: str) -> DataFrame:
     """Seconds to wait for each group that is not ready: from its least positive progress p, 10 (1 - p) / p within 2..60; 10 without progress."""
     waiting = states.where("state <> 'ready'").groupBy(group).agg(F.min(F.when(F.col("progress") > 0, F.col("progress"))).alias("p"))
