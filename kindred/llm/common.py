@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -143,7 +145,24 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+_shared: list = []
+
+
 def share(spark: SparkSession, value):
     """Broadcast a model whose size the caller bounds."""
     ship(spark)
-    return spark.sparkContext.broadcast(value)
+    _shared.append(spark.sparkContext.broadcast(value))
+    return _shared[-1]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Give back what finished work holds in the driver; only when nothing that uses a shared model is still wanted.
+
+    Broadcast models go, and a collection on both sides lets Spark's cleaner
+    drop plans, shuffles and generated code, which otherwise wait for one.
+    """
+    while _shared:
+        with contextlib.suppress(Exception):  # it may be gone already
+            _shared.pop().destroy()
+    gc.collect()
+    spark._jvm.System.gc()
