@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import decontaminate, mixing, neardup, secretscan, toxicity
-from kindred.llm.common import release, remainder, table, written, written_so_far
+from kindred.llm.common import release, remainder, table, tidy, written, written_so_far
 
 #: SQL can't express the models and sketches; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -48,11 +48,12 @@ _last: list = []  # inner tables of the stage before
 
 
 def _stage(work):
-    """The stage, which first deletes the inner tables of the stage before: its result is written by now, unless docs still read them."""
+    """The stage, which first deletes the inner tables of the stage before and tidies the driver: that stage's result is written by now, unless docs still read its tables."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         read = " ".join(docs.inputFiles())
         release([t for t in _last if t[1].rpartition("/")[2] not in read])
+        tidy(spark)
         before = written_so_far()
         out = work(spark, docs, sf_dir)
         # what the last stage made stays: run() returns its result unread
