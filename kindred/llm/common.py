@@ -156,13 +156,15 @@ def share(spark: SparkSession, value):
 
 
 def tidy(spark: SparkSession) -> None:
-    """Give back what finished work holds in the driver; only when nothing that uses a shared model is still wanted.
+    """Give back what finished work holds.
 
-    Broadcast models go, and a collection on both sides lets Spark's cleaner
-    drop plans, shuffles and generated code, which otherwise wait for one.
+    Executors drop their copies of shared models (a frame that still needs one
+    fetches it again), and a collection on both sides of the driver lets Spark's
+    cleaner drop plans, shuffles and generated code, which otherwise wait for
+    one.
     """
     while _shared:
-        with contextlib.suppress(Exception):  # it may be gone already
-            _shared.pop().destroy()
+        with contextlib.suppress(Exception):  # its session may have ended
+            _shared.pop().unpersist()
     gc.collect()
     spark._jvm.System.gc()
