@@ -233,8 +233,9 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words
     counted in the training texts, one added) and score (log10 probability of
     the text, letters A-Z lowered and spaces joined, the end included: each
-    word's by mixed() from the attention model and the counts). Null texts count as empty and have the end alone; other
-    columns are ignored; repeated rows are scored each. All training windows
+    word's by mixed() from the attention model and the counts). Null texts count
+    as empty and have the end alone; texts are scored whole, however long, and
+    equal ones alike; other columns are ignored; repeated rows are scored each. All training windows
     train the attention weights, or those of one strip in ``fraction``.
     Without training texts all counts are 0 and the model knows nothing.
     """

@@ -58,7 +58,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     leaves its slots to the others, so every row keeps its one place; in_mix
     tells the rows before the first source runs out, where the shares hold. A
     null source is a source of its own; null and empty texts count as one
-    character; equal rows follow each other. There may be up to ``period`` / 2
+    character; equal rows follow each other. A text longer than a block stays
+    whole, in the block that it begins in, and leaves the blocks that its length
+    covers empty. There may be up to ``period`` / 2
     sources, else the period is lengthened.
     """
     spark = docs.sparkSession

@@ -100,7 +100,9 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, per_cla
 
     Null and empty texts get the score of a text without any expression.
     Without a model every score is the share of toxic labels (0 without
-    labels). Repeated rows are scored each; other columns are ignored.
+    labels). Texts are scored whole, however long, and equal texts alike; a
+    score of exactly 0.5 is predicted toxic. Repeated rows are scored each;
+    other columns are ignored, and an empty table has no rows.
     """
     spark = docs.sparkSession
     model, prior = fit(train, labels, per_class, order)

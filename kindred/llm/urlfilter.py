@@ -41,8 +41,10 @@ def judge(pages: DataFrame, labels: Column, depth: int = 4, alike: float = 1.96,
     """``pages`` (host, path and others) with template, purity and rejected.
 
     ``labels`` is 1 for blocked, 0 for allowed and null for unlabelled rows.
-    Segments beyond ``depth`` count as one tail. Null hosts and paths count as
-    empty ones. Without any label the purity is 0 and nothing is rejected.
+    Segments beyond ``depth`` count as one tail, however long the path. Null
+    hosts and paths count as empty ones, repeated pages count each. A purity of
+    exactly ``reject`` is rejected. Without any label the purity is 0 and
+    nothing is rejected.
     """
     shape = F.regexp_replace(F.regexp_replace("path", "[^/]*[0-9][^/]*?(\\.[a-z]{1,5})?(?=/|$)", "*$1"), "/+", "/")
     keyed = pages.drop("template", "purity", "rejected").withColumns({"_kindred_host": F.coalesce("host", F.lit("")), "_kindred_shape": F.coalesce(shape, F.lit(""))})
