@@ -22,32 +22,20 @@ def median_aggregate(hists: DataFrame, keys: list[str], hist: str) -> DataFrame:
     return line.select(*keys, F.transform("b", lambda x: F.when(F.col("t") > 0, F.round(x["m"] / F.col("t") * 255)).otherwise(0.0).cast("long")).alias(hist))
 
 
-BLOCKS = 8  # parts of a tone whose sums are held against each other first
-
-
 def tone_pairs(images: DataFrame, threshold: float) -> DataFrame:
     """(job, ref, near): pairs of a job's images with tone similarity of threshold or more, both ways.
 
-    The distance of two tones is at least the distance of the sums of their
-    parts. So images meet in buckets of their whole sum, one's own and the
-    next, which brings every pair together once; the sums of BLOCKS parts, a
-    few additions of plain columns, then tell which pairs are worth comparing
-    in full. How many that spares depends on the images: tones that are spread
-    like noise all have like sums.
+    Such pairs differ little in mean tone, so images are bucketed by their
+    mean and meet in the bucket of one and the neighbours of the other. How
+    many pairs that spares depends on the images: tones that are spread like
+    noise all have like means.
     """
-    size = F.size("blob")
-    # the distance is at most 255 * size * (1 - threshold); half a step more, so that rounding loses no pair
-    most = 255.0 * size * (1 - threshold) + 0.5
-    part = lambda i: F.aggregate(F.slice("blob", F.floor(i * size / BLOCKS).cast("int") + 1, (F.floor((i + 1) * size / BLOCKS) - F.floor(i * size / BLOCKS)).cast("int")), F.lit(0.0), lambda a, x: a + x)
-    rows = images.select("job", "ref", "blob").dropDuplicates(["job", "ref"]).withColumns({f"s{i}": part(i) for i in range(BLOCKS)})
-    whole = sum((F.col(f"s{i}") for i in range(1, BLOCKS)), F.col("s0"))
-    rows = rows.withColumn("n", size).withColumn("most", F.greatest(most, F.lit(1e-6))).withColumn("b", F.floor(whole / F.col("most")))
-    left = rows.select("job", "n", "most", F.col("ref").alias("ref"), "blob", F.col("b").alias("own"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"), *[f"s{i}" for i in range(BLOCKS)])
-    right = rows.select("job", "n", "b", F.col("ref").alias("near"), F.col("blob").alias("other"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(BLOCKS)])
-    bound = sum((F.abs(F.col(f"s{i}") - F.col(f"t{i}")) for i in range(1, BLOCKS)), F.abs(F.col("s0") - F.col("t0")))
-    once = (F.col("own") != F.col("b")) | (F.col("ref") < F.col("near"))
-    close = left.join(right, ["job", "n", "b"]).where(once & (bound <= F.col("most"))).where(tone_similarity(F.col("blob"), F.col("other")) >= threshold)
-    return close.select("job", F.explode(F.array(F.struct("ref", "near"), F.struct(F.col("near").alias("ref"), F.col("ref").alias("near")))).alias("p")).select("job", "p.ref", "p.near")
+    width = 255.0 * (1 - threshold) + 1e-6  # a little more, so that rounding loses no pair
+    mean = F.aggregate("blob", F.lit(0.0), lambda a, x: a + x) / F.size("blob")
+    rows = images.select("job", "ref", "blob").dropDuplicates(["job", "ref"]).withColumn("b", F.floor(mean / width))
+    left = rows.withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
+    right = rows.select("job", "b", F.col("ref").alias("near"), F.col("blob").alias("other"))
+    return left.join(right, ["job", "b"]).where((F.col("ref") != F.col("near")) & (tone_similarity(F.col("blob"), F.col("other")) >= threshold)).select("job", "ref", "near")
 
 
 def uniqueness(images: DataFrame, threshold: float = 0.85, alpha: float = 1.0) -> DataFrame:
