@@ -10,6 +10,7 @@ with any library in the last bit isn't claimed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from kindred.sources.package import ship
 
 DARK, BORDER, SIDE, FLAT, SMALLEST = 20, 0.85, 256, 30.0, 10
 PIECE = 64 << 20  # bytes of pixels that are worked on at once
+NORMAL = 4 * 3 * SIDE * SIDE * 8  # bytes that normalizing an image takes, however small it is: colours as doubles, and copies
 
 
 def to_rgb(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -28,7 +30,8 @@ def to_rgb(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:
-    return (rgb.astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000 >> 16).astype(np.uint8)
+    r, g, b = (rgb[..., k].astype(np.int32) for k in range(3))
+    return (r * 19595 + g * 38470 + b * 7471 + 0x8000 >> 16).astype(np.uint8)
 
 
 def letterbox(rgb: np.ndarray) -> tuple[int, int, int, int]:
@@ -40,6 +43,7 @@ def letterbox(rgb: np.ndarray) -> tuple[int, int, int, int]:
     return int(rows[0]), int(rows[-1]) + 1, int(cols[0]), int(cols[-1]) + 1
 
 
+@lru_cache(64)
 def _weights(n: int, m: int) -> np.ndarray:
     """m x n matrix of a three-lobed Lanczos kernel, widened when shrinking."""
     scale = n / m
@@ -53,7 +57,7 @@ def _weights(n: int, m: int) -> np.ndarray:
 def resize(grey_image: np.ndarray, height: int, width: int) -> np.ndarray:
     """(..., h, w) to (..., height, width)."""
     out = _weights(grey_image.shape[-2], height) @ grey_image.astype(np.float64) @ _weights(grey_image.shape[-1], width).T
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(out, out=out), 0, 255, out=out).astype(np.uint8)
 
 
 def normalize(rgb: np.ndarray) -> np.ndarray:
@@ -165,11 +169,16 @@ def stacks(images: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray]]:
     for i, a in enumerate(images):
         by_size.setdefault(a.shape, []).append(i)
     for shape, which in by_size.items():
-        step = max(1, PIECE // max(1, int(np.prod(shape)) * 8))
+        step = max(1, PIECE // max(NORMAL, int(np.prod(shape)) * 8))
         for lo in range(0, len(which), step):
             yield which[lo : lo + step], np.stack([images[i] for i in which[lo : lo + step]])
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions: small pictures are long work, so their bytes must not decide how many tasks there are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 FEATURES = "lanes array<long>, hash_quality double, histogram array<long>, tone array<long>, tone_quality double"
 _TYPES = [pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
 
@@ -200,7 +209,7 @@ def image_features(images: DataFrame, algorithm: str = "phash", size: int = 16,
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], *_columns(found)], [*keys, "lanes", "hash_quality", "histogram", "tone", "tone_quality"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if f.name in keys], FEATURES])
-    return images.select(*keys, "height", "width", "channels", "pixels").mapInArrow(run, schema)
+    return spread(images.select(*keys, "height", "width", "channels", "pixels"), *keys).mapInArrow(run, schema)
 
 
 def sampled(n: int, size: int) -> list[int]:
@@ -222,32 +231,44 @@ def sprite_features(sheets: DataFrame, cues: DataFrame, sample: int = 8, algorit
 
     sheets (ref, height, width, channels, pixels) meet their cues, as of
     vtt_cues(), once: a sheet's cues travel as an array, and its tiles are cut
-    and hashed in one Arrow batch, so no sheet is copied for each tile. Sheets
+    and hashed together, with those of other sheets while they are few, so no
+    sheet is copied for each tile. Sheets
     without pixels, without cues and boxes without area give no row.
     """
     ship(sheets.sparkSession)
     box = F.struct("position", "start", "left", "top", F.col("width").alias("box_width"), F.col("height").alias("box_height"))
     by_ref = cues.groupBy("ref").agg(F.array_sort(F.collect_list(box)).alias("cues"))  # a sheet's tiles: some hundred at most
 
+    def hashed(refs: list, kind: pa.DataType, boxes: list[dict], tiles: list[np.ndarray]) -> pa.RecordBatch:
+        found: list[tuple | None] = [None] * len(tiles)
+        for which, stack in stacks(tiles):
+            for i, f in zip(which, features_of(stack, algorithm, size, refuse_flat=False), strict=True):
+                found[i] = f
+        return pa.RecordBatch.from_arrays(
+            [pa.array(refs, kind), pa.array([x["position"] for x in boxes], pa.int32()), pa.array([x["start"] for x in boxes], pa.float64()), *_columns(found)],
+            ["ref", "position", "start", "lanes", "hash_quality", "histogram", "tone", "tone_quality"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            kind = b.column(0).type
+            refs, seen, tiles, held = [], [], [], 0
             for r in range(b.num_rows):
-                ref, h, w, n, pixels, boxes = (b.column(k)[r] for k in range(6))
-                h, w, n, pixels, boxes = h.as_py(), w.as_py(), n.as_py(), pixels.as_py(), boxes.as_py()
+                ref, h, w, n, pixels, boxes = (b.column(k)[r].as_py() for k in range(6))
                 if pixels is None or not h or h < 0 or n not in (1, 3, 4) or len(pixels) != h * w * n:
                     continue
                 sheet = to_rgb(pixels, h, w, n)
                 some = [boxes[i] for i in sampled(len(boxes), sample)]
                 some = [x for x in some if x["box_width"] > 0 and x["box_height"] > 0]
-                tiles = [crop(sheet, x["left"], x["top"], x["box_width"], x["box_height"]) for x in some]
-                found: list[tuple | None] = [None] * len(tiles)
-                for which, stack in stacks(tiles):
-                    for i, f in zip(which, features_of(stack, algorithm, size, refuse_flat=False), strict=True):
-                        found[i] = f
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ref.as_py()] * len(tiles), ref.type), pa.array([x["position"] for x in some], pa.int32()), pa.array([x["start"] for x in some], pa.float64()), *_columns(found)],
-                    ["ref", "position", "start", "lanes", "hash_quality", "histogram", "tone", "tone_quality"],
-                )
+                refs += [ref] * len(some)
+                seen += some
+                tiles += [crop(sheet, x["left"], x["top"], x["box_width"], x["box_height"]) for x in some]
+                held += sum(t.nbytes for t in tiles[len(tiles) - len(some) :])
+                if held >= PIECE // 8 or len(tiles) >= 1000:
+                    yield hashed(refs, kind, seen, tiles)
+                    refs, seen, tiles, held = [], [], [], 0
+            if tiles:
+                yield hashed(refs, kind, seen, tiles)
 
     both = sheets.select("ref", "height", "width", "channels", "pixels").join(by_ref, "ref")
-    return both.mapInArrow(run, f"ref {sheets.schema['ref'].dataType.simpleString()}, position int, start double, {FEATURES}")
+    return spread(both, "ref").mapInArrow(run, f"ref {sheets.schema['ref'].dataType.simpleString()}, position int, start double, {FEATURES}")

@@ -192,3 +192,9 @@ def test_hashes_of_known_images():
     red, grey_ = np.zeros((4, 4, 3), np.uint8), np.full((4, 4, 3), 130, np.uint8)
     red[:, :, 0] = 255
     assert images.colour_histogram(red) == [0] * 15 + [255] + [0] * 48 and images.colour_histogram(grey_)[2] == 255
+
+
+def test_small_images_are_worked_on_a_few_at_a_time():
+    """What an image takes is its normalized size, however few its pixels are."""
+    few = [len(which) for which, _ in images.stacks([np.zeros((8, 8, 3), np.uint8)] * 500)]
+    assert sum(few) == 500 and max(few) * images.SIDE * images.SIDE * 3 * 8 <= images.PIECE
