@@ -166,5 +166,10 @@ def tidy(spark: SparkSession) -> None:
     while _shared:
         with contextlib.suppress(Exception):  # its session may have ended
             _shared.pop().unpersist()
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """A collection on both sides of the driver: until one, shuffle files of finished work stay on disk."""
     gc.collect()
     spark._jvm.System.gc()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .attention import STEP, Attention, cut
-from .common import pieces, remainder, share, split_words, sums, table, written
+from .common import pieces, release, remainder, share, split_words, sums, sweep, table, written, written_so_far
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the vocabulary's tokenizer splits text before merging: fixed by it.
@@ -184,9 +184,13 @@ def _round(shared, r: int, blocks: int):
 
 
 def deal(strips: DataFrame, shards: int) -> DataFrame:
-    """(blob, shard, weight): equal strips are one row with their count, dealt over several shards where they are many."""
-    same = strips.groupBy("blob").agg(F.count("*").alias("c")).withColumn("k", F.least("c", F.lit(shards)))
-    return same.select("blob", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias("i"), (F.col("c") / F.col("k")).alias("weight")).select("blob", F.pmod(F.pmod(F.xxhash64("blob"), F.lit(shards)) + F.col("i"), F.lit(shards)).cast("int").alias("shard"), "weight")
+    """(shard, blob, weight): strips dealt to shards, equal ones in turn; those of a shard are one row with their count.
+
+    One shuffle, by the shard alone: strips are most of what training moves.
+    """
+    turn = F.pmod(F.xxhash64("blob"), F.lit(shards)) + F.pmod(F.monotonically_increasing_id(), F.lit(shards))
+    dealt = strips.select("blob", F.pmod(turn, F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard")
+    return dealt.groupBy("shard", "blob").agg(F.count("*").cast("double").alias("weight"))
 
 
 def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_windows: int, rounds: int) -> None:
@@ -195,8 +199,9 @@ def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_wind
     if not count:
         return
     shards = max(1, round(count / shard_windows))
-    dealt = deal(windows.select("blob"), shards).repartition(shards, "shard")
-    dealt = written(dealt.groupBy("shard").applyInArrow(_pack, "rows binary"))
+    before = written_so_far()
+    dealt = written(deal(windows.select("blob"), shards).groupBy("shard").applyInArrow(_pack, "rows binary"))
+    sweep(spark)
     blocks = 16
     for r in range(rounds):
         shared = share(spark, model)
@@ -211,6 +216,7 @@ def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_wind
             tuned = written(salted(tuned, 64 * blocks).groupBy("block", "salt").applyInArrow(mean, _TUNED))
         tuned = tuned.groupBy("block").applyInArrow(mean, _TUNED).toArrow().sort_by("block")  # as large as the model
         model.load(np.concatenate([np.asarray(x.values) for x in tuned["v"]]))
+    release([t for t in written_so_far() if t not in before])
 
 
 def mixed(model: np.ndarray, seen: np.ndarray, n: int, v: int, mix: float) -> np.ndarray:
@@ -259,6 +265,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
     for raw in written(blobs).toLocalIterator():  # at most (size + 1) squared counts, from each 64 tasks' blobs
         both = np.frombuffer(pa.decompress(raw["blob"], raw["n"], "zstd", asbytes=True), np.int64)
         pairs[both[: len(both) // 2]] += both[len(both) // 2 :]
+    sweep(spark)
     model = Attention(size + 1, pairs.reshape(size + 1, size + 1), classes=round(size**0.5))
     _train(spark, of("s"), model, shard_windows, rounds)
     trained = share(spark, model)

@@ -212,3 +212,16 @@ def spark_free_prose():
 
     rng = random.Random(7)
     return pa.array([" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)) for _ in range(20)])
+
+
+def test_strips_are_shuffled_once(spark):
+    """op1: strips went through a shuffle to be counted and another to their shards, and both stayed on disk."""
+    from kindred.llm import lmscore
+
+    df = spark.createDataFrame([(b"same",)] * 100 + [(f"{i}".encode(),) for i in range(200)], "blob binary")
+    packed = lmscore.deal(df, 10).groupBy("shard").applyInArrow(lmscore._pack, "rows binary")
+    assert packed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+    rows = lmscore.deal(df, 10).collect()
+    assert len({(r["shard"], r["blob"]) for r in rows}) == len(rows) < 300 and sum(r["weight"] for r in rows) == 300
+    hot = [r["weight"] for r in rows if r["blob"] == b"same"]
+    assert len(hot) == 10 and 8 <= min(hot) and max(hot) <= 12
