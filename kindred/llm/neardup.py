@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, split_words, table, written
+from .common import pieces, ship, split_words, sweep, table, written
 from .graph import components
 
 BANDS, ROWS = 32, 4
@@ -222,6 +222,7 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
     texts = keyed.join(cls.join(crowded, "cid", "left_semi").select(F.col("k.k0").alias("k0"), F.col("k.k1").alias("k1"), "cid"), ["k0", "k1"])
     sets = written(texts.select("cid", "text").mapInArrow(_sets, "cid binary, hs array<long>").dropDuplicates(["cid"]))
     links = written(spark.createDataFrame([], "a binary, b binary"))
+    roots = None
     placed = crowd.withColumn("root", F.col("cid"))
 
     def mixed(roots: DataFrame) -> DataFrame:
@@ -230,15 +231,22 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
         some = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
         return written(now.join(written(some), "bucket"))
 
+    def grown(roots: DataFrame | None, more: DataFrame) -> DataFrame:
+        """Components with more links: earlier ones go in as stars, not link by link."""
+        return written(components(more if roots is None else more.union(roots.where("node <> root"))))
+
     for r in range(rounds):
         # one leader for a bucket's largest component and then for the rest: mostly the same one in all buckets of a group
         led = placed if r == 0 else placed.join(_largest(placed), "bucket").where("root <> big")
         leaders = written(led.groupBy("bucket").agg(F.max_by(F.struct("cid", "root"), F.struct("company", "cid")).alias("l")))
         pairs = placed.join(leaders, "bucket").where("root <> l.root").select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b")).distinct()
-        links = written(links.union(_confirm(tested(pairs), sets)))
-        placed = mixed(written(components(links)))
-    links = written(links.union(_confirm(tested(across(placed, facts, sets)), sets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = written(components(links))
+        more = _confirm(tested(pairs), sets)
+        links, roots = links.union(more), grown(roots, more)
+        placed = mixed(roots)
+        sweep(spark)  # plans and shuffles of a round are done with
+    more = _confirm(tested(across(placed, facts, sets)), sets)
+    roots = grown(roots, more)
+    links = written(links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     by_root = cls.select("cid", "low").join(roots.withColumnRenamed("node", "cid"), "cid").join(degree.withColumnRenamed("a", "cid"), "cid")
     lowest = written(by_root.groupBy("root").agg(F.min("low").alias("lowest")))

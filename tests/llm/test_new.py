@@ -225,3 +225,23 @@ def test_strips_are_shuffled_once(spark):
     assert len({(r["shard"], r["blob"]) for r in rows}) == len(rows) < 300 and sum(r["weight"] for r in rows) == 300
     hot = [r["weight"] for r in rows if r["blob"] == b"same"]
     assert len(hot) == 10 and 8 <= min(hot) and max(hot) <= 12
+
+
+def test_stars_cost_components_one_minimum(spark):
+    """pipeline: every step of components() was a few more jobs, exchanges and threads in the driver, two whole rounds of them for edges that were stars."""
+    from kindred.llm import common
+    from kindred.llm.graph import components
+
+    before = len(common.written_so_far())
+    stars = components(spark.createDataFrame([(i, i % 5) for i in range(5, 60)] + [(3, 8), (2, 2)], "a long, b long"))
+    assert dict(map(tuple, stars.collect())) == {i: i % 5 for i in range(60)} and stars.count() == 60
+    assert len(common.written_so_far()) - before == 2  # the edges and the minima
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    low = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(found) == len(low) and dict(map(tuple, found)) == low
