@@ -3,7 +3,7 @@
 One pass over the texts codes each piece of them (some megabytes) as numbers of
 its own distinct words, with the words' subword ids and training counts. The
 counts of words and of id pairs cover all training texts, and so does the
-training of the attention model: texts are cut into strips of windows, equal
+training of the attention model: pieces are cut into strips of windows, equal
 strips are counted once and weighted, and shards of them are trained apart from
 the same start and averaged, round by round. A second pass joins each piece
 with the corpus counts of its words and scores it.
@@ -98,7 +98,7 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c].cast(t) if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
 
 
-def _prepare(shared, fraction: int, piece: int):
+def _prepare(shared, piece: int):
     def run(batches):
         import uuid
 
@@ -125,10 +125,8 @@ def _prepare(shared, fraction: int, piece: int):
             before[stops[:-1]] = end
             key, count = np.unique((before * (size + 1) + flat)[mine], return_counts=True)
             total = _merge(*total, key, count)
-            for i in np.flatnonzero(train):
-                some = [r for r in strips(flat[stops[i] : stops[i + 1]], end) if zlib.crc32(r) % fraction == 0]
-                if some:
-                    yield _rows(kind=["s"] * len(some), n=[-(-((len(r) - 1) // 2 - 1 - STEP * r[0]) // STEP) for r in some], blob=some)
+            size_of = np.diff(stops)[train]
+            yield _rows(kind=["s"], n=[int((-(-size_of // STEP)).sum())])
         key, count = total
         block = key // (size + 1) // PAIR_BLOCK
         for k in np.unique(block):
@@ -139,6 +137,34 @@ def _prepare(shared, fraction: int, piece: int):
     return run
 
 
+def _opened(blob: bytes):
+    """A piece of _prepare(): its batch, the ids of its words and their offsets."""
+    b = pa.ipc.open_stream(blob).read_all().combine_chunks()
+    ids = np.frombuffer(b.schema.metadata[b"ids"], np.uint16).astype(np.int32)
+    return b, ids, np.frombuffer(b.schema.metadata[b"ends"], np.int32).astype(np.int64)
+
+
+def _strips(end: int, fraction: int):
+    """The strips of the training texts of all pieces, cut when they are dealt: written beside the pieces they would be most of what is on disk."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                b, ids, ends = _opened(blob.as_py())
+                lists = b.column("codes").combine_chunks()
+                flat, stops = sequences(ids, ends, np.asarray(lists.values), np.asarray(lists.offsets, dtype=np.int64), end)
+                some = []
+                for i in np.flatnonzero(~np.asarray(b.column("held_out"))):
+                    some += [r for r in strips(flat[stops[i] : stops[i + 1]], end) if zlib.crc32(r) % fraction == 0]
+                    if len(some) >= 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["blob"])
+                        some = []
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["blob"])
+
+    return run
+
+
 def _add_pairs(key, rows):
     """The counts of some blobs of one block of first ids, as one blob."""
     total = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -193,14 +219,13 @@ def deal(strips: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard", "blob").agg(F.count("*").cast("double").alias("weight"))
 
 
-def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_windows: int, rounds: int) -> None:
-    """Federated averaging: in each round every shard trains from the common start; parameters are averaged block by block."""
-    count = windows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+def _train(spark: SparkSession, windows: DataFrame, count: float, model: Attention, shard_windows: int, rounds: int) -> None:
+    """Federated averaging: in each round every shard trains from the common start; parameters are averaged block by block. ``count``: about how many windows there are."""
     if not count:
         return
     shards = max(1, round(count / shard_windows))
     before = written_so_far()
-    dealt = written(deal(windows.select("blob"), shards).groupBy("shard").applyInArrow(_pack, "rows binary"))
+    dealt = written(deal(windows, shards).groupBy("shard").applyInArrow(_pack, "rows binary"))
     sweep(spark)
     blocks = 16
     for r in range(rounds):
@@ -215,8 +240,11 @@ def _train(spark: SparkSession, windows: DataFrame, model: Attention, shard_wind
         while tuned.count() > 64 * blocks:  # averages of averages, 64 shards at a time
             tuned = written(salted(tuned, 64 * blocks).groupBy("block", "salt").applyInArrow(mean, _TUNED))
         tuned = tuned.groupBy("block").applyInArrow(mean, _TUNED).toArrow().sort_by("block")  # as large as the model
+        if not tuned.num_rows:  # no strip in ``fraction``
+            break
         model.load(np.concatenate([np.asarray(x.values) for x in tuned["v"]]))
     release([t for t in written_so_far() if t not in before])
+    sweep(spark)
 
 
 def mixed(model: np.ndarray, seen: np.ndarray, n: int, v: int, mix: float) -> np.ndarray:
@@ -250,12 +278,16 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
         lines = [x for x in file.read().splitlines() if int(x.split()[1]) < size]
     shared = share(spark, (lines, size))
     rows = docs.select("doc_id", "held_out", "text", (~F.col("held_out")).alias("train"))
-    table_ = written(rows.mapInArrow(_prepare(shared, fraction, piece), _PREPARED), by=["kind"])
+    table_ = written(rows.mapInArrow(_prepare(shared, piece), _PREPARED), by=["kind"])
+    at = written_so_far()[-1][1]
     of = lambda k: table_.where(F.col("kind") == k)
+    done = lambda k: release([(spark, f"{at}/kind={k}")])
     # one shuffle by word gives every piece the corpus counts of its words
     same = Window.partitionBy("word")
     known = of("w").select("part", "code", "word", "n").withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("part")) == 1})
     known = written(known.where("c > 0").select(F.col("part").alias("piece"), "code", "c", "first"))
+    done("w")
+    sweep(spark)
     whole = known.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = of("d").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     n, v = whole["n"] + ends, whole["v"] + (ends > 0)
@@ -265,9 +297,11 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
     for raw in written(blobs).toLocalIterator():  # at most (size + 1) squared counts, from each 64 tasks' blobs
         both = np.frombuffer(pa.decompress(raw["blob"], raw["n"], "zstd", asbytes=True), np.int64)
         pairs[both[: len(both) // 2]] += both[len(both) // 2 :]
+    done("p")
     sweep(spark)
     model = Attention(size + 1, pairs.reshape(size + 1, size + 1), classes=round(size**0.5))
-    _train(spark, of("s"), model, shard_windows, rounds)
+    count = of("s").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / fraction
+    _train(spark, of("d").select("blob").mapInArrow(_strips(size, fraction), "blob binary"), count, model, shard_windows, rounds)
     trained = share(spark, model)
     known = known.select("piece", "code", "c")
 
@@ -277,9 +311,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
         code, count = np.asarray(words.column("code")), np.asarray(words.column("c"), dtype=np.float64)
         out = []
         for blob in docs.column("blob").to_pylist():
-            b = pa.ipc.open_stream(blob).read_all().combine_chunks()
-            ids = np.frombuffer(b.schema.metadata[b"ids"], np.uint16).astype(np.int32)
-            stops = np.frombuffer(b.schema.metadata[b"ends"], np.int32).astype(np.int64)
+            b, ids, stops = _opened(blob)
             c = np.zeros(len(stops) - 1)
             c[code] = count
             lists = b.column("codes").combine_chunks()

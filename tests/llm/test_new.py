@@ -245,3 +245,25 @@ def test_stars_cost_components_one_minimum(spark):
                 low[a] = low[b] = min(low[a], low[b])
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(found) == len(low) and dict(map(tuple, found)) == low
+
+
+def test_strips_are_cut_from_the_pieces_when_dealt():
+    """op1: the strips of all training texts lay on disk beside the pieces that hold the same texts, until the end."""
+    import numpy as np
+    import pyarrow as pa
+
+    from kindred.llm import attention, lmscore
+
+    with open(lmscore.VOCABULARY, "rb") as file:
+        lines = [x for x in file.read().splitlines() if int(x.split()[1]) < 512]
+    shared = type("Shared", (), {"value": (lines, 512)})
+    texts = [" ".join(f"word{i % 97}" for i in range(900)), "held out", None, "A short text"]
+    batch = pa.record_batch({"doc_id": [1, 2, 3, 4], "held_out": [False, True, False, False], "text": texts, "train": [True, False, True, True]})
+    prepared = [r for b in lmscore._prepare(shared, 12_000_000)([batch]) for r in b.to_pylist()]
+    assert not any(r["blob"] for r in prepared if r["kind"] == "s")
+    pieces = pa.record_batch({"blob": [r["blob"] for r in prepared if r["kind"] == "d"]})
+    got = [x for b in lmscore._strips(512, 1)([pieces]) for x in b.column("blob").to_pylist()]
+    subwords = lmscore.Subwords(lines, 512)
+    ids = [np.r_[subwords.encode((t or "").lower().split())[0], 512].astype(np.int32) for t in (texts[0], texts[2], texts[3])]
+    assert got == [x for i in ids for x in lmscore.strips(i, 512)]
+    assert sum(r["n"] for r in prepared if r["kind"] == "s") == sum(-(-len(i) // attention.STEP) for i in ids)
