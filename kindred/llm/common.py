@@ -173,3 +173,22 @@ def sweep(spark: SparkSession) -> None:
     """A collection on both sides of the driver: until one, shuffle files of finished work stay on disk."""
     gc.collect()
     spark._jvm.System.gc()
+    with contextlib.suppress(Exception):
+        trim(spark)
+
+
+def trim(spark: SparkSession) -> str:
+    """Have the driver's JVM return native memory that it has freed, by the management command of Java 17.0.9 and later on Linux; fails where there is none.
+
+    What compiling the code of many plans takes is freed piecemeal and stays
+    with the process, more after each stage.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    kinds = new(jvm.java.lang.Class, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(kind)
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+    args = new(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    args[2], args[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+    return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)

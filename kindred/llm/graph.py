@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sweep, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,5 +25,6 @@ def components(edges: DataFrame) -> DataFrame:
         if not least.where("open").take(1):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(least.where("m = u").select("u", "u"))
         e = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        sweep(e.sparkSession)  # plans of finished steps stay in the driver's heap until a collection
         least = written(e.groupBy("u").agg(F.min("v").alias("m")))
         e = written(e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())

@@ -178,6 +178,7 @@ def across(placed: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
     listed = members.join(shared, "cid").select("cid", "root", "n", F.posexplode("by").alias("at", "x"), (F.col("n") - F.size("by")).alias("own"))
     listed = listed.select("cid", "root", "n", F.col("x.h").alias("h"), (F.col("at") + F.col("own")).alias("place"))
     listed = written(listed.where(F.col("place") < _prefix(F.col("n"), F.ceil(F.col("n") * 3 / 4))))
+    sweep(placed.sparkSession)
     least, most = F.ceil(F.col("n") * 3 / 4), F.floor(F.col("n") * 4 / 3)
     sizes = placed.join(facts.select("cid", F.col("n").alias("size")), "cid").select("bucket", "size").distinct()
     wanted = outside.join(facts.select("cid", "n"), "cid").join(sizes, "bucket").where(F.col("size").between(least, most)).select("cid", "size").distinct()
@@ -221,6 +222,7 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
 
     texts = keyed.join(cls.join(crowded, "cid", "left_semi").select(F.col("k.k0").alias("k0"), F.col("k.k1").alias("k1"), "cid"), ["k0", "k1"])
     sets = written(texts.select("cid", "text").mapInArrow(_sets, "cid binary, hs array<long>").dropDuplicates(["cid"]))
+    sweep(spark)
     links = written(spark.createDataFrame([], "a binary, b binary"))
     roots = None
     placed = crowd.withColumn("root", F.col("cid"))
@@ -232,21 +234,29 @@ def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
         return written(now.join(written(some), "bucket"))
 
     def grown(roots: DataFrame | None, more: DataFrame) -> DataFrame:
-        """Components with more links: earlier ones go in as stars, not link by link."""
+        """Components with more links: earlier ones go in as stars, not link by link; without links they stay."""
+        if roots is not None and not more.take(1):
+            return roots
         return written(components(more if roots is None else more.union(roots.where("node <> root"))))
 
-    for r in range(rounds):
-        # one leader for a bucket's largest component and then for the rest: mostly the same one in all buckets of a group
-        led = placed if r == 0 else placed.join(_largest(placed), "bucket").where("root <> big")
-        leaders = written(led.groupBy("bucket").agg(F.max_by(F.struct("cid", "root"), F.struct("company", "cid")).alias("l")))
-        pairs = placed.join(leaders, "bucket").where("root <> l.root").select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b")).distinct()
-        more = _confirm(tested(pairs), sets)
+    for r in range(rounds + 1):
+        if r and not placed.take(1):  # no bucket holds several components: no more pairs
+            break
+        if r < rounds:
+            # one leader for a bucket's largest component and then for the rest: mostly the same one in all buckets of a group
+            led = placed if r == 0 else placed.join(_largest(placed), "bucket").where("root <> big")
+            leaders = written(led.groupBy("bucket").agg(F.max_by(F.struct("cid", "root"), F.struct("company", "cid")).alias("l")))
+            pairs = placed.join(leaders, "bucket").where("root <> l.root").select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b")).distinct()
+        else:
+            pairs = across(placed, facts, sets)
+        candidates = tested(pairs)
+        sweep(spark)  # plans and shuffles so far are done with
+        more = _confirm(candidates, sets)
         links, roots = links.union(more), grown(roots, more)
-        placed = mixed(roots)
-        sweep(spark)  # plans and shuffles of a round are done with
-    more = _confirm(tested(across(placed, facts, sets)), sets)
-    roots = grown(roots, more)
-    links = written(links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        sweep(spark)
+        if r < rounds:
+            placed = mixed(roots)
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
     by_root = cls.select("cid", "low").join(roots.withColumnRenamed("node", "cid"), "cid").join(degree.withColumnRenamed("a", "cid"), "cid")
     lowest = written(by_root.groupBy("root").agg(F.min("low").alias("lowest")))

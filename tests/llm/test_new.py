@@ -267,3 +267,28 @@ def test_strips_are_cut_from_the_pieces_when_dealt():
     ids = [np.r_[subwords.encode((t or "").lower().split())[0], 512].astype(np.int32) for t in (texts[0], texts[2], texts[3])]
     assert got == [x for i in ids for x in lmscore.strips(i, 512)]
     assert sum(r["n"] for r in prepared if r["kind"] == "s") == sum(-(-len(i) // attention.STEP) for i in ids)
+
+
+def test_settled_groups_need_no_pairs_across(spark, monkeypatch):
+    """pipeline: near_duplicates went through all its rounds, some 20 jobs, where no bucket held several components any more."""
+    from kindred.llm import neardup
+
+    def never(*_):
+        raise AssertionError("no bucket holds several components")
+
+    monkeypatch.setattr(neardup, "across", never)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words, "x"])), (4, "another text of its own words"), (5, None)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_driver_returns_freed_native_memory(spark):
+    """pipeline: what compiling many plans freed stayed with the driver's process, more after each stage."""
+    from kindred.llm import common
+
+    version = [int(x) for x in spark._jvm.System.getProperty("java.version").split("-")[0].split(".")]
+    if version < [17, 0, 9] or spark._jvm.System.getProperty("os.name") != "Linux":
+        pytest.skip("this JVM has no such command")
+    assert "rim" in common.trim(spark)
+    common.sweep(spark)
