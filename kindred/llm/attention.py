@@ -14,6 +14,7 @@ import numpy as np
 
 STEP = 32
 _CAUSAL = np.where(np.arange(2 * STEP)[None, :] <= STEP + np.arange(STEP)[:, None], 0.0, -1e9).astype(np.float32)
+_SEEN = (_CAUSAL == 0).astype(np.float32)
 
 
 def cut(ids: np.ndarray, offsets: np.ndarray, first: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,16 +66,6 @@ class Attention:
         s /= s.sum(2, keepdims=True)
         return s, q, k, v, s @ v + p["r"][x[:, STEP:]]
 
-    def _within(self, h, prev, cls):
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                z = h[rows] @ self.p["w"][c] + self.bias_in[prev[rows], c]
-                z -= z.max(1, keepdims=True)
-                yield c, rows, z
-
     def logp(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target; 0 where there is none."""
         out = np.zeros(y.shape, np.float32)
@@ -83,16 +74,15 @@ class Attention:
         q, pq = p["q"] * np.float32(1 / np.sqrt(self.dim)), p["pq"] * np.float32(1 / np.sqrt(self.dim))
         v = np.c_[p["v"], np.ones(self.size + 1, np.float32)].astype(np.float32)
         v[self.pad] = 0
-        causal = (_CAUSAL == 0).astype(np.float32)
         for lo in range(0, len(x), 256):
             xs, ys = x[lo : lo + 256], y[lo : lo + 256]
             now = xs[:, STEP:]
             with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                s = (q[now] + pq) @ (p["k"][xs] + p["pk"]).transpose(0, 2, 1)
+                s = (q.take(now, 0) + pq) @ (p["k"].take(xs, 0) + p["pk"]).transpose(0, 2, 1)
                 np.exp(s, out=s)
-                s *= causal
-                both = s @ v[xs]
-                h = both[:, :, :-1] / both[:, :, -1:] + p["r"][now]
+                s *= _SEEN
+                both = s @ v.take(xs, 0)
+                h = both[:, :, :-1] / both[:, :, -1:] + p["r"].take(now, 0)
                 ok = ys != self.pad
                 got = self._targets(h[ok], now[ok], self.slot[ys[ok]])
             if not np.isfinite(got).all():  # too large for plain exponentials
@@ -103,65 +93,139 @@ class Attention:
     def _targets(self, h: np.ndarray, prev: np.ndarray, slot: np.ndarray, careful: bool = False) -> np.ndarray:
         cls, within = slot // self.m, slot % self.m
         z = h @ self.p["c"]
-        z += self.bias_class[prev]
+        z += self.bias_class.take(prev, 0)
         if careful:
             z -= z.max(1, keepdims=True)
         got = z[np.arange(len(z)), cls]
         np.exp(z, out=z)
-        got = got - np.log(z.sum(1))
-        order = np.argsort(cls, kind="stable")
+        got = got - np.log(z @ np.ones(self.classes, np.float32))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
         flat = prev * self.classes
         bias = self.bias_in.reshape(-1, self.m)
         for c in range(self.classes):
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
-                z = h[rows] @ self.p["w"][c]
-                z += bias[flat[rows] + c]
+                z = h.take(rows, 0) @ self.p["w"][c]
+                z += bias.take(flat[rows] + c, 0)
                 if careful:
                     z -= z.max(1, keepdims=True)
                 at = z[np.arange(len(rows)), within[rows]]
                 np.exp(z, out=z)
-                got[rows] += at - np.log(z.sum(1))
+                got[rows] += at - np.log(z @ np.ones(self.m, np.float32))
         return got
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    def _forward(self, x: np.ndarray):
+        """Weights before they are divided by their sums, the sums' inverses, scaled queries, keys, values with a column of ones, and what is attended to."""
+        p, by = self.p, np.float32(1 / np.sqrt(self.dim))
+        now = x[:, STEP:]
+        k = p["k"].take(x, 0)
+        k += p["pk"]
+        q = (p["q"] * by).take(now, 0)
+        q += p["pq"] * by
+        v = np.c_[p["v"], np.ones(self.size + 1, np.float32)].astype(np.float32).take(x, 0)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            s = q @ k.transpose(0, 2, 1)
+            np.exp(s, out=s)
+            s *= _SEEN
+            void = x == self.pad
+            some = np.flatnonzero(void.any(1))
+            if len(some):
+                s[some] *= ~void[some][:, None, :]
+            both = s @ v
+            total = both[:, :, -1:]
+            inv = np.where(total == 0, np.float32(0), 1 / total)  # nothing but padding before the place
+            got = both[:, :, :-1] * inv
+        # sums that plain exponentials keep as numbers of full precision
+        if not np.isfinite(got).all() or ((total < 1e-30) & ~void[:, STEP:, None]).any():
+            s, _, _, _, _ = self._attend(x)
+            if len(some):
+                s[some] *= ~void[some][:, None, :]
+            inv = np.ones_like(total)
+            got = s @ v[:, :, :-1]
+        return s, inv, q, k, v, got
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, careful: bool = False) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the targets, each window counting weight times, and its gradient."""
-        a, q, k, v, hidden = self._attend(x)
-        ok = y != self.pad
-        h, prev, slot = hidden[ok], x[:, STEP:][ok], self.slot[y[ok]]
+        s, inv, q, k, v, attended = self._forward(x)
+        now, ok = x[:, STEP:], y != self.pad
+        slot = self.slot[y[ok]]
+        # targets in the order of their classes, so that a class's are a slice
+        order = np.argsort((slot // self.m).astype(np.uint16), kind="stable")
+        slot, prev = slot[order], now[ok][order]
         cls, within = slot // self.m, slot % self.m
-        each = np.repeat((np.ones(len(x)) if weight is None else weight).astype(np.float32), ok.sum(1))
-        n = each.sum() if len(h) else 1
-        g = {name: np.zeros_like(t) for name, t in self.p.items()}
-        z = h @ self.p["c"] + self.bias_class[prev]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        loss = -(each * np.log(z[np.arange(len(z)), cls] + 1e-30)).sum()
-        z[np.arange(len(z)), cls] -= 1
+        h = self.p["r"].take(now, 0)
+        h += attended
+        h = h[ok].take(order, 0)
+        each = np.repeat((np.ones(len(x)) if weight is None else weight).astype(np.float32), ok.sum(1))[order]
+        n = each.sum() if len(h) else np.float32(1)
+        each /= n
+        g = {name: np.zeros_like(self.p[name]) for name in ("w",)}
+        at = np.arange(len(h))
+        z = h @ self.p["c"]
+        z += self.bias_class.take(prev, 0)
+        if careful:
+            z -= z.max(1, keepdims=True)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            np.exp(z, out=z)
+            z *= (1 / (z @ np.ones(self.classes, np.float32)))[:, None]
+        loss = -(each * np.log(z[at, cls] + 1e-30)).sum()
+        z[at, cls] -= 1
         z *= each[:, None]
-        g["c"] = h.T @ z / n
+        g["c"] = h.T @ z
         dh = z @ self.p["c"].T
-        for c, rows, w in self._within(h, prev, cls):
-            w = np.exp(w)
-            w /= w.sum(1, keepdims=True)
-            loss -= (each[rows] * np.log(w[np.arange(len(rows)), within[rows]] + 1e-30)).sum()
-            w[np.arange(len(rows)), within[rows]] -= 1
-            w *= each[rows, None]
-            g["w"][c] = h[rows].T @ w / n
-            dh[rows] += w @ self.p["w"][c].T
-        d = np.zeros_like(hidden)
-        d[ok] = dh / n
-        dv = a.transpose(0, 2, 1) @ d
-        da = d @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(1 / np.sqrt(self.dim))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        lane = np.arange(self.dim)
-        for name, at, by in (("r", x[:, STEP:], d), ("v", x, dv), ("q", x[:, STEP:], dq), ("k", x, dk)):
-            flat = (at.reshape(-1, 1) * self.dim + lane).ravel()
-            g[name] += np.bincount(flat, by.ravel(), g[name].size).reshape(g[name].shape).astype(np.float32)
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1))
+        bias, place, ones = self.bias_in.reshape(-1, self.m), prev * self.classes, np.ones(self.m, np.float32)
+        for c in range(self.classes):
+            lo, hi = cuts[c], cuts[c + 1]
+            if lo < hi:
+                w = h[lo:hi] @ self.p["w"][c]
+                w += bias.take(place[lo:hi] + c, 0)
+                if careful:
+                    w -= w.max(1, keepdims=True)
+                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                    np.exp(w, out=w)
+                    w *= (1 / (w @ ones))[:, None]
+                spot = at[: hi - lo], within[lo:hi]
+                loss -= (each[lo:hi] * np.log(w[spot] + 1e-30)).sum()
+                w[spot] -= 1
+                w *= each[lo:hi, None]
+                g["w"][c] = h[lo:hi].T @ w
+                dh[lo:hi] += w @ self.p["w"][c].T
+        if not careful and not (np.isfinite(loss) and np.isfinite(dh).all()):  # too large for plain exponentials
+            return self.gradient(x, y, weight, True)
+        back = np.empty_like(order)
+        back[order] = at
+        # of a place: what flows to the residual and, times the inverse of its sum, to the values; last, what the sum itself takes off
+        d = np.zeros((*now.shape, self.dim + 1), np.float32)
+        flow = np.zeros_like(attended)
+        flow[ok] = dh.take(back, 0)
+        d[:, :, :-1] = flow
+        d[:, :, -1] = -(flow * attended).sum(2)
+        d *= inv
+        both = np.empty((*x.shape, 2 * self.dim), np.float32)
+        both[:, :, : self.dim] = s.transpose(0, 2, 1) @ d[:, :, :-1]
+        ds = d @ v.transpose(0, 2, 1)
+        ds *= s
+        dk = ds.transpose(0, 2, 1) @ q
+        both[:, :, self.dim :] = dk
+        dq = ds @ k
+        dq *= np.float32(1 / np.sqrt(self.dim))
+        g["v"], g["k"] = self._by_id(x, both)
+        g["r"], g["q"] = self._by_id(now, np.concatenate([flow, dq], 2))
         g["pq"], g["pk"] = dq.sum(0), dk.sum(0)
-        return loss / n, g
+        return float(loss), {name: g[name] for name in self.p}
+
+    def _by_id(self, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the rows of each id, in two halves of columns."""
+        flat = ids.ravel().astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        out = np.zeros((self.size + 1, rows.shape[2]), np.float32)
+        if len(starts):
+            out[flat[starts]] = np.add.reduceat(rows.reshape(len(flat), -1).take(order, 0), starts, axis=0)
+        return out[:, : self.dim], out[:, self.dim :]
 
     def train(self, x: np.ndarray, y: np.ndarray, rate: float = 0.01, batch: int = 256, seed: int = 0, weight: np.ndarray | None = None) -> float:
         """One pass of Adam over the windows, which count weight times; the mean loss before each step."""

@@ -292,3 +292,30 @@ def test_driver_returns_freed_native_memory(spark):
         pytest.skip("this JVM has no such command")
     assert "rim" in common.trim(spark)
     common.sweep(spark)
+
+
+def test_gradient_by_plain_exponentials():
+    """op1: training went through maxima and whole-array masks that plain exponentials spare; they are taken again only where numbers get too large."""
+    from kindred.llm import attention
+
+    rng = np.random.default_rng(5)
+    lens = np.array([3, 0, 200, 64, 31])
+    ids = rng.integers(0, 40, lens.sum()).astype(np.int32)
+    x, y, _ = attention.cut(ids, np.concatenate([[0], np.cumsum(lens)]), 40, 41)
+    weight = rng.integers(1, 4, len(x)).astype(float)
+    for size in (1.0, 300.0):  # the second overflows
+        m = attention.Attention(41, rng.integers(0, 5, (41, 41)).astype(float), dim=4, classes=6)
+        for name in ("q", "k", "c", "w"):
+            m.p[name] *= np.float32(size)
+        loss, g = m.gradient(x, y, weight)
+        sure, exact = m.gradient(x, y, weight, careful=True)
+        assert np.isfinite(loss) and loss == pytest.approx(sure, rel=1e-5)
+        for name, t in g.items():
+            assert t.shape == m.p[name].shape and np.isfinite(t).all(), name
+            np.testing.assert_allclose(t, exact[name], rtol=1e-3, atol=1e-5)
+        # careful or not, the weights are those of the softmax with maxima taken off
+        s, inv, _, _, _, got = m._forward(x)
+        a, _, _, _, hidden = m._attend(x)
+        ok = y != m.pad
+        np.testing.assert_allclose((got + m.p["r"][x[:, attention.STEP :]])[ok], hidden[ok], rtol=1e-3, atol=1e-4)
+        np.testing.assert_allclose((s * inv)[ok], a[ok], rtol=1e-3, atol=1e-5)
