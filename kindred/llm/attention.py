@@ -13,6 +13,8 @@ from __future__ import annotations
 import numpy as np
 
 STEP = 32
+#: Windows whose attention is worked out at once: what a processor keeps at hand.
+PART = 128
 _CAUSAL = np.where(np.arange(2 * STEP)[None, :] <= STEP + np.arange(STEP)[:, None], 0.0, -1e9).astype(np.float32)
 _SEEN = (_CAUSAL == 0).astype(np.float32)
 
@@ -100,30 +102,33 @@ class Attention:
         np.exp(z, out=z)
         got = got - np.log(z @ np.ones(self.classes, np.float32))
         order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        flat = prev * self.classes
-        bias = self.bias_in.reshape(-1, self.m)
-        for c in range(self.classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                z = h.take(rows, 0) @ self.p["w"][c]
-                z += bias.take(flat[rows] + c, 0)
-                if careful:
-                    z -= z.max(1, keepdims=True)
-                at = z[np.arange(len(rows)), within[rows]]
-                np.exp(z, out=z)
-                got[rows] += at - np.log(z @ np.ones(self.m, np.float32))
+        cls, h = cls.take(order), h.take(order, 0)
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        z = self.bias_in.reshape(-1, self.m).take(prev.take(order) * self.classes + cls, 0)
+        for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if lo < hi:
+                z[lo:hi] += h[lo:hi] @ self.p["w"][c]
+        if careful:
+            z -= z.max(1, keepdims=True)
+        at = z[np.arange(len(z)), within.take(order)]
+        np.exp(z, out=z)
+        got[order] += at - np.log(z @ np.ones(self.m, np.float32))
         return got
 
-    def _forward(self, x: np.ndarray):
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled queries, and values with a column of ones that counts the weights."""
+        return self.p["q"] * np.float32(1 / np.sqrt(self.dim)), np.c_[self.p["v"], np.ones(self.size + 1, np.float32)].astype(np.float32)
+
+    def _forward(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None):
         """Weights before they are divided by their sums, the sums' inverses, scaled queries, keys, values with a column of ones, and what is attended to."""
         p, by = self.p, np.float32(1 / np.sqrt(self.dim))
         now = x[:, STEP:]
+        queries, values = tables or self._tables()
         k = p["k"].take(x, 0)
         k += p["pk"]
-        q = (p["q"] * by).take(now, 0)
+        q = queries.take(now, 0)
         q += p["pq"] * by
-        v = np.c_[p["v"], np.ones(self.size + 1, np.float32)].astype(np.float32).take(x, 0)
+        v = values.take(x, 0)
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             s = q @ k.transpose(0, 2, 1)
             np.exp(s, out=s)
@@ -147,98 +152,127 @@ class Attention:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, careful: bool = False) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the targets, each window counting weight times, and its gradient."""
-        s, inv, q, k, v, attended = self._forward(x)
         now, ok = x[:, STEP:], y != self.pad
+        parts = [slice(lo, lo + PART) for lo in range(0, len(x), PART)]
+        tables = self._tables()
+        kept = [self._forward(x[at], tables) for at in parts]
         slot = self.slot[y[ok]]
         # targets in the order of their classes, so that a class's are a slice
         order = np.argsort((slot // self.m).astype(np.uint16), kind="stable")
         slot, prev = slot[order], now[ok][order]
         cls, within = slot // self.m, slot % self.m
         h = self.p["r"].take(now, 0)
-        h += attended
+        for at, of in zip(parts, kept, strict=True):
+            h[at] += of[5]
         h = h[ok].take(order, 0)
         each = np.repeat((np.ones(len(x)) if weight is None else weight).astype(np.float32), ok.sum(1))[order]
         n = each.sum() if len(h) else np.float32(1)
         each /= n
-        g = {name: np.zeros_like(self.p[name]) for name in ("w",)}
-        at = np.arange(len(h))
         z = h @ self.p["c"]
         z += self.bias_class.take(prev, 0)
-        if careful:
-            z -= z.max(1, keepdims=True)
-        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            np.exp(z, out=z)
-            z *= (1 / (z @ np.ones(self.classes, np.float32)))[:, None]
-        loss = -(each * np.log(z[at, cls] + 1e-30)).sum()
-        z[at, cls] -= 1
-        z *= each[:, None]
-        g["c"] = h.T @ z
+        loss, hs, scale = self._softmax(z, cls, h, each, careful)
+        g = {"c": hs.T @ z, "w": np.zeros_like(self.p["w"])}
         dh = z @ self.p["c"].T
-        cuts = np.searchsorted(cls, np.arange(self.classes + 1))
-        bias, place, ones = self.bias_in.reshape(-1, self.m), prev * self.classes, np.ones(self.m, np.float32)
-        for c in range(self.classes):
-            lo, hi = cuts[c], cuts[c + 1]
-            if lo < hi:
-                w = h[lo:hi] @ self.p["w"][c]
-                w += bias.take(place[lo:hi] + c, 0)
-                if careful:
-                    w -= w.max(1, keepdims=True)
-                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                    np.exp(w, out=w)
-                    w *= (1 / (w @ ones))[:, None]
-                spot = at[: hi - lo], within[lo:hi]
-                loss -= (each[lo:hi] * np.log(w[spot] + 1e-30)).sum()
-                w[spot] -= 1
-                w *= each[lo:hi, None]
-                g["w"][c] = h[lo:hi].T @ w
-                dh[lo:hi] += w @ self.p["w"][c].T
+        dh *= scale
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        some = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+        z = self.bias_in.reshape(-1, self.m).take(prev * self.classes + cls, 0)
+        for c, at in some:
+            z[at] += h[at] @ self.p["w"][c]
+        more, hs, scale = self._softmax(z, within, h, each, careful)
+        loss += more
+        back = np.empty_like(h)
+        for c, at in some:
+            np.matmul(hs[at].T, z[at], out=g["w"][c])
+            np.matmul(z[at], self.p["w"][c].T, out=back[at])
+        back *= scale
+        dh += back
         if not careful and not (np.isfinite(loss) and np.isfinite(dh).all()):  # too large for plain exponentials
             return self.gradient(x, y, weight, True)
         back = np.empty_like(order)
-        back[order] = at
-        # of a place: what flows to the residual and, times the inverse of its sum, to the values; last, what the sum itself takes off
-        d = np.zeros((*now.shape, self.dim + 1), np.float32)
-        flow = np.zeros_like(attended)
+        back[order] = np.arange(len(order))
+        flow = np.zeros((*now.shape, self.dim), np.float32)
         flow[ok] = dh.take(back, 0)
-        d[:, :, :-1] = flow
-        d[:, :, -1] = -(flow * attended).sum(2)
-        d *= inv
-        both = np.empty((*x.shape, 2 * self.dim), np.float32)
-        both[:, :, : self.dim] = s.transpose(0, 2, 1) @ d[:, :, :-1]
-        ds = d @ v.transpose(0, 2, 1)
-        ds *= s
-        dk = ds.transpose(0, 2, 1) @ q
-        both[:, :, self.dim :] = dk
-        dq = ds @ k
-        dq *= np.float32(1 / np.sqrt(self.dim))
-        g["v"], g["k"] = self._by_id(x, both)
-        g["r"], g["q"] = self._by_id(now, np.concatenate([flow, dq], 2))
-        g["pq"], g["pk"] = dq.sum(0), dk.sum(0)
+        # rows of the inputs seen before, and of those that targets follow; a last one of zeros
+        d = self.dim
+        old, new = np.zeros((len(x) * STEP + 1, 2 * d), np.float32), np.zeros((len(x) * STEP + 1, 4 * d), np.float32)
+        g["pq"], g["pk"] = np.zeros((STEP, d), np.float32), np.zeros((2 * STEP, d), np.float32)
+        for at, (s, inv, q, k, v, attended) in zip(parts, kept, strict=True):
+            # of a place: what flows to the residual and, times the inverse of its sum, to the values; last, what the sum itself takes off
+            here = np.empty((len(s), STEP, d + 1), np.float32)
+            here[:, :, :-1] = flow[at]
+            np.negative((flow[at] * attended).sum(2), out=here[:, :, -1])
+            here *= inv
+            st = s.transpose(0, 2, 1)
+            dv = st @ here[:, :, :-1]
+            ds = here @ v.transpose(0, 2, 1)
+            ds *= s
+            dk = ds.transpose(0, 2, 1) @ q
+            dq = ds @ k
+            dq *= np.float32(1 / np.sqrt(d))
+            g["pq"] += dq.sum(0)
+            g["pk"] += dk.sum(0)
+            lo, hi = at.start * STEP, at.start * STEP + len(s) * STEP
+            for to, part in ((old[lo:hi].reshape(-1, STEP, 2 * d), slice(STEP)), (new[lo:hi].reshape(-1, STEP, 4 * d), slice(STEP, None))):
+                to[:, :, :d], to[:, :, d : 2 * d] = dv[:, part], dk[:, part]
+            to[:, :, 2 * d : 3 * d], to[:, :, 3 * d :] = flow[at], dq
+        total = self._by_id(now, new)
+        total[:, : 2 * d] += self._by_id(x[:, :STEP], old)
+        g["v"], g["k"], g["r"], g["q"] = (total[:, i * d : (i + 1) * d] for i in range(4))
         return float(loss), {name: g[name] for name in self.p}
 
-    def _by_id(self, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the rows of each id, in two halves of columns."""
+    @staticmethod
+    def _softmax(z: np.ndarray, goal: np.ndarray, h: np.ndarray, each: np.ndarray, careful: bool) -> tuple[float, np.ndarray, np.ndarray]:
+        """The loss of the goals, and rows ``h`` scaled for the gradient, and the scale; ``z`` becomes the gradient before it is scaled."""
+        at, ones = np.arange(len(z)), np.ones(z.shape[1], np.float32)
+        if careful:
+            z -= z.max(1, keepdims=True)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            np.exp(z, out=z)
+            total = z @ ones
+            got = z[at, goal]
+            loss = -(each * np.log(got / total + 1e-30)).sum()
+            z[at, goal] = got - total
+            scale = (each / total)[:, None]
+        return loss, h * scale, scale
+
+    def _by_id(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of the rows of each id; the last row is one of zeros and no id's.
+
+        Rows are laid in blocks of 8 of one id, filled up with zeros, and added
+        by whole columns of blocks; only blocks are added one by one.
+        """
         flat = ids.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        out = np.zeros((self.size + 1, rows.shape[2]), np.float32)
-        if len(starts):
-            out[flat[starts]] = np.add.reduceat(rows.reshape(len(flat), -1).take(order, 0), starts, axis=0)
-        return out[:, : self.dim], out[:, self.dim :]
+        count = np.bincount(flat, minlength=self.size + 1)
+        blocks = -(-count // 8)
+        some = np.flatnonzero(count)
+        first = np.cumsum(blocks) - blocks
+        place = np.full(8 * blocks.sum(), len(flat))
+        place[np.arange(len(flat)) + np.repeat(8 * first - (np.cumsum(count) - count), count)] = order
+        t = rows.take(place, 0).reshape(-1, 8 * rows.shape[1])
+        while t.shape[1] > rows.shape[1]:
+            t = t[:, : t.shape[1] // 2] + t[:, t.shape[1] // 2 :]
+        out = np.zeros((self.size + 1, rows.shape[1]), np.float32)
+        if len(some):
+            out[some] = np.add.reduceat(t, first[some], axis=0)
+        return out
 
     def train(self, x: np.ndarray, y: np.ndarray, rate: float = 0.01, batch: int = 256, seed: int = 0, weight: np.ndarray | None = None) -> float:
         """One pass of Adam over the windows, which count weight times; the mean loss before each step."""
         order = np.random.default_rng(seed).permutation(len(x))
-        first = {n: np.zeros_like(t) for n, t in self.p.items()}
-        second = {n: np.zeros_like(t) for n, t in self.p.items()}
+        flat = self.vector().astype(np.float32)
+        self.load(flat, copy=False)
+        first, second = np.zeros_like(flat), np.zeros_like(flat)
         losses = []
         for step, lo in enumerate(range(0, len(x), batch), 1):
             at = order[lo : lo + batch]
-            loss, g = self.gradient(x[at], y[at], None if weight is None else weight[at])
+            loss, g = self.gradient(x[at].astype(np.int64), y[at].astype(np.int64), None if weight is None else weight[at])
             losses.append(loss)
-            for n, t in self.p.items():
-                u, v, d = first[n], second[n], g[n]
+            g = np.concatenate([g[n].ravel() for n in self.p])
+            for a in range(0, len(flat), 16_384):  # what a processor keeps at hand
+                part = slice(a, a + 16_384)
+                t, u, v, d = flat[part], first[part], second[part], g[part]
                 u *= np.float32(0.9)
                 u += np.float32(0.1) * d
                 v *= np.float32(0.99)
@@ -256,8 +290,9 @@ class Attention:
     def vector(self) -> np.ndarray:
         return np.concatenate([t.ravel() for t in self.p.values()])
 
-    def load(self, vector: np.ndarray) -> None:
+    def load(self, vector: np.ndarray, copy: bool = True) -> None:
+        """Parameters from a vector, or as views of it."""
         at = 0
         for n, t in self.p.items():
-            self.p[n] = vector[at : at + t.size].reshape(t.shape).astype(np.float32)
+            self.p[n] = vector[at : at + t.size].reshape(t.shape).astype(np.float32, copy=copy)
             at += t.size

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -129,6 +130,26 @@ def pieces(batches, column: str = "text", most: int = 4_000_000):
             yield b.take(pa.array(np.arange(lo, hi)))  # a copy: string kernels misread slices
 
 
+@contextlib.contextmanager
+def roomy():
+    """Within, the process keeps the memory that arrays of some megabytes give back, where its C library can be told to: taking it anew from the system, page by page, costs as much as the work on it. At the end it is returned."""
+    try:
+        libc = ctypes.CDLL(None)
+        tell = libc.mallopt
+        back = libc.malloc_trim
+    except (OSError, AttributeError, TypeError):
+        yield
+        return
+    for kind in (-3, -1):  # the sizes from which memory comes from and goes back to the system
+        tell(kind, 64 << 20)
+    try:
+        yield
+    finally:
+        for kind in (-3, -1):
+            tell(kind, 128 << 10)
+        back(0)
+
+
 _shipped: set[str] = set()
 
 

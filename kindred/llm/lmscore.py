@@ -1,8 +1,10 @@
 """Language-model scoring: a causal self-attention model beside corpus-wide word counts.
 
 One pass over the texts codes each piece of them (some megabytes) as numbers of
-its own distinct words, with the words' subword ids and training counts. The
-counts of words and of id pairs cover all training texts, and so does the
+its own distinct words, with the words' subword ids and training counts. A
+piece's words are dealt to buckets by hash and travel as one row a bucket; a
+bucket adds up the counts of all pieces. The counts of words and of id pairs
+cover all training texts, and so does the
 training of the attention model: pieces are cut into strips of windows, equal
 strips are counted once and weighted, and shards of them are trained apart from
 the same start and averaged, round by round. A second pass joins each piece
@@ -14,14 +16,17 @@ from __future__ import annotations
 import base64
 import copy
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attention import STEP, Attention, cut
-from .common import pieces, release, remainder, share, split_words, sums, sweep, table, written, written_so_far
+from .common import pieces, release, remainder, roomy, share, split_words, sums, sweep, table, written, written_so_far
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the vocabulary's tokenizer splits text before merging: fixed by it.
@@ -53,7 +58,8 @@ class Subwords:
 def gather(ids: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a series of words, and the number of each word's."""
     size = np.diff(offsets)[codes]
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[:-1][codes], size)
+    at = np.repeat(offsets[:-1][codes] - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
     return ids[at], size
 
 
@@ -65,6 +71,18 @@ def sequences(ids, offsets, codes, doc_offsets, end: int) -> tuple[np.ndarray, n
     return np.insert(flat, stops, end), np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])
 
 
+def some_texts(ids, offsets, codes, doc_offsets, end: int, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """sequences() of about ``most`` words at a time, from the first text on to before the second number; a longer text comes alone."""
+    part = doc_offsets[1:] // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if lo < hi:
+            a, b = doc_offsets[lo], doc_offsets[hi]
+            yield lo, hi, *sequences(ids, offsets, codes[a:b], doc_offsets[lo : hi + 1] - a, end)
+
+
+#: Buckets that words are dealt to.
+BUCKETS = 512
 PAIR_BLOCK = 64
 #: Targets of a strip, the unit in which windows are dealt out.
 STRIP = 32 * STEP
@@ -89,13 +107,47 @@ def unstrip(strip: bytes, pad: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[:-1], x[1:]], 1), y.reshape(-1, STEP)[1:]
 
 _TUNED = "block int, w double, v array<float>"
-_PREPARED = "kind string, part long, code int, word string, n long, blob binary"
+_PREPARED = "kind string, part long, code int, n long, blob binary"
+_KNOWN = "piece long, code int, n long, v long, blob binary"
 
 
 def _rows(**columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    kinds = {"kind": pa.string(), "part": pa.int64(), "code": pa.int32(), "word": pa.string(), "n": pa.int64(), "blob": pa.binary()}
-    return pa.RecordBatch.from_arrays([columns[c].cast(t) if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+    kinds = {"kind": pa.string(), "part": pa.int64(), "code": pa.int32(), "n": pa.int64(), "blob": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+
+
+def by_bucket(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings distinct words bucket by bucket, and where each bucket starts; the same bucket for a word everywhere."""
+    bucket = (pd.util.hash_array(words, categorize=False) % BUCKETS).astype(np.uint16) if len(words) else np.zeros(0, np.uint16)
+    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
+
+
+def pack_words(words: pa.Array, n: np.ndarray) -> bytes:
+    """Words and their counts as bytes: lengths, counts, texts."""
+    buffers, lo = words.buffers(), words.offset
+    at = np.frombuffer(buffers[1], np.int64)[lo : lo + len(words) + 1]
+    return np.diff(at).astype(np.int32).tobytes() + n.astype(np.int64).tobytes() + (memoryview(buffers[2])[at[0] : at[-1]].tobytes() if len(words) and buffers[2] else b"")
+
+
+def unpack_words(blobs: list[bytes], each: list[int]) -> tuple[pa.Array, np.ndarray]:
+    """All words of some pack_words() of ``each`` many words, and their counts."""
+    size = np.concatenate([np.frombuffer(b, np.int32, k) for b, k in zip(blobs, each, strict=True)]).astype(np.int64)
+    n = np.concatenate([np.frombuffer(b, np.int64, k, 4 * k) for b, k in zip(blobs, each, strict=True)])
+    text = b"".join([memoryview(b)[12 * k :] for b, k in zip(blobs, each, strict=True)])
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(text)]), n
+
+
+def _count_words(key, rows):
+    """For each piece's words of a bucket their counts in all pieces, in their order; with the first, the bucket's sum and its words seen in training."""
+    each = rows.column("n").to_pylist()
+    words, n = unpack_words(rows.column("blob").to_pylist(), each)
+    coded = np.asarray(pc.dictionary_encode(words).indices)
+    total = np.bincount(coded, n).astype(np.int64)
+    known, k = total[coded], len(each)
+    ends = np.cumsum(each).tolist()
+    whole = {c: pa.array([int(x)] + [0] * (k - 1), pa.int64()) for c, x in (("n", total.sum()), ("v", (total > 0).sum()))}
+    return pa.table({"piece": rows.column("part"), "code": rows.column("code"), **whole, "blob": pa.array([known[b - e : b].tobytes() for b, e in zip(ends, each, strict=True)], pa.binary())})
 
 
 def _prepare(shared, piece: int):
@@ -105,33 +157,42 @@ def _prepare(shared, piece: int):
         lines, size = shared.value
         subwords = Subwords(lines, size)
         end = size
-        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = np.zeros((size + 1) ** 2, np.int64)
         for b in pieces(batches, most=piece):
             codes, words, offsets = split_words(b.column("text"))
             train = np.asarray(b.column("train"))
-            ids, ends = subwords.encode(words.to_pylist())
+            known = words.to_numpy(zero_copy_only=False)
+            order, starts = by_bucket(known)
+            words = words.take(pa.array(order))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            codes = place[codes]
+            ids, ends = subwords.encode(known[order].tolist())
             part = uuid.uuid4().int >> 65  # a name, fixed once the table is written
             n = np.bincount(codes[np.repeat(train, np.diff(offsets))], minlength=len(words))
-            if len(words):
-                yield _rows(kind=pa.array(["w"]).take(pa.array(np.zeros(len(words), np.int64))), part=np.full(len(words), part), code=np.arange(len(words)), word=words, n=n)
+            full = np.flatnonzero(np.diff(starts)).tolist()
+            if full:
+                cuts = [(starts[k], starts[k + 1]) for k in full]
+                yield _rows(kind=["w"] * len(full), part=[part] * len(full), code=full, n=[int(y - x) for x, y in cuts], blob=[pack_words(words.slice(x, y - x), n[x:y]) for x, y in cuts])
             sink = pa.BufferOutputStream()
-            keep = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(codes.astype(np.int32)))], ["doc_id", "held_out", "codes"])
+            keep = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(codes))], ["doc_id", "held_out", "codes"])
             with pa.ipc.new_stream(sink, options=pa.ipc.IpcWriteOptions(compression="zstd"), schema=keep.schema.with_metadata({"ids": ids.astype(np.uint16).tobytes(), "ends": ends.astype(np.int32).tobytes()})) as w:
                 w.write_batch(keep)
             yield _rows(kind=["d"], part=[part], n=[int(train.sum())], blob=[sink.getvalue().to_pybytes()])
-            flat, stops = sequences(ids, ends, codes, offsets, end)
-            mine = np.repeat(train, np.diff(stops))
-            before = np.concatenate([[end], flat[:-1]]).astype(np.int64)
-            before[stops[:-1]] = end
-            key, count = np.unique((before * (size + 1) + flat)[mine], return_counts=True)
-            total = _merge(*total, key, count)
-            size_of = np.diff(stops)[train]
-            yield _rows(kind=["s"], n=[int((-(-size_of // STEP)).sum())])
-        key, count = total
+            windows = 0
+            for lo, hi, flat, stops in some_texts(ids, ends, codes, offsets, end):
+                pair = np.concatenate([[end], flat[:-1]])
+                pair[stops[:-1]] = end
+                pair *= size + 1
+                pair += flat
+                total += np.bincount(pair[np.repeat(train[lo:hi], np.diff(stops))], minlength=len(total))
+                windows += int((-(-np.diff(stops)[train[lo:hi]] // STEP)).sum())
+            yield _rows(kind=["s"], n=[windows])
+        key = np.flatnonzero(total)
         block = key // (size + 1) // PAIR_BLOCK
         for k in np.unique(block):
-            some = block == k
-            raw = np.concatenate([key[some], count[some]]).tobytes()
+            some = key[block == k]
+            raw = np.concatenate([some, total[some]]).tobytes()
             yield _rows(kind=["p"], code=[int(k)], n=[len(raw)], blob=[pa.compress(raw, "zstd", asbytes=True)])
 
     return run
@@ -152,13 +213,14 @@ def _strips(end: int, fraction: int):
             for blob in batch.column("blob"):
                 b, ids, ends = _opened(blob.as_py())
                 lists = b.column("codes").combine_chunks()
-                flat, stops = sequences(ids, ends, np.asarray(lists.values), np.asarray(lists.offsets, dtype=np.int64), end)
+                learn = ~np.asarray(b.column("held_out"))
                 some = []
-                for i in np.flatnonzero(~np.asarray(b.column("held_out"))):
-                    some += [r for r in strips(flat[stops[i] : stops[i + 1]], end) if zlib.crc32(r) % fraction == 0]
-                    if len(some) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["blob"])
-                        some = []
+                for lo, hi, flat, stops in some_texts(ids, ends, np.asarray(lists.values), np.asarray(lists.offsets, dtype=np.int64), end):
+                    for i in np.flatnonzero(learn[lo:hi]):
+                        some += [r for r in strips(flat[stops[i] : stops[i + 1]], end) if fraction == 1 or zlib.crc32(r) % fraction == 0]
+                        if len(some) >= 1000:
+                            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["blob"])
+                            some = []
                 if some:
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["blob"])
 
@@ -198,11 +260,13 @@ def _round(shared, r: int, blocks: int):
     def run(batches):
         for b in batches:
             for raw in b.column("rows"):
-                m = copy.deepcopy(shared.value)
+                m = copy.copy(shared.value)
+                m.p = {n: t.copy() for n, t in m.p.items()}
                 rows = pa.ipc.open_stream(raw.as_py()).read_all()
-                windows = [unstrip(x, m.pad) for x in rows.column("blob").to_pylist()]
+                windows = [[t.astype(np.uint16) for t in unstrip(x, m.pad)] for x in rows.column("blob").to_pylist()]
                 weight = np.repeat(np.asarray(rows.column("weight")), [len(y) for _, y in windows])
-                m.train(np.concatenate([x for x, _ in windows]), np.concatenate([y for _, y in windows]), rate=0.02 / (1 + r), seed=r, weight=weight)
+                with roomy():
+                    m.train(np.concatenate([x for x, _ in windows]), np.concatenate([y for _, y in windows]), rate=0.02 / (1 + r), seed=r, weight=weight)
                 parts = np.array_split(m.vector(), blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([float(weight.sum())] * blocks), pa.array([p.astype(np.float32).tolist() for p in parts], pa.list_(pa.float32()))], ["block", "w", "v"])
 
@@ -282,13 +346,11 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
     at = written_so_far()[-1][1]
     of = lambda k: table_.where(F.col("kind") == k)
     done = lambda k: release([(spark, f"{at}/kind={k}")])
-    # one shuffle by word gives every piece the corpus counts of its words
-    same = Window.partitionBy("word")
-    known = of("w").select("part", "code", "word", "n").withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("part")) == 1})
-    known = written(known.where("c > 0").select(F.col("part").alias("piece"), "code", "c", "first"))
+    # one shuffle by bucket gives every piece the corpus counts of its words
+    known = written(of("w").select("part", "code", "n", "blob").groupBy("code").applyInArrow(_count_words, _KNOWN))
     done("w")
     sweep(spark)
-    whole = known.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    whole = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     ends = of("d").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     n, v = whole["n"] + ends, whole["v"] + (ends > 0)
     blocks = -(-(size + 1) // PAIR_BLOCK)
@@ -303,39 +365,31 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = 2048, fract
     count = of("s").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / fraction
     _train(spark, of("d").select("blob").mapInArrow(_strips(size, fraction), "blob binary"), count, model, shard_windows, rounds)
     trained = share(spark, model)
-    known = known.select("piece", "code", "c")
+    known = known.select("piece", "code", "blob")
 
     def run(key, docs, words):
         m = trained.value
         end, pad = size, size + 1
-        code, count = np.asarray(words.column("code")), np.asarray(words.column("c"), dtype=np.float64)
+        c = np.frombuffer(b"".join(words.sort_by("code").column("blob").to_pylist()), np.int64)  # a piece's words lie bucket by bucket
         out = []
-        for blob in docs.column("blob").to_pylist():
-            b, ids, stops = _opened(blob)
-            c = np.zeros(len(stops) - 1)
-            c[code] = count
-            lists = b.column("codes").combine_chunks()
-            codes, offsets = np.asarray(lists.values), np.asarray(lists.offsets, dtype=np.int64)
-            flat, ends_at = sequences(ids, stops, codes, offsets, end)
-            each = np.zeros(len(flat))
-            per = 1_000  # texts at once
-            for lo in range(0, len(offsets) - 1, per):
-                hi = min(lo + per, len(offsets) - 1)
-                x, y, _ = cut(flat[ends_at[lo] : ends_at[hi]], ends_at[lo : hi + 1] - ends_at[lo], end, pad)
-                at = ends_at[lo]
-                for k in range(0, len(x), 8192):
-                    got = m.logp(x[k : k + 8192], y[k : k + 8192])[y[k : k + 8192] != pad]  # in the order of the ids
-                    each[at : at + len(got)] = got
-                    at += len(got)
-            token = np.insert(np.diff(stops)[codes], offsets[1:], 1)  # ids of each word, one for each end
-            word = sums(each, np.concatenate([[0], np.cumsum(token)]))
-            seen = np.insert(c[codes], offsets[1:], ends)
-            lp = sums(mixed(word, seen, n, v, mix), offsets + np.arange(len(offsets)))
-            base = sums(np.log10(c + 1)[codes], offsets) + np.log10(ends + 1)
-            tokens = np.diff(offsets) + 1
-            base -= tokens * np.log10(n + v + 1)
-            good = sums((c > 0)[codes].astype(np.float64), offsets).astype(np.int64) + (ends > 0)
-            out.append(pa.table({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "n_tokens": tokens, "n_known": good, "train_tokens": np.full(len(tokens), n, np.int64), "base_score": base, "score": lp / np.log(10)}))
+        with roomy():
+            for blob in docs.column("blob").to_pylist():
+                b, ids, stops = _opened(blob)
+                lists = b.column("codes").combine_chunks()
+                codes, offsets = np.asarray(lists.values), np.asarray(lists.offsets, dtype=np.int64)
+                for lo, hi, flat, ends_at in some_texts(ids, stops, codes, offsets, end, 100_000):
+                    mine, at = codes[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                    x, y, _ = cut(flat, ends_at, end, pad)
+                    each = m.logp(x, y)[y != pad]  # in the order of the ids
+                    token = np.insert(np.diff(stops)[mine], at[1:], 1)  # ids of each word, one for each end
+                    word = sums(each, np.concatenate([[0], np.cumsum(token)]))
+                    seen = np.insert(c[mine].astype(np.float64), at[1:], ends)
+                    lp = sums(mixed(word, seen, n, v, mix), at + np.arange(len(at)))
+                    base = sums(np.log10(c[mine] + 1.0), at) + np.log10(ends + 1)
+                    tokens = np.diff(at) + 1
+                    base -= tokens * np.log10(n + v + 1)
+                    good = sums((c[mine] > 0).astype(np.float64), at).astype(np.int64) + (ends > 0)
+                    out.append(pa.table({"doc_id": b.column("doc_id").slice(lo, hi - lo), "held_out": b.column("held_out").slice(lo, hi - lo), "n_tokens": tokens, "n_known": good, "train_tokens": np.full(len(tokens), n, np.int64), "base_score": base, "score": lp / np.log(10)}))
         return pa.concat_tables(out) if out else _EMPTY.empty_table()
 
     return of("d").select("part", "blob").groupBy("part").cogroup(known.groupBy("piece")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

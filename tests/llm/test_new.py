@@ -319,3 +319,45 @@ def test_gradient_by_plain_exponentials():
         ok = y != m.pad
         np.testing.assert_allclose((got + m.p["r"][x[:, attention.STEP :]])[ok], hidden[ok], rtol=1e-3, atol=1e-4)
         np.testing.assert_allclose((s * inv)[ok], a[ok], rtol=1e-3, atol=1e-5)
+
+
+def test_words_travel_by_bucket(spark):
+    """op1: every word of every piece was a row of its own, which most of the JVM's time and an executor's memory went to."""
+    import pyarrow as pa
+
+    from kindred.llm import lmscore
+
+    with open(lmscore.VOCABULARY, "rb") as file:
+        lines = [x for x in file.read().splitlines() if int(x.split()[1]) < 512]
+    shared = type("Shared", (), {"value": (lines, 512)})
+    texts = [[" ".join(f"w{i} é{i % 50}" for i in range(k * 500, k * 500 + 2000)), "held only", None, "w1"] for k in range(2)]
+    rows, held = [], [False, True, False, False]
+    for t in texts:
+        batch = pa.record_batch({"doc_id": [1, 2, 3, 4], "held_out": held, "text": t, "train": [not h for h in held]})
+        mine = [r for b in lmscore._prepare(shared, 12_000_000)([batch]) for r in b.to_pylist() if r["kind"] == "w"]
+        assert len(mine) <= lmscore.BUCKETS and sum(r["n"] for r in mine) == len({w for x in t for w in (x or "").split()})
+        rows += mine
+    want = collections.Counter(w for t in texts for x, h in zip(t, held, strict=True) if not h for w in (x or "").split())
+    total = seen = 0
+    for code in sorted({r["code"] for r in rows}):
+        some = [r for r in rows if r["code"] == code]
+        got = lmscore._count_words(None, pa.table({k: [r[k] for r in some] for k in ("part", "code", "n", "blob")})).to_pylist()
+        for r, g in zip(some, got, strict=True):
+            words, _ = lmscore.unpack_words([r["blob"]], [r["n"]])
+            assert g["piece"] == r["part"] and [want[w] for w in words.to_pylist()] == np.frombuffer(g["blob"], np.int64).tolist()
+        total, seen = total + sum(g["n"] for g in got), seen + sum(g["v"] for g in got)
+    assert (total, seen) == (sum(want.values()), len(want))
+
+
+def test_rows_of_an_id_are_added_in_blocks():
+    """op1: the gradients of ids are sums over all places that show them, however many."""
+    from kindred.llm import attention
+
+    m = attention.Attention(41, np.ones((41, 41)), dim=4, classes=6)
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 8, 9, 500):
+        ids, rows = rng.integers(0, 5, n) * 8, np.zeros((n + 1, 8), np.float32)
+        rows[:n] = rng.standard_normal((n, 8))
+        want = np.zeros((42, 8))
+        np.add.at(want, ids, rows[:n])
+        np.testing.assert_allclose(m._by_id(ids, rows), want, rtol=1e-4, atol=1e-5)
