@@ -14,7 +14,7 @@ import numpy as np
 
 STEP = 32
 #: Windows whose attention is worked out at once: what a processor keeps at hand.
-PART = 128
+PART = 64
 _CAUSAL = np.where(np.arange(2 * STEP)[None, :] <= STEP + np.arange(STEP)[:, None], 0.0, -1e9).astype(np.float32)
 _SEEN = (_CAUSAL == 0).astype(np.float32)
 
@@ -76,20 +76,24 @@ class Attention:
         q, pq = p["q"] * np.float32(1 / np.sqrt(self.dim)), p["pq"] * np.float32(1 / np.sqrt(self.dim))
         v = np.c_[p["v"], np.ones(self.size + 1, np.float32)].astype(np.float32)
         v[self.pad] = 0
-        for lo in range(0, len(x), 256):
-            xs, ys = x[lo : lo + 256], y[lo : lo + 256]
+        for lo in range(0, len(x), 4 * PART):
+            xs, ys = x[lo : lo + 4 * PART], y[lo : lo + 4 * PART]
             now = xs[:, STEP:]
+            place = np.flatnonzero(ys != self.pad)
+            before, goal = now.ravel().take(place), self.slot.take(ys.ravel().take(place))
+            h = p["r"].take(now, 0)
             with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                s = (q.take(now, 0) + pq) @ (p["k"].take(xs, 0) + p["pk"]).transpose(0, 2, 1)
-                np.exp(s, out=s)
-                s *= _SEEN
-                both = s @ v.take(xs, 0)
-                h = both[:, :, :-1] / both[:, :, -1:] + p["r"].take(now, 0)
-                ok = ys != self.pad
-                got = self._targets(h[ok], now[ok], self.slot[ys[ok]])
+                for a in range(0, len(xs), PART):
+                    at = xs[a : a + PART]
+                    s = (q.take(at[:, STEP:], 0) + pq) @ (p["k"].take(at, 0) + p["pk"]).transpose(0, 2, 1)
+                    np.exp(s, out=s)
+                    s *= _SEEN
+                    both = s @ v.take(at, 0)
+                    h[a : a + PART] += both[:, :, :-1] / both[:, :, -1:]
+                got = self._targets(h.reshape(-1, self.dim).take(place, 0), before, goal)
             if not np.isfinite(got).all():  # too large for plain exponentials
-                got = self._targets(self._attend(xs)[4][ok], now[ok], self.slot[ys[ok]], True)
-            out[lo : lo + 256][ok] = got
+                got = self._targets(self._attend(xs)[4].reshape(-1, self.dim).take(place, 0), before, goal, True)
+            out[lo : lo + 4 * PART].reshape(-1)[place] = got
         return out
 
     def _targets(self, h: np.ndarray, prev: np.ndarray, slot: np.ndarray, careful: bool = False) -> np.ndarray:
@@ -102,7 +106,7 @@ class Attention:
         np.exp(z, out=z)
         got = got - np.log(z @ np.ones(self.classes, np.float32))
         order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cls, h = cls.take(order), h.take(order, 0)
+        cls, h = cls.take(order), h.take(order, 0)  # a class's targets are a slice
         cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
         z = self.bias_in.reshape(-1, self.m).take(prev.take(order) * self.classes + cls, 0)
         for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -159,12 +163,13 @@ class Attention:
         slot = self.slot[y[ok]]
         # targets in the order of their classes, so that a class's are a slice
         order = np.argsort((slot // self.m).astype(np.uint16), kind="stable")
-        slot, prev = slot[order], now[ok][order]
+        place = np.flatnonzero(ok)[order]
+        slot, prev = slot[order], now.ravel().take(place)
         cls, within = slot // self.m, slot % self.m
         h = self.p["r"].take(now, 0)
         for at, of in zip(parts, kept, strict=True):
             h[at] += of[5]
-        h = h[ok].take(order, 0)
+        h = h.reshape(-1, self.dim).take(place, 0)
         each = np.repeat((np.ones(len(x)) if weight is None else weight).astype(np.float32), ok.sum(1))[order]
         n = each.sum() if len(h) else np.float32(1)
         each /= n
@@ -189,35 +194,31 @@ class Attention:
         dh += back
         if not careful and not (np.isfinite(loss) and np.isfinite(dh).all()):  # too large for plain exponentials
             return self.gradient(x, y, weight, True)
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
         flow = np.zeros((*now.shape, self.dim), np.float32)
-        flow[ok] = dh.take(back, 0)
-        # rows of the inputs seen before, and of those that targets follow; a last one of zeros
+        flow.reshape(-1, self.dim)[place] = dh
+        # rows of the inputs seen before, and of those that targets follow: what flows to values and keys, to the residual and queries; a last row of zeros
         d = self.dim
         old, new = np.zeros((len(x) * STEP + 1, 2 * d), np.float32), np.zeros((len(x) * STEP + 1, 4 * d), np.float32)
-        g["pq"], g["pk"] = np.zeros((STEP, d), np.float32), np.zeros((2 * STEP, d), np.float32)
+        olds, news = old[:-1].reshape(-1, STEP, 2 * d), new[:-1].reshape(-1, STEP, 4 * d)
+        news[:, :, 2 * d : 3 * d] = flow
         for at, (s, inv, q, k, v, attended) in zip(parts, kept, strict=True):
-            # of a place: what flows to the residual and, times the inverse of its sum, to the values; last, what the sum itself takes off
+            # of a place: what flows to it, times the inverse of its sum; last, what the sum itself takes off
             here = np.empty((len(s), STEP, d + 1), np.float32)
             here[:, :, :-1] = flow[at]
-            np.negative((flow[at] * attended).sum(2), out=here[:, :, -1])
+            np.negative(np.einsum("nid,nid->ni", flow[at], attended), out=here[:, :, -1])
             here *= inv
-            st = s.transpose(0, 2, 1)
-            dv = st @ here[:, :, :-1]
             ds = here @ v.transpose(0, 2, 1)
             ds *= s
-            dk = ds.transpose(0, 2, 1) @ q
-            dq = ds @ k
-            dq *= np.float32(1 / np.sqrt(d))
-            g["pq"] += dq.sum(0)
-            g["pk"] += dk.sum(0)
-            lo, hi = at.start * STEP, at.start * STEP + len(s) * STEP
-            for to, part in ((old[lo:hi].reshape(-1, STEP, 2 * d), slice(STEP)), (new[lo:hi].reshape(-1, STEP, 4 * d), slice(STEP, None))):
-                to[:, :, :d], to[:, :, d : 2 * d] = dv[:, part], dk[:, part]
-            to[:, :, 2 * d : 3 * d], to[:, :, 3 * d :] = flow[at], dq
+            st, dst, here = s.transpose(0, 2, 1), ds.transpose(0, 2, 1), here[:, :, :-1]
+            for to, half in ((olds[at], slice(STEP)), (news[at], slice(STEP, None))):
+                np.matmul(st[:, half], here, out=to[:, :, :d])
+                np.matmul(dst[:, half], q, out=to[:, :, d : 2 * d])
+            np.matmul(ds, k, out=news[at][:, :, 3 * d :])
+        places = news.sum(0)
+        g["pq"], g["pk"] = places[:, 3 * d :] * np.float32(1 / np.sqrt(d)), np.concatenate([olds.sum(0)[:, d:], places[:, d : 2 * d]])
         total = self._by_id(now, new)
         total[:, : 2 * d] += self._by_id(x[:, :STEP], old)
+        total[:, 3 * d :] *= np.float32(1 / np.sqrt(d))
         g["v"], g["k"], g["r"], g["q"] = (total[:, i * d : (i + 1) * d] for i in range(4))
         return float(loss), {name: g[name] for name in self.p}
 
@@ -240,7 +241,7 @@ class Attention:
         """Sums of the rows of each id; the last row is one of zeros and no id's.
 
         Rows are laid in blocks of 8 of one id, filled up with zeros, and added
-        by whole columns of blocks; only blocks are added one by one.
+        by their places in all blocks at once; only blocks are added one by one.
         """
         flat = ids.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
@@ -250,9 +251,9 @@ class Attention:
         first = np.cumsum(blocks) - blocks
         place = np.full(8 * blocks.sum(), len(flat))
         place[np.arange(len(flat)) + np.repeat(8 * first - (np.cumsum(count) - count), count)] = order
-        t = rows.take(place, 0).reshape(-1, 8 * rows.shape[1])
-        while t.shape[1] > rows.shape[1]:
-            t = t[:, : t.shape[1] // 2] + t[:, t.shape[1] // 2 :]
+        t = rows.take(place[::8], 0)
+        for i in range(1, 8):
+            t += rows.take(place[i::8], 0)
         out = np.zeros((self.size + 1, rows.shape[1]), np.float32)
         if len(some):
             out[some] = np.add.reduceat(t, first[some], axis=0)
