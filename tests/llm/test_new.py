@@ -361,3 +361,26 @@ def test_rows_of_an_id_are_added_in_blocks():
         want = np.zeros((42, 8))
         np.add.at(want, ids, rows[:n])
         np.testing.assert_allclose(m._by_id(ids, rows), want, rtol=1e-4, atol=1e-5)
+
+
+def test_memory_of_arrays_is_kept_within():
+    """op1: arrays freed by one step were taken from the system, page by page, in the next."""
+    import pathlib
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from kindred.llm.common import roomy
+with roomy():
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(20):
+        some = [np.ones(750_000) for _ in range(5)]
+        del some
+    print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    if not sys.platform.startswith("linux"):
+        pytest.skip("another C library")
+    done = subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parents[2], capture_output=True, text=True, timeout=120, check=True)
+    assert int(done.stdout) < 10_000  # of 146,000 pages; 36,000 without
